@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -36,7 +37,7 @@ MAX_EXCEPTIONS = 500
 #: An entry is in at least so many toxic documents, and in at least this share of them; of all documents that hold it,
 #: at least MIN_PURITY are toxic.
 MIN_TOXIC = 3
-MIN_SHARE = 0.006
+MIN_SHARE = 0.015
 MIN_PURITY = 0.85
 #: Beginnings of words that can be entries have these lengths.
 PREFIXES = (4, 5, 6)
@@ -106,16 +107,23 @@ def features(text: str, machine: ahocorasick.Automaton | None) -> tuple[float, f
     return math.log1p(total), math.log1p(1000 * total / (len(folded) + 200))
 
 
-def _terms_in(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for part in slices(batch):
-            terms, labels = [], []
-            for text, label in zip(texts_of(part), part.column("label").to_pylist(), strict=True):
-                words = set(_WORD.findall(fold(text)))
-                own = {f"={w}" for w in words if len(w) >= 3} | {f"<{w[:n]}" for w in words for n in PREFIXES if len(w) > n}
-                terms += own
-                labels += [label] * len(own)
-            yield pa.record_batch([pa.array(terms, pa.string()), pa.array(labels, pa.int32())], ["term", "label"])
+def _terms(text: str) -> set[str]:
+    words = set(_WORD.findall(fold(text)))
+    return {f"={w}" for w in words if len(w) >= 3} | {f"<{w[:n]}" for w in words for n in PREFIXES if len(w) > n}
+
+
+def _terms_in(known: frozenset[str] | None):
+    """Counts of the documents of a slice that hold a term, of the known terms only where they are given."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch):
+                found: Counter[str] = Counter()
+                for text in texts_of(part):
+                    found.update(_terms(text) if known is None else _terms(text) & known)
+                yield pa.record_batch([pa.array(found.keys(), pa.string()), pa.array(found.values(), pa.int64())], ["term", "n"])
+
+    return run
 
 
 def _pairs_in(machine_of):
@@ -172,19 +180,16 @@ def learn(documents: DataFrame, labels: DataFrame, train=lambda doc_id: F.lit(Tr
     toxic, clean = size.get(1, 0), size.get(0, 0)
     if not toxic or not clean:
         return Lexicon({}, calibration=(-30.0, 0.0, 0.0))
-    counts = (
-        texts.mapInArrow(_terms_in, "term string, label int")
-        .groupBy("term")
-        .agg(F.sum("label").alias("n1"), F.sum(1 - F.col("label")).alias("n0"))
-        .where((F.col("n1") >= max(MIN_TOXIC, MIN_SHARE * toxic)) & (F.col("n1") >= MIN_PURITY * (F.col("n1") + F.col("n0"))))
-        .orderBy(F.desc("n1"), "term")
-        .limit(4 * MAX_ENTRIES)
-    )
+    held = texts.where("label = 1").mapInArrow(_terms_in(None), "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    held = held.where(F.col("n") >= max(MIN_TOXIC, MIN_SHARE * toxic)).orderBy(F.desc("n"), "term").limit(10 * MAX_ENTRIES)
+    in_toxic = {r["term"]: r["n"] for r in held.collect()}
+    others = texts.where("label = 0").mapInArrow(_terms_in(frozenset(in_toxic)), "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    in_clean = {r["term"]: r["n"] for r in others.collect()}
     best = {}
-    for r in counts.collect():
-        odds = math.log((r["n1"] + 0.5) / (toxic + 1)) - math.log((r["n0"] + 0.5) / (clean + 1))
-        if odds > 1:
-            best[r["term"]] = odds
+    for term, n1 in in_toxic.items():
+        n0 = in_clean.get(term, 0)
+        if n1 >= MIN_PURITY * (n1 + n0) and (odds := math.log((n1 + 0.5) / (toxic + 1)) - math.log((n0 + 0.5) / (clean + 1))) > 1:
+            best[term] = odds
     weights, whole = {}, set()
     for term in sorted(best, key=lambda t: (len(t), t)):  # the shortest pure beginning stands for all that begin with it
         if any(f"<{term[1 : 1 + n]}" in best and n < len(term) - 1 for n in PREFIXES) or len(weights) >= MAX_ENTRIES:
