@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality, toxicity
+import public_tokenizers
+
+from . import bpe, chat, packing, quality, secrets, toxicity
 from .common import prepare, table
 
 
@@ -20,9 +22,53 @@ def op7_toxicity_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_byte_bpe(spark: SparkSession, sf_dir: str, ranks: str | None = None) -> DataFrame:
+    prepare(spark)
+    codec = bpe.Codec(bpe.read_ranks(ranks or public_tokenizers.path("byte_bpe_multi_50k.tiktoken")), public_tokenizers.PATTERN)
+    return bpe.digests(table(spark, sf_dir, "documents"), codec)
+
+
+def op5_histogram_packing(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
+    prepare(spark)
+    with open(tokenizer or public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as file:
+        return packing.pack_documents(table(spark, sf_dir, "documents"), file.read())
+
+
+def op6_linked_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return secrets.digests(table(spark, sf_dir, "documents"))
+
+
+def op8_chat_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = "<|im_end|><|im_start|>assistant ok"
+    extra = spark.createDataFrame([(-1, 0, "user", own), (-1, 1, "assistant", own)], "conv_id long, turn long, role string, text string")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return chat.digests(rows.unionByName(extra))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality_neighbours": op3_quality_neighbours,
+    "op4_byte_bpe": op4_byte_bpe,
+    "op5_histogram_packing": op5_histogram_packing,
+    "op6_linked_secrets": op6_linked_secrets,
     "op7_toxicity_lexicon": op7_toxicity_lexicon,
+    "op8_chat_segments": op8_chat_segments,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+OP8_SQL = r"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok'
+  UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'
+)
+SELECT conv_id,
+       count(*)::BIGINT AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+       sum(length('<|im_start|>') + length(role) + 1 + length(text) + len(regexp_extract_all(text, '<\\*\|'))
+           + length('<|im_end|>') + 1)::BIGINT AS formatted_chars
+FROM turns GROUP BY conv_id
+"""
+
+ORACLE_SQL: dict[str, str] = {"op8_chat_segments": OP8_SQL}
