@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import public_tokenizers
 
-from . import bpe, chat, packing, quality, secrets, toxicity
+from . import bpe, chat, minhash, packing, quality, secrets, toxicity
 from .common import prepare, table
 
 
@@ -46,6 +46,11 @@ def op8_chat_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(rows.unionByName(extra))
 
 
+def op9_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), hundredths=85)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality_neighbours": op3_quality_neighbours,
     "op4_byte_bpe": op4_byte_bpe,
@@ -53,6 +58,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_linked_secrets": op6_linked_secrets,
     "op7_toxicity_lexicon": op7_toxicity_lexicon,
     "op8_chat_segments": op8_chat_segments,
+    "op9_minhash_dedup": op9_minhash_dedup,
 }
 
 OP8_SQL = r"""
@@ -71,4 +77,28 @@ SELECT conv_id,
 FROM turns GROUP BY conv_id
 """
 
-ORACLE_SQL: dict[str, str] = {"op8_chat_segments": OP8_SQL}
+OP9_SQL = """
+WITH RECURSIVE words AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                   '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS w
+  FROM documents
+), sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s
+  FROM words
+), shingles AS (
+  SELECT doc_id, len(s) AS n, hash(unnest(s)) AS h FROM sets
+), links AS (
+  SELECT a.doc_id AS u, b.doc_id AS v FROM shingles a JOIN shingles b ON a.h = b.h AND a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))
+), reached AS (
+  SELECT u, v FROM links UNION SELECT r.u, l.v FROM reached r JOIN links l ON r.v = l.u
+), least AS (
+  SELECT u, min(v) AS m FROM reached GROUP BY u
+)
+SELECT s.doc_id, len(s)::BIGINT AS n_shingles, least(s.doc_id, coalesce(m, s.doc_id)) AS component_id,
+       s.doc_id = least(s.doc_id, coalesce(m, s.doc_id)) AS kept
+FROM sets s LEFT JOIN least ON u = s.doc_id
+"""
+
+ORACLE_SQL: dict[str, str] = {"op9_minhash_dedup": OP9_SQL, "op8_chat_segments": OP8_SQL}
