@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import public_tokenizers
 
-from . import bpe, chat, minhash, packing, quality, secrets, toxicity
+from . import bpe, chat, minhash, packing, pii, quality, secrets, toxicity
 from .common import prepare, table
 
 
@@ -51,7 +51,13 @@ def op9_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), hundredths=85)
 
 
+def op2_pii_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return pii.digests(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_pii_disclosure": op2_pii_disclosure,
     "op3_quality_neighbours": op3_quality_neighbours,
     "op4_byte_bpe": op4_byte_bpe,
     "op5_histogram_packing": op5_histogram_packing,
