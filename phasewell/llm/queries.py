@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import bpe, chat, minhash, packing, pii, quality, secrets, toxicity
+from . import bpe, chat, embed_dedup, minhash, packing, pii, quality, secrets, topk, toxicity
 from .common import prepare, table
 
 
@@ -56,7 +57,18 @@ def op2_pii_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digests(table(spark, sf_dir, "documents"))
 
 
+def op1_segment_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, 20, scale=64.0)
+
+
+def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return embed_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_segment_topk": op1_segment_topk,
     "op2_pii_disclosure": op2_pii_disclosure,
     "op3_quality_neighbours": op3_quality_neighbours,
     "op4_byte_bpe": op4_byte_bpe,
@@ -65,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_toxicity_lexicon": op7_toxicity_lexicon,
     "op8_chat_segments": op8_chat_segments,
     "op9_minhash_dedup": op9_minhash_dedup,
+    "op10_embedding_dedup": op10_embedding_dedup,
 }
 
 OP8_SQL = r"""
@@ -107,4 +120,40 @@ SELECT s.doc_id, len(s)::BIGINT AS n_shingles, least(s.doc_id, coalesce(m, s.doc
 FROM sets s LEFT JOIN least ON u = s.doc_id
 """
 
-ORACLE_SQL: dict[str, str] = {"op9_minhash_dedup": OP9_SQL, "op8_chat_segments": OP8_SQL}
+OP1_SQL = """
+WITH vectors AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scores AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2]))::BIGINT AS score
+  FROM vectors q JOIN vectors c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id
+), ranked AS (
+  SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM scores
+)
+SELECT * FROM ranked WHERE rank <= 20
+"""
+
+OP10_SQL = """
+WITH RECURSIVE vectors AS (
+  SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), links AS (
+  SELECT a.vec_id AS u, b.vec_id AS v FROM vectors a JOIN vectors b
+    ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.9
+), reached AS (
+  SELECT u, v FROM links UNION SELECT r.u, l.v FROM reached r JOIN links l ON r.v = l.u
+), least AS (
+  SELECT u, min(v) AS m FROM reached GROUP BY u
+), degree AS (
+  SELECT u, count(*) AS n FROM links GROUP BY u
+)
+SELECT e.vec_id, coalesce(d.n, 0)::BIGINT AS n_links, least(e.vec_id, coalesce(m, e.vec_id)) AS component_id,
+       e.vec_id = least(e.vec_id, coalesce(m, e.vec_id)) AS kept
+FROM embeddings e LEFT JOIN least l ON l.u = e.vec_id LEFT JOIN degree d ON d.u = e.vec_id
+"""
+
+ORACLE_SQL: dict[str, str] = {
+    "op1_segment_topk": OP1_SQL,
+    "op10_embedding_dedup": OP10_SQL,
+    "op9_minhash_dedup": OP9_SQL, "op8_chat_segments": OP8_SQL}
