@@ -2,9 +2,749 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import scalar as X
+from ..operators import central, decompose, joins, model, optimise, replay
+from ..operators import dependencies as deps
+from ..operators import signals as sig
+from . import tables as T
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None, *ctes: str):
+    """Register a query under its function's name; ``ctes`` come before the SQL."""
+
+    def add(run: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[run.__name__] = run
+        if sql is not None:
+            recursive = "RECURSIVE " if "UNION" in sql and "reached" in sql else ""
+            ORACLE_SQL[run.__name__] = (f"WITH {recursive}" + ", ".join(ctes) + " " + sql) if ctes else sql
+        return run
+
+    return add
+
+
+_ISLANDS = """islands AS (
+  SELECT job_id, min(idx) AS s, max(idx) + 1 AS e, sum(bytesRead)::BIGINT AS r, sum(bytesWritten)::BIGINT AS w FROM (
+    SELECT *, idx - row_number() OVER (PARTITION BY job_id ORDER BY idx) AS g FROM labelled WHERE label > 0) GROUP BY job_id, g
+)"""
+_WHOLE = """whole AS (
+  SELECT * FROM islands
+  UNION ALL SELECT job_id, 0, min(s), 0, 0 FROM islands GROUP BY job_id HAVING min(s) > 0
+  UNION ALL SELECT job_id, n - 1, n, 0, 0 FROM (SELECT job_id, max(e) AS last FROM islands GROUP BY 1) JOIN sizes USING (job_id) WHERE last < n
+)"""
+
+
+def _runs(spark, sf_dir, merged=True, carry=()):
+    return sig.intervals(T.signals(spark, sf_dir), "label", merged, carry)
+
+
+def _whole(spark, sf_dir):
+    rows = T.signals(spark, sf_dir)
+    return sig.with_sentinels(sig.intervals(rows, "label", True, ("bytesRead", "bytesWritten")), rows)
+
+
+@query(
+    """SELECT job_id, s, e, (s - coalesce(sum(e - s - 1) OVER (PARTITION BY job_id ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS event,
+    r AS read_volume, w AS write_volume FROM whole""",
+    T.SIGNALS_SQL, _ISLANDS, _WHOLE,
+)
+def io_phases_flagship(spark, sf_dir):
+    """The I/O phases of every job, as points, and what each read and wrote."""
+    return sig.dirac(_whole(spark, sf_dir)).select("job_id", "s", "e", "event", F.col("bytesRead").alias("read_volume"), F.col("bytesWritten").alias("write_volume"))
+
+
+@query(
+    """, ranked AS (
+      SELECT job_id, norm, row_number() OVER w AS k, sum(norm) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS low,
+             count(*) OVER (PARTITION BY job_id) AS n, sum(norm) OVER (PARTITION BY job_id) AS total, lead(norm) OVER w AS next
+      FROM signals WINDOW w AS (PARTITION BY job_id ORDER BY norm, idx)
+    ), splits AS (
+      SELECT job_id, norm, next, round(low::DOUBLE * low / k + (total - low)::DOUBLE * (total - low) / (n - k), 3) AS gain FROM ranked WHERE next > norm
+    )
+    SELECT job_id, norm::BIGINT AS low_max, next::BIGINT AS high_min FROM (
+      SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY gain DESC, norm DESC) AS nth FROM splits) WHERE nth = 1""".replace(", ranked", "ranked", 1),
+    T.SIGNALS_SQL + ",",
+)
+def io_phases_kmeans2(spark, sf_dir):
+    """The best split of each job's samples into two clusters, by prefix sums."""
+    rows = T.signals(spark, sf_dir)
+    w, whole = Window.partitionBy("job_id").orderBy("norm", "idx"), Window.partitionBy("job_id")
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    ranked = rows.select(
+        "job_id", "norm", F.row_number().over(w).alias("k"), F.sum("norm").over(upto).alias("low"), F.count(F.lit(1)).over(whole).alias("n"),
+        F.sum("norm").over(whole).alias("total"), F.lead("norm").over(w).alias("next"),
+    ).where("next > norm")
+    low, high = F.col("low").cast("double"), (F.col("total") - F.col("low")).cast("double")
+    splits = ranked.withColumn("gain", F.round(low * low / F.col("k") + high * high / (F.col("n") - F.col("k")), 3))
+    return joins.first_of(splits, ["job_id"], [F.desc("gain"), F.desc("norm")]).select("job_id", F.col("norm").alias("low_max"), F.col("next").alias("high_min"))
+
+
+@query()
+def io_phases_adaptive(spark, sf_dir):
+    """Events of every job with clusters found adaptively."""
+    return decompose.adaptive_representation(T.signals(spark, sf_dir))
+
+
+@query("SELECT job_id, s, e FROM islands", T.SIGNALS_SQL, _ISLANDS)
+def phase_intervals_merged(spark, sf_dir):
+    return _runs(spark, sf_dir).select("job_id", "s", "e")
+
+
+@query(
+    """SELECT job_id, label AS level, min(idx) AS s, max(idx) + 1 AS e FROM (
+    SELECT *, idx - row_number() OVER (PARTITION BY job_id, label ORDER BY idx) AS g FROM labelled WHERE label > 0) GROUP BY job_id, label, g""",
+    T.SIGNALS_SQL,
+)
+def phase_intervals_unmerged(spark, sf_dir):
+    return _runs(spark, sf_dir, merged=False)
+
+
+@query("SELECT job_id, idx FROM (SELECT *, lag(label) OVER (PARTITION BY job_id ORDER BY idx) AS b FROM labelled) WHERE b <> label", T.SIGNALS_SQL)
+def breakpoints(spark, sf_dir):
+    return sig.breakpoints(T.signals(spark, sf_dir), "label")
+
+
+def _dirac_sql(shift: int) -> str:
+    return f"""SELECT job_id, s, e, (s - coalesce(sum(e - s - {shift}) OVER (PARTITION BY job_id ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS event FROM islands"""
+
+
+@query(_dirac_sql(1), T.SIGNALS_SQL, _ISLANDS)
+def dirac_events_len1(spark, sf_dir):
+    return sig.dirac(_runs(spark, sf_dir)).select("job_id", "s", "e", "event")
+
+
+@query(_dirac_sql(0), T.SIGNALS_SQL, _ISLANDS)
+def dirac_events_len(spark, sf_dir):
+    return sig.dirac(_runs(spark, sf_dir), 0).select("job_id", "s", "e", "event")
+
+
+def _side_sql(d: str, volume: str) -> str:
+    on = f"label_{d.lower()} > 0"
+    names = [f"sum(CASE WHEN {on} THEN access{p}{d} ELSE 0 END) AS {p}{d}" for p in sig.ACCESS]
+    return f"sum(CASE WHEN {on} THEN {volume} ELSE 0 END) AS v{d}, sum(CASE WHEN {on} THEN 1 ELSE 0 END) AS x{d}, sum(CASE WHEN {on} THEN operation{d} ELSE 0 END) AS o{d}, " + ", ".join(names)
+
+
+def _pattern_sql(d: str) -> str:
+    cases = " ".join(f"WHEN {p}{d} >= greatest({', '.join(q + d for q in sig.ACCESS)}) THEN '{p}'" for p in sig.ACCESS)
+    return f"CASE {cases} END"
+
+
+_REPRESENTATION = f"""tagged AS (
+  SELECT *, max(CASE WHEN label > 0 THEN 1 ELSE 0 END) OVER w AS started, max(CASE WHEN label > 0 THEN 1 ELSE 0 END) OVER (PARTITION BY job_id) AS anyrun,
+         sum(b) OVER w AS phase FROM (
+    SELECT *, CASE WHEN label > 0 AND coalesce(lag(label) OVER (PARTITION BY job_id ORDER BY idx), 0) = 0 THEN 1 ELSE 0 END AS b FROM labelled)
+  WINDOW w AS (PARTITION BY job_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+), grouped AS (
+  SELECT job_id, phase, min(idx) AS s, max(idx) + 1 AS e, {_side_sql("Read", "bytesRead")}, {_side_sql("Write", "bytesWritten")}
+  FROM tagged WHERE anyrun = 1 AND (started = 0 OR label > 0) GROUP BY 1, 2
+), shaped AS (
+  SELECT job_id, s, e, vRead::DOUBLE AS read_volume, CASE WHEN xRead > 0 THEN vRead / xRead ELSE 0 END::DOUBLE AS read_bw,
+         vWrite::DOUBLE AS write_volume, CASE WHEN xWrite > 0 THEN vWrite / xWrite ELSE 0 END::DOUBLE AS write_bw,
+         {_pattern_sql("Read")} AS read_pattern, {_pattern_sql("Write")} AS write_pattern, oRead::BIGINT AS read_operations, oWrite::BIGINT AS write_operations FROM grouped
+  UNION ALL SELECT job_id, n - 1, n, 0, 0, 0, 0, 'Uncl', 'Uncl', 0, 0 FROM (SELECT job_id, max(e) AS last FROM grouped GROUP BY 1) JOIN sizes USING (job_id) WHERE last < n
+), represented AS (
+  SELECT * EXCLUDE (e), (s - coalesce(sum(e - s - 1) OVER (PARTITION BY job_id ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS event FROM shaped
+  UNION ALL SELECT job_id, unnest([0, n - 1])::INTEGER, 0, 0, 0, 0, 'Uncl', 'Uncl', 0, 0, unnest([0, n - 1])::BIGINT FROM sizes WHERE job_id NOT IN (SELECT job_id FROM grouped)
+)"""
+
+
+def _events(spark, sf_dir):
+    return sig.representation(T.signals(spark, sf_dir), "label_read", "label_write", "label")
+
+
+@query("SELECT * REPLACE (round(read_bw, 4) AS read_bw, round(write_bw, 4) AS write_bw) FROM represented", T.SIGNALS_SQL, _REPRESENTATION)
+def job_representation(spark, sf_dir):
+    """Events of every job with what their read and write sub-phases moved."""
+    return _events(spark, sf_dir).withColumn("read_bw", F.round("read_bw", 4)).withColumn("write_bw", F.round("write_bw", 4))
+
+
+@query(
+    """SELECT job_id, event, 1 AS nodes, read_volume, write_volume, lower(read_pattern) AS read_io_pattern, lower(write_pattern) AS write_io_pattern,
+    round(CASE WHEN read_operations > 0 THEN read_volume / read_operations ELSE 0 END, 4)::DOUBLE AS read_io_size,
+    round(CASE WHEN write_operations > 0 THEN write_volume / write_operations ELSE 0 END, 4)::DOUBLE AS write_io_size, round((read_bw + write_bw) / 5, 4) AS ioi_bw FROM represented""",
+    T.SIGNALS_SQL, _REPRESENTATION,
+)
+def phase_features(spark, sf_dir):
+    rows = sig.phase_features(_events(spark, sf_dir))
+    return rows.withColumns({c: F.round(c, 4) for c in ("read_io_size", "write_io_size", "ioi_bw")})
+
+
+@query("SELECT job_id, s, e, r AS volume FROM islands", T.SIGNALS_SQL, _ISLANDS)
+def phase_volume_sum(spark, sf_dir):
+    return _runs(spark, sf_dir, True, ("bytesRead",)).select("job_id", "s", "e", F.col("bytesRead").alias("volume"))
+
+
+@query(
+    """SELECT job_id, coalesce(sum(a), 0)::DOUBLE AS volume FROM (SELECT job_id, (bytesRead + lead(bytesRead) OVER (PARTITION BY job_id ORDER BY idx)) / 2 * 5 AS a FROM signals) GROUP BY 1""",
+    T.SIGNALS_SQL,
+)
+def phase_volume_trapz(spark, sf_dir):
+    return sig.volume_trapezoid(T.signals(spark, sf_dir), "bytesRead", 5.0)
+
+
+@query()
+def phase_volume_simpson(spark, sf_dir):
+    return sig.volume_simpson(T.signals(spark, sf_dir), "bytesRead", 5.0)
+
+
+@query(f"SELECT job_id, {_pattern_sql('Read')} AS pattern FROM (SELECT job_id, {', '.join(f'sum(access{p}Read) AS {p}Read' for p in sig.ACCESS)} FROM signals GROUP BY 1)", T.SIGNALS_SQL)
+def dominant_pattern(spark, sf_dir):
+    sums = T.signals(spark, sf_dir).groupBy("job_id").agg(*[F.sum(f"access{p}Read").alias(p) for p in sig.ACCESS])
+    return sums.select("job_id", sig.dominant({p: F.col(p) for p in sig.ACCESS}).alias("pattern"))
+
+
+@query(
+    """SELECT job_id, idx, round(avg(norm) OVER (PARTITION BY job_id, seg), 4) AS fitted FROM (
+    SELECT *, sum(c) OVER (PARTITION BY job_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS seg FROM (
+      SELECT *, CASE WHEN label <> lag(label) OVER (PARTITION BY job_id ORDER BY idx) THEN 1 ELSE 0 END AS c FROM labelled))""",
+    T.SIGNALS_SQL,
+)
+def reconstruct_piecewise(spark, sf_dir):
+    return sig.reconstruct(T.signals(spark, sf_dir), "norm", "label").select("job_id", "idx", F.round("fitted", 4).alias("fitted"))
+
+
+_SUB = """inner_runs AS (SELECT job_id, min(idx) AS s, max(idx) + 1 AS e FROM (
+    SELECT *, idx - row_number() OVER (PARTITION BY job_id ORDER BY idx) AS g FROM labelled WHERE label_read > 0) GROUP BY job_id, g)"""
+
+
+@query("SELECT o.job_id, greatest(o.s, i.s) AS s, least(o.e, i.e) AS e FROM islands o JOIN inner_runs i ON o.job_id = i.job_id AND i.s < o.e AND i.e > o.s", T.SIGNALS_SQL, _ISLANDS, _SUB)
+def subphase_overlap(spark, sf_dir):
+    rows = T.signals(spark, sf_dir)
+    pairs = joins.overlaps(sig.intervals(rows, "label").select("job_id", "s", "e"), sig.intervals(rows, "label_read").select("job_id", "s", "e"), "job_id", 8)
+    return pairs.select("job_id", "s", "e")
+
+
+@query("SELECT job_id, idx, (sum(norm) OVER (PARTITION BY job_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))::BIGINT AS cumulated FROM signals", T.SIGNALS_SQL)
+def cumulative_volume(spark, sf_dir):
+    return sig.cumulative(T.signals(spark, sf_dir), "norm").select("job_id", "idx", "cumulated")
+
+
+@query("SELECT job_id, idx, coalesce(norm - lag(norm) OVER (PARTITION BY job_id ORDER BY idx), 0)::BIGINT AS difference FROM signals", T.SIGNALS_SQL)
+def signal_diff(spark, sf_dir):
+    return sig.differences(T.signals(spark, sf_dir), "norm").select("job_id", "idx", "difference")
+
+
+@query(
+    """, fit AS (SELECT job_id, idx, norm, CASE WHEN label > 0 THEN norm ELSE 0 END AS sim FROM labelled), areas AS (
+      SELECT job_id, sum((norm + ln) / 2.0::DOUBLE) AS a, sum((sim + ls) / 2.0::DOUBLE) AS b FROM (
+        SELECT *, lead(norm) OVER w AS ln, lead(sim) OVER w AS ls FROM fit WINDOW w AS (PARTITION BY job_id ORDER BY idx)) GROUP BY 1)
+    SELECT job_id, round(abs(a - b) / a, 6) AS error FROM areas WHERE a > 0""".replace(", fit", "fit", 1),
+    T.SIGNALS_SQL + ",",
+)
+def integral_error(spark, sf_dir):
+    """Relative error of the integral when samples under the threshold are left out."""
+    rows = T.signals(spark, sf_dir).withColumn("simulated", F.when(F.col("label") > 0, F.col("norm")).otherwise(0))
+    a, b = (sig.volume_trapezoid(rows, c).withColumnRenamed("volume", c) for c in ("norm", "simulated"))
+    return a.join(b, "job_id").where("norm > 0").select("job_id", F.round(F.abs(F.col("norm") - F.col("simulated")) / F.col("norm"), 6).alias("error"))
+
+
+_RW = """reads AS (SELECT job_id, bucket, bytesRead FROM samples WHERE bytesRead > 0), writes AS (SELECT job_id, bucket, bytesWritten FROM samples WHERE bytesWritten > 0)"""
+
+
+def _sides(spark, sf_dir):
+    rows = T.samples(spark, sf_dir)
+    return rows.where("bytesRead > 0").select("job_id", "bucket", "bytesRead"), rows.where("bytesWritten > 0").select("job_id", "bucket", "bytesWritten")
+
+
+@query("SELECT * FROM reads FULL JOIN writes USING (job_id, bucket)", T.SAMPLES_SQL, _RW)
+def metric_merge_outer(spark, sf_dir):
+    return joins.merge_metrics(list(_sides(spark, sf_dir)), ["job_id", "bucket"])
+
+
+@query("SELECT job_id, bucket, coalesce(bytesRead, 0)::BIGINT AS bytesRead, coalesce(bytesWritten, 0)::BIGINT AS bytesWritten FROM reads FULL JOIN writes USING (job_id, bucket)", T.SAMPLES_SQL, _RW)
+def event_alignment(spark, sf_dir):
+    return joins.align_events(*_sides(spark, sf_dir), ["job_id", "bucket"])
+
+
+@query("SELECT bucket, sum(bytesRead)::BIGINT AS bytesRead, sum(bytesWritten)::BIGINT AS bytesWritten FROM samples GROUP BY 1", T.SAMPLES_SQL)
+def synth_union(spark, sf_dir):
+    return joins.synthesise(T.samples(spark, sf_dir), "bucket", ["bytesRead", "bytesWritten"])
+
+
+@query(
+    """SELECT g.job_id, g.bucket, coalesce(bytesRead, 0)::BIGINT AS bytesRead, coalesce(bytesWritten, 0)::BIGINT AS bytesWritten
+    FROM (SELECT job_id, unnest(range(lo, hi + 1, 2)) AS bucket FROM (SELECT job_id, min(bucket) AS lo, max(bucket) AS hi FROM samples GROUP BY 1)) g
+    LEFT JOIN samples s ON g.job_id = s.job_id AND g.bucket = s.bucket""",
+    T.SAMPLES_SQL,
+)
+def synth_grid(spark, sf_dir):
+    return joins.on_grid(T.samples(spark, sf_dir), "bucket", ["bytesRead", "bytesWritten"], 2, ["job_id"])
+
+
+@query("SELECT * FROM reads NATURAL JOIN writes", T.SAMPLES_SQL, _RW)
+def natural_merge(spark, sf_dir):
+    return joins.natural(*_sides(spark, sf_dir))
+
+
+@query(
+    """SELECT s.job_id, s.bucket, s.bytesRead, m.event_id FROM samples s LEFT JOIN (
+    SELECT user_id AS job_id, floor(epoch_us(ts) / 21600000000)::BIGINT AS bucket, event_id FROM events WHERE event_type = 'error') m ON s.job_id = m.job_id AND s.bucket = m.bucket""",
+    T.SAMPLES_SQL,
+)
+def event_left_join(spark, sf_dir):
+    """Samples with their error events; several events repeat a sample."""
+    bucket = F.floor(F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1_000_000) / T.STEP).cast("long")
+    marks = T.load(spark, sf_dir, "events").where("event_type = 'error'").select(F.col("user_id").alias("job_id"), bucket.alias("bucket"), "event_id")
+    return T.samples(spark, sf_dir).select("job_id", "bucket", "bytesRead").join(marks, ["job_id", "bucket"], "left")
+
+
+@query(
+    """SELECT c_custkey AS key, c_name AS name FROM customer UNION ALL
+    SELECT DISTINCT l_partkey, 'none' FROM lineitem WHERE l_partkey NOT IN (SELECT c_custkey FROM customer)"""
+)
+def missing_jobs_anti(spark, sf_dir):
+    known = T.load(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key"), F.col("c_name").alias("name"))
+    return joins.with_missing(known, T.load(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("key")), "key", {"name": F.lit("none")})
+
+
+@query("SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 49)")
+def job_list_semi(spark, sf_dir):
+    wanted = T.load(spark, sf_dir, "lineitem").where("l_quantity > 49").select(F.col("l_orderkey").alias("o_orderkey"))
+    return T.load(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice").join(wanted, "o_orderkey", "left_semi")
+
+
+@query(
+    """SELECT n_nationkey, r_name AS tier, round((r_regionkey + 1) * 100 * 0.75::DOUBLE + (r_regionkey + 1) * 40 * 0.25::DOUBLE, 4)::DOUBLE * 1000000 AS bandwidth
+    FROM nation JOIN region ON n_regionkey = r_regionkey"""
+)
+def tier_lookup(spark, sf_dir):
+    """A tier's blended bandwidth for each job's tier reference."""
+    tiers = T.load(spark, sf_dir, "region").select(F.col("r_regionkey").alias("n_regionkey"), F.col("r_name").alias("tier"))
+    rows = T.load(spark, sf_dir, "nation").join(tiers, "n_regionkey")
+    seq, rand = (F.col("n_regionkey") + 1) * 100, (F.col("n_regionkey") + 1) * 40
+    return rows.select("n_nationkey", "tier", (F.round(X.blend(seq, rand, F.lit(0.75), unit=1), 4) * 1e6).alias("bandwidth"))
+
+
+@query(
+    """SELECT o_orderkey, o_totalprice, (SELECT count(*) FROM orders) AS total, (SELECT count(*) FROM orders WHERE o_orderstatus = 'F') AS filtered
+    FROM orders WHERE o_orderstatus = 'F' ORDER BY o_totalprice DESC, o_orderkey LIMIT 20 OFFSET 10"""
+)
+def job_search_page(spark, sf_dir):
+    rows = T.load(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus")
+    return joins.page(rows, F.col("o_orderstatus") == "F", [F.desc("o_totalprice"), F.asc("o_orderkey")], 10, 20).drop("o_orderstatus")
+
+
+@query(
+    " UNION ALL ".join(f"SELECT '{m}' AS metric, min({m})::DOUBLE AS least, max({m})::DOUBLE AS most FROM samples" for m in ("bytesRead", "bytesWritten", "operationRead")),
+    T.SAMPLES_SQL,
+)
+def metric_minmax(spark, sf_dir):
+    return joins.minima_maxima(T.samples(spark, sf_dir), ["bytesRead", "bytesWritten", "operationRead"])
+
+
+@query("SELECT min(end_ms - start_ms)::BIGINT AS least, max(end_ms - start_ms)::BIGINT AS most FROM jobs", T.JOBS_SQL)
+def duration_minmax(spark, sf_dir):
+    duration = F.col("end_ms") - F.col("start_ms")
+    return T.jobs(spark, sf_dir).agg(F.min(duration).alias("least"), F.max(duration).alias("most"))
+
+
+@query("SELECT user_id, event_type, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS n FROM events) WHERE n = 1")
+def dedupe_keep_first(spark, sf_dir):
+    return joins.first_of(T.load(spark, sf_dir, "events"), ["user_id", "event_type"], ["ts", "event_id"]).select("user_id", "event_type", "event_id")
+
+
+@query(
+    """SELECT 'union' AS op, k FROM (SELECT c_custkey AS k FROM customer UNION SELECT s_suppkey FROM supplier)
+    UNION ALL SELECT 'except', k FROM (SELECT c_custkey AS k FROM customer EXCEPT SELECT s_suppkey FROM supplier)
+    UNION ALL SELECT 'intersect', k FROM (SELECT c_custkey AS k FROM customer INTERSECT SELECT s_suppkey FROM supplier)"""
+)
+def set_ops(spark, sf_dir):
+    a, b = T.load(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k")), T.load(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"))
+    parts = {"union": a.union(b).distinct(), "except": a.exceptAll(b).distinct(), "intersect": a.intersect(b)}
+    out = [v.select(F.lit(k).alias("op"), "k") for k, v in parts.items()]
+    return out[0].union(out[1]).union(out[2])
+
+
+@query("SELECT workflow_id, src, dst, type, CASE WHEN type = 'delay' THEN gap END AS delay FROM edges", T.JOBS_SQL)
+def deps_nx(spark, sf_dir):
+    return deps.classify(T.jobs(spark, sf_dir)).drop("ord")
+
+
+@query("SELECT workflow_id, src, dst, type, CASE WHEN type = 'delay' THEN gap END AS delay FROM kept", T.JOBS_SQL)
+def deps_clean(spark, sf_dir):
+    return deps.strongest(deps.classify(T.jobs(spark, sf_dir)))
+
+
+_LEGACY = """legacy AS (
+  SELECT a.workflow_id, a.job_id AS src, b.job_id AS dst, b.start_ms - a.end_ms AS gap,
+         CASE WHEN b.start_ms >= trunc(a.end_ms - 0.1::DOUBLE * (a.end_ms - a.start_ms)) AND b.start_ms < trunc(a.end_ms + 0.1::DOUBLE * (a.end_ms - a.start_ms)) THEN 'sequential'
+              WHEN b.start_ms >= trunc(a.start_ms - 0.1::DOUBLE * (a.end_ms - a.start_ms)) AND b.start_ms < trunc(a.start_ms + 0.1::DOUBLE * (a.end_ms - a.start_ms)) THEN 'parallel'
+              ELSE 'delay' END AS type
+  FROM numbered a JOIN numbered b ON a.workflow_id = b.workflow_id AND a.ord < b.ord)"""
+
+
+@query("SELECT workflow_id, src, dst, type, CASE WHEN type = 'delay' THEN gap END AS delay FROM legacy WHERE type <> 'delay' OR gap >= 0", T.JOBS_SQL, _LEGACY)
+def deps_legacy(spark, sf_dir):
+    return deps.classify_truncated(T.jobs(spark, sf_dir))
+
+
+@query("SELECT workflow_id, dst, count(*) AS n FROM edges WHERE type = 'delay' GROUP BY 1, 2 HAVING count(*) > 1", T.JOBS_SQL)
+def incoming_degree(spark, sf_dir):
+    return deps.incoming(deps.classify(T.jobs(spark, sf_dir)), "delay")
+
+
+_REACHED = "reached AS (SELECT workflow_id, src, dst FROM kept UNION SELECT r.workflow_id, r.src, k.dst FROM reached r JOIN kept k ON r.workflow_id = k.workflow_id AND r.dst = k.src)"
+
+
+@query("SELECT DISTINCT workflow_id, src, dst FROM reached /* UNION */", T.JOBS_SQL, _REACHED)
+def reachability(spark, sf_dir):
+    return deps.reachable(deps.strongest(deps.classify(T.jobs(spark, sf_dir))))
+
+
+_BY_SEQUENCE = """seq AS (SELECT workflow_id, src, dst FROM edges WHERE type = 'sequential'),
+reached AS (SELECT * FROM seq UNION SELECT r.workflow_id, r.src, k.dst FROM reached r JOIN seq k ON r.workflow_id = k.workflow_id AND r.dst = k.src)"""
+
+
+@query("SELECT workflow_id, src, dst, type FROM edges WHERE type = 'parallel' AND (workflow_id, src, dst) NOT IN (SELECT (workflow_id, src, dst) FROM reached) /* UNION */", T.JOBS_SQL, _BY_SEQUENCE)
+def parallel_prune(spark, sf_dir):
+    return deps.without_reachable(deps.classify(T.jobs(spark, sf_dir))).select("workflow_id", "src", "dst", "type")
+
+
+_CHAINS = """links AS (SELECT workflow_id, src AS a, dst AS b FROM kept WHERE type <> 'sequential' UNION SELECT workflow_id, dst, src FROM kept WHERE type <> 'sequential'),
+reached AS (SELECT workflow_id, a, b FROM links UNION SELECT r.workflow_id, r.a, l.b FROM reached r JOIN links l ON r.workflow_id = l.workflow_id AND r.b = l.a),
+chains AS (SELECT workflow_id, a AS job_id, min(b) AS chain FROM reached GROUP BY 1, 2)"""
+
+
+def _kept(spark, sf_dir):
+    return deps.strongest(deps.classify(T.jobs(spark, sf_dir)))
+
+
+@query("SELECT * FROM chains /* UNION reached */", T.JOBS_SQL, _CHAINS)
+def chains(spark, sf_dir):
+    return deps.chains(_kept(spark, sf_dir))
+
+
+@query(
+    """SELECT DISTINCT k.workflow_id, c.chain, k.src FROM kept k JOIN chains c ON k.workflow_id = c.workflow_id AND k.dst = c.job_id
+    LEFT JOIN chains o ON o.workflow_id = k.workflow_id AND o.job_id = k.src WHERE o.chain IS NULL OR o.chain <> c.chain /* UNION reached */""",
+    T.JOBS_SQL, _CHAINS,
+)
+def external_predecessors(spark, sf_dir):
+    edges = _kept(spark, sf_dir)
+    return deps.external_predecessors(edges, deps.chains(edges))
+
+
+@query()
+def necessary_delays(spark, sf_dir):
+    return deps.necessary_delays(_kept(spark, sf_dir))
+
+
+@query()
+def workflow_schedule(spark, sf_dir):
+    rows = T.jobs(spark, sf_dir)
+    return deps.schedule(rows, deps.classify(rows))
+
+
+_DFT = """waves AS (SELECT job_id, k, sum(bytesRead * cos(2 * pi() / 20 * k * idx)) AS re, sum(bytesRead * sin(2 * pi() / 20 * k * idx)) AS im
+  FROM signals, (SELECT unnest(range(20)) AS k) WHERE idx < 20 GROUP BY 1, 2),
+features AS (
+  SELECT job_id, 'bytesRead_fft' || lpad(k::VARCHAR, 2, '0') AS feature, sqrt(re * re + im * im) * 2 / n AS value FROM waves JOIN sizes USING (job_id)
+  UNION ALL SELECT job_id, 'bytesRead_' || f, v FROM (SELECT job_id, unnest(['min', 'max', 'mean']) AS f, unnest([min(bytesRead)::DOUBLE, max(bytesRead)::DOUBLE, avg(bytesRead)]) AS v FROM signals GROUP BY 1)
+), stats AS (SELECT feature, min(value) AS lo, max(value) AS hi, avg(value) AS mu, stddev_pop(value) AS sd FROM features GROUP BY 1),
+minmax AS (SELECT job_id, feature, CASE WHEN hi > lo THEN (value - lo) / (hi - lo) ELSE 0 END::DOUBLE AS value FROM features JOIN stats USING (feature))"""
+
+
+def _features(spark, sf_dir):
+    return central.features(T.signals(spark, sf_dir), ["bytesRead"])
+
+
+@query("SELECT job_id, feature, round(value, 4) AS value FROM features", T.SIGNALS_SQL, _DFT)
+def dft_features(spark, sf_dir):
+    return _features(spark, sf_dir).withColumn("value", F.round("value", 4))
+
+
+@query("SELECT job_id, feature, round(value, 4) AS value FROM minmax", T.SIGNALS_SQL, _DFT)
+def scale_minmax(spark, sf_dir):
+    return central.scaled(_features(spark, sf_dir)).withColumn("value", F.round("value", 4))
+
+
+@query("SELECT job_id, feature, round((value - mu) / nullif(sd, 0), 4) AS value FROM features JOIN stats USING (feature)", T.SIGNALS_SQL, _DFT)
+def scale_zscore(spark, sf_dir):
+    return central.scaled(_features(spark, sf_dir), "zscore").withColumn("value", F.round("value", 4))
+
+
+@query(
+    """SELECT job_id, round(distance, 4) AS distance FROM (SELECT job_id, sqrt(sum((value - c) * (value - c))) AS distance FROM minmax
+    JOIN (SELECT feature, avg(value) AS c FROM minmax GROUP BY 1) USING (feature) GROUP BY 1) ORDER BY distance, job_id LIMIT 1""",
+    T.SIGNALS_SQL, _DFT,
+)
+def central_job(spark, sf_dir):
+    return central.central_job(central.scaled(_features(spark, sf_dir))).withColumn("distance", F.round("distance", 4))
+
+
+@query(
+    """WITH long AS (SELECT vec_id, label, unnest(range(len(embedding))) AS pos, unnest(embedding)::DOUBLE AS x FROM embeddings),
+    centre AS (SELECT label, pos, avg(x) AS c FROM long GROUP BY 1, 2)
+    SELECT vec_id, label, round(sqrt(sum((x - c) * (x - c))), 4) AS distance FROM long JOIN centre USING (label, pos) GROUP BY 1, 2"""
+)
+def centroid_embeddings(spark, sf_dir):
+    return central.vector_distances(T.load(spark, sf_dir, "embeddings"), "vec_id", "embedding", "label").withColumn("distance", F.round("distance", 4))
+
+
+@query()
+def pca_features(spark, sf_dir):
+    return central.principal_components(T.load(spark, sf_dir, "embeddings"), "vec_id", "embedding", 3)
+
+
+_X_NAMES = ["read_ratio", "write_ratio", "read_io_size", "write_io_size", "avg_io_size"]
+
+
+@query(
+    "SELECT phase_id, "
+    + ", ".join(f"CASE WHEN {c} = '{k}' THEN 1 ELSE 0 END::DOUBLE AS cat__{c}_{k}" for c in ("read_io_pattern", "write_io_pattern") for k in model.CATEGORIES)
+    + """, 1::DOUBLE AS remainder__nodes, round(CASE WHEN read_volume + write_volume = 0 THEN 0 ELSE read_volume / (read_volume + write_volume) END, 6)::DOUBLE AS remainder__read_ratio,
+    round(CASE WHEN read_volume + write_volume = 0 THEN 0 ELSE write_volume / (read_volume + write_volume) END, 6)::DOUBLE AS remainder__write_ratio,
+    round(read_io_size / 8e6, 6) AS remainder__read_io_size, round(write_io_size / 8e6, 6) AS remainder__write_io_size, round(size / 8e6, 6) AS remainder__avg_io_size FROM measured""",
+    T.PHASES_SQL,
+)
+def design_matrix(spark, sf_dir):
+    rows = model.design_matrix(T.phases(spark, sf_dir), ["phase_id"])
+    return rows.withColumns({f"remainder__{c}": F.round(f"remainder__{c}", 6) for c in _X_NAMES})
+
+
+@query(
+    """SELECT phase_id, round(CASE WHEN size = 0 THEN 0 ELSE lfs_bw / size END, 13)::DOUBLE AS lfs_bw,
+    coalesce(round(CASE WHEN size = 0 THEN 0 ELSE sbb_bw / size END, 13), 0)::DOUBLE AS sbb_bw FROM measured""",
+    T.PHASES_SQL,
+)
+def target_matrix(spark, sf_dir):
+    return model.target_matrix(T.phases(spark, sf_dir), ["phase_id"]).withColumns({c: F.round(c, 13) for c in ("lfs_bw", "sbb_bw")})
+
+
+@query("SELECT l_returnflag AS tier, round(regr_slope(l_extendedprice, l_quantity), 4) AS slope, round(regr_intercept(l_extendedprice, l_quantity), 2) AS intercept, round(regr_r2(l_extendedprice, l_quantity), 6) AS r2 FROM lineitem GROUP BY 1")
+def ols_per_tier(spark, sf_dir):
+    return T.load(spark, sf_dir, "lineitem").groupBy(F.col("l_returnflag").alias("tier")).agg(
+        F.round(F.regr_slope("l_extendedprice", "l_quantity"), 4).alias("slope"), F.round(F.regr_intercept("l_extendedprice", "l_quantity"), 2).alias("intercept"),
+        F.round(F.regr_r2("l_extendedprice", "l_quantity"), 6).alias("r2"),
+    )
+
+
+@query()
+def predict_tiers(spark, sf_dir):
+    """Bandwidths of two tiers predicted by a forest and a linear model."""
+    rows = T.phases(spark, sf_dir)
+    y = model.target_matrix(rows, ["phase_id"])
+    x = model.design_matrix(rows, ["phase_id"]).join(y, "phase_id")
+    return model.predict(x, {"lfs_bw": model.train(x, "lfs_bw", "forest"), "sbb_bw": model.train(x, "sbb_bw", "linear")}, ["phase_id"])
+
+
+@query("SELECT phase_id, lfs_bw, coalesce(sbb_bw, lfs_bw * 2) AS sbb_bw FROM phases", T.PHASES_SQL)
+def complete_table(spark, sf_dir):
+    rows = T.phases(spark, sf_dir).select("phase_id", "lfs_bw", "sbb_bw")
+    filled = model.incomplete(rows, ["sbb_bw"]).select("phase_id", (F.col("lfs_bw") * 2).alias("sbb_bw"))
+    return model.complete(rows, filled, "phase_id", ["sbb_bw"])
+
+
+@query(
+    """SELECT phase_id, round(CASE WHEN read_volume + write_volume > 3e6 THEN 3e6 * read_volume / (read_volume + write_volume) ELSE read_volume END, 4)::DOUBLE AS read_volume,
+    round(CASE WHEN read_volume + write_volume > 3e6 THEN 3e6 * write_volume / (read_volume + write_volume) ELSE write_volume END, 4)::DOUBLE AS write_volume FROM phases""",
+    T.PHASES_SQL,
+)
+def cap_volume(spark, sf_dir):
+    r, w = F.col("read_volume"), F.col("write_volume")
+    return T.phases(spark, sf_dir).select("phase_id", F.round(X.capped(r, w, 3e6), 4).alias("read_volume"), F.round(X.capped(w, r, 3e6), 4).alias("write_volume"))
+
+
+@query(
+    """SELECT phase_id, CASE WHEN read_io_size = 0 THEN 0 ELSE floor(read_volume / read_io_size) END::BIGINT AS operations, CASE WHEN read_io_pattern = 'stride' THEN 3 ELSE 1 END AS lead,
+    CASE WHEN read_io_pattern = 'rand' THEN 1000000000 ELSE 0 END::BIGINT AS scatter FROM phases""",
+    T.PHASES_SQL,
+)
+def workload_ops(spark, sf_dir):
+    p = F.col("read_io_pattern")
+    return T.phases(spark, sf_dir).select("phase_id", X.operations(F.col("read_volume"), F.col("read_io_size")).alias("operations"), X.lead_of(p).alias("lead"), X.scatter_of(p).alias("scatter"))
+
+
+@query(
+    """SELECT p_partkey, CASE WHEN v = 0 THEN '0B' ELSE regexp_replace(printf('%.2f', floor(v / pow(1000, k) * 100 + 0.5) / 100), '0$', '') || ' ' || ['B', 'KB', 'MB', 'GB', 'TB'][k + 1] END AS pretty FROM (
+    SELECT p_partkey, v, CASE WHEN v >= 1e12 THEN 4 WHEN v >= 1e9 THEN 3 WHEN v >= 1e6 THEN 2 WHEN v >= 1e3 THEN 1 ELSE 0 END AS k FROM (
+      SELECT p_partkey, p_partkey * p_partkey * p_size * 40 AS v FROM part))"""
+)
+def size_pretty(spark, sf_dir):
+    return T.load(spark, sf_dir, "part").select("p_partkey", X.convert_size(F.col("p_partkey") * F.col("p_partkey") * F.col("p_size") * 40).alias("pretty"))
+
+
+@query("SELECT p_partkey, lower(regexp_replace(regexp_replace(n, '(.)([A-Z][a-z]+)', '\\1_\\2', 'g'), '([a-z0-9])([A-Z])', '\\1_\\2', 'g')) AS snake FROM (SELECT p_partkey, replace(p_type || p_brand, ' ', '') AS n FROM part)")
+def snake_case(spark, sf_dir):
+    return T.load(spark, sf_dir, "part").select("p_partkey", X.snake_case(F.replace(F.concat("p_type", "p_brand"), F.lit(" "), F.lit(""))).alias("snake"))
+
+
+@query("SELECT p_partkey, (p_size // 60 * 60 + p_size % 60)::DOUBLE + (p_partkey % 1000) / 1000 AS seconds FROM part")
+def parse_elapsed(spark, sf_dir):
+    text = F.concat(F.floor(F.col("p_size") / 60), F.lit("m"), F.col("p_size") % 60, F.lit("."), F.col("p_partkey") % 1000, F.lit("s"))
+    return T.load(spark, sf_dir, "part").select("p_partkey", X.parse_elapsed(text).alias("seconds"))
+
+
+_APPS = T.ITEMS_SQL + """, apps AS (SELECT l_orderkey AS app, l_linenumber AS i, l_linenumber * 10::DOUBLE AS compute, CASE WHEN l_returnflag = 'R' THEN 0 ELSE l_extendedprice END AS rd,
+  CASE WHEN l_returnflag = 'R' THEN l_extendedprice ELSE 0 END AS wr FROM items)"""
+
+
+def _apps(spark, sf_dir):
+    read = F.when(F.col("l_returnflag") == "R", 0.0).otherwise(F.col("l_extendedprice"))
+    write = F.when(F.col("l_returnflag") == "R", F.col("l_extendedprice")).otherwise(0.0)
+    return T.items(spark, sf_dir).select(F.col("l_orderkey").alias("app"), F.col("l_linenumber").alias("i"), (F.col("l_linenumber") * 10.0).alias("compute"), read.alias("read"), write.alias("write"))
+
+
+@query(
+    """SELECT app, round(total, 6) AS makespan FROM (
+    SELECT app, sum(rd / 80 + wr / 40 + coalesce(nxt - compute, 0)) AS total FROM (SELECT *, lead(compute) OVER (PARTITION BY app ORDER BY i) AS nxt FROM apps) GROUP BY 1)""",
+    _APPS,
+)
+def replay_uncontended(spark, sf_dir):
+    log = replay.uncontended(_apps(spark, sf_dir), F.lit(80.0), F.lit(40.0))
+    return replay.makespan(log, ["app"]).withColumn("makespan", F.round("makespan", 6))
+
+
+@query(
+    """SELECT budget, app, round(sum(CASE WHEN c <= budget THEN wr / 400 ELSE wr / 40 END + rd / 80), 6) AS io_seconds FROM (
+    SELECT *, sum(round(wr * 100)::BIGINT) OVER (PARTITION BY app ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) / 100 AS c FROM apps), (SELECT unnest([10000, 50000, 100000])::DOUBLE AS budget) GROUP BY 1, 2""",
+    _APPS,
+)
+def flavor_sweep(spark, sf_dir):
+    """I/O time of each app for a few buffer sizes: writes go to the buffer while its budget lasts."""
+    rows = _apps(spark, sf_dir).withColumn("budget", F.explode(F.array(*[F.lit(b) for b in (10_000.0, 50_000.0, 100_000.0)])))
+    placed = optimise.within_budget(rows, ["app", "budget"], ["i"], F.round(F.col("write") * 100).cast("long"), F.col("budget") * 100)
+    time = F.when(F.col("placed"), F.col("write") / 400).otherwise(F.col("write") / 40) + F.col("read") / 80
+    return placed.groupBy("budget", "app").agg(F.round(F.sum(time), 6).alias("io_seconds"))
+
+
+@query()
+def replay_contended(spark, sf_dir):
+    """Trials of pairs of apps on a disk with a buffer, with shared bandwidth."""
+    apps = lambda shift, use: json.dumps([
+        {"name": n, "start": s, "compute": [0, 10], "read": [1e9, 0], "write": [0, 5e9], "placement": ["hdd", "hdd"], "use_bb": [use, use]} for n, s in (("a", 0), ("b", shift))
+    ])
+    trials = spark.createDataFrame([(i * 2 + u, apps(i, bool(u))) for i in range(8) for u in (0, 1)], "trial_id long, apps string")
+    return replay.contended(trials, {"hdd": {"read": 80e6, "write": 40e6}, "bb": {"read": 800e6, "write": 400e6, "persistent": "hdd"}})
+
+
+_LEVELS = "SELECT s_suppkey, floor(abs(s_acctbal) * 100)::BIGINT AS lvl, floor(abs(s_acctbal) * 37)::BIGINT AS dirty FROM supplier"
+
+
+@query(f"SELECT s_suppkey, round(CASE WHEN lvl > 1000000 * 0.9::DOUBLE THEN greatest(least(lvl - 1000000 * 0.7::DOUBLE, lvl - dirty), 0) ELSE 0 END, 4)::DOUBLE AS evicted FROM ({_LEVELS})")
+def eviction_policy(spark, sf_dir):
+    rows = T.load(spark, sf_dir, "supplier").select("s_suppkey", F.floor(F.abs("s_acctbal") * 100).alias("level"), F.floor(F.abs("s_acctbal") * 37).alias("dirty"))
+    return rows.select("s_suppkey", F.round(replay.evicted(F.col("level"), F.col("dirty"), F.lit(1_000_000.0)), 4).alias("evicted"))
+
+
+@query(
+    """, spans AS (SELECT job_id % 10 AS cluster, s + ts AS t0, e + ts AS t1, r FROM islands JOIN (SELECT job_id, min(ts_s) // 21600 AS ts FROM signals GROUP BY 1) USING (job_id)),
+    points AS (SELECT cluster, t0 AS at FROM spans UNION SELECT cluster, t1 FROM spans)
+    SELECT p.cluster, p.at, coalesce(sum(r) FILTER (WHERE p.at >= t0 AND p.at < t1), 0)::BIGINT AS total FROM points p JOIN spans s ON p.cluster = s.cluster GROUP BY 1, 2""".replace(", spans", "spans", 1),
+    T.SIGNALS_SQL, _ISLANDS + ",",
+)
+def utilisation_curve(spark, sf_dir):
+    """What each cluster's running phases hold, at every time when one begins or ends."""
+    rows = T.signals(spark, sf_dir)
+    begin = rows.groupBy("job_id").agg(F.floor(F.min("ts_s") / T.STEP).alias("t"))
+    runs = sig.intervals(rows, "label", True, ("bytesRead",)).join(begin, "job_id").select((F.col("job_id") % 10).alias("cluster"), (F.col("s") + F.col("t")).alias("t0"), (F.col("e") + F.col("t")).alias("t1"), "bytesRead")
+    return joins.running_total(runs, ["cluster"], "t0", "t1", F.col("bytesRead"))
+
+
+@query(
+    """, best AS (SELECT job_id, s, e + 2 AS e, max(r) AS r FROM islands WHERE r > 0 GROUP BY 1, 2, 3)
+    SELECT p.job_id, p.idx::BIGINT AS at, coalesce(max_by(r, s * 100000 + b.e), 0)::BIGINT AS value FROM signals p LEFT JOIN best b ON p.job_id = b.job_id AND p.idx >= b.s AND p.idx < b.e GROUP BY 1, 2""".replace(", best", "best", 1),
+    T.SIGNALS_SQL, _ISLANDS + ",",
+)
+def signal_from_log(spark, sf_dir):
+    """Each sample's value from the phases that hold it, the latest with a positive value; phases linger two samples."""
+    rows = T.signals(spark, sf_dir)
+    runs = sig.intervals(rows, "label", True, ("bytesRead",)).select("job_id", "s", (F.col("e") + 2).alias("e"), F.col("bytesRead").alias("value"))
+    return joins.last_positive(rows.select("job_id", F.col("idx").cast("long").alias("at")), runs, "job_id", "value", 8)
+
+
+_NODES = [("1", 80.0), ("2", 270.0), ("3", 250.0), ("4", 160.0), ("5", 180.0)]
+_TIERS = [("T1", 0.01, 300.0, 10.0), ("T2", 0.1, 500.0, 2.0), ("T3", 1.0, 1000.0, 1.0)]
+_PLACE_SQL = (
+    "WITH t(tier, latency, cap, bw) AS (VALUES " + ", ".join(f"('{a}', {b}::DOUBLE, {c}::DOUBLE, {d}::DOUBLE)" for a, b, c, d in _TIERS) + "), "
+    + ", ".join(f"x{n} AS (SELECT tier AS n{n}, latency + {d} / bw AS k{n} FROM t)" for n, d in _NODES)
+    + ", every AS (SELECT *, " + " + ".join(f"k{n}" for n, _ in _NODES) + " AS cost FROM " + ", ".join(f"x{n}" for n, _ in _NODES) + ")"
+    + " SELECT " + ", ".join(f"n{n}" for n, _ in _NODES) + ", round(cost, 6)::DOUBLE AS cost FROM every WHERE "
+    + " AND ".join("(" + " + ".join(f"CASE WHEN n{n} = '{a}' THEN {d} ELSE 0 END" for n, d in _NODES) + f") <= {c}" for a, _, c, _ in _TIERS)
+)
+
+
+@query(_PLACE_SQL)
+def placement_enumeration(spark, sf_dir):
+    """Every assignment of five data sets to three tiers that fits, with its cost."""
+    nodes, tiers = spark.createDataFrame(_NODES, "node string, demand double"), spark.createDataFrame(_TIERS, "tier string, latency double, capacity double, bandwidth double")
+    return optimise.assignments(nodes, tiers, [n for n, _ in _NODES]).where("fits").drop("fits").withColumn("cost", F.round("cost", 6))
+
+
+@query(
+    """SELECT o_custkey AS chain, o_orderkey AS job, 1 AS i, 'fast' AS tier, round(te - len, 6) AS t_start, round(te, 6) AS t_end FROM (
+    SELECT *, sum(len) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS te FROM (SELECT *, o_totalprice / 200 + 5.0::DOUBLE AS len FROM orders))"""
+)
+def milp_schedule_chain(spark, sf_dir):
+    rows = T.load(spark, sf_dir, "orders").select(F.col("o_custkey").alias("chain"), F.col("o_orderkey").alias("job"), F.lit(1).alias("i"), F.col("o_totalprice").alias("volume"), F.lit(5.0).alias("compute"))
+    tiers = spark.createDataFrame([("fast", 200.0), ("slow", 100.0)], "tier string, bandwidth double")
+    return optimise.schedule_chain(rows, tiers).withColumns({c: F.round(c, 6) for c in ("t_start", "t_end")})
+
+
+@query(
+    """, t AS (SELECT user_id, count(*) AS n, sum(round(value * 100)::BIGINT)::BIGINT AS v FROM events GROUP BY 1)
+    SELECT user_id, n AS makespan, v AS buffer FROM t a WHERE NOT EXISTS (SELECT 1 FROM t b WHERE b.n <= a.n AND b.v <= a.v AND (b.n < a.n OR b.v < a.v))""".replace(", t AS", "WITH t AS", 1)
+)
+def pareto_front(spark, sf_dir):
+    rows = T.load(spark, sf_dir, "events").groupBy("user_id").agg(F.count(F.lit(1)).alias("makespan"), F.sum(F.round(F.col("value") * 100).cast("long")).alias("buffer"))
+    return optimise.pareto(rows, "makespan", "buffer").select("user_id", "makespan", "buffer")
+
+
+@query()
+def lower_hull(spark, sf_dir):
+    return optimise.lower_hull(T.signals(spark, sf_dir).select("job_id", F.col("idx").cast("double").alias("x"), F.col("norm").cast("double").alias("y")), "job_id", "x", "y")
+
+
+@query("SELECT l_suppkey, max(CASE WHEN l_linestatus = 'F' THEN l_quantity ELSE 0 END)::DOUBLE AS peak FROM lineitem GROUP BY 1")
+def peak_buffer(spark, sf_dir):
+    """The highest level of the buffer in a log whose own tiers are others."""
+    level = F.create_map(F.lit("hdd"), F.lit(1e9), F.when(F.col("l_linestatus") == "F", "bb").otherwise("ssd"), F.col("l_quantity"))
+    log = T.load(spark, sf_dir, "lineitem").select("l_suppkey", level.alias("tier_level"), F.array(F.lit("hdd"), F.lit("ssd")).alias("tiers"))
+    return replay.peak_buffer(log, ["l_suppkey"])
+
+
+@query()
+def change_points_pelt(spark, sf_dir):
+    return decompose.change_points(T.signals(spark, sf_dir), "norm", 5e7)
+
+
+@query()
+def change_points_binseg(spark, sf_dir):
+    return decompose.change_points(T.signals(spark, sf_dir), "norm", 5e7, "binseg")
+
+
+@query("SELECT l_suppkey, round(avg(l_quantity), 4) AS mean, round(stddev_samp(l_quantity), 4) AS deviation, round(stddev_samp(l_quantity) / avg(l_quantity), 4) AS ratio FROM lineitem GROUP BY 1")
+def repeated_run_statistics(spark, sf_dir):
+    q = F.col("l_quantity")
+    return T.load(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(F.round(F.avg(q), 4).alias("mean"), F.round(F.stddev_samp(q), 4).alias("deviation"), F.round(F.stddev_samp(q) / F.avg(q), 4).alias("ratio"))
+
+
+@query("SELECT workflow_id, job_id, ord::INTEGER AS ord, start_ms, end_ms FROM numbered", T.JOBS_SQL)
+def job_spans(spark, sf_dir):
+    return deps.ordered(T.jobs(spark, sf_dir))
+
+
+@query("SELECT job_id, label, round(avg(norm), 4) AS mean FROM labelled GROUP BY 1, 2", T.SIGNALS_SQL)
+def cluster_means(spark, sf_dir):
+    return T.signals(spark, sf_dir).groupBy("job_id", "label").agg(F.round(F.avg("norm"), 4).alias("mean"))
+
+
+@query("SELECT job_id, round(sum(CASE WHEN label = 0 THEN norm ELSE 0 END) / nullif(sum(norm), 0), 6) AS share FROM labelled WHERE job_id IN (SELECT job_id FROM labelled WHERE label = 0) GROUP BY 1", T.SIGNALS_SQL)
+def low_cluster_share(spark, sf_dir):
+    rows = T.signals(spark, sf_dir)
+    with_low = rows.join(rows.where("label = 0").select("job_id").distinct(), "job_id", "left_semi")
+    return sig.low_share(with_low, "norm", "label").withColumn("share", F.round("share", 6))
+
+
+@query("SELECT app, sum((CASE WHEN rd > 0 THEN 1 ELSE 0 END) + (CASE WHEN wr > 0 THEN 1 ELSE 0 END))::BIGINT AS ios, round(sum(rd + wr), 2) AS volume FROM apps GROUP BY 1", _APPS)
+def app_io_counts(spark, sf_dir):
+    one = lambda c: F.when(F.col(c) > 0, 1).otherwise(0)
+    return _apps(spark, sf_dir).groupBy("app").agg(F.sum(one("read") + one("write")).alias("ios"), F.round(F.sum(F.col("read") + F.col("write")), 2).alias("volume"))
