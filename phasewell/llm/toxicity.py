@@ -27,7 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold_of, labelled_sample, prepare, sampled_texts, slices, texts_of
+from .common import cut, fold_of, labelled_sample, prepare, sampled_texts, slices, texts_of
+from .shingles import shingle_set
 
 #: Labelled documents that a lexicon is learned from, at the most.
 MAX_LABELLED = 8_000
@@ -39,6 +40,8 @@ MAX_EXCEPTIONS = 500
 MIN_TOXIC = 3
 MIN_SHARE = 0.015
 MIN_PURITY = 0.85
+#: A beginning stands for all words that begin with it, so it must be purer.
+MIN_PREFIX_PURITY = 0.97
 #: Beginnings of words that can be entries have these lengths.
 PREFIXES = (4, 5, 6)
 THRESHOLD = 0.3
@@ -107,6 +110,14 @@ def features(text: str, machine: ahocorasick.Automaton | None) -> tuple[float, f
     return math.log1p(total), math.log1p(1000 * total / (len(folded) + 200))
 
 
+def _distinct_in(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Labels and texts with the least hash of a text's shingles, which near copies nearly always share."""
+    for batch in batches:
+        for part in slices(batch):
+            sets = [shingle_set(t) for t in texts_of(part)]
+            yield pa.record_batch([part.column("label"), part.column("text"), pa.array([int(s[0].view("i8")) if len(s) else 0 for s in sets], pa.int64())], ["label", "text", "least"])
+
+
 def _terms(text: str) -> set[str]:
     words = set(_WORD.findall(fold(text)))
     return {f"={w}" for w in words if len(w) >= 3} | {f"<{w[:n]}" for w in words for n in PREFIXES if len(w) > n}
@@ -176,6 +187,8 @@ def learn(documents: DataFrame, labels: DataFrame, train=lambda doc_id: F.lit(Tr
     """Learn a lexicon from at most ``max_labelled`` of the labelled documents where ``train(doc_id)`` holds."""
     prepare(documents.sparkSession)
     texts = sampled_texts(documents, labelled_sample(labels, "toxic", train, max_labelled))
+    distinct = texts.select("label", "text").mapInArrow(_distinct_in, "label int, text string, least long")
+    texts = cut(distinct.dropDuplicates(["label", "least"]).drop("least"))  # copies say a word once
     size = {r["label"]: r["n"] for r in texts.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     toxic, clean = size.get(1, 0), size.get(0, 0)
     if not toxic or not clean:
@@ -188,7 +201,7 @@ def learn(documents: DataFrame, labels: DataFrame, train=lambda doc_id: F.lit(Tr
     best = {}
     for term, n1 in in_toxic.items():
         n0 = in_clean.get(term, 0)
-        if n1 >= MIN_PURITY * (n1 + n0) and (odds := math.log((n1 + 0.5) / (toxic + 1)) - math.log((n0 + 0.5) / (clean + 1))) > 1:
+        if n1 >= (MIN_PREFIX_PURITY if term[0] == "<" else MIN_PURITY) * (n1 + n0) and (odds := math.log((n1 + 0.5) / (toxic + 1)) - math.log((n0 + 0.5) / (clean + 1))) > 1:
             best[term] = odds
     weights, whole = {}, set()
     for term in sorted(best, key=lambda t: (len(t), t)):  # the shortest pure beginning stands for all that begin with it
