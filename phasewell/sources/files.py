@@ -11,17 +11,23 @@ from pyspark.sql import functions as F
 from .. import schemas
 
 
-def read_job_csv(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
-    """Job series from CSV files below a folder, columns by name; the first row of each job and timestamp counts.
+def read_job_csv(spark: SparkSession, path: str, columns: tuple[str, ...] = ("bytesRead", "bytesWritten")) -> DataFrame:
+    """Job series from CSV files below a folder; the first row of each job and timestamp counts.
 
-    The job's id and data set come from the file's path.
+    Columns are found by each file's own header, as files differ in their order; one that a file lacks is null. A
+    header without a name is the row's number. The job's id and data set come from the file's path.
     """
-    options = spark.read.option("header", True).option("recursiveFileLookup", True).option("enforceSchema", False)
-    rows = options.csv(path, inferSchema=True) if schema is None else options.schema(schema).csv(path)
-    rows = rows.withColumnsRenamed({c: "_idx" for c in rows.columns if c in ("_c0", "")})
-    named = rows.withColumn("file", F.input_file_name()).withColumns(job_of(F.col("file")))
-    nth = F.row_number().over(Window.partitionBy("dataset", "job_id", "timestamp").orderBy("_idx"))
-    return named.withColumn("_nth", nth).where("_nth = 1").drop("_nth", "file")
+    whole = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.csv").withColumn("file", F.input_file_name())
+    lines = F.split("value", r"\r?\n")
+    names = F.transform(F.split(F.get(lines, F.lit(0)), ","), lambda n, i: F.when((i == 0) & (n == ""), "_idx").otherwise(n))
+    rows = whole.select("file", names.alias("names"), F.posexplode(F.slice(lines, F.lit(2), F.size(lines))).alias("line", "row")).where("row <> ''")
+    cells = F.split("row", ",", -1)
+    cells = F.transform("names", lambda n, i: F.get(cells, i))
+    cell = F.map_from_arrays("names", cells)
+    named = rows.select("line", cell.alias("cell"), *[v.alias(k) for k, v in job_of(F.col("file")).items()])
+    typed = named.select("dataset", "job_id", "line", F.col("cell")["timestamp"].try_cast("double").alias("timestamp"), *[F.col("cell")[c].try_cast("bigint").alias(c) for c in columns])
+    nth = F.row_number().over(Window.partitionBy("dataset", "job_id", "timestamp").orderBy("line"))
+    return typed.withColumn("_nth", nth).where("_nth = 1").drop("_nth", "line")
 
 
 def job_of(file: Column) -> dict[str, Column]:
