@@ -176,3 +176,21 @@ def alternating_phases(points: DataFrame) -> DataFrame:
     w = Window.partitionBy("job_id").orderBy("idx")
     rows = points.withColumn("nth", F.row_number().over(w)).withColumn("e", F.lead("idx").over(w))
     return rows.where("nth % 2 = 1").select("job_id", F.col("idx").alias("s"), "e")
+
+
+def silhouette_clusters(values: DataFrame, column: str, most: int = 50, gain: float = 1.02, seed: int = 1):
+    """(k, predictions): k-means with the fewest clusters that more ones don't beat by the gain in silhouette."""
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.evaluation import ClusteringEvaluator
+    from pyspark.ml.feature import VectorAssembler
+
+    data = VectorAssembler(inputCols=[column], outputCol="features").transform(values).cache()
+    best, chosen = -1.0, None
+    for k in range(2, most + 1):
+        out = KMeans(k=k, seed=seed).fit(data).transform(data)
+        score = ClusteringEvaluator(metricName="silhouette").evaluate(out)
+        if chosen is not None and score <= best * gain:
+            break
+        best, chosen = score, (k, out)
+    data.unpersist()
+    return chosen

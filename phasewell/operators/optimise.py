@@ -69,3 +69,56 @@ def lower_hull(points: DataFrame, key: str, x: str, y: str) -> DataFrame:
 def padded(values: Column, n: Column) -> Column:
     """An array of length n: its last element repeated, or its beginning."""
     return F.when(F.size(values) >= n, F.slice(values, F.lit(1), n)).otherwise(F.concat(values, F.array_repeat(F.element_at(values, -1), n - F.size(values))))
+
+
+def cheapest_transport(demand: dict, capacity: dict, distance: dict) -> tuple[float, dict] | None:
+    """The least cost, and volumes by (customer, site), of serving all demand within the sites' capacities; None if it
+    doesn't fit. Demand is routed along cheapest residual paths."""
+    left, room, flow, cost = dict(demand), dict(capacity), {}, 0.0
+    if sum(demand.values()) > sum(capacity.values()) + 1e-9:
+        return None
+    while any(v > 1e-12 for v in left.values()):
+        dist = {("c", c): (0.0 if v > 1e-12 else float("inf")) for c, v in left.items()} | {("s", s): float("inf") for s in room}
+        back: dict = {}
+        for _ in range(len(dist)):
+            changed = False
+            for c in left:
+                for s in room:
+                    if dist["c", c] + distance[s][c] < dist["s", s] - 1e-12:
+                        dist["s", s], back["s", s], changed = dist["c", c] + distance[s][c], ("c", c), True
+                    if flow.get((c, s), 0) > 1e-12 and dist["s", s] - distance[s][c] < dist["c", c] - 1e-12:
+                        dist["c", c], back["c", c], changed = dist["s", s] - distance[s][c], ("s", s), True
+            if not changed:
+                break
+        end = min((s for s in room if room[s] > 1e-12), key=lambda s: dist["s", s], default=None)
+        if end is None or dist["s", end] == float("inf"):
+            return None
+        path, at = [], ("s", end)
+        while at in back:
+            path.append((back[at], at))
+            at = back[at]
+        amount = min([left[at[1]], room[end], *[flow[b[1], a[1]] for a, b in path if a[0] == "s"]])
+        for a, b in path:
+            key = (a[1], b[1]) if a[0] == "c" else (b[1], a[1])
+            flow[key] = flow.get(key, 0.0) + (amount if a[0] == "c" else -amount)
+            cost += amount * distance[key[1]][key[0]] * (1 if a[0] == "c" else -1)
+        left[at[1]] -= amount
+        room[end] -= amount
+    return cost, {k: v for k, v in flow.items() if v > 1e-12}
+
+
+def facility_location(spark, demand: dict, capacity: dict, activation: dict, distance: dict) -> DataFrame:
+    """(sites, cost) of every set of sites that can serve all demand: one row each, solved in parallel."""
+    sites = sorted(capacity)
+    subsets = spark.range(1, 1 << len(sites))
+
+    def run(frames):
+        for frame in frames:
+            rows = []
+            for bits in frame["id"]:
+                used = [s for i, s in enumerate(sites) if bits >> i & 1]
+                if (best := cheapest_transport(demand, {s: capacity[s] for s in used}, distance)) is not None:
+                    rows.append((used, best[0] + sum(activation[s] for s in used)))
+            yield pd.DataFrame(rows, columns=["sites", "cost"])
+
+    return subsets.mapInPandas(run, "sites array<string>, cost double")

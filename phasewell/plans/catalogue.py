@@ -748,3 +748,11 @@ def low_cluster_share(spark, sf_dir):
 def app_io_counts(spark, sf_dir):
     one = lambda c: F.when(F.col(c) > 0, 1).otherwise(0)
     return _apps(spark, sf_dir).groupBy("app").agg(F.sum(one("read") + one("write")).alias("ios"), F.round(F.sum(F.col("read") + F.col("write")), 2).alias("volume"))
+
+
+@query()
+def facility_location(spark, sf_dir):
+    """Costs of every set of sites that can serve five customers."""
+    demand, sites = dict(enumerate((80, 270, 250, 160, 180), 1)), ("f1", "f2", "f3")
+    distance = {s: dict(enumerate(d, 1)) for s, d in zip(sites, ((4, 5, 6, 8, 10), (6, 4, 3, 5, 8), (9, 7, 4, 3, 4)), strict=True)}
+    return optimise.facility_location(spark, demand, dict.fromkeys(sites, 500), dict.fromkeys(sites, 1000), distance)

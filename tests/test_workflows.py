@@ -147,3 +147,21 @@ def test_files(spark, tmp_path):
     assert [(r["job_id"], r["dataset"], r["bytesRead"]) for r in files.read_job_csv(spark, str(csv.parent)).orderBy("timestamp").collect()] == [("12", "set", 5), ("12", "set", 7)]
     assert files.list_jobs(spark, str(csv.parent)).first()["job_id"] == "12"
     assert files.random_phases(spark, 5, 1e6).where("read_volume + write_volume <> 1e6").count() == 0
+
+
+def test_facility_location(spark):
+    from itertools import product
+
+    demand, capacity, distance = {1: 3, 2: 2}, {"a": 4, "b": 4}, {"a": {1: 1, 2: 5}, "b": {1: 4, 2: 2}}
+    got = {tuple(r["sites"]): r["cost"] for r in optimise.facility_location(spark, demand, capacity, {"a": 10, "b": 1}, distance).collect()}
+    best = min(x * 1 + (3 - x) * 4 + y * 5 + (2 - y) * 2 for x, y in product(range(4), range(3)) if x + y <= 4 and 5 - x - y <= 4)
+    assert got == {("a", "b"): best + 11}
+
+
+def test_streams_are_windows(spark, tmp_path):
+    from phasewell.streaming import phases
+
+    rows = [(1, f"2024-01-01 00:00:{s:02d}", 1, 0) for s in (0, 2, 6)] + [(1, "2024-01-01 00:10:00", 5, 5)]
+    events = spark.createDataFrame(rows, "job_id long, ts string, bytesRead long, bytesWritten long").withColumn("ts", F.to_timestamp("ts"))
+    assert sorted(r["bytesRead"] for r in phases.sampled(events).collect()) == [1, 2, 5]
+    assert sorted(r["read_volume"] for r in phases.open_phases(events).collect()) == [3, 5]
