@@ -76,7 +76,7 @@ def last_positive(points: DataFrame, spans: DataFrame, key: str, value: str, wid
     their largest value, points in none are 0."""
     best = spans.where(F.col(value) > 0).groupBy(key, "s", "e").agg(F.max(value).alias(value))
     at = points.withColumn("bucket", F.floor(F.col("at") / F.lit(width)))
-    dealt = best.withColumn("bucket", F.explode(F.sequence(F.floor(F.col("s") / F.lit(width)), F.floor((F.col("e") - 1) / F.lit(width)))))
+    dealt = best.withColumn("bucket", F.explode(F.sequence(F.floor(F.col("s") / F.lit(width)), F.floor(F.col("e") / F.lit(width)))))
     held = at.join(dealt, [key, "bucket"]).where("at >= s and at < e")
     latest = held.groupBy(key, "at").agg(F.max(F.struct("s", "e", value)).alias("v")).select(key, "at", F.col(f"v.{value}").alias(value))
     return points.join(latest, [key, "at"], "left").select(key, "at", F.coalesce(value, F.lit(0)).alias(value))

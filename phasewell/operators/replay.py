@@ -231,3 +231,44 @@ def signals_of_log(log: DataFrame, step: float = 1.0) -> DataFrame:
     ticks = rows.withColumn("at", F.explode(F.sequence(F.ceil(F.col("t_start") / step), F.greatest(F.ceil(F.col("t_start") / step), F.ceil(F.col("t_end") / step) - 1))))
     value = lambda kind: F.sum(F.when(F.col("type") == kind, F.col("bandwidth")).otherwise(0.0)).alias(kind)
     return ticks.groupBy("app", "at").agg(value("read"), value("write"))
+
+
+def _rates(log: DataFrame) -> DataFrame:
+    """Reads, writes and computing of a log with their bandwidth on either side."""
+    rate = lambda kind: F.when(F.col("type") == kind, F.col("bandwidth")).otherwise(0.0).alias(f"{kind}_bw")
+    return log.where(F.col("type").isin("read", "write", "compute")).select("app", "type", "t_start", "t_end", rate("read"), rate("write"))
+
+
+def signal_of_ends(log: DataFrame) -> DataFrame:
+    """(app, at, read_bw, write_bw): each phase as a point at its end, and a zero point at 0."""
+    rows = _rates(log)
+    zero = rows.select("app").distinct().select("app", F.lit(0.0).alias("at"), F.lit(0.0).alias("read_bw"), F.lit(0.0).alias("write_bw"))
+    return zero.unionByName(rows.select("app", F.col("t_end").alias("at"), "read_bw", "write_bw"))
+
+
+def signal_of_ticks(log: DataFrame) -> DataFrame:
+    """(app, at, read_bw, write_bw) at whole seconds; an I/O phase after computing after another comes a tick earlier for
+    each such sequence so far, and takes the place of the computing's last tick."""
+    order = Window.partitionBy("app").orderBy("t_start", "t_end", "type")
+    io = F.col("type") != "compute"
+    rows = _rates(log).withColumn("io", io)
+    joined = F.col("io") & ~F.lag("io", 1, True).over(order) & F.lag("io", 2, False).over(order)
+    rows = rows.withColumn("joined", joined.cast("int"))
+    rows = rows.withColumn("excess", F.sum("joined").over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumn("replaced", F.coalesce(F.lead("joined").over(order), F.lit(0)))
+    first = (F.col("t_start") - F.col("excess")).cast("long")
+    last = (F.col("t_end") - F.col("excess")).cast("long") - 1 - F.when(F.col("io"), 0).otherwise(F.col("replaced"))
+    return rows.withColumn("first", first).withColumn("last", last).where("last >= first").select("app", F.explode(F.sequence("first", "last")).alias("at"), "read_bw", "write_bw")
+
+
+def signal_of_points(log: DataFrame, points: int | None = None) -> DataFrame:
+    """(app, at, read_bw, write_bw) at evenly spaced points from each app's first start to its last end: the latest
+    phase that holds a point with a positive bandwidth."""
+    from .joins import last_positive
+
+    rows = _rates(log).withColumnsRenamed({"app": "k", "t_start": "s", "t_end": "e"})
+    span = rows.groupBy("k").agg(F.min("s").alias("lo"), F.max("e").alias("hi"))
+    n = F.lit(points) if points else F.floor(F.col("hi") - F.col("lo")) + 1
+    grid = span.withColumn("n", n).withColumn("i", F.explode(F.sequence(F.lit(0), (F.col("n") - 1).cast("int"))))
+    grid = grid.select("k", (F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("i") / F.greatest(F.col("n") - 1, F.lit(1))).alias("at"))
+    read, write = (last_positive(grid, rows.select("k", "s", "e", c), "k", c, 64) for c in ("read_bw", "write_bw"))
+    return read.join(write, ["k", "at"]).withColumnRenamed("k", "app")

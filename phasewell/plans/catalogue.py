@@ -756,3 +756,10 @@ def facility_location(spark, sf_dir):
     demand, sites = dict(enumerate((80, 270, 250, 160, 180), 1)), ("f1", "f2", "f3")
     distance = {s: dict(enumerate(d, 1)) for s, d in zip(sites, ((4, 5, 6, 8, 10), (6, 4, 3, 5, 8), (9, 7, 4, 3, 4)), strict=True)}
     return optimise.facility_location(spark, demand, dict.fromkeys(sites, 500), dict.fromkeys(sites, 1000), distance)
+
+
+@query()
+def replay_signals(spark, sf_dir):
+    """Bandwidth at whole seconds of the contended replay's apps, each trial's app by itself."""
+    log = replay_contended(spark, sf_dir).withColumn("app", F.concat_ws("/", "trial_id", "app"))
+    return replay.signal_of_ticks(log)

@@ -165,3 +165,13 @@ def test_streams_are_windows(spark, tmp_path):
     events = spark.createDataFrame(rows, "job_id long, ts string, bytesRead long, bytesWritten long").withColumn("ts", F.to_timestamp("ts"))
     assert sorted(r["bytesRead"] for r in phases.sampled(events).collect()) == [1, 2, 5]
     assert sorted(r["read_volume"] for r in phases.open_phases(events).collect()) == [3, 5]
+
+
+def test_signals_of_a_log(spark):
+    rows = [("a", "read", 0.0, 3.0, 5.0), ("a", "compute", 3.0, 5.0, 0.0), ("a", "write", 5.0, 7.0, 9.0)]
+    log = spark.createDataFrame(rows, "app string, type string, t_start double, t_end double, bandwidth double")
+    ticks = replay.signal_of_ticks(log).orderBy("at").collect()
+    assert [(r["at"], r["read_bw"], r["write_bw"]) for r in ticks] == [(0, 5, 0), (1, 5, 0), (2, 5, 0), (3, 0, 0), (4, 0, 9), (5, 0, 9)]
+    assert [(r["at"], r["read_bw"]) for r in replay.signal_of_ends(log).orderBy("at").collect()] == [(0, 0), (3, 5), (5, 0), (7, 0)]
+    points = replay.signal_of_points(log, 8).orderBy("at").collect()
+    assert [(r["at"], r["read_bw"], r["write_bw"]) for r in points] == [(0, 5, 0), (1, 5, 0), (2, 5, 0), (3, 0, 0), (4, 0, 0), (5, 0, 9), (6, 0, 9), (7, 0, 0)]
