@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import base64
 import struct
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cached_property
@@ -24,7 +25,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .chunks import Remembered, encode
+from .chunks import Remembered, encode, is_word
 from .common import prepare, slices, texts_of
 
 _FIRST = 0x100  # the character that stands for byte 0
@@ -94,13 +95,13 @@ class Codec:
 
         def of(part: str) -> bytes:
             ids: list[int] = []
-            for token in split(part):
+            for token in [part] if is_word(part[1:] if part[:1] == " " else part) else split(part):
                 raw = token.encode()
                 if (rank := ranks.get(raw)) is not None:
                     ids.append(rank)
                 else:
                     ids += model.encode("".join([letters[b] for b in raw]), num_threads=1)
-            return np.array(ids, "<u4").tobytes()
+            return array("I", ids).tobytes()
 
         return Remembered(of)
 

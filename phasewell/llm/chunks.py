@@ -1,7 +1,8 @@
 """Pieces of text whose byte-level BPE ids don't depend on what stands around them.
 
 The split pattern of these vocabularies always begins a pre-token at a single space between two characters that
-aren't white space, so the ids of a text are those of the parts cut there, each with its space, one after another.
+aren't white space, and at a full stop or comma after a letter. So the ids of a text are those of the parts cut there,
+one after another, and a worker remembers the ids of parts that it has seen.
 """
 
 from __future__ import annotations
@@ -10,20 +11,34 @@ import re
 from collections.abc import Callable
 
 _CUT = re.compile(r"(?<=\S) (?=\S)")
+_DOUBLE = re.compile(r"\s\s")
 #: Parts that a worker remembers, and the longest part that it remembers.
-REMEMBERED = 300_000
-LONGEST = 64
+REMEMBERED = 600_000
+LONGEST = 48
+_LAST_LATIN = "ɏ"
+
+
+def is_word(part: str) -> bool:
+    """Is the part one pre-token, after its space: letters alone, of scripts that every regex engine knows?"""
+    return part.isalpha() and max(part) <= _LAST_LATIN
 
 
 class Remembered(dict):
-    """part -> ids as little-endian unsigned 32-bit bytes; forgets all when it is full."""
+    """part -> ids, as little-endian unsigned 32-bit bytes, of a space and the part; forgets all when it is full."""
 
     def __init__(self, encode: Callable[[str], bytes]):
         super().__init__()
-        self.encode = encode
+        self.plain = encode
+        self.signs: dict[str, bytes] = {}
 
     def __missing__(self, part: str) -> bytes:
-        ids = self.encode(part)
+        sign = part[-1]
+        if sign in ".," and len(part) > 1 and part[-2].isalpha() and part[-2] <= _LAST_LATIN:
+            if sign not in self.signs:
+                self.signs[sign] = self.plain(sign)
+            ids = self[part[:-1]] + self.signs[sign]
+        else:
+            ids = self.plain(" " + part)
         if len(part) <= LONGEST:
             if len(self) >= REMEMBERED:
                 self.clear()
@@ -32,11 +47,17 @@ class Remembered(dict):
 
 
 def parts(text: str) -> list[str]:
-    """The parts of a text; their concatenation is the text."""
-    found = _CUT.split(text)
-    return [found[0], *[" " + x for x in found[1:]]]
+    """The text cut at spaces that begin a pre-token; these spaces are left out."""
+    if text[:1] != " " and text[-1:] != " " and not _DOUBLE.search(text):
+        return text.split(" ")
+    return _CUT.split(text)
 
 
 def encode(text: str, remembered: Remembered) -> bytes:
     """The ids of a whole text as little-endian unsigned 32-bit bytes."""
-    return b"".join(map(remembered.__getitem__, parts(text))) if text else b""
+    if not text:
+        return b""
+    found = parts(text)
+    found[0] = remembered.plain(found[0])
+    found[1:] = map(remembered.__getitem__, found[1:])
+    return b"".join(found)

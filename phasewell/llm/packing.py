@@ -13,7 +13,8 @@ packed each; columns other than the id and the text are never read; an empty tab
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from array import array
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .chunks import Remembered, encode
+from .chunks import Remembered, encode, is_word
 from .common import cut, prepare, slices, texts_of
 
 SEQUENCE = 2048
@@ -29,14 +30,41 @@ END_ID = 1
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
+def _plain(tokenizer) -> Callable[[str], bytes]:
+    """The ids of a part of a text as bytes; straight from the model where nothing but the pre-tokenizer precedes it."""
+    from tokenizers.pre_tokenizers import ByteLevel
+
+    if tokenizer.normalizer is not None or type(tokenizer.pre_tokenizer).__name__ != "ByteLevel":
+        return lambda part: array("I", tokenizer.encode(part, add_special_tokens=False).ids).tobytes()
+    split, merge = tokenizer.pre_tokenizer.pre_tokenize_str, tokenizer.model.tokenize
+    letters = {}  # the characters that stand for bytes
+    for character in ByteLevel.alphabet():
+        letters[_byte_of(character)] = character
+
+    def of(part: str) -> bytes:
+        if is_word(part[1:] if part[:1] == " " else part):
+            return array("I", [x.id for x in merge(part.encode().decode("latin-1").translate(letters))]).tobytes()
+        return array("I", [x.id for token, _ in split(part) for x in merge(token)]).tobytes()
+
+    return of
+
+
+def _byte_of(character: str) -> int:
+    """The byte that a character of the byte-level alphabet stands for: itself where it is printable."""
+    at = ord(character)
+    if at < 256:
+        return at
+    hidden = [*range(0x21), *range(0x7F, 0xA1), 0xAD]
+    return hidden[at - 256]
+
+
 def _pieces_in(tokenizer_json: str, end_id: int, most: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_str(tokenizer_json)
         tokenizer.encode_special_tokens = True
-        plain = tokenizer.encode
-        remembered = Remembered(lambda part: np.array(plain(part, add_special_tokens=False).ids, "<u4").tobytes())
+        remembered = Remembered(_plain(tokenizer))
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
             for part in slices(batch):
