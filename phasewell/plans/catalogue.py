@@ -511,12 +511,12 @@ def design_matrix(spark, sf_dir):
 
 
 @query(
-    """SELECT phase_id, round(CASE WHEN size = 0 THEN 0 ELSE lfs_bw / size END, 13)::DOUBLE AS lfs_bw,
-    coalesce(round(CASE WHEN size = 0 THEN 0 ELSE sbb_bw / size END, 13), 0)::DOUBLE AS sbb_bw FROM measured""",
+    """SELECT phase_id, round(CASE WHEN size = 0 THEN 0 ELSE lfs_bw / size END + 1e-9, 5)::DOUBLE AS lfs_bw,
+    round(coalesce(CASE WHEN size = 0 THEN 0 ELSE sbb_bw / size END, 0) + 1e-9, 5)::DOUBLE AS sbb_bw FROM measured""",
     T.PHASES_SQL,
 )
 def target_matrix(spark, sf_dir):
-    return model.target_matrix(T.phases(spark, sf_dir), ["phase_id"]).withColumns({c: F.round(c, 13) for c in ("lfs_bw", "sbb_bw")})
+    return model.target_matrix(T.phases(spark, sf_dir), ["phase_id"]).withColumns({c: F.round(F.col(c) + 1e-9, 5) for c in ("lfs_bw", "sbb_bw")})  # off exact halves
 
 
 @query("SELECT l_returnflag AS tier, round(regr_slope(l_extendedprice, l_quantity), 4) AS slope, round(regr_intercept(l_extendedprice, l_quantity), 2) AS intercept, round(regr_r2(l_extendedprice, l_quantity), 6) AS r2 FROM lineitem GROUP BY 1")
