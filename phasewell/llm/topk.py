@@ -32,6 +32,9 @@ from .vectors import usable
 BLOCK, TILE, QUERIES = 8_192, 1_024, 2_048
 #: Segments of each resolution.
 LEVELS = (1, 4, 16)
+#: Shares of a tile's pairs that survive: above the one finer bounds aren't tried, under the other exact products are
+#: computed pair by pair.
+MANY, FEW = 0.6, 0.02
 #: Products up to this are exact in double precision.
 _EXACT = float(1 << 53)
 
@@ -98,20 +101,29 @@ def search_block(qids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray
     norm_q = np.sqrt((qf**2).sum(1))
     for begin in range(0, len(x), TILE):
         tile, own = x[begin : begin + TILE], ids[begin : begin + TILE]
-        slack = 1e-9 * (norm_q[:, None] * np.sqrt((xf[begin : begin + TILE] ** 2).sum(1))[None, :]) + 1e-6
         alive = own[None, :] != qids[:, None]
-        for stat_q, n in zip(of_q, levels, strict=True):  # coarse to fine
-            if np.isfinite(floor).any():
+        if np.isfinite(floor).any():
+            slack = 1e-9 * norm_q * np.sqrt((xf[begin : begin + TILE] ** 2).sum(1)).max(initial=0) + 1e-6
+            for stat_q, n in zip(of_q, levels, strict=True):  # coarse to fine
                 some = np.flatnonzero(alive.any(1))
-                bound = stat_q[some] @ _statistics(xf[begin : begin + TILE], n).T + slack[some]
-                alive[some] &= bound >= floor[some, None]
-        a, b = np.nonzero(alive)
-        scores = np.empty(len(a), np.int64)
-        for at in range(0, len(a), 65_536):
-            part = slice(at, at + 65_536)
-            scores[part] = _products(q[a[part]], tile[b[part]], exact)
-        good = scores >= floor[a]
-        a, b, scores = a[good], b[good], scores[good]
+                bound = stat_q[some] @ _statistics(xf[begin : begin + TILE], n).T
+                alive[some] &= bound >= (floor - slack)[some, None]
+                if not FEW < alive.mean() < MANY:
+                    break  # finer bounds would cost more than the products that they save
+        if exact and alive.mean() > FEW:  # products of the queries and rows that have survivors, as one block
+            some, those = np.flatnonzero(alive.any(1)), np.flatnonzero(alive.any(0))
+            products = qf[some] @ xf[begin : begin + TILE][those].T
+            a, b = np.nonzero(alive[np.ix_(some, those)] & (products >= floor[some, None]))
+            scores = np.rint(products[a, b]).astype(np.int64)
+            a, b = some[a], those[b]
+        else:
+            a, b = np.nonzero(alive)
+            scores = np.empty(len(a), np.int64)
+            for at in range(0, len(a), 65_536):
+                part = slice(at, at + 65_536)
+                scores[part] = _products(q[a[part]], tile[b[part]], exact)
+            good = scores >= floor[a]
+            a, b, scores = a[good], b[good], scores[good]
         bounds = np.searchsorted(a, np.arange(len(q) + 1))
         for i in np.flatnonzero(np.diff(bounds)):
             part = slice(bounds[i], bounds[i + 1])
