@@ -33,7 +33,7 @@ COSINE = 0.9
 #: Classes for one cell, cells at the most, and sampled classes for each cell, from which centroids are fitted.
 CELL, MAX_CELLS, SAMPLE = 2_000, 2_048, 24
 #: A class is shown in the cells whose centroid's cosine falls short of the best by at most this.
-MARGIN = 0.06
+MARGIN = 0.12
 BLOCK = 2_048
 
 

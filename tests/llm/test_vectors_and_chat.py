@@ -1,8 +1,10 @@
 """Operators over embeddings and conversations."""
 
 import hashlib
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -79,6 +81,25 @@ def test_embedding_recall_on_the_tables(spark):
     assert 0.95 * every <= found <= every
 
 
+@pytest.mark.parametrize("cells", [300, 2_048])
+def test_embedding_pairs_at_the_threshold_share_a_cell(cells):
+    """Pairs planted at cosines 0.90 to 0.92, with as many cells as large tables have."""
+    rng = np.random.default_rng(11)
+    unit = lambda n: (v := rng.normal(size=(n, 64))) / np.linalg.norm(v, axis=1, keepdims=True)
+    centroids = embed_dedup.fit_cells(unit(embed_dedup.SAMPLE * cells), cells, rounds=4)
+    a, other = unit(2_000), unit(2_000)
+    other -= (other * a).sum(1, keepdims=True) * a
+    other /= np.linalg.norm(other, axis=1, keepdims=True)
+    cosine = rng.uniform(0.9, 0.92, (len(a), 1))
+    both = np.concatenate([a, cosine * a + np.sqrt(1 - cosine**2) * other])
+    ids = pa.array(range(len(both)), pa.int64())
+    batch = pa.record_batch([ids, ids, pa.array(both.tolist(), pa.list_(pa.float64()))], ["id", "times", "vector"])
+    (out,) = embed_dedup._assigned(SimpleNamespace(value={64: centroids}), embed_dedup.MARGIN)([batch])
+    shown = [set(c) for c in out.column("cells").to_pylist()]
+    met = [bool(shown[i] & shown[len(a) + i]) for i in range(len(a))]
+    assert np.mean(met) >= 0.99
+
+
 def test_components_of_hard_graphs(spark):
     chain = [(i, i + 1) for i in range(0, 200)]
     star = [(1000, 1000 + i) for i in range(1, 100)]
