@@ -3,7 +3,7 @@
 Equal vectors are one class with a multiplicity. A bounded sample of the classes fits unit centroids; every class
 belongs to its nearest cell and is also shown in every other cell whose centroid is nearly as near (MARGIN), so that
 pairs across a border meet. Within a cell blocked products give all cosines in double precision; a pair that meets in
-several cells counts in the first of them. A block gives each vector's number of links and a spanning forest of them,
+several cells counts in the first of them, whichever cells are the two vectors' own. A block gives each vector's number of links and a spanning forest of them,
 never the pairs, and alternating large-star and small-star joins the forests. One representative of a group, its
 smallest id, is kept. A cell that holds more than a block, as a hot group's does, is compared block by block, each two
 blocks in a task of their own.
@@ -64,29 +64,39 @@ def _assigned(shared, margin: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         centroids: dict[int, np.ndarray] = shared.value
         for batch in batches:
-            ids, times, sizes, units, own, cells = [], [], [], [], [], []
+            ids, times, sizes, units, cells = [], [], [], [], []
             for i, n, vector in zip(batch.column("id").to_pylist(), batch.column("times").to_pylist(), usable(batch.column("vector")), strict=True):
                 unit = _unit(vector)
                 if unit is None or len(unit) not in centroids:
                     continue
                 cosines = centroids[len(unit)] @ unit
-                best = int(cosines.argmax())
-                ids.append(i), times.append(n), sizes.append(len(unit)), units.append(unit.tobytes()), own.append(best)
-                cells.append(np.flatnonzero(cosines >= cosines[best] - margin).astype(np.int32))
+                ids.append(i), times.append(n), sizes.append(len(unit)), units.append(unit.tobytes())
+                cells.append(np.flatnonzero(cosines >= cosines.max() - margin).astype(np.int32))
             yield pa.record_batch(
-                [pa.array(ids, pa.int64()), pa.array(times, pa.int64()), pa.array(sizes, pa.int32()), pa.array(units, pa.binary()), pa.array(own, pa.int32()), pa.array(cells, pa.list_(pa.int32()))],
-                ["id", "times", "size", "unit", "home", "cells"],
+                [pa.array(ids, pa.int64()), pa.array(times, pa.int64()), pa.array(sizes, pa.int32()), pa.array(units, pa.binary()), pa.array(cells, pa.list_(pa.int32()))],
+                ["id", "times", "size", "unit", "cells"],
             )
 
     return run
 
 
+def _earlier_cells(cells: pa.ChunkedArray, cell: int) -> list[np.ndarray]:
+    """The cells before this one in which each row is shown, as words of 64 bits."""
+    shown = [[c for c in row if c < cell] for row in cells.to_pylist()]
+    at = {c: n for n, c in enumerate(sorted({c for row in shown for c in row}))}
+    words = [np.zeros(len(shown), np.uint64) for _ in range(-(-len(at) // 64))]
+    for r, row in enumerate(shown):
+        for c in row:
+            words[at[c] // 64][r] |= np.uint64(1 << at[c] % 64)
+    return words
+
+
 def _compared(least: float):
     def run(rows: pa.Table) -> pa.RecordBatch | None:
         cell, i, j = (rows.column(c)[0].as_py() for c in ("cell", "i", "j"))
-        ids, times, home, own = (rows.column(c).to_numpy() for c in ("id", "times", "home", "own"))
+        ids, times, own = (rows.column(c).to_numpy() for c in ("id", "times", "own"))
         units = np.array([np.frombuffer(u.as_buffer(), np.float64) for u in rows.column("unit")])
-        shown = [set(c.as_py()) for c in rows.column("cells")]
+        earlier = _earlier_cells(rows.column("cells"), cell)
         mine = np.flatnonzero(own == i)
         others = mine if i == j else np.flatnonzero(own == j)
         if not len(mine) or not len(others):
@@ -96,16 +106,11 @@ def _compared(least: float):
             left = mine[begin : begin + 256]
             a, b = np.nonzero(units[left] @ units[others].T >= least)
             a, b = left[a], others[b]
-            met = (home[a] == cell) | (home[b] == cell)
             if i == j:
-                met &= a < b
-            a, b = a[met], b[met]
-            across = home[a] != home[b]
+                a, b = a[a < b], b[a < b]
             first = np.ones(len(a), bool)
-            for at in np.flatnonzero(across):
-                x, y = a[at], b[at]
-                other, guest = (home[y], x) if home[x] == cell else (home[x], y)
-                first[at] = not (other < cell and int(other) in shown[guest])
+            for word in earlier:
+                first &= (word[a] & word[b]) == 0
             a, b = a[first], b[first]
             np.add.at(links, a, times[b])
             np.add.at(links, b, times[a])
@@ -138,7 +143,7 @@ def near_duplicates(embeddings: DataFrame, cosine: float = COSINE, id_column: st
             vectors = [np.eye(1, size)[0]]
         centroids[size] = fit_cells(np.array(vectors), cells)
     shared = spark.sparkContext.broadcast(centroids)
-    assigned = cut(classes.mapInArrow(_assigned(shared, margin), "id long, times long, size int, unit binary, home int, cells array<int>"))
+    assigned = cut(classes.mapInArrow(_assigned(shared, margin), "id long, times long, size int, unit binary, cells array<int>"))
     shown = assigned.withColumn("cell", F.explode("cells")).withColumn("place", F.concat_ws(":", "size", "cell"))
     counts = cut(shown.groupBy("place").agg(F.count(F.lit(1)).alias("n")))
     met = in_blocks(shown, "place", F.col("id"), counts, BLOCK)

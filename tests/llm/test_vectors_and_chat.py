@@ -100,6 +100,38 @@ def test_embedding_pairs_at_the_threshold_share_a_cell(cells):
     assert np.mean(met) >= 0.99
 
 
+def test_embedding_pairs_count_once_in_the_first_shared_cell():
+    """In whichever cell two vectors first meet, also one that is neither's own; many cells, pairs near the threshold."""
+    rng = np.random.default_rng(12)
+    a = rng.normal(size=(1_000, 64))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    other = rng.normal(size=a.shape)
+    other -= (other * a).sum(1, keepdims=True) * a
+    other /= np.linalg.norm(other, axis=1, keepdims=True)
+    both = np.concatenate([a, 0.91 * a + np.sqrt(1 - 0.91**2) * other])
+    centroids = embed_dedup.fit_cells(np.concatenate([a, rng.normal(size=(7_000, 64)) / 8]), 300, rounds=4)
+    ids = pa.array(range(len(both)), pa.int64())
+    batch = pa.record_batch([ids, pa.array([1] * len(both), pa.int64()), pa.array(both.tolist(), pa.list_(pa.float64()))], ["id", "times", "vector"])
+    (out,) = embed_dedup._assigned(SimpleNamespace(value={64: centroids}), 0.04)([batch])
+    shown = [set(c) for c in out.column("cells").to_pylist()]
+    found = np.zeros(len(both), int)
+    for cell in range(300):
+        rows = pa.table(out).filter(pa.array([cell in c for c in shown]))
+        n = len(rows)
+        columns = {"cell": [cell] * n, "i": [0] * n, "j": [0] * n, "own": [0] * n}
+        for name, values in columns.items():
+            rows = rows.append_column(name, pa.array(values, pa.int64()))
+        result = embed_dedup._compared(0.9)(rows) if n else None
+        if result is not None:
+            for u, v, k in zip(*(result.column(c).to_pylist() for c in "uvn"), strict=True):
+                found[u] += k if u == v else 0
+    met = np.array([bool(shown[i] & shown[len(a) + i]) for i in range(len(a))])
+    home = [set(c) for c in (both @ centroids.T).argmax(1)[:, None].tolist()]
+    third = [i for i in np.flatnonzero(met) if not shown[i] & shown[len(a) + i] & (home[i] | home[len(a) + i])]
+    assert third  # pairs that meet only where both are guests
+    assert (found == np.concatenate([met, met])).all()
+
+
 def test_components_of_hard_graphs(spark):
     chain = [(i, i + 1) for i in range(0, 200)]
     star = [(1000, 1000 + i) for i in range(1, 100)]
