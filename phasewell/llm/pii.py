@@ -1,14 +1,20 @@
 """Personal data in texts, and terms that give it away, by DataFrame functions alone.
 
-Base kinds are found by pattern: e-mail, IP, card and phone. Their values are the protected entities. Terms that stand
-near an entity are its context; over the whole corpus, the pointwise mutual information of entity and term,
+Base kinds are found by pattern: e-mail, IP, card and phone. Their values are the protected entities. Over the whole
+corpus, the pointwise mutual information of entity and term,
 
     PMI(e; t) = log2(N c(e, t) / (n(e) n(t))),
 
 says how much of the entity's information content IC(e) = log2(N / n(e)) the term discloses: n counts documents,
-c(e, t) the documents in whose context of e the term stands. A term with PMI >= REMOVE * IC is removed, from GENERALISE
-* IC on it is generalised to its shape. Only terms seen with the entity in at least SUPPORT different contexts are
-judged, so that a rare word beside one address, or beside its exact copies, stays.
+c(e, t) the documents that hold both. A term with PMI >= REMOVE * IC is removed, from GENERALISE * IC on it is
+generalised to its shape, wherever it stands in the documents that hold the entity. Only terms seen with the entity in
+at least SUPPORT texts of their own, or beside it in as many contexts, are judged; for an entity in two texts both are
+enough. Near copies are one text: texts count by the least distinct value among BANDS of minima over their terms.
+
+An entity in fewer than SUPPORT texts, as most are, says little alone. Those of one kind are also pooled as one entity,
+whose documents with a term are those where the term stands near a member; the term needs SUPPORT contexts and members.
+Whole documents would bring chance words here. A rare word beside one address, or beside its copies, has no evidence
+and stays.
 
 Defined results: null and empty texts have no spans; long texts are read whole; repeated rows get the same spans;
 spans count code points, ends are exclusive; other columns are kept by ``sanitise`` and never read, except that
@@ -17,7 +23,7 @@ names beginning with ``_pii_`` are reserved.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, prepare
@@ -26,6 +32,8 @@ from .common import cut, prepare
 CONTEXT = 60
 TERM = r"\p{L}[\p{L}\p{Nd}_]{3,}"
 SUPPORT = 3
+#: Texts count as near copies where one of so many groups of so many minima agrees.
+BANDS, MINIMA = 12, 3
 REMOVE, GENERALISE = 0.9, 0.75
 
 KINDS = ("email", "ip", "card", "phone", "term")
@@ -121,6 +129,32 @@ def _row_key() -> Column:
     return F.xxhash64(_text())
 
 
+def _terms(text: Column) -> Column:
+    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0)))
+
+
+def _entities(spans: Column) -> Column:
+    """Array of (entity, pool): each base span's entity and its kind's pool."""
+    return F.transform(spans, lambda s: F.struct(F.xxhash64(s["kind"], s["value"]).alias("entity"), F.xxhash64(F.lit("pool"), s["kind"]).alias("pool")))
+
+
+def _bands(terms: Column) -> Column:
+    """Hashes of groups of minima over a text's terms."""
+    least = lambda seed: F.array_min(F.transform(terms, lambda t: F.xxhash64(t, F.lit(seed))))
+    return F.array(*[F.xxhash64(*[F.coalesce(least(MINIMA * band + i), F.lit(0)) for i in range(MINIMA)]) for band in range(BANDS)])
+
+
+def _outside(text: Column, spans: Column) -> Column:
+    """The text with a blank in place of each base span."""
+
+    def step(state: Column, span: Column) -> Column:
+        gap = F.substring(text, state["at"] + 1, F.greatest(span["start"] - state["at"], F.lit(0)))
+        return F.struct(F.greatest(state["at"], span["end"]).alias("at"), F.concat(state["out"], gap, F.lit(" ")).alias("out"))
+
+    done = F.aggregate(spans, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step)
+    return F.concat(done["out"], F.substring(text, done["at"] + 1, F.length(text)))
+
+
 def find(documents: DataFrame) -> DataFrame:
     """(doc_id, key, base, added) for each row: base spans and the terms to remove or generalise.
 
@@ -129,38 +163,79 @@ def find(documents: DataFrame) -> DataFrame:
     prepare(documents.sparkSession)
     rows = documents.select("doc_id", _text().alias("text"))
     spotted = rows.select("doc_id", _row_key().alias("key"), "text", base_spans(F.col("text")).alias("base"))
-    spotted = cut(spotted.select("doc_id", "key", "base", _context(F.col("text"), F.col("base")).alias("context")))
-    disclosing = _disclosing(rows, spotted)
-
-    beside = spotted.where(F.size("context") > 0).select("doc_id", "key", F.inline("context"))
-    added = (
-        beside.join(disclosing, ["entity", "term"])
-        .groupBy("doc_id", "key", "start", "end")
-        .agg(F.max("removed").alias("removed"))
-        .groupBy("doc_id", "key")
-        .agg(F.array_sort(F.collect_list(F.struct("start", "end", "removed"))).alias("added"))
-    )
+    holds = F.size("base") > 0
+    spotted = cut(
+        spotted.select(
+            "doc_id", "key", "base", F.when(holds, F.col("text")).alias("text"), _context(F.col("text"), F.col("base")).alias("context"),
+            F.when(holds, _entities(F.col("base"))).alias("entities"),
+            F.when(holds, F.array_intersect(_terms(F.col("text")), _terms(_outside(F.col("text"), F.col("base"))))).alias("terms"),
+        )
+    )
+    members, disclosing = _disclosing(rows, spotted)
+
+    told = members.join(disclosing, "entity").groupBy("doc_id", "key", "term").agg(F.max("removed").alias("removed"))
+    told = told.groupBy("doc_id", "key").agg(F.map_from_entries(F.collect_list(F.struct("term", "removed"))).alias("told"))
     own = spotted.select("doc_id", "key", "base")
+    texts = spotted.where(holds).select("doc_id", "key", "text").dropDuplicates(["doc_id", "key"])
+    texts = _joined(told, texts)
+    matches = F.regexp_extract_all("text", F.lit(TERM), F.lit(0))
+    pairs = F.arrays_zip(F.slice(F.split("text", TERM, -1), F.lit(1), F.size(matches)).alias("gap"), matches.alias("match"))
+    each = texts.select("doc_id", "key", "told", F.posexplode(pairs).alias("at", "pair"))
+    each = each.select("doc_id", "key", "at", F.length("pair.gap").alias("gap"), F.length("pair.match").alias("n"), F.element_at("told", F.lower("pair.match")).alias("removed"))
+    before = Window.partitionBy("doc_id", "key").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    each = each.withColumn("end", F.sum(F.col("gap") + F.col("n")).over(before).cast("int")).where("removed is not null")
+    added = each.groupBy("doc_id", "key").agg(F.array_sort(F.collect_list(F.struct((F.col("end") - F.col("n")).alias("start"), "end", "removed"))).alias("added"))
     same = own["doc_id"].eqNullSafe(added["doc_id"]) & (own["key"] == added["key"])
-    return own.join(added, same, "left").select(own["doc_id"], own["key"], "base", F.coalesce("added", F.array().cast("array<struct<start:int,end:int,removed:boolean>>")).alias("added"))
-
-
-def _disclosing(rows: DataFrame, spotted: DataFrame) -> DataFrame:
-    """(entity, term, removed) of the terms that disclose an entity beyond the thresholds."""
-    beside = spotted.where(F.size("context") > 0).select("doc_id", "key", F.inline("context"))
-    pairs = beside.select("entity", "term", "context", "doc_id", "key").distinct()
-    seen = pairs.groupBy("entity", "term", "context").agg(F.count(F.lit(1)).alias("n")).groupBy("entity", "term").agg(F.sum("n").alias("n_both"), F.count(F.lit(1)).alias("contexts"))
-    judged = cut(seen.where(F.col("contexts") >= SUPPORT))
-    with_entity = (
-        spotted.select("doc_id", "key", F.explode("base").alias("s")).select("doc_id", "key", F.xxhash64("s.kind", "s.value").alias("entity")).distinct()
-    ).groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
+    free = F.filter("added", lambda m: ~F.exists("base", lambda s: (s["start"] < m["end"]) & (m["start"] < s["end"])))
+    return own.join(added, same, "left").select(own["doc_id"], own["key"], "base", F.coalesce(free, F.array().cast("array<struct<start:int,end:int,removed:boolean>>")).alias("added"))
+
+
+def _disclosing(rows: DataFrame, spotted: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, key, entity) of the documents that hold an entity or a member of a pool, and (entity, term, removed) of
+    the terms that disclose one beyond the thresholds."""
+    holding = spotted.where("entities is not null")
+    held = holding.select("doc_id", "key", F.inline("entities")).distinct()
+    bands = cut(holding.select("doc_id", "key", "terms", _bands(F.col("terms")).alias("bands")).dropDuplicates(["doc_id", "key"]))
+    by_document = cut(held.join(_texts(_joined(held, bands), ["entity"]), "entity"))
+    rare = F.col("texts") < SUPPORT
+    members = by_document.select("doc_id", "key", "entity").unionByName(by_document.where(rare).select("doc_id", "key", F.col("pool").alias("entity")).distinct())
+
+    # of an entity: anywhere in its texts, or in the contexts that the term stands in
+    known = by_document.where("texts >= 2").select("doc_id", "key", "entity", F.least("texts", F.lit(SUPPORT)).alias("wanted"))
+    beside = spotted.where(F.size("context") > 0).select("doc_id", "key", F.inline("context")).groupBy("doc_id", "key", "entity", "term", "context").agg(F.lit(1).alias("one"))
+    near = beside.groupBy("entity", "term", "context").agg(F.lit(1).alias("one")).groupBy("entity", "term").agg(F.count(F.lit(1)).alias("near")).where(F.col("near") >= SUPPORT)
+    whole = _joined(known, bands).select("doc_id", "key", "entity", "wanted", "bands", F.explode("terms").alias("term"))
+    whole = _texts(whole, ["entity", "term", "wanted"]).where("texts >= wanted").select("entity", "term")
+    either = whole.unionByName(near.select("entity", "term")).distinct()
+    sought = _joined(by_document.join(either.select("entity").distinct(), "entity", "left_semi").select("doc_id", "key", "entity"), bands)
+    own = sought.select("entity", F.explode("terms").alias("term")).groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_both")).join(either, ["entity", "term"])
+
+    # of a pool: beside its members
+    pooled = beside.join(by_document.where(rare).select("entity", "pool").distinct(), "entity")
+    counted = [pooled.groupBy("pool", "term", *c).agg(F.lit(1).alias("one")).groupBy("pool", "term").agg(F.count(F.lit(1)).alias(n)) for c, n in ((["context"], "contexts"), (["entity"], "members"), (["doc_id", "key"], "n_both"))]
+    pool = counted[0].where(F.col("contexts") >= SUPPORT).join(counted[1].where(F.col("members") >= SUPPORT), ["pool", "term"]).join(counted[2], ["pool", "term"])
+    judged = cut(own.select("entity", "term", "n_both").unionByName(pool.select(F.col("pool").alias("entity"), "term", "n_both")))
+
+    with_entity = members.groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
     total = spotted.count()
-    terms = rows.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))).alias("term"))
-    with_term = terms.groupBy("term").agg(F.count(F.lit(1)).alias("n_term")).join(judged.select("term").distinct(), "term", "left_semi")
+    with_term = rows.select(F.explode(_terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_term")).join(judged.select("term").distinct(), "term", "left_semi")
     information = F.log2(F.lit(float(max(total, 1))) / F.col("n_entity"))
     mutual = F.log2(F.lit(float(max(total, 1))) * F.col("n_both") / (F.col("n_entity") * F.col("n_term")))
     found = judged.join(with_entity, "entity").join(with_term, "term").select("entity", "term", mutual.alias("pmi"), information.alias("ic"))
-    return found.where((F.col("ic") > 0) & (F.col("pmi") >= GENERALISE * F.col("ic"))).select("entity", "term", (F.col("pmi") >= REMOVE * F.col("ic")).alias("removed"))
+    found = found.where((F.col("ic") > 0) & (F.col("pmi") >= GENERALISE * F.col("ic"))).select("entity", "term", (F.col("pmi") >= REMOVE * F.col("ic")).alias("removed"))
+    return members, found
+
+
+def _texts(rows: DataFrame, by: list[str]) -> DataFrame:
+    """``by`` and the number of texts that are no near copies: distinct values of the band that has the fewest."""
+    each = rows.select(*by, F.posexplode("bands").alias("band", "value")).groupBy(*by, "band", "value").agg(F.lit(1).alias("one"))
+    return each.groupBy(*by, "band").agg(F.count(F.lit(1)).alias("n")).groupBy(*by).agg(F.min("n").alias("texts"))
+
+
+def _joined(left: DataFrame, right: DataFrame) -> DataFrame:
+    """An inner join by document, for a null id too."""
+    right = right.withColumnsRenamed({"doc_id": "right_id", "key": "right_key"})
+    return left.join(right, left["doc_id"].eqNullSafe(right["right_id"]) & (left["key"] == right["right_key"])).drop("right_id", "right_key")
 
 
 def sanitise(documents: DataFrame) -> DataFrame:

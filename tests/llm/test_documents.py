@@ -88,6 +88,35 @@ def test_pii_terms_that_disclose(spark):
     assert len(clean) == len(rows) and "bob@mail" not in clean[0] and "Zorbulak" not in clean[0] and clean[100] == dict(rows)[100]
 
 
+def _terms_named(docs):
+    """The texts of the added spans by doc_id."""
+    text = dict(_docs(docs))
+    return {r["doc_id"]: [text[r["doc_id"]][int(a) : int(b)] for k, a, b in (s.split(":") for s in filter(None, r["spans"].split(","))) if k == "term"] for r in pii.digests(docs).collect()}
+
+
+def test_pii_terms_far_from_a_rare_entity(spark):
+    """Two texts are evidence, a term counts anywhere in them, and all of its occurrences are marked; copies are one text."""
+    rng = np.random.default_rng(8)
+    vocabulary = ["".join(rng.choice(list("abcdefgh"), 6)) for _ in range(400)]
+    prose = lambda n=60: " ".join(rng.choice(vocabulary, n))
+    rows = [(i, f"Zorbulak {prose()} ann@mail.com {prose()} of zorbulak") for i in range(2)]
+    text = prose()
+    rows += [(10 + i, f"{text} {edit} bob@mail.com {edit} {text} Plumbus") for i, edit in enumerate(["", vocabulary[0], vocabulary[1]])]  # near copies
+    rows += [(100 + i, prose(200)) for i in range(60)]
+    got = _terms_named(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert got[0] == got[1] == ["Zorbulak", "zorbulak"]
+    assert not any("Plumbus" in got[i] for i in (10, 11, 12)) and not got[100]
+
+
+def test_pii_terms_of_a_kind(spark):
+    """Entities seen once each are pooled: a word that stands only beside such is judged."""
+    far = "plain words without anything near " * 4
+    rows = [(i, f"{far} words Quuxline{' plain' * i} +1 234 555 100{i} words, {far} quuxline") for i in range(4)]
+    rows += [(50, f"{far} Plumbus +1 234 555 2000 {far}")] + [(100 + i, f"{far} number {i}") for i in range(60)]
+    got = _terms_named(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert all(got[i] == ["Quuxline", "quuxline"] for i in range(4)) and got[50] == []
+
+
 def test_secrets(spark, awkward, nothing):
     text = dict(_docs(awkward))
     letters = re.sub("[a-z]", lambda m: f"[{m[0].upper()}{m[0]}]", "password|passwd|secret|token|api_?key")
