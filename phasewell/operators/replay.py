@@ -1,8 +1,10 @@
 """Replay of applications against storage tiers.
 
 Without contention the replay is arithmetic on columns. With it, one trial is an event loop: activities on a tier share
-its bandwidth equally, and rates change when one begins or ends. Trials are independent rows and spread with
-``mapInPandas``.
+its bandwidth equally, and rates change when one begins or ends. An app holds its cores from its start to its end, first
+in first out. A tier has slots; where more activities want them, those that wait go first whenever one begins or ends.
+What fills a tier stops at its capacity, and a buffer above its high mark evicts clean data after each step. What waits
+for cores or room that nothing frees is never finished. Trials are independent rows and spread with ``mapInPandas``.
 """
 
 from __future__ import annotations
@@ -58,7 +60,11 @@ def evicted(level: Column, dirty: Column, capacity: Column, high: float = 0.9, l
     return F.when(over, F.greatest(F.least(level - capacity * low, level - dirty), F.lit(0.0))).otherwise(0.0)
 
 
-@dataclass
+#: Activities that a tier serves at a time, and a buffer's marks: above the high one it evicts down to the low one.
+SLOTS, HIGH, LOW = 10, 0.9, 0.7
+
+
+@dataclass(eq=False)
 class _Activity:
     """Something that moves a volume at the smallest of its tiers' shares."""
 
@@ -72,12 +78,21 @@ class _Activity:
     source: str | None = None
     began: float = 0.0
     volume: float = 0.0
+    erase: bool = False
+    held: frozenset[str] = frozenset()  # tiers of which it has a slot
+
+    @property
+    def running(self) -> bool:
+        return all(t in self.held for t, _ in self.uses)
 
 
 @dataclass
 class _Trial:
     tiers: dict[str, dict]
     own: list[str]
+    cores: float = math.inf
+    queue: list[tuple[int, object]] = field(default_factory=list)
+    dirty: dict[str, float] = field(default_factory=dict)
     now: float = 0.0
     active: list[_Activity] = field(default_factory=list)
     timers: list[tuple[float, int, object]] = field(default_factory=list)
@@ -94,21 +109,97 @@ class _Trial:
         if activity.left <= 0:
             activity.then()
             return
-        if activity.kind in ("read", "movement") and activity.fills:
+        if activity.kind == "read" and activity.fills:
             self.level[activity.fills] = max(self.level.get(activity.fills, 0.0), activity.left)
         self.active.append(activity)
 
+    def request(self, cores: int, then) -> None:
+        self.queue.append((cores, then))
+        self.grant()
+
+    def release(self, cores: int) -> None:
+        self.cores += cores
+        self.grant()
+
+    def grant(self) -> None:
+        """Cores for the apps at the head of the queue."""
+        while self.queue and self.queue[0][0] <= self.cores:
+            cores, then = self.queue.pop(0)
+            self.cores -= cores
+            then()
+
+    def share(self) -> None:
+        """Deal out the tiers' slots: those that wait first, then those that ran."""
+        self.active.sort(key=lambda a: a.running)
+        taken: dict[str, int] = {}
+        for a in self.active:
+            held = set()
+            for t, _ in a.uses:
+                if taken.get(t, 0) < self.tiers[t].get("slots", SLOTS):
+                    taken[t] = taken.get(t, 0) + 1
+                    held.add(t)
+            a.held = frozenset(held)
+
     def count(self, tier: str) -> int:
-        return sum(any(t == tier for t, _ in a.uses) for a in self.active)
+        return sum(tier in a.held for a in self.active)
+
+    def room(self, tier: str) -> float:
+        capacity = self.tiers[tier].get("capacity", math.inf)
+        room = capacity - self.level.get(tier, 0.0)
+        return room if room > 1e-9 * capacity or math.isinf(room) else 0.0
 
     def rate(self, a: _Activity) -> float:
+        if not a.running or a.kind != "read" and a.fills and not self.room(a.fills):
+            return 0.0
         if a.override:
             return a.override
         return min(self.tiers[t][op] / self.count(t) for t, op in a.uses)
 
-    def note(self, a: _Activity, start: float, moved: float, rate: float, before: dict) -> None:
+    def step(self, rates: list[float]) -> float:
+        """Until an activity ends or a timer is due, a tier is full, or a full buffer has enough clean data to evict."""
+        step = min((a.left / r for a, r in zip(self.active, rates, strict=True) if r), default=math.inf)
+        if self.timers:
+            step = min(step, max(0.0, self.timers[0][0] - self.now))
+        for tier, x in self.tiers.items():
+            filling = sum(r for a, r in zip(self.active, rates, strict=True) if a.fills == tier and a.kind != "read")
+            if filling:
+                step = min(step, self.room(tier) / filling)
+            cleaning = sum(r for a, r in zip(self.active, rates, strict=True) if a.source == tier)
+            spare = self.dirty.get(tier, 0.0) - LOW * x.get("capacity", math.inf)
+            if cleaning and spare > 1e-9 and not self.room(tier):
+                step = min(step, spare / cleaning)
+        return step
+
+    def apply(self, a: _Activity, moved: float) -> None:
+        """Levels and dirty data after a part of an activity."""
+        level = lambda t: self.level.get(t, 0.0)
+        a.left -= moved
+        if a.kind == "read":
+            return
+        if a.kind == "movement":
+            self.level[a.source] = max(level(a.source), moved)
+            if self.tiers[a.source].get("persistent"):
+                self.dirty[a.source] = max(0.0, self.dirty.get(a.source, 0.0) - moved)
+        self.level[a.fills] = level(a.fills) + moved
+        if a.kind == "write" and self.tiers[a.fills].get("persistent"):
+            self.dirty[a.fills] = self.dirty.get(a.fills, 0.0) + moved
+        if a.erase:
+            self.level[a.source] -= moved
+
+    def evict(self, a: _Activity) -> None:
+        buffer = a.source if a.kind == "movement" else a.uses[0][0]
+        if not self.tiers[buffer].get("persistent"):
+            return
+        capacity, level = self.tiers[buffer].get("capacity", math.inf), self.level.get(buffer, 0.0)
+        volume = min(level - LOW * capacity, level - self.dirty.get(buffer, 0.0)) if level > HIGH * capacity else 0.0
+        if volume > 1e-9 * level:
+            before = dict(self.level)
+            self.level[buffer] = level - volume
+            self.note(a, self.now, volume, math.inf, before, "eviction")
+
+    def note(self, a: _Activity, start: float, moved: float, rate: float, before: dict, kind: str | None = None) -> None:
         self.log.append({
-            "app": a.app, "type": a.kind, "cpu_usage": 0 if a.kind == "movement" else 1, "t_start": start, "t_end": self.now, "bandwidth_concurrency": max(self.count(t) for t, _ in a.uses),
+            "app": a.app, "type": kind or a.kind, "cpu_usage": 0 if a.kind == "movement" else 1, "t_start": start, "t_end": self.now, "bandwidth_concurrency": max(self.count(t) for t, _ in a.uses),
             "bandwidth": rate / 1e6, "phase_duration": self.now - start, "volume": moved, "tiers": self.own,
             "data_placement": {"placement": a.uses[-1][0], "source": a.source}, "init_level": before, "tier_level": dict(self.level),
         })
@@ -120,47 +211,57 @@ class _Trial:
         })
 
     def run(self) -> None:
+        changed = True
         while self.active or self.timers:
             self.timers.sort(key=lambda x: x[:2])
+            if changed:
+                self.share()
             rates = [self.rate(a) for a in self.active]
-            ends = [a.left / r for a, r in zip(self.active, rates, strict=True)]
-            step = min(ends, default=math.inf)
-            if self.timers:
-                step = min(step, max(0.0, self.timers[0][0] - self.now))
+            step = self.step(rates)
+            if math.isinf(step):
+                break  # all wait for room
             start, before = self.now, dict(self.level)
             self.now += step
+            ran = [(a, r) for a, r in zip(self.active, rates, strict=True) if r]
+            done = [a for a, r in ran if a.left / r <= step * (1 + 1e-12)]
             if step > 0:
-                for a, r in zip(self.active, rates, strict=True):
-                    moved = min(a.left, r * step)
-                    a.left -= moved
-                    if a.fills and a.kind == "write":
-                        self.level[a.fills] = self.level.get(a.fills, 0.0) + moved
-                for a, r in zip(self.active, rates, strict=True):
+                for a, r in ran:
+                    self.apply(a, min(a.left, r * step))
+                for a, r in ran:
                     self.note(a, start, r * step, r, before)
-            done = [a for a, e in zip(self.active, ends, strict=True) if e <= step * (1 + 1e-12)]
+                for a, _ in ran:
+                    self.evict(a)
             self.active = [a for a in self.active if a not in done]
             due = [t for t in self.timers if t[0] <= self.now + 1e-12]
             self.timers = [t for t in self.timers if t not in due]
+            held = len(self.active)
             for a in done:
                 a.then()
             for _, _, then in due:
                 then()
+            changed = bool(done) or len(self.active) > held
 
 
-def simulate(apps: list[dict], tiers: dict[str, dict]) -> list[dict]:
+def simulate(apps: list[dict], tiers: dict[str, dict], cores: int | None = None) -> list[dict]:
     """The log of one trial.
 
     An app has a name, a start, lists compute, read and write of equal length, and placements: for each phase's I/O the
-    tier, whether a buffer is used, and optional bandwidths. A tier has read and write bandwidths in bytes a second; a
-    buffer also names its persistent tier. Reads through a buffer are prefetched, then read from it; writes go to it
+    tier, whether a buffer is used, and optional bandwidths; optionally its cores, one number or one for each phase, of
+    which it holds the largest, and ``erase``, whether destaging takes data out of the buffer. A tier has read and write
+    bandwidths in bytes a second, optionally a capacity and slots; a buffer also names its persistent tier. Reads through a buffer are prefetched, then read from it; writes go to it
     while they are destaged, and a pure write waits for the first of the two.
     """
     buffers = {t for t, x in tiers.items() if x.get("persistent")}
-    trial = _Trial(tiers, [t for t in tiers if t not in buffers])
+    trial = _Trial(tiers, [t for t in tiers if t not in buffers], math.inf if cores is None else cores)
     buffer = next(iter(buffers), None)
 
+    def wanted(app: dict) -> int:
+        held = app.get("cores", 1)
+        return max(held, default=0) if isinstance(held, list) else held
+
     def play(app: dict, i: int) -> None:
         if i == len(app["compute"]):
+            trial.release(wanted(app))
             return
         tier, use = app["placement"][i], app["use_bb"][i] and buffer is not None
         read, write = app["read"][i], app["write"][i]
@@ -200,24 +301,25 @@ def simulate(apps: list[dict], tiers: dict[str, dict]) -> list[dict]:
                         part_done()
 
                 trial.begin(_Activity(app["name"], "write", write, [(buffer, "write")], first, buffer, override("write")))
-                trial.begin(_Activity(app["name"], "movement", write, [(buffer, "read"), (tiers[buffer]["persistent"], "write")], first, None, source=buffer))
+                trial.begin(_Activity(app["name"], "movement", write, [(buffer, "read"), (tiers[buffer]["persistent"], "write")], first, tiers[buffer]["persistent"], source=buffer, erase=bool(app.get("erase"))))
             else:
                 trial.begin(_Activity(app["name"], "write", write, [(tier, "write")], part_done, tier, override("write")))
 
     for app in apps:
-        trial.at(app.get("start", 0.0) + app["compute"][0] if app["compute"] else 0.0, lambda a=app: play(a, 0))
+        first = lambda a=app: trial.at(trial.now + (a["compute"][0] if a["compute"] else 0.0), lambda: play(a, 0))
+        trial.at(app.get("start", 0.0), lambda a=app, then=first: trial.request(wanted(a), then))
     trial.run()
     return trial.log
 
 
-def contended(trials: DataFrame, tiers: dict[str, dict]) -> DataFrame:
+def contended(trials: DataFrame, tiers: dict[str, dict], cores: int | None = None) -> DataFrame:
     """LOG rows of each trial: rows of trial_id and ``apps``, the applications as JSON."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [f.strip().split()[0] for f in LOG.replace("STRUCT<placement: STRING, source: STRING>", "S").replace("MAP<STRING, DOUBLE>", "M").split(",")]
         for frame in frames:
             for row in frame.itertuples():
-                log = pd.DataFrame(simulate(json.loads(row.apps), tiers))
+                log = pd.DataFrame(simulate(json.loads(row.apps), tiers, cores))
                 if len(log):
                     log.insert(0, "trial_id", row.trial_id)
                     yield log[names]

@@ -73,6 +73,37 @@ def test_buffer_peak_and_sharing(spark):
     assert abs(replay.peak_buffer(got, ["trial_id"]).first()["peak"] - 10e9) < 1
 
 
+def _one(name="a", read=0.0, write=0.0, use=False, **more):
+    return {"name": name, "compute": [0], "read": [read], "write": [write], "placement": ["hdd"], "use_bb": [use], **more}
+
+
+def test_apps_wait_for_cores():
+    apps = [_one("a", 8e8, cores=2), _one("b", 8e8, cores=[1, 3]), _one("c", 8e8, cores=1)]
+    spans = {r["app"]: (r["t_start"], r["t_end"]) for r in replay.simulate(apps, {"hdd": {"read": 80e6, "write": 40e6}}, cores=3)}
+    assert spans == {"a": (0, 10), "b": (10, 20), "c": (20, 30)}  # first in first out: c's core is free, but b is before it
+
+
+def test_a_tier_has_ten_slots():
+    log = replay.simulate([_one(f"a{i}", 8e8) for i in range(11)], {"hdd": {"read": 80e6, "write": 40e6}})
+    assert max(r["bandwidth_concurrency"] for r in log) == 10
+    assert {r["app"] for r in log if r["t_start"] == 0} == {f"a{i}" for i in range(10)}
+    assert sum(r["volume"] for r in log) == pytest.approx(11 * 8e8) and max(r["t_end"] for r in log) == pytest.approx(110)
+
+
+def test_a_full_buffer_evicts_clean_data():
+    tiers = {"hdd": {"read": 80e6, "write": 40e6}, "bb": {"read": 800e6, "write": 400e6, "persistent": "hdd", "capacity": 10e9}}
+    log = replay.simulate([_one(write=12e9, use=True)], tiers)
+    evicted = [(r["t_end"], r["volume"], r["tier_level"]["bb"]) for r in log if r["type"] == "eviction"]
+    # 200 MB/s come in and 40 MB/s become clean: full after 50 s with 2 GB clean, full again after 60 s with 0.4 GB
+    assert [pytest.approx(e) for e in evicted[:2]] == [(50, 2e9, 8e9), (60, 0.4e9, 9.6e9)]
+    assert max(r["t_end"] for r in log if r["type"] == "write") == pytest.approx(60)
+    assert max(r["tier_level"]["bb"] for r in log) <= 10e9 * (1 + 1e-9) and log[-1]["tier_level"]["hdd"] == pytest.approx(12e9)
+    full = replay.simulate([_one(write=12e9)], {"hdd": {"read": 80e6, "write": 40e6, "capacity": 10e9}})
+    assert sum(r["volume"] for r in full) == pytest.approx(10e9)
+    erased = replay.simulate([_one(write=4e9, use=True, erase=True)], tiers)
+    assert erased[-1]["tier_level"]["bb"] == pytest.approx(0, abs=1)
+
+
 def test_uncontended_equals_the_event_loop(spark):
     rows = [("a", 0, 0.0, 1e9, 0.0), ("a", 1, 10.0, 0.0, 5e9), ("b", 0, 0.0, 2e9, 1e9)]
     df = spark.createDataFrame(rows, "app string, i int, compute double, read double, write double")
