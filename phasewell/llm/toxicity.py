@@ -28,10 +28,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, fold_of, labelled_sample, prepare, sampled_texts, slices, texts_of
-from .shingles import shingle_set
+from .shingles import MinHash, shingle_set
 
 #: Labelled documents that a lexicon is learned from, at the most.
 MAX_LABELLED = 8_000
+#: Labelled texts count as copies where so many minima are equal: two that share half of their shingles in 1 of 256 cases.
+MINIMA = 8
 #: Entries of a learned lexicon and of its exceptions, at the most.
 MAX_ENTRIES = 5_000
 MAX_EXCEPTIONS = 500
@@ -111,11 +113,13 @@ def features(text: str, machine: ahocorasick.Automaton | None) -> tuple[float, f
 
 
 def _distinct_in(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Labels and texts with the least hash of a text's shingles, which near copies nearly always share."""
+    """Rows with a key over minima of a text's shingles, which equal texts and most near copies share, others hardly."""
+    hashes = MinHash(1, MINIMA)
     for batch in batches:
         for part in slices(batch):
             sets = [shingle_set(t) for t in texts_of(part)]
-            yield pa.record_batch([part.column("label"), part.column("text"), pa.array([int(s[0].view("i8")) if len(s) else 0 for s in sets], pa.int64())], ["label", "text", "least"])
+            keys = [int(hashes.keys(hashes.minima(s))[0]) if len(s) else 0 for s in sets]
+            yield pa.record_batch([part.column("doc_id"), part.column("label"), part.column("text"), pa.array(keys, pa.int64())], ["doc_id", "label", "text", "key"])
 
 
 def _terms(text: str) -> set[str]:
@@ -187,8 +191,9 @@ def learn(documents: DataFrame, labels: DataFrame, train=lambda doc_id: F.lit(Tr
     """Learn a lexicon from at most ``max_labelled`` of the labelled documents where ``train(doc_id)`` holds."""
     prepare(documents.sparkSession)
     texts = sampled_texts(documents, labelled_sample(labels, "toxic", train, max_labelled))
-    distinct = texts.select("label", "text").mapInArrow(_distinct_in, "label int, text string, least long")
-    texts = cut(distinct.dropDuplicates(["label", "least"]).drop("least"))  # copies say a word once
+    distinct = texts.select(F.col("doc_id").cast("long").alias("doc_id"), "label", "text").mapInArrow(_distinct_in, "doc_id long, label int, text string, key long")
+    kept = distinct.groupBy("label", "key").agg(F.min(F.struct("doc_id", "text")).alias("least"))  # copies say a word once
+    texts = cut(kept.select("label", "least.text"))
     size = {r["label"]: r["n"] for r in texts.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     toxic, clean = size.get(1, 0), size.get(0, 0)
     if not toxic or not clean:

@@ -280,6 +280,19 @@ def test_toxicity_folds_and_excepts():
     assert toxicity.features("", machine) == (0.0, 0.0)
 
 
+def test_toxicity_learns_from_texts_that_share_a_passage(spark):
+    """They aren't copies; each toxic word is in three texts."""
+    rng = np.random.default_rng(9)
+    word = lambda: "".join(rng.choice(list("bcdfgklmnprtvz"), 7))
+    passage, toxic = " ".join(word() for _ in range(60)), [word() for _ in range(20)]
+    own = lambda: " ".join(word() for _ in range(15))
+    rows = [(i, f"{own()} {toxic[i % 20]} {passage}") for i in range(60)] + [(100 + i, f"{own()} {passage}") for i in range(60)]
+    documents = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i < 100)) for i, _ in rows], "doc_id long, toxic int")
+    machine = toxicity.learn(documents, labels).automaton()
+    assert sum(bool(toxicity.hits(toxicity.fold(t), machine)) for t in toxic) >= 17
+
+
 @pytest.mark.parametrize(("operator", "label", "least"), [(toxicity, "toxic", 0.88), (quality, "quality", 0.97)])
 def test_held_out_accuracy(spark, operator, label, least):
     """About 300 toxic documents to learn from at this size; larger tables reach more."""
