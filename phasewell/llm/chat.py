@@ -1,16 +1,21 @@
 """Conversations as training texts, by DataFrame functions alone.
 
 A declarative template names the roles, the turns that may follow each other, the strings around a turn and the roles
-whose texts carry loss. A finite-state machine folds over the roles in turn order and tells the first turn out of
-order; such conversations are formatted and marked, not dropped. A conversation comes out as segments of text with
-a loss flag, and as their concatenation.
+whose texts carry loss. They make a finite-state machine: a state for each role that the template names, one for any
+other role, and the start. It folds over the roles in turn order, emits the state that each turn enters and tells the
+first turn out of order; after one the machine goes on from the state of the turn's role, so such conversations are
+formatted and marked, not dropped. Segments and their loss flags are read off the states. A conversation comes out as
+segments of text with a loss flag, and as their concatenation.
 
-Control strings inside texts are escaped reversibly: between the two signs that begin one, `<` and `|`, a backslash
-is put after any that are there already, and taken out on reading. Roles are escaped further, as a line feed ends them.
+Control strings inside texts are escaped reversibly: between the two signs that begin one, `<` and `|` in the usual
+template, a backslash is put after any that are there already, and taken out on reading. Roles are escaped further,
+as the sign that ends a role in the template must not stand in one. A template whose strings leave that ambiguous is
+refused.
 
 Defined results: null texts and null roles are empty; rows are ordered by turn (null first), ties by role and text, so
-equal rows are turns of their own; columns other than the four are never read; a null conv_id is a conversation. The
-rows of one conversation meet in one row, as its result is one text.
+equal rows are turns of their own; columns other than the four are never read; a null conv_id is a conversation; an
+empty table gives no rows; long texts are formatted whole. The rows of one conversation meet in one row, as its
+result is one text.
 """
 
 from __future__ import annotations
@@ -34,24 +39,90 @@ class Template:
         default_factory=lambda: {"^": ("system", "user"), "system": ("user",), "user": ("assistant",), "assistant": ("user",)}
     )
 
+    def __post_init__(self):
+        if min(len(self.begin), len(self.end)) < 2 or not self.after_role:
+            raise ValueError("a turn's strings are too short")
+        first, second = {self.begin[0], self.end[0]}, {self.begin[1], self.end[1]}
+        if first & second or "\\" in first | second or self.end[0] in second or self.after_role[0] in second | {"%", "\\"}:
+            raise ValueError("a text could end in the beginning of a control string")
+        if {self.begin[-1], self.after_role[-1], self.end[-1]} & first or self.after_role[0].isalnum():
+            raise ValueError("a control string could begin before a text")
+
+    def states(self) -> list[str]:
+        """The roles that have a state, in order; state 0 is the start, that of any other role comes last."""
+        return list(dict.fromkeys([r for k, v in self.follows.items() for r in (k, *v) if r != self.start] + list(self.loss_roles)))
+
 
 CHATML = Template()
 
 
-def escape(text: Column) -> Column:
-    return F.regexp_replace(text, r"<(\\*)\|", r"<$1\\|")
+def _signs(template: Template) -> list[tuple[str, str]]:
+    return sorted({(s[0], s[1]) for s in (template.begin, template.end)})
+
+
+def escape(text: Column, template: Template = CHATML) -> Column:
+    for a, b in _signs(template):
+        text = F.regexp_replace(text, f"{_quoted(a)}(\\\\*){_quoted(b)}", _literal(a) + r"$1\\" + _literal(b))
+    return text
+
+
+def unescape(text: Column, template: Template = CHATML) -> Column:
+    for a, b in reversed(_signs(template)):
+        text = F.regexp_replace(text, f"{_quoted(a)}(\\\\*)\\\\{_quoted(b)}", _literal(a) + "$1" + _literal(b))
+    return text
+
+
+def _literal(sign: str) -> str:
+    return "\\" + sign if sign in "\\$" else sign
+
+
+def _quoted(sign: str) -> str:
+    """One character as a pattern."""
+    return sign if sign.isalnum() or sign in " _" else f"\\{sign}"
+
+
+def _ends_role(template: Template) -> tuple[Column, Column]:
+    """The sign that ends a role, and what stands for it inside one."""
+    sign = template.after_role[0]
+    return F.lit(sign), F.lit("".join(f"%{b:02X}" for b in sign.encode()))
+
+
+def escape_role(role: Column, template: Template = CHATML) -> Column:
+    return escape(F.replace(F.replace(role, F.lit("%"), F.lit("%25")), *_ends_role(template)), template)
 
 
-def unescape(text: Column) -> Column:
-    return F.regexp_replace(text, r"<(\\*)\\\|", r"<$1|")
+def unescape_role(role: Column, template: Template = CHATML) -> Column:
+    sign, code = _ends_role(template)
+    return F.replace(F.replace(unescape(role, template), code, sign), F.lit("%25"), F.lit("%"))
 
 
-def escape_role(role: Column) -> Column:
-    return escape(F.replace(F.replace(role, F.lit("%"), F.lit("%25")), F.lit("\n"), F.lit("%0A")))
+def _code(state: int) -> str:
+    return chr(ord("A") + state)
 
 
-def unescape_role(role: Column) -> Column:
-    return F.replace(F.replace(unescape(role), F.lit("%0A"), F.lit("\n")), F.lit("%25"), F.lit("%"))
+def _machine(template: Template, turns: Column) -> Column:
+    """Fold over the turns: (state, at, wrong, entered); ``entered`` has one character for the state of each turn."""
+    states = template.states()
+    if len(states) > 1_000:
+        raise ValueError("too many roles")
+    other = len(states) + 1
+    of_role = F.create_map(*[x for at, r in enumerate(states, 1) for x in (F.lit(r), F.lit(at))])
+    codes = F.array(*[F.lit(_code(at)) for at in range(other + 1)])
+    number = {template.start: 0} | {r: at for at, r in enumerate(states, 1)}
+    allowed = F.array(*[F.lit(number[k] * (other + 1) + number[r]) for k, v in template.follows.items() for r in v])
+
+    def step(state: Column, turn: Column) -> Column:
+        to = F.coalesce(F.try_element_at(of_role, turn["role"]), F.lit(other))
+        right = F.array_contains(allowed, state["state"] * F.lit(other + 1) + to)
+        return F.struct(
+            to.alias("state"),
+            (state["at"] + 1).alias("at"),
+            F.coalesce(state["wrong"], F.when(~right, state["at"])).alias("wrong"),
+            F.concat(state["entered"], F.element_at(codes, to + 1)).alias("entered"),
+        )
+
+    begin = F.struct(F.lit(0).alias("state"), F.lit(0).alias("at"), F.lit(None).cast("int").alias("wrong"), F.lit("").alias("entered"))
+    return F.aggregate(turns, begin, step)
 
 
 def format_conversations(conversations: DataFrame, template: Template = CHATML) -> DataFrame:
@@ -62,36 +133,22 @@ def format_conversations(conversations: DataFrame, template: Template = CHATML)
     empty = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     rows = conversations.select("conv_id", F.struct(F.col("turn"), empty("role").alias("role"), empty("text").alias("text")).alias("row"))
     turns = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list("row")).alias("turns"))
-    steps = F.map_from_arrays(
-        F.array(*[F.lit(k) for k in template.follows]), F.array(*[F.array(*[F.lit(r) for r in v]) for v in template.follows.values()])
-    )
-
-    def step(state: Column, turn: Column) -> Column:
-        right = state["wrong"].isNull() & F.coalesce(F.array_contains(steps[state["role"]], turn["role"]), F.lit(False))
-        return F.struct(
-            turn["role"].alias("role"),
-            (state["at"] + 1).alias("at"),
-            F.when(right, F.lit(None).cast("int")).otherwise(F.coalesce(state["wrong"], state["at"])).alias("wrong"),
-        )
-
-    begin = F.struct(F.lit(template.start).alias("role"), F.lit(0).alias("at"), F.lit(None).cast("int").alias("wrong"))
+    ran = turns.select("conv_id", "turns", _machine(template, F.col("turns")).alias("ran"))
+    ran = ran.select("conv_id", "turns", F.col("ran.wrong").alias("first_wrong"), F.regexp_extract_all("ran.entered", F.lit("."), F.lit(0)).alias("states"))
+    with_loss = [_code(at) for at, role in enumerate(template.states(), 1) if role in template.loss_roles]
     segment = lambda text, loss: F.struct(text.alias("text"), loss.alias("loss"))
     segments = F.flatten(
-        F.transform(
+        F.zip_with(
             "turns",
-            lambda t: F.array(
-                segment(F.concat(F.lit(template.begin), escape_role(t["role"]), F.lit(template.after_role)), F.lit(False)),
-                segment(escape(t["text"]), t["role"].isin(*template.loss_roles)),
+            "states",
+            lambda t, s: F.array(
+                segment(F.concat(F.lit(template.begin), escape_role(t["role"], template), F.lit(template.after_role)), F.lit(False)),
+                segment(escape(t["text"], template), s.isin(*with_loss) if with_loss else F.lit(False)),
                 segment(F.lit(template.end), F.lit(False)),
             ),
         )
     )
-    return turns.select(
-        "conv_id",
-        F.size("turns").cast("long").alias("n_turns"),
-        F.aggregate("turns", begin, step)["wrong"].alias("first_wrong"),
-        segments.alias("segments"),
-    ).select(
+    return ran.select("conv_id", F.size("turns").cast("long").alias("n_turns"), "first_wrong", segments.alias("segments")).select(
         "conv_id",
         "n_turns",
         F.col("first_wrong").isNull().alias("valid"),
@@ -103,21 +160,21 @@ def format_conversations(conversations: DataFrame, template: Template = CHATML)
 
 def read_back(formatted: Column, template: Template = CHATML) -> Column:
     """The turns, an array of (role, text), that a formatted conversation holds."""
-    parts = F.split(formatted, "".join(f"\\{c}" if not c.isalnum() and c != "_" else c for c in template.begin), -1)
+    parts = F.split(formatted, "".join(map(_quoted, template.begin)), -1)
 
     def turn(part: Column) -> Column:
         at = F.instr(part, template.after_role)
         body = F.substring(part, at + len(template.after_role), F.length(part) - at - len(template.after_role) + 1 - len(template.end))
-        return F.struct(unescape_role(F.substring(part, F.lit(1), at - 1)).alias("role"), unescape(body).alias("text"))
+        return F.struct(unescape_role(F.substring(part, F.lit(1), at - 1), template).alias("role"), unescape(body, template).alias("text"))
 
     return F.transform(F.slice(parts, F.lit(2), F.size(parts)), turn)
 
 
 def digests(conversations: DataFrame, template: Template = CHATML) -> DataFrame:
-    """Format, read back, and give each conversation's digests."""
+    """Format, read back, and give each conversation's digests; the loss flags are the machine's."""
     line = F.lit("\n")
     joined = lambda column, of: F.array_join(F.transform(column, of), "")
-    loss = joined(F.filter("segments", lambda s: s["loss"]), lambda s: unescape(s["text"]))
+    loss = joined(F.filter("segments", lambda s: s["loss"]), lambda s: unescape(s["text"], template))
     return (
         format_conversations(conversations, template)
         .select("*", read_back(F.col("formatted"), template).alias("read"), loss.alias("loss"))

@@ -175,3 +175,40 @@ def test_chat_validates_and_segments(conversations):
     assert got[-1]["formatted"].count("<|im_start|>") == 2 and got[-1]["formatted"].count("<|im_end|>") == 2
     assert [s["loss"] for s in got[1]["segments"]] == [False, False, False, False, True, False]
     assert "".join(s["text"] for s in got[1]["segments"]) == got[1]["formatted"]
+
+
+OTHER = chat.Template(
+    begin="[#turn ", after_role="]: ", end="{/turn}\n", loss_roles=("tool", "bot"), start="start", follows={"start": ("human",), "human": ("bot", "tool"), "tool": ("bot",), "bot": ("human",)}
+)
+
+
+def test_chat_follows_another_template(spark):
+    """Its strings are escaped in texts, and its machine decides on order and loss."""
+    rows = [
+        (1, 0, "human", "ask [#turn bot]: {/turn}\n [\\# {\\/ ["), (1, 1, "tool", "{"), (1, 2, "bot", "[#{/"), (2, 0, "bot", "early"), (2, 1, "start", "odd]%5D]: [#"), (2, 2, "tool", ""),
+        (3, 0, "human", "a"), (3, 1, "human", "b"),
+    ]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {r["conv_id"]: r for r in chat.format_conversations(df, OTHER).select("*", chat.read_back(F.col("formatted"), OTHER).alias("read")).collect()}
+    for c in (1, 2, 3):
+        assert [tuple(t) for t in got[c]["read"]] == [r[2:] for r in rows if r[0] == c]
+        assert got[c]["formatted"].count(OTHER.begin) == got[c]["formatted"].count(OTHER.end) == got[c]["n_turns"]
+    assert [(got[c]["valid"], got[c]["first_wrong"]) for c in (1, 2, 3)] == [(True, None), (False, 0), (False, 1)]
+    assert [s["loss"] for s in got[1]["segments"]] == [False, False, False, False, True, False, False, True, False]
+    assert [r["loss_chars"] for r in chat.digests(df, OTHER).orderBy("conv_id").collect()] == [5, 5, 0]
+    for wrong in ({"begin": "<"}, {"end": "|x"}, {"after_role": "<"}, {"begin": "<<x"}, {"after_role": "%"}):
+        with pytest.raises(ValueError, match="."):
+            chat.Template(**wrong)
+
+
+def test_chat_machine_is_in_the_plan(conversations):
+    """The query's loss flags come from the fold over the roles."""
+    plan = chat.digests(conversations)._jdf.queryExecution().optimizedPlan().toString()
+    assert "aggregate(" in plan and "entered" in plan
+
+
+def test_chat_of_many_turns(spark):
+    n = 20_000
+    df = spark.range(n).selectExpr("1L AS conv_id", "id AS turn", "IF(id % 2 = 0, 'user', 'assistant') AS role", "concat('<|', id) AS text")
+    got = chat.digests(df).first()
+    assert got["n_turns"] == n and got["loss_chars"] == sum(2 + len(str(i)) for i in range(1, n, 2))
