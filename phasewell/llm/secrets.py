@@ -2,22 +2,30 @@
 
 Base kinds are found by pattern: assignments (assign), access identifiers (access) and long hexadecimal strings (hex).
 A credential has up to three parts: an identifier, a secret and an endpoint. Strong parts are the base spans; weak
-ones (account names, random-looking strings, addresses of services) say little alone. Within a scope - one paragraph,
-at most SCOPE code points apart - an interval join brings parts together: a weak secret is reported where an
-identifier is in reach, a weak identifier where a secret is, an endpoint where both are; at least one of the parts
-must be strong. The join walks sorted intervals with binary search, so a text full of parts needs no pairs.
+ones (account names, random-looking strings, addresses of services) say little alone and are looked for in the whole
+text. Within a scope - one paragraph, at most SCOPE code points apart - an interval join brings parts together:
+
+* a weak secret (candidate) is reported where a strong identifier is in reach, or a weak one and an endpoint;
+* a weak identifier where a strong secret is in reach, or a weak one and an endpoint;
+* an endpoint where an identifier and a secret are, strong or weak.
+
+So a credential of weak parts alone is reported where all three stand together. Weak parts that overlap base spans are
+left out; of weak ones that overlap, endpoints go before identifiers and these before candidates. The join looks up
+the nearest ends and beginnings of sorted intervals by binary search, so a text full of parts needs no pairs.
 
 Defined results: null and empty texts have no spans; long texts are read whole; repeated rows are reported each;
-columns other than the id and the text are never read; spans count code points, ends are exclusive.
+columns other than the id and the text are never read; spans count code points, ends are exclusive; an empty table
+gives no rows.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -36,6 +44,7 @@ def _either_case(words: str) -> str:
     return re.sub("[a-z]", lambda m: f"[{m[0].upper()}{m[0]}]", words)
 
 
+_ACCOUNTS = ("client", "account", "user", "login")
 _KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 _ASSIGN = re.compile(_either_case("(password|passwd|secret|token|api_?key)") + r"""["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -73,64 +82,76 @@ def _random_looking(part: str) -> bool:
 
 
 def linked_spans(text: str, base: list[Span]) -> list[Span]:
-    """Weak parts that complementary parts stand beside."""
-    if not base:
-        return []  # nothing strong to link to
+    """Weak parts that complementary parts stand beside, by start."""
+    weak = _weak_spans(text, base)
+    if not weak:
+        return []
     paragraphs = [m.start() for m in _PARAGRAPH.finditer(text)]
-
-    def covered(s: int, e: int) -> bool:
-        return any(s < b and a < e for _, a, b in base)
-
-    near = _near_ranges(text, base)
-    weak: list[Span] = []
-    for lo, hi in near:
-        weak += [("identifier", *m.span()) for m in _IDENTIFIER.finditer(text, lo, hi)]
-        weak += [("candidate", *m.span()) for m in _CANDIDATE.finditer(text, lo, hi) if _random_looking(m[0])]
-        weak += [("endpoint", *m.span()) for m in _ENDPOINT.finditer(text, lo, hi)]
-    weak = sorted({w for w in weak if not covered(w[1], w[2])}, key=_order)
-    roles = {"assign": "secret", "hex": "secret", "access": "identifier", "identifier": "identifier", "candidate": "secret"}
-    parts: dict[tuple[str, bool], list[tuple[int, int, int]]] = {(r, s): [] for r in ("secret", "identifier") for s in (True, False)}
-    for strong, spans in ((True, base), (False, weak)):
-        for kind, s, e in spans:
-            if kind in roles:
-                parts[roles[kind], strong].append((bisect_left(paragraphs, s), s, e))
-
-    def reach(role: str, strong: bool, s: int, e: int) -> bool:
-        """Is a part of the role in the span's paragraph, no more than SCOPE away and not the span itself?"""
-        rows, own = parts[role, strong], bisect_left(paragraphs, s)
-        i = bisect_left(rows, (own, s, e))
-        before = next((rows[j] for j in range(i - 1, -1, -1) if rows[j][1:] != (s, e)), None)
-        after = next((rows[j] for j in range(i, len(rows)) if rows[j][1:] != (s, e)), None)
-        return any(x and x[0] == own and (x[1] - e <= SCOPE if x[1] >= s else s - x[2] <= SCOPE) for x in (before, after))
-
+    of = {
+        "strong identifier": _Intervals([x for x in base if x[0] == "access"], paragraphs),
+        "strong secret": _Intervals([x for x in base if x[0] != "access"], paragraphs),
+        "weak identifier": _Intervals([x for x in weak if x[0] == "identifier"], paragraphs),
+        "weak secret": _Intervals([x for x in weak if x[0] == "candidate"], paragraphs),
+        "endpoint": _Intervals([x for x in weak if x[0] == "endpoint"], paragraphs),
+    }
     out = []
     for kind, s, e in weak:
+        near = lambda *parts: any(of[p].reach(s, e) for p in parts)  # noqa: B023, E731
         if kind == "candidate":
-            ok = reach("identifier", True, s, e)
+            ok = near("strong identifier") or near("weak identifier") and near("endpoint")
         elif kind == "identifier":
-            ok = reach("secret", True, s, e)
+            ok = near("strong secret") or near("weak secret") and near("endpoint")
         else:
-            id_strong, secret_strong = reach("identifier", True, s, e), reach("secret", True, s, e)
-            ok = (id_strong and (secret_strong or reach("secret", False, s, e))) or (secret_strong and reach("identifier", False, s, e))
+            ok = near("strong identifier", "weak identifier") and near("strong secret", "weak secret")
         if ok:
             out.append((kind, s, e))
     return out
 
 
-def _near_ranges(text: str, base: list[Span]) -> list[tuple[int, int]]:
-    """The parts of the text within two scopes of a strong part, widened to white space, merged."""
-    out: list[list[int]] = []
-    for _, s, e in base:
-        lo, hi = max(0, s - 2 * SCOPE), min(len(text), e + 2 * SCOPE)
-        while lo > 0 and not text[lo - 1].isspace():
-            lo -= 1
-        while hi < len(text) and not text[hi].isspace():
-            hi += 1
-        if out and lo <= out[-1][1]:
-            out[-1][1] = max(hi, out[-1][1])
-        else:
-            out.append([lo, hi])
-    return [(a, b) for a, b in out]
+def _weak_spans(text: str, base: list[Span]) -> list[Span]:
+    """Disjoint weak parts outside the base spans, by start."""
+    taken = [(s, e) for _, s, e in base]
+    out: list[Span] = []
+    if "://" in text:
+        out += _outside(taken, [("endpoint", *m.span()) for m in _ENDPOINT.finditer(text)])
+    low = text.lower()
+    if any(w in low for w in _ACCOUNTS):
+        out += _outside(taken + [(s, e) for _, s, e in out], [("identifier", *m.span()) for m in _IDENTIFIER.finditer(text)])
+    if out or base:  # a candidate alone is never reported
+        found = [("candidate", *m.span()) for m in _CANDIDATE.finditer(text) if _random_looking(m[0])]
+        out += _outside(taken + [(s, e) for _, s, e in out], found)
+    return sorted(out, key=_order)
+
+
+def _outside(taken: list[tuple[int, int]], spans: list[Span]) -> list[Span]:
+    """The spans that overlap none of the taken intervals."""
+    if not taken or not spans:
+        return spans
+    taken = sorted(taken)
+    starts, ends = [s for s, _ in taken], list(accumulate((e for _, e in taken), max))
+    out = []
+    for span in spans:
+        i = bisect_left(starts, span[2])  # those that begin before the span ends
+        if not i or ends[i - 1] <= span[1]:
+            out.append(span)
+    return out
+
+
+class _Intervals:
+    """Parts of one role, for the question whether one is in reach of a span that overlaps none of them."""
+
+    def __init__(self, spans: list[Span], paragraphs: list[int]):
+        self.paragraphs = paragraphs
+        self.starts = sorted(s for _, s, _ in spans)
+        self.ends = sorted(e for _, _, e in spans)
+
+    def reach(self, s: int, e: int) -> bool:
+        """Is a part in the span's paragraph and at most SCOPE away?"""
+        own = bisect_left(self.paragraphs, s)
+        before, after = bisect_right(self.ends, s), bisect_left(self.starts, e)
+        if before and s - self.ends[before - 1] <= SCOPE and bisect_left(self.paragraphs, self.ends[before - 1]) == own:
+            return True
+        return after < len(self.starts) and self.starts[after] - e <= SCOPE and bisect_left(self.paragraphs, self.starts[after]) == own
 
 
 _SPANS = "array<struct<kind:string,start:int,end:int>>"
