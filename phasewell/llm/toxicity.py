@@ -1,25 +1,31 @@
 """Toxicity by a weighted lexicon.
 
 The texts are folded (case, look-alike letters of other scripts, digits and signs that stand for letters, invisible
-characters), an Aho-Corasick automaton finds the lexicon's entries at the beginnings of words, hits inside an
+characters, styled letters, stray marks), an Aho-Corasick automaton finds the lexicon's entries at the beginnings of words, hits inside an
 exception phrase are void, and the weighted sum, also normalised by the text's length, is calibrated to a probability.
 
 The lexicon is learned: an entry is a word or the beginning of a word whose documents are labelled toxic far more
 often than others; its weight is the smoothed log odds. Exception phrases are two words, one of them an entry, that
-occur in clean labelled documents but in no toxic one.
+occur in clean labelled documents but in no toxic one. Only the labelled rows are bounded (MAX_LABELLED), their number
+by a hash of the id; of texts with eight equal minima over their shingles, near copies, the smallest doc_id's counts.
+Entries are no more than 1 / MIN_SHARE times the terms of a toxic document, so the lexicon needs no bound of its own.
+The same rows give the same lexicon and scores however the tables are partitioned.
 
 Defined results: null and empty texts have no hits and get the score of a text without hits; long texts are matched
 whole; repeated rows are scored each; columns other than the id and the text are never read, whatever their names;
-without any usable label the lexicon is empty and every score is 0.
+without any usable label the lexicon is empty and every score is 0; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import math
 import re
+import unicodedata
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 import ahocorasick
 import numpy as np
@@ -34,9 +40,6 @@ from .shingles import MinHash, shingle_set
 MAX_LABELLED = 8_000
 #: Labelled texts count as copies where so many minima are equal: two that share half of their shingles in 1 of 256 cases.
 MINIMA = 8
-#: Entries of a learned lexicon and of its exceptions, at the most.
-MAX_ENTRIES = 5_000
-MAX_EXCEPTIONS = 500
 #: An entry is in at least so many toxic documents, and in at least this share of them; of all documents that hold it,
 #: at least MIN_PURITY are toxic.
 MIN_TOXIC = 3
@@ -57,12 +60,17 @@ _FULLWIDTH = {chr(0xFF01 + i): chr(0x21 + i) for i in range(94)}
 _FOLD = str.maketrans(
     {k: SUBSTITUTES.get(v.lower(), v.lower()) for k, v in _FULLWIDTH.items()} | LOOKALIKES | SUBSTITUTES | dict.fromkeys(INVISIBLE, "")
 )
+#: Combining marks that make no letter with what they stand on.
+_MARKS = re.compile("[\u0300-\u036f\u1ab0-\u1aff\u1dc0-\u1dff\u20d0-\u20ff\ufe20-\ufe2f]+")
 _BANG = re.compile(r"(?<=[a-z])[!|](?=[a-z])")
 _WORD = re.compile(r"[^\W_]+")
+_REST = re.compile(r"[^\W_]*")
 
 
 def fold(text: str) -> str:
-    """Lower case, with look-alikes and substitutes replaced by the letters they stand for."""
+    """Lower case, with look-alikes, styled letters and substitutes replaced by the letters they stand for."""
+    if not text.isascii():  # letters keep the accents that they are written with, as these tell words apart
+        text = _MARKS.sub("", unicodedata.normalize("NFKC", text))
     text = text.lower().translate(_FOLD)
     return _BANG.sub("i", text) if "!" in text or "|" in text else text
 
@@ -102,7 +110,10 @@ def hits(text: str, machine: ahocorasick.Automaton | None) -> list[tuple[int, in
             void.append((start, end))
         elif start not in found or found[start][0] < end:
             found[start] = (end, weight)
-    return [(s, e, w) for s, (e, w) in sorted(found.items()) if not any(a <= s and e <= b for a, b in void)]
+    void.sort()
+    starts, ends = [a for a, _ in void], list(accumulate((b for _, b in void), max))
+    inside = lambda s, e: (i := bisect_right(starts, s)) and e <= ends[i - 1]
+    return [(s, e, w) for s, (e, w) in sorted(found.items()) if not inside(s, e)]
 
 
 def features(text: str, machine: ahocorasick.Automaton | None) -> tuple[float, float]:
@@ -141,6 +152,16 @@ def _terms_in(known: frozenset[str] | None):
     return run
 
 
+def _word_end(text: str, at: int) -> int:
+    return _REST.match(text, at).end()
+
+
+def _word_begin(text: str, at: int) -> int:
+    while at and _REST.match(text, at - 1, at).end() == at:
+        at -= 1
+    return at
+
+
 def _pairs_in(machine_of):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = machine_of()
@@ -150,11 +171,11 @@ def _pairs_in(machine_of):
                 for text, label in zip(texts_of(part), part.column("label").to_pylist(), strict=True):
                     folded, own = fold(text), set()
                     for start, end, _ in hits(folded, machine):
-                        if m := re.search(r"[^\W_]+ $", folded[max(0, start - 40) : start]):
-                            tail = re.match(r"[^\W_]*", folded[start : end + 40])[0]
-                            own.add(m[0] + tail)
-                        if m := re.match(r"[^\W_]+ [^\W_]+", folded[start : end + 80]):
-                            own.add(m[0])
+                        tail = _word_end(folded, start)
+                        if start and folded[start - 1] == " " and (begin := _word_begin(folded, start - 1)) < start - 1:
+                            own.add(folded[begin:tail])
+                        if folded[tail : tail + 1] == " " and (after := _word_end(folded, tail + 1)) > tail + 1:
+                            own.add(folded[start:after])
                     phrases += own
                     labels += [label] * len(own)
                 yield pa.record_batch([pa.array(phrases, pa.string()), pa.array(labels, pa.int32())], ["term", "label"])
@@ -199,7 +220,7 @@ def learn(documents: DataFrame, labels: DataFrame, train=lambda doc_id: F.lit(Tr
     if not toxic or not clean:
         return Lexicon({}, calibration=(-30.0, 0.0, 0.0))
     held = texts.where("label = 1").mapInArrow(_terms_in(None), "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
-    held = held.where(F.col("n") >= max(MIN_TOXIC, MIN_SHARE * toxic)).orderBy(F.desc("n"), "term").limit(10 * MAX_ENTRIES)
+    held = held.where(F.col("n") >= max(MIN_TOXIC, MIN_SHARE * toxic))
     in_toxic = {r["term"]: r["n"] for r in held.collect()}
     others = texts.where("label = 0").mapInArrow(_terms_in(frozenset(in_toxic)), "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
     in_clean = {r["term"]: r["n"] for r in others.collect()}
@@ -210,7 +231,7 @@ def learn(documents: DataFrame, labels: DataFrame, train=lambda doc_id: F.lit(Tr
             best[term] = odds
     weights, whole = {}, set()
     for term in sorted(best, key=lambda t: (len(t), t)):  # the shortest pure beginning stands for all that begin with it
-        if any(f"<{term[1 : 1 + n]}" in best and n < len(term) - 1 for n in PREFIXES) or len(weights) >= MAX_ENTRIES:
+        if any(f"<{term[1 : 1 + n]}" in best and n < len(term) - 1 for n in PREFIXES):
             continue
         entry = term[1:]
         if entry not in weights or term[0] == "<":
@@ -224,11 +245,9 @@ def learn(documents: DataFrame, labels: DataFrame, train=lambda doc_id: F.lit(Tr
         .groupBy("term")
         .agg(F.sum("label").alias("n1"), F.sum(1 - F.col("label")).alias("n0"))
         .where("n1 = 0 and n0 >= 3")
-        .orderBy(F.desc("n0"), "term")
-        .limit(MAX_EXCEPTIONS)
     )
-    lexicon.exceptions = [r["term"] for r in phrases.collect() if r["term"] not in weights]
-    table = np.array([tuple(r) for r in texts.mapInArrow(_features_in(lexicon), "total double, density double, label int").collect()], dtype=float)
+    lexicon.exceptions = sorted(r["term"] for r in phrases.collect() if r["term"] not in weights)
+    table = np.array(sorted(tuple(r) for r in texts.mapInArrow(_features_in(lexicon), "total double, density double, label int").collect()), dtype=float)
     lexicon.calibration = _logistic(table[:, :2], table[:, 2])
     return lexicon
 
