@@ -17,12 +17,18 @@ SLICE_BYTES = 4 << 20
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Bound the Arrow batches, and set a checkpoint folder where the cluster names none."""
+    """Bound the session's Arrow batches, and set its checkpoint folder to the one that the cluster names.
+
+    Queries run after an operator has returned, so the bound on batches stays for the session. Without a named folder a
+    local session gets a temporary one; on a cluster that is an error, as executors couldn't read the driver's disk.
+    """
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > ARROW_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="phasewell-checkpoint-"))
     return spark
 
@@ -67,14 +73,17 @@ def labelled_sample(labels: DataFrame, label: str, train, most: int) -> DataFram
     than once counts with its largest label; null ids and null labels take no part.
     """
     rows = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & train(F.col("doc_id")))
-    total = rows.count()
-    picked = rows.select("doc_id", F.col(label).cast("int").alias("label"))
-    if total > most:
-        share = int(most / total * 0.97 * (1 << 30))
-        picked = picked.where(F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1 << 30)) < share)
-    return picked.groupBy("doc_id").agg(F.max("label").alias("label")).limit(most)
+    picked = rows.groupBy("doc_id").agg(F.max(F.col(label).cast("int")).alias("label"))
+    total = picked.count()
+    order = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1 << 40))
+    if total > most:  # a little more than wanted, of which the first are taken
+        picked = picked.where(order < int(min(1.0, 1.2 * most / total + 1e-3) * (1 << 40)))
+    return picked.orderBy(order, "doc_id").limit(most)
 
 
 def sampled_texts(documents: DataFrame, sample: DataFrame) -> DataFrame:
-    """(doc_id, label, text) of the sampled ids: a bounded number of rows, kept in the shared folder."""
-    return cut(documents.select("doc_id", "text").join(F.broadcast(sample), "doc_id"))
+    """(doc_id, label, text) of the sampled ids, kept in the shared folder: one row each, of the text with the least
+    hash where rows repeat an id with different ones."""
+    held = documents.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
+    least = held.groupBy("doc_id", "label").agg(F.min(F.struct(F.xxhash64("text").alias("hash"), "text")).alias("least"))
+    return cut(least.select("doc_id", "label", "least.text"))

@@ -1,14 +1,17 @@
 """Text quality by votes of the nearest labelled neighbours in a latent-semantic space.
 
-A document's terms are trigrams of character shapes (upper and lower case, digits, white space, single signs), words
-and lines that repeat, and rates of a few shapes. Square roots of term shares, weighted by inverse document frequency
-in the labelled sample, are projected by a truncated singular value decomposition. The labelled vectors are a bounded
-sample that every task holds; each document's exact cosine with all of them is a blocked matrix product, and the
-nearest vote with their similarity.
+The space is one of character shapes, not of words, so that it holds for languages that the labels don't show. A
+document's terms are trigrams of shapes (upper and lower case, digits, white space, single signs), and the shares of
+words and lines that repeat, of words in capitals and of words that end in a sign. Square roots of term shares,
+weighted by inverse document frequency in the labelled sample, are projected by a truncated singular value
+decomposition. The labelled vectors are a bounded sample that every task holds; each document's exact cosine with all
+of them is a blocked matrix product, and the NEIGHBOURS nearest vote, each with the fourth power of its cosine (POWER), negative
+ones not at all.
 
 Defined results: null and empty texts get the sample's share of label 1; long texts are read whole; repeated rows are
 scored each; columns other than the id and the text are never read, whatever their names; without any usable label
-every score is 1, so that nothing is rejected.
+every score is 1, so that nothing is rejected; an empty table gives no rows. Components of vectors count in steps of 2^-20, so that cosines are exact sums whatever the blocks, and ties
+go to the smaller doc_id, so that the neighbours don't depend on how the tables are partitioned.
 """
 
 from __future__ import annotations
@@ -28,9 +31,15 @@ from .common import fold_of, labelled_sample, prepare, sampled_texts, slices, te
 MAX_LABELLED = 6_000
 DIMENSIONS = 32
 NEIGHBOURS = 15
+POWER = 4
+#: A unit in steps of a vector's components.
+STEP = float(1 << 20)
 BLOCK = 256
 THRESHOLD = 0.3
 
+#: Texts of up to so many words say nothing by words that repeat.
+SHORT = 20
+
 _SIGNS = b" \n.,!?|#*&%$-:;'\"()"
 _CLASSES = 25
 _REPEATS = 6
@@ -66,7 +75,7 @@ def term_shares(text: str) -> tuple[np.ndarray, np.ndarray]:
     same = sum(map(operator.eq, words, words[1:])) / n
     base = _CLASSES**3
     counts[base] = same
-    counts[base + 1] = 1 - len(set(words)) / n if n > 20 else 0
+    counts[base + 1] = 1 - len(set(words)) / n if n > SHORT else 0
     counts[base + 2] = 1 - len(set(lines)) / len(lines)
     upper = sum(w.isupper() for w in words) / n
     counts[base + 3] = upper
@@ -83,7 +92,7 @@ class Neighbours:
     projection: np.ndarray  # kept terms x dimensions, with the inverse document frequencies
     column: np.ndarray  # of each term, its row of the projection, or -1
     vectors: np.ndarray  # labelled x dimensions, of length 1
-    labels: np.ndarray
+    labels: np.ndarray  # in the order of the doc_ids
     prior: float
 
     def vector(self, terms: np.ndarray, shares: np.ndarray) -> np.ndarray:
@@ -98,29 +107,37 @@ class Neighbours:
         if not len(self.labels):
             return np.full(len(block), self.prior)
         k = min(neighbours, len(self.labels))
-        cosines = block @ self.vectors.T
-        near = np.argpartition(-cosines, k - 1, axis=1)[:, :k]
-        weight = np.clip(np.take_along_axis(cosines, near, 1), 0, None).astype(np.float64) ** 4 + 1e-9
+        cosines = _steps(block) @ _steps(self.vectors).T / STEP**2
+        least = np.partition(cosines, -k, axis=1)[:, -k, None]  # ties with the last go to the first rows
+        above, last = cosines > least, cosines == least
+        near = above | last & (last.cumsum(1) <= k - above.sum(1, keepdims=True)) if (last.sum(1) > 1).any() else above | last
+        near = np.nonzero(near)[1].reshape(len(block), k)
+        weight = np.clip(np.take_along_axis(cosines, near, 1), 0, None) ** POWER + 1e-9
         out = (weight * self.labels[near]).sum(1) / weight.sum(1)
         return np.where(np.abs(block).sum(1) > 0, out, self.prior)
 
 
+def _steps(vectors: np.ndarray) -> np.ndarray:
+    """Components as whole numbers, whose products have exact sums in any order."""
+    return np.rint(vectors.astype(np.float64) * STEP)
+
+
 def _shares_in(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in slices(batch):
             found = [term_shares(t) for t in texts_of(part)]
             yield pa.record_batch(
-                [pa.array([a.astype(np.int32).tobytes() for a, _ in found], pa.binary()), pa.array([b.astype(np.float32).tobytes() for _, b in found], pa.binary()), part.column("label")],
-                ["terms", "shares", "label"],
+                [part.column("doc_id"), pa.array([a.astype(np.int32).tobytes() for a, _ in found], pa.binary()), pa.array([b.astype(np.float32).tobytes() for _, b in found], pa.binary()), part.column("label")],
+                ["doc_id", "terms", "shares", "label"],
             )
 
 
 def learn(documents: DataFrame, labels: DataFrame, train=lambda doc_id: F.lit(True), max_labelled: int = MAX_LABELLED, dimensions: int = DIMENSIONS) -> Neighbours:
     """Fit on at most ``max_labelled`` of the labelled documents where ``train(doc_id)`` holds."""
     prepare(documents.sparkSession)
-    texts = sampled_texts(documents, labelled_sample(labels, "quality", train, max_labelled))
-    rows = [(np.frombuffer(r[0], np.int32), np.frombuffer(r[1], np.float32), r[2]) for r in texts.mapInArrow(_shares_in, "terms binary, shares binary, label int").collect()]
-    rows = [r for r in rows if len(r[0])]
+    texts = sampled_texts(documents, labelled_sample(labels, "quality", train, max_labelled)).withColumn("doc_id", F.col("doc_id").cast("long"))
+    rows = [(r[0], np.frombuffer(r[1], np.int32), np.frombuffer(r[2], np.float32), r[3]) for r in texts.mapInArrow(_shares_in, "doc_id long, terms binary, shares binary, label int").collect()]
+    rows = [r[1:] for r in sorted(rows, key=lambda r: r[0]) if len(r[1])]
     y = np.array([r[2] for r in rows], np.float64)
     if not len(rows):
         return Neighbours(np.zeros((1, 1), np.float32), np.full(TERMS, -1), np.zeros((0, 1), np.float32), y, 1.0)

@@ -4,8 +4,10 @@ import re
 import time
 
 import numpy as np
+import pyarrow as pa
+from pyspark.sql import functions as F
 
-from phasewell.llm import secrets
+from phasewell.llm import quality, secrets, toxicity
 
 
 def _linked_by_hand(text):
@@ -70,3 +72,52 @@ def test_linked_spans_of_a_long_text():
     begun = time.perf_counter()
     found = secrets.linked_spans(text, secrets.base_spans(text))
     assert len(found) > 50_000 and time.perf_counter() - begun < 60
+
+
+def test_scores_do_not_depend_on_partitions(spark):
+    """Both tables dealt anew, with a bound on the labelled rows that bites."""
+    folder = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
+    for operator in (toxicity, quality):
+        runs = []
+        for docs_now, labels_now in ((docs, labels), (docs.repartition(7, "n_chars"), labels.repartition(3, "quality")), (docs.orderBy(F.desc("doc_id")), labels.orderBy(F.rand(4)))):
+            model = operator.learn(docs_now, labels_now, max_labelled=300)
+            runs.append(({r["doc_id"]: r["score"] for r in operator.score(docs_now, model).collect()}, model))
+        assert runs[0][0] == runs[1][0] == runs[2][0] and len(set(runs[0][0].values())) > 2
+    assert runs[0][1].labels.size <= 300
+
+
+def test_copies_tie_by_the_smaller_id(spark):
+    """Labelled copies of one text that bear different labels: the neighbours are those of the smallest ids."""
+    rows = [(i, "the very same text of some words") for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    labels = spark.createDataFrame([(i, int(i < 15)) for i in range(40)], "doc_id long, quality int").repartition(3)
+    assert {r["score"] for r in quality.score(df, quality.learn(df, labels)).collect()} == {1.0}
+
+
+def test_a_repeated_id_is_one_labelled_row(spark):
+    rows = [(1, f"text number {i}") for i in range(500)] + [(2, "other words here"), (3, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 0)], "doc_id long, quality int")
+    assert quality.learn(df, labels).labels.tolist() == [1, 0]
+
+
+def test_folded_letters():
+    lexicon = toxicity.Lexicon({"idiot": 5.0})
+    of = lambda t: len(toxicity.hits(toxicity.fold(t), lexicon.automaton()))
+    assert of("𝒾𝒹𝒾ℴ𝓉") == of("ⓘⓓⓘⓞⓣ") == of("i\u0336d\u0336i\u0336o\u0336t") == of("ID\u20ddIOT") == 1 and not of("kidiot") and not of("idiöt")
+
+
+def test_hits_in_a_long_text():
+    """Linear, also where every entry stands in an exception phrase."""
+    machine = toxicity.Lexicon({"scum": 4.0, "idiot": 5.0}, {"scum"}, ["scum line"]).automaton()
+    text = "scum line idiot " * 300_000
+    begun = time.perf_counter()
+    assert len(toxicity.hits(text, machine)) == 300_000 and time.perf_counter() - begun < 30
+
+
+def test_phrases_have_whole_words():
+    text = "a" * 100 + " scum " + "b" * 100 + " scum"
+    batch = pa.record_batch([pa.array([text]), pa.array([0], pa.int32())], ["text", "label"])
+    (out,) = toxicity._pairs_in(toxicity.Lexicon({"scum": 4.0}).automaton)([batch])
+    assert sorted(out.column("term").to_pylist()) == sorted(["a" * 100 + " scum", "scum " + "b" * 100, "b" * 100 + " scum"])
