@@ -4,7 +4,11 @@ A document's ids and an end id are cut into full sequences and a rest. Only the
 many rows as a sequence is long, goes to the driver. There the lengths are placed longest first, each into the open
 pattern with the most room, many packs of one pattern at a time; what fits nowhere opens new packs. Patterns are
 joined back by rank: the n-th piece of a length takes the n-th place of that length. Ranks are counted within salted
-groups and shifted by the groups' sizes, so that a length which a third of all documents share isn't one task's.
+groups of about SALTED pieces and shifted by the groups' sizes, so that a length which a third of all documents share
+isn't one task's.
+
+Literals of a tokenizer's added tokens, like `<|endoftext|>`, are text unless ``added`` is true: so no document can
+forge a control token. With ``added`` they are the tokens, as a plain call of the tokenizer has them.
 
 Defined results: null and empty texts are the end id alone; long texts are cut, never shortened; repeated rows are
 packed each; columns other than the id and the text are never read; an empty table has no pieces.
@@ -12,6 +16,8 @@ packed each; columns other than the id and the text are never read; an empty tab
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
 from array import array
 from collections.abc import Callable, Iterator
@@ -27,6 +33,8 @@ from .common import cut, prepare, slices, texts_of
 
 SEQUENCE = 2048
 END_ID = 1
+#: Pieces of one length that are ranked together, about.
+SALTED = 20_000
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
@@ -58,34 +66,69 @@ def _byte_of(character: str) -> int:
     return hidden[at - 256]
 
 
-def _pieces_in(tokenizer_json: str, end_id: int, most: int, with_ids: bool):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from tokenizers import Tokenizer
+def _added_tokens(tokenizer_json: str) -> tuple[re.Pattern | None, dict[str, bytes], bool]:
+    """A pattern of the added tokens' literals, their ids, and whether they are found plainly, without options."""
+    tokens = [t for t in json.loads(tokenizer_json).get("added_tokens", []) if t["content"]]
+    if not tokens:
+        return None, {}, True
+    literals = sorted((t["content"] for t in tokens), key=len, reverse=True)
+    plain = not any(t.get(option) for t in tokens for option in ("single_word", "lstrip", "rstrip", "normalized"))
+    return re.compile("|".join(map(re.escape, literals))), {t["content"]: array("I", [t["id"]]).tobytes() for t in tokens}, plain
+
+
+def _encoder(tokenizer_json: str, added: bool) -> Callable[[str], bytes]:
+    """The ids of a text as bytes, without special tokens."""
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_str(tokenizer_json)
+    tokenizer.encode_special_tokens = not added
+    remembered = Remembered(_plain(tokenizer))
+    pattern, own, plain = _added_tokens(tokenizer_json)
+    if not added or pattern is None:
+        return lambda text: encode(text, remembered)
+
+    def of(text: str) -> bytes:
+        if not pattern.search(text):
+            return encode(text, remembered)
+        if not plain:
+            return array("I", tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+        out, at = [], 0
+        for m in pattern.finditer(text):
+            out += [encode(text[at : m.start()], remembered), own[m[0]]]
+            at = m.end()
+        return b"".join([*out, encode(text[at:], remembered)])
+
+    return of
+
 
-        tokenizer = Tokenizer.from_str(tokenizer_json)
-        tokenizer.encode_special_tokens = True
-        remembered = Remembered(_plain(tokenizer))
+def _pieces_in(tokenizer_json: str, end_id: int, most: int, with_ids: bool, added: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = _encoder(tokenizer_json, added)
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
             for part in slices(batch):
                 rows = []
                 for doc_id, text in zip(part.column("doc_id").to_pylist(), texts_of(part), strict=True):
-                    ids = encode(text, remembered) + end
+                    ids = of(text) + end
                     for at in range(0, len(ids), 4 * most):
                         piece = ids[at : at + 4 * most]
-                        rows.append((doc_id, at // 4, len(piece) // 4, zlib.crc32(piece), len(ids) // 4, *([piece] if with_ids else [])))
-                columns = list(zip(*rows, strict=True)) or [()] * (5 + with_ids)
-                arrays = [pa.array(c, pa.int64()) for c in columns[:5]] + [pa.array(c, pa.binary()) for c in columns[5:]]
+                        rows.append((doc_id, at // 4, len(piece) // 4, zlib.crc32(piece), len(ids) // 4, piece))
+                columns = list(zip(*rows, strict=True)) or [()] * 6
+                arrays = [pa.array(c, pa.int64()) for c in columns[:5]]
+                if with_ids:
+                    bounds = np.concatenate([[0], np.cumsum(columns[2], dtype=np.int64)]).astype(np.int32)
+                    values = pa.Array.from_buffers(pa.int32(), int(bounds[-1]), [None, pa.py_buffer(b"".join(columns[5]))])
+                    arrays.append(pa.ListArray.from_arrays(pa.array(bounds), values))
                 yield pa.record_batch(arrays, ["doc_id", "start", "length", "ids_crc32", "doc_tokens", *["ids"] * with_ids])
 
     return run
 
 
-def pieces(documents: DataFrame, tokenizer_json: str, end_id: int = END_ID, most: int = SEQUENCE, with_ids: bool = False) -> DataFrame:
-    """The documents cut into pieces of at most ``most`` ids; ids themselves (32-bit, little-endian) where asked for."""
+def pieces(documents: DataFrame, tokenizer_json: str, end_id: int = END_ID, most: int = SEQUENCE, with_ids: bool = False, added: bool = False) -> DataFrame:
+    """The documents cut into pieces of at most ``most`` ids; with the ids themselves, an array, where asked for."""
     prepare(documents.sparkSession)
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(_pieces_in(tokenizer_json, end_id, most, with_ids), PIECES + ", ids binary" * with_ids)
+    return rows.mapInArrow(_pieces_in(tokenizer_json, end_id, most, with_ids, added), PIECES + ", ids array<int>" * with_ids)
 
 
 @dataclass
@@ -171,10 +214,12 @@ def pack(cut_pieces: DataFrame, most: int = SEQUENCE) -> DataFrame:
     ``cut_pieces`` is read twice and should be a computed table.
     """
     spark = prepare(cut_pieces.sparkSession)
-    salts = max(256, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
-    salted = cut_pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "start"), F.lit(salts)).cast("int"))
+    histogram = {r["length"]: r["n"] for r in cut_pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
+    salts = F.lit(1)
+    if many := {length: -(-n // SALTED) for length, n in histogram.items() if n > SALTED}:
+        salts = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in many.items() for x in pair]), F.col("length").cast("int")), F.lit(1))
+    salted = cut_pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "start"), salts).cast("long"))
     groups = cut(salted.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n")))
-    histogram = {r["length"]: r["n"] for r in groups.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     shared = spark.sparkContext.broadcast(places(patterns(histogram, most)))
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     shifts = groups.select("length", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("shift"))
@@ -187,6 +232,6 @@ def pack(cut_pieces: DataFrame, most: int = SEQUENCE) -> DataFrame:
     )
 
 
-def pack_documents(documents: DataFrame, tokenizer_json: str, end_id: int = END_ID, most: int = SEQUENCE) -> DataFrame:
-    """One row for each piece: PIECES, its sequence and its offset there. The ids' checksum stands for the ids."""
-    return pack(cut(pieces(documents, tokenizer_json, end_id, most)), most)
+def pack_documents(documents: DataFrame, tokenizer_json: str, end_id: int = END_ID, most: int = SEQUENCE, with_ids: bool = False, added: bool = False) -> DataFrame:
+    """One row for each piece: PIECES, its sequence and its offset there, and its ids where asked for."""
+    return pack(cut(pieces(documents, tokenizer_json, end_id, most, with_ids, added)), most)

@@ -32,7 +32,7 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str, ranks: str | None = None) ->
 def op5_histogram_packing(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
     prepare(spark)
     with open(tokenizer or public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as file:
-        return packing.pack_documents(table(spark, sf_dir, "documents"), file.read())
+        return packing.pack_documents(table(spark, sf_dir, "documents"), file.read(), added=True)
 
 
 def op6_linked_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
