@@ -6,7 +6,7 @@ Pre-tokens are encoded one by one; one that is an entry itself is its rank. Deco
 
 Defined results: null and empty texts have no ids and decode to no bytes; long texts are encoded whole; repeated rows
 are encoded each; columns other than the id and the text are never read. Lone surrogates can't occur in Spark strings.
-Ids outside the vocabulary raise an error when decoding.
+Ids outside the vocabulary raise an error when decoding. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import sentencepiece
 from pyspark.sql import DataFrame
@@ -28,6 +29,8 @@ from pyspark.sql import functions as F
 from .chunks import Remembered, encode, is_word
 from .common import prepare, slices, texts_of
 
+#: Ids that are decoded at once, unless one row has more.
+DECODED = 1 << 20
 _FIRST = 0x100  # the character that stands for byte 0
 
 
@@ -146,6 +149,19 @@ def encode_documents(documents: DataFrame, codec: Codec) -> DataFrame:
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, ids array<int>")
 
 
+def _decodable(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Consecutive parts of a batch with at most DECODED ids, or one row."""
+    counts = pc.fill_null(pc.list_value_length(batch.column("ids")), 0).to_pylist()
+    begin, held = 0, 0
+    for at, n in enumerate(counts):
+        if held and held + n > DECODED:
+            yield batch.slice(begin, at - begin)
+            begin, held = at, 0
+        held += n
+    if begin < batch.num_rows:
+        yield batch.slice(begin)
+
+
 def decode_documents(encoded: DataFrame, codec: Codec) -> DataFrame:
     """(doc_id, ids, decoded): the bytes that each row's ids stand for; null ids stand for none."""
     shared = prepare(encoded.sparkSession).sparkContext.broadcast(codec)
@@ -153,8 +169,7 @@ def decode_documents(encoded: DataFrame, codec: Codec) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = shared.value
         for batch in batches:
-            for begin in range(0, batch.num_rows, 256):
-                part = batch.slice(begin, 256)
+            for part in _decodable(batch):
                 lists = part.column("ids").fill_null([]) if part.column("ids").null_count else part.column("ids")
                 raw, ends = codec.decode(lists.flatten().to_numpy(zero_copy_only=False))
                 counts = np.diff(lists.offsets.to_numpy())
