@@ -42,10 +42,10 @@ def sanitise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents' pieces, each with its sequence and its offset there."""
+    """The documents' pieces, each with its ids, its sequence and its offset there."""
     prepare(spark)
     with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as file:
-        return packing.pack_documents(docs, file.read())
+        return packing.pack_documents(docs, file.read(), with_ids=True)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
