@@ -12,6 +12,8 @@ from .common import cut
 
 #: Rounds after which the stars must have settled; each at least halves what is left to settle in practice.
 MAX_ROUNDS = 60
+#: Rows from which a key can be hot, and hot keys at the most.
+HOT, HOT_KEYS = 1_000, 1_000
 
 
 def _pointed(edges: DataFrame) -> DataFrame:
@@ -19,24 +21,48 @@ def _pointed(edges: DataFrame) -> DataFrame:
     return edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _met(rows: DataFrame, keyed: DataFrame, key: str, most: int) -> DataFrame:
+    """``rows`` joined with ``keyed``, which has each key once and its number of rows n.
+
+    Keys with more than ``most`` rows are broadcast, so that the rows of a hot key stay where they are; there are fewer
+    of them than rows / ``most``. The others meet by a shuffle.
+    """
+    hot = F.broadcast(keyed.where(F.col("n") > most).withColumnRenamed(key, "_hot").drop("n"))
+    values = [c for c in keyed.columns if c not in (key, "n")]
+    marked = rows.join(hot, rows[key] == F.col("_hot"), "left")
+    there = marked.where("_hot is not null").drop("_hot")
+    rest = marked.where("_hot is null").drop("_hot", *values).join(keyed.where(F.col("n") <= most).drop("n"), key)
+    return there.unionByName(rest)
+
+
+def met_by(rows: DataFrame, keyed: DataFrame, key: str, total: int) -> DataFrame:
+    """``rows``, ``total`` of them, joined with the values of their key; see ``_met``."""
+    return _met(rows, keyed, key, _most(total))
+
+
+def _most(total: int) -> int:
+    """Rows from which a key counts as hot; no more than HOT_KEYS keys can be."""
+    return max(HOT, 2 * total // HOT_KEYS)
+
+
+def _large_star(edges: DataFrame, most: int) -> DataFrame:
     """Every larger neighbour of u is joined to the least of u and its neighbours."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return _pointed(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")))
+    least = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+    return _pointed(_met(both.where("v > u"), least, "u", most).select(F.col("v").alias("u"), F.col("m").alias("v")))
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, most: int) -> DataFrame:
     """u and its smaller neighbours are joined to the least of them."""
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    return _pointed(edges.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))))
+    least = edges.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+    return _pointed(_met(edges, least, "u", most).select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))))
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(id, component) of each id that has an edge: the smallest id that it reaches.
 
-    ``edges`` has the columns u and v. Hubs are never gathered: minima are pre-aggregated, and the join with them can
-    be split by Spark where an id is hot. Each round is kept in the shared checkpoint folder.
+    ``edges`` has the columns u and v. Hubs are never gathered: minima are pre-aggregated, and those of hubs, a bounded
+    number, are broadcast to the edges. Each round is kept in the shared checkpoint folder.
     """
     state, before = cut(_pointed(edges)), None
     for _ in range(MAX_ROUNDS):
@@ -44,7 +70,8 @@ def components(edges: DataFrame) -> DataFrame:
         if now == before or not now[0]:
             break
         before = now
-        state = cut(_small_star(_large_star(state)))
+        most = _most(now[0])
+        state = cut(_small_star(_large_star(state, most), most))
     else:
         raise RuntimeError("the stars haven't settled")
     roots = state.select(F.col("v").alias("id")).distinct()
@@ -58,7 +85,8 @@ def in_blocks(rows: DataFrame, group: str, member: Column, sizes: DataFrame, blo
     hash of ``member``; a row then goes to one (i, j) for each block of its group. Column ``own`` is the row's block.
     """
     count = F.ceil(F.col("n") / F.lit(block)).cast("int")
-    placed = rows.join(sizes.select(group, count.alias("blocks")), group).withColumn("own", F.pmod(F.xxhash64(member, F.lit(5)), F.col("blocks")).cast("int"))
+    total = sizes.agg(F.sum("n")).first()[0] or 0
+    placed = met_by(rows, sizes.select(group, "n", count.alias("blocks")), group, total).withColumn("own", F.pmod(F.xxhash64(member, F.lit(5)), F.col("blocks")).cast("int"))
     other = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     return other.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("other", "blocks")
 
