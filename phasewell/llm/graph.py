@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -116,6 +117,17 @@ def map_groups(rows: DataFrame, keys: list[str], run: Callable[[pa.Table], pa.Re
     return spread.mapInArrow(groups, schema)
 
 
+def join_pairs(group: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+    """Join the rows a[i] and b[i] of a block; ``group`` has the least row of each row's group, and is changed."""
+    while len(a):
+        left, right = group[a], group[b]
+        apart = left != right
+        a, b, left, right = a[apart], b[apart], left[apart], right[apart]
+        np.minimum.at(group, np.maximum(left, right), np.minimum(left, right))
+        while (group[group] != group).any():
+            group[:] = group[group]
+
+
 class Forest:
     """Union-find over the rows of a block."""
 

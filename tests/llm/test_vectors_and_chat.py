@@ -212,3 +212,20 @@ def test_chat_of_many_turns(spark):
     df = spark.range(n).selectExpr("1L AS conv_id", "id AS turn", "IF(id % 2 = 0, 'user', 'assistant') AS role", "concat('<|', id) AS text")
     got = chat.digests(df).first()
     assert got["n_turns"] == n and got["loss_chars"] == sum(2 + len(str(i)) for i in range(1, n, 2))
+
+
+def test_embedding_recall_with_the_usual_cells(spark):
+    """Production parameters over several cells: planted pairs near the threshold, and one vector that a third of the rows share."""
+    rng = np.random.default_rng(13)
+    unit = lambda n: (v := rng.normal(size=(n, 64))) / np.linalg.norm(v, axis=1, keepdims=True)
+    a, other = unit(1_500), unit(1_500)
+    other -= (other * a).sum(1, keepdims=True) * a
+    other /= np.linalg.norm(other, axis=1, keepdims=True)
+    near = 0.905 * a + np.sqrt(1 - 0.905**2) * other
+    rows = np.concatenate([a, near, unit(4_000), np.repeat(unit(1), 3_000, 0)]).astype(np.float32)
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(rows)], "vec_id long, embedding array<float>")
+    got = {r["vec_id"]: r for r in embed_dedup.near_duplicates(df).collect()}
+    assert len(got) == len(rows) and len(rows) - 3_000 > 3 * embed_dedup.CELL
+    assert np.mean([got[i]["n_links"] == got[1_500 + i]["n_links"] == 1 and got[1_500 + i]["component_id"] == i for i in range(1_500)]) >= 0.99
+    assert {(got[i]["n_links"], got[i]["component_id"]) for i in range(7_000, 10_000)} == {(2_999, 7_000)}
+    assert not any(got[i]["n_links"] for i in range(3_000, 7_000))
