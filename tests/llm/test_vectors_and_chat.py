@@ -229,3 +229,32 @@ def test_embedding_recall_with_the_usual_cells(spark):
     assert np.mean([got[i]["n_links"] == got[1_500 + i]["n_links"] == 1 and got[1_500 + i]["component_id"] == i for i in range(1_500)]) >= 0.99
     assert {(got[i]["n_links"], got[i]["component_id"]) for i in range(7_000, 10_000)} == {(2_999, 7_000)}
     assert not any(got[i]["n_links"] for i in range(3_000, 7_000))
+
+
+def test_topk_prunes_level_by_level():
+    """Vectors whose energy lies on few axes: the bounds leave few pairs, fewer at each level; the result stays exact."""
+    rng = np.random.default_rng(15)
+    basis = np.linalg.qr(rng.normal(size=(32, 32)))[0]
+    x = np.floor(4_000 * (rng.normal(size=(3_000, 32)) * 0.6 ** np.arange(32)) @ basis).astype(np.int64)
+    ids, q = np.arange(len(x)), x[::20]
+    plain = topk.search_block(ids[::20], q, ids, x, 20)
+    first = topk.search_block(ids[::20], q, ids[:1_000], x[:1_000], 20)
+    floor = np.array([s[-1] for _, s in first], float)
+    shares: list = []
+    turned = topk.search_block(ids[::20], q, ids, x, 20, topk.axes(x[:500].astype(float)), floor, shares)
+    products = q @ x.T
+    for i, (own, scores) in enumerate(turned):
+        wanted = sorted((-int(s), j) for j, s in enumerate(products[i]) if j != 20 * i)[:20]
+        assert [(-int(s), int(j)) for s, j in zip(scores, own, strict=True)] == wanted
+        assert (plain[i][0] == own).all() and (plain[i][1] == scores).all()
+    one, four, sixteen = np.mean(shares, 0)
+    assert one > four > sixteen and four < 0.5 and sixteen < 0.1
+
+
+def test_topk_of_huge_components(spark):
+    """Beyond what a long holds: saturated, without an error."""
+    rows = [(0, [1e30, 1.0]), (20, [-1e30, 2.0]), (1, [1e300, 1e300]), (2, [3.0, 4.0]), (3, [5e6, 6e6])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {(r["query_id"], r["vec_id"]): r["score"] for r in topk.top_k(df, F.col("id") % 20 == 0, 20).collect()}
+    assert got[0, 1] == (1 << 63) - 1 and got[20, 1] == -(1 << 63) and len(got) == 8
+    assert got[0, 2] == (1 << 63) - 1 and got[20, 3] == -(1 << 63)
