@@ -16,9 +16,12 @@ whose documents with a term are those where the term stands near a member; the t
 Whole documents would bring chance words here. A rare word beside one address, or beside its copies, has no evidence
 and stays.
 
+A word run together with a base span is part of it and no term. Positions and marked texts are made in blocks of
+matches and of BLOCK code points, so that a long text full of matches costs its length and not the square of it.
+
 Defined results: null and empty texts have no spans; long texts are read whole; repeated rows get the same spans;
 spans count code points, ends are exclusive; other columns are kept by ``sanitise`` and never read, except that
-names beginning with ``_pii_`` are reserved.
+names beginning with ``_pii_`` are reserved; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -35,6 +38,12 @@ SUPPORT = 3
 #: Texts count as near copies where one of so many groups of so many minima agrees.
 BANDS, MINIMA = 12, 3
 REMOVE, GENERALISE = 0.9, 0.75
+#: Matches whose positions are counted together, and code points of a block of text.
+MATCHES, BLOCK = 256, 4_096
+#: A letter that stands for each code point of a base span where terms are sought.
+FILLER = "\ua8f2"
+#: Judged terms are broadcast up to so many and so many bytes.
+FEW_TERMS, FEW_BYTES = 200_000, 8 << 20
 
 KINDS = ("email", "ip", "card", "phone", "term")
 MARKS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]"}
@@ -51,10 +60,13 @@ IP_PARTS = rf"^{_PART}(?:\.{_PART}){{3}}$"
 _FOUND = "array<struct<start:int,end:int,match:string>>"
 
 
+def _let(value: Column, use) -> Column:
+    """``use`` of a value that is computed once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def located(text: Column, pattern: str) -> Column:
     """The pattern's matches with their code-point positions."""
-    matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    pairs = F.arrays_zip(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(matches)).alias("gap"), matches.alias("match"))
 
     def step(state: Column, pair: Column) -> Column:
         start = state["at"] + F.length(pair["gap"])
@@ -62,7 +74,60 @@ def located(text: Column, pattern: str) -> Column:
         return F.struct(end.alias("at"), F.concat(state["out"], F.array(F.struct(start.alias("start"), end.alias("end"), pair["match"].alias("match")))).alias("out"))
 
     begin = F.struct(F.lit(0).alias("at"), F.array().cast(_FOUND).alias("out"))
-    return F.when(F.size(matches) > 0, F.aggregate(pairs, begin, step)["out"]).otherwise(F.array().cast(_FOUND))
+
+    def positions(pairs: Column) -> Column:
+        """Positions within parts of MATCHES, then shifted by the lengths of the parts before."""
+        numbers = F.sequence(F.lit(0), F.floor((F.size(pairs) - 1) / MATCHES).cast("int"))
+        parts = F.transform(numbers, lambda n: F.aggregate(F.slice(pairs, n * MATCHES + 1, MATCHES), begin, step))
+        moved = lambda part, by: F.transform(part["out"], lambda m: F.struct((m["start"] + by).alias("start"), (m["end"] + by).alias("end"), m["match"].alias("match")))
+        return _let(parts, lambda p: F.flatten(F.zip_with(p, _before(p, F.lit(0), lambda at, part: at + part["at"]), moved)))
+
+    none = F.array().cast(_FOUND)
+    gaps = lambda found: F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found))
+    pairs = lambda found: F.zip_with(gaps(found), found, lambda gap, match: F.struct(gap.alias("gap"), match.alias("match")))
+    return _let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda found: F.when(F.size(found) > 0, _let(pairs(found), positions)).otherwise(none))
+
+
+def _before(values: Column, first: Column, step) -> Column:
+    """For each value what ``step`` makes of those before it, from ``first`` on."""
+    begin = F.struct(first.alias("at"), F.array().cast("array<int>").alias("out"))
+    return F.aggregate(values, begin, lambda s, v: F.struct(step(s["at"], v).alias("at"), F.concat(s["out"], F.array(s["at"])).alias("out")))["out"]
+
+
+def _covered(spans: Column) -> Column:
+    """For each span, by start, where those before it end, in parts of MATCHES; one more for the end of all."""
+    furthest = lambda at, span: F.greatest(at, span["end"])
+    numbers = F.sequence(F.lit(0), F.floor(F.size(spans) / MATCHES).cast("int"))
+    parts = F.transform(numbers, lambda n: F.slice(spans, n * MATCHES + 1, MATCHES))
+    within = lambda ps: F.transform(ps, lambda part: _before(part, F.lit(0), furthest))
+    ends = lambda ps: _before(F.transform(ps, lambda part: F.struct(F.aggregate(part, F.lit(0), furthest).alias("end"))), F.lit(0), furthest)
+    all_of = lambda ps: F.flatten(F.zip_with(within(ps), ends(ps), lambda own, low: F.transform(own, lambda x: F.greatest(x, low))))
+    last = F.aggregate(spans, F.lit(0), furthest)
+    return F.concat(_let(parts, all_of), F.array(last))
+
+
+def _blocks(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))
+
+
+def _cut_out(blocks: Column, begin: Column, end: Column) -> Column:
+    """The text from ``begin`` up to ``end``."""
+    first, last = F.floor(begin / BLOCK).cast("int"), F.floor(end / BLOCK).cast("int")
+    part = lambda at, low, n: F.coalesce(F.substring(F.get(blocks, at), low + 1, n), F.lit(""))
+    between = F.array_join(F.slice(blocks, first + 2, F.greatest(last - first - 1, F.lit(0))), "")
+    several = F.concat(part(first, begin - first * BLOCK, F.lit(BLOCK)), between, part(last, F.lit(0), end - last * BLOCK))
+    return F.when(end <= begin, F.lit("")).when(first == last, part(first, begin - first * BLOCK, end - begin)).otherwise(several)
+
+
+def _replaced(text: Column, spans: Column, mark) -> Column:
+    """The text with ``mark(span, begin)`` in place of each span's part from ``begin`` on, where spans before it end."""
+
+    def made(blocks: Column, spans: Column, before: Column) -> Column:
+        # a span that begins inside one before it has no gap and, for most marks, nothing in its place
+        parts = F.zip_with(spans, F.slice(before, F.lit(1), F.size(spans)), lambda s, low: F.concat(_cut_out(blocks, low, F.greatest(s["start"], low)), mark(s, low)))
+        return F.concat(F.array_join(parts, ""), _cut_out(blocks, F.element_at(before, -1), F.lit(2**31 - 1 - BLOCK)))
+
+    return _let(spans, lambda s: _let(_blocks(text), lambda b: _let(_covered(s), lambda before: made(b, s, before))))
 
 
 def _kind(found: Column, kind: str, value, holds) -> Column:
@@ -93,32 +158,30 @@ def base_spans(text: Column) -> Column:
     )
 
 
-def _context(text: Column, spans: Column) -> Column:
-    """Array of (entity, context, term, start, end): the terms beside each base span that lie in no base span."""
+def _masked(text: Column, spans: Column) -> Column:
+    """The text with a letter that no term has in place of each code point of a base span."""
+    return F.when(F.size(spans) > 0, _replaced(text, spans, lambda s, low: F.repeat(F.lit(FILLER), F.greatest(s["end"] - F.greatest(s["start"], low), F.lit(0))))).otherwise(text)
 
-    def beside(span: Column) -> Column:
-        low = F.greatest(span["start"] - CONTEXT, F.lit(0))
-        before = F.substring(text, low + 1, span["start"] - low)
-        after = F.substring(text, span["end"] + 1, F.lit(CONTEXT))
-        entity = F.xxhash64(span["kind"], span["value"])
-        context = F.xxhash64(before, after)
 
-        def terms(part: Column, shift: Column, whole_low: Column, whole_high: Column) -> Column:
-            # a term at the cut edge of the context may be part of a longer word
-            inside = F.filter(located(part, TERM), lambda m: (whole_low | (m["start"] > 0)) & (whole_high | (m["end"] < F.length(part))))
-            return F.transform(
-                inside,
-                lambda m: F.struct(
-                    entity.alias("entity"), context.alias("context"), F.lower(m["match"]).alias("term"), (m["start"] + shift).alias("start"), (m["end"] + shift).alias("end")
-                ),
-            )
+def _found_terms(masked: Column) -> Column:
+    return F.filter(located(masked, TERM), lambda m: ~F.contains(m["match"], F.lit(FILLER)))
 
-        never = F.lit(False)
-        return F.concat(terms(before, low, low == 0, never), terms(after, span["end"], never, span["end"] + F.length(after) >= F.length(text)))
 
-    free = lambda m: ~F.exists(spans, lambda s: (s["start"] < m["end"]) & (m["start"] < s["end"]))
-    none = F.array().cast("array<struct<entity:bigint,context:bigint,term:string,start:int,end:int>>")
-    return F.when(F.size(spans) > 0, F.filter(F.flatten(F.transform(spans, beside)), free)).otherwise(none)
+def _context(text: Column, masked: Column, spans: Column) -> Column:
+    """Array of (entity, context, term): the terms beside each base span."""
+    none = F.array().cast("array<struct<entity:bigint,context:bigint,term:string>>")
+
+    def beside(blocks: Column, hidden: Column, n: Column, span: Column) -> Column:
+        low, high = F.greatest(span["start"] - CONTEXT, F.lit(0)), F.least(span["end"] + CONTEXT, n)
+        entity = F.xxhash64(span["kind"], span["value"])
+        context = F.xxhash64(_cut_out(blocks, low, span["start"]), _cut_out(blocks, span["end"], high))
+        # a term at the cut edge of the context may be part of a longer word
+        part = F.concat(_cut_out(hidden, low, span["start"]), F.lit(" "), _cut_out(hidden, span["end"], high))
+        whole = F.filter(_found_terms(part), lambda m: ((low == 0) | (m["start"] > 0)) & ((high == n) | (m["end"] < high - low - span["end"] + span["start"] + 1)))
+        return F.transform(whole, lambda m: F.struct(entity.alias("entity"), context.alias("context"), F.lower(m["match"]).alias("term")))
+
+    found = lambda b, h, n: F.flatten(F.transform(spans, lambda s: beside(b, h, n, s)))
+    return F.when(F.size(spans) > 0, _let(F.length(text), lambda n: _let(_blocks(text), lambda b: _let(_blocks(masked), lambda h: found(b, h, n))))).otherwise(none)
 
 
 def _text() -> Column:
@@ -144,17 +207,6 @@ def _bands(terms: Column) -> Column:
     return F.array(*[F.xxhash64(*[F.coalesce(least(MINIMA * band + i), F.lit(0)) for i in range(MINIMA)]) for band in range(BANDS)])
 
 
-def _outside(text: Column, spans: Column) -> Column:
-    """The text with a blank in place of each base span."""
-
-    def step(state: Column, span: Column) -> Column:
-        gap = F.substring(text, state["at"] + 1, F.greatest(span["start"] - state["at"], F.lit(0)))
-        return F.struct(F.greatest(state["at"], span["end"]).alias("at"), F.concat(state["out"], gap, F.lit(" ")).alias("out"))
-
-    done = F.aggregate(spans, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step)
-    return F.concat(done["out"], F.substring(text, done["at"] + 1, F.length(text)))
-
-
 def find(documents: DataFrame) -> DataFrame:
     """(doc_id, key, base, added) for each row: base spans and the terms to remove or generalise.
 
@@ -164,11 +216,12 @@ def find(documents: DataFrame) -> DataFrame:
     rows = documents.select("doc_id", _text().alias("text"))
     spotted = rows.select("doc_id", _row_key().alias("key"), "text", base_spans(F.col("text")).alias("base"))
     holds = F.size("base") > 0
+    spotted = spotted.withColumn("masked", F.when(holds, _masked(F.col("text"), F.col("base"))))
     spotted = cut(
         spotted.select(
-            "doc_id", "key", "base", F.when(holds, F.col("text")).alias("text"), _context(F.col("text"), F.col("base")).alias("context"),
+            "doc_id", "key", "base", "masked", _context(F.col("text"), F.col("masked"), F.col("base")).alias("context"),
             F.when(holds, _entities(F.col("base"))).alias("entities"),
-            F.when(holds, F.array_intersect(_terms(F.col("text")), _terms(_outside(F.col("text"), F.col("base"))))).alias("terms"),
+            F.when(holds, F.filter(_terms(F.col("masked")), lambda t: ~F.contains(t, F.lit(FILLER)))).alias("terms"),
         )
     )
     members, disclosing = _disclosing(rows, spotted)
@@ -176,18 +229,11 @@ def find(documents: DataFrame) -> DataFrame:
     told = members.join(disclosing, "entity").groupBy("doc_id", "key", "term").agg(F.max("removed").alias("removed"))
     told = told.groupBy("doc_id", "key").agg(F.map_from_entries(F.collect_list(F.struct("term", "removed"))).alias("told"))
     own = spotted.select("doc_id", "key", "base")
-    texts = spotted.where(holds).select("doc_id", "key", "text").dropDuplicates(["doc_id", "key"])
-    texts = _joined(told, texts)
-    matches = F.regexp_extract_all("text", F.lit(TERM), F.lit(0))
-    pairs = F.arrays_zip(F.slice(F.split("text", TERM, -1), F.lit(1), F.size(matches)).alias("gap"), matches.alias("match"))
-    each = texts.select("doc_id", "key", "told", F.posexplode(pairs).alias("at", "pair"))
-    each = each.select("doc_id", "key", "at", F.length("pair.gap").alias("gap"), F.length("pair.match").alias("n"), F.element_at("told", F.lower("pair.match")).alias("removed"))
-    before = Window.partitionBy("doc_id", "key").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
-    each = each.withColumn("end", F.sum(F.col("gap") + F.col("n")).over(before).cast("int")).where("removed is not null")
-    added = each.groupBy("doc_id", "key").agg(F.array_sort(F.collect_list(F.struct((F.col("end") - F.col("n")).alias("start"), "end", "removed"))).alias("added"))
+    texts = _joined(told, spotted.where(holds).select("doc_id", "key", "masked").dropDuplicates(["doc_id", "key"]))
+    each = F.transform(_found_terms(F.col("masked")), lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), F.try_element_at(F.col("told"), F.lower(m["match"])).alias("removed")))
+    added = texts.select("doc_id", "key", F.filter(each, lambda m: m["removed"].isNotNull()).alias("added"))
     same = own["doc_id"].eqNullSafe(added["doc_id"]) & (own["key"] == added["key"])
-    free = F.filter("added", lambda m: ~F.exists("base", lambda s: (s["start"] < m["end"]) & (m["start"] < s["end"])))
-    return own.join(added, same, "left").select(own["doc_id"], own["key"], "base", F.coalesce(free, F.array().cast("array<struct<start:int,end:int,removed:boolean>>")).alias("added"))
+    return own.join(added, same, "left").select(own["doc_id"], own["key"], "base", F.coalesce("added", F.array().cast("array<struct<start:int,end:int,removed:boolean>>")).alias("added"))
 
 
 def _disclosing(rows: DataFrame, spotted: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -218,7 +264,14 @@ def _disclosing(rows: DataFrame, spotted: DataFrame) -> tuple[DataFrame, DataFra
 
     with_entity = members.groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
     total = spotted.count()
-    with_term = rows.select(F.explode(_terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_term")).join(judged.select("term").distinct(), "term", "left_semi")
+    sought = judged.select("term").distinct()
+    size = sought.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length("term")), F.lit(0)).alias("bytes")).first()
+    terms = rows.select(F.explode(_terms(F.col("text"))).alias("term"))
+    count = F.count(F.lit(1)).alias("n_term")
+    if size["n"] <= FEW_TERMS and size["bytes"] <= FEW_BYTES:
+        with_term = terms.join(F.broadcast(sought), "term", "left_semi").groupBy("term").agg(count)
+    else:
+        with_term = terms.groupBy("term").agg(count).join(sought, "term", "left_semi")
     information = F.log2(F.lit(float(max(total, 1))) / F.col("n_entity"))
     mutual = F.log2(F.lit(float(max(total, 1))) * F.col("n_both") / (F.col("n_entity") * F.col("n_term")))
     found = judged.join(with_entity, "entity").join(with_term, "term").select("entity", "term", mutual.alias("pmi"), information.alias("ic"))
@@ -258,16 +311,7 @@ def sanitise(documents: DataFrame) -> DataFrame:
         lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), shape(s).alias("mark")),
     )
 
-    def step(state: Column, span: Column) -> Column:
-        ahead = span["start"] >= state["at"]
-        return F.struct(
-            F.greatest(state["at"], span["end"]).alias("at"),
-            F.when(ahead, F.concat(state["out"], F.substring(text, state["at"] + 1, span["start"] - state["at"]), span["mark"])).otherwise(state["out"]).alias("out"),
-        )
-
-    begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    done = F.aggregate(F.array_sort(F.concat(base, added)), begin, step)
-    clean = F.concat(done["out"], F.substring(text, done["at"] + 1, F.length(text)))
+    clean = _replaced(text, F.array_sort(F.concat(base, added)), lambda s, low: F.when(s["start"] >= low, s["mark"]).otherwise(F.lit("")))
     return plain.unionByName(touched.withColumn("text", clean).select(*columns))
 
 
