@@ -248,8 +248,9 @@ def simulate(apps: list[dict], tiers: dict[str, dict], cores: int | None = None)
     An app has a name, a start, lists compute, read and write of equal length, and placements: for each phase's I/O the
     tier, whether a buffer is used, and optional bandwidths; optionally its cores, one number or one for each phase, of
     which it holds the largest, and ``erase``, whether destaging takes data out of the buffer. A tier has read and write
-    bandwidths in bytes a second, optionally a capacity and slots; a buffer also names its persistent tier. Reads through a buffer are prefetched, then read from it; writes go to it
-    while they are destaged, and a pure write waits for the first of the two.
+    bandwidths in bytes a second, optionally a capacity and slots; a buffer also names its persistent tier. Reads through a
+    buffer are prefetched, then read from it; writes go to it while they are destaged. A pure write waits for the first of
+    the two; a phase that reads and writes first prefetches, then waits for the read, the write and the destaging.
     """
     buffers = {t for t, x in tiers.items() if x.get("persistent")}
     trial = _Trial(tiers, [t for t in tiers if t not in buffers], math.inf if cores is None else cores)
@@ -266,7 +267,8 @@ def simulate(apps: list[dict], tiers: dict[str, dict], cores: int | None = None)
         tier, use = app["placement"][i], app["use_bb"][i] and buffer is not None
         read, write = app["read"][i], app["write"][i]
         override = lambda side: (app.get(f"{side}_bw") or [None] * (i + 1))[i] or (app.get("bw") or [None] * (i + 1))[i]
-        waits = (read > 0) + (write > 0)
+        mixed = use and read > 0 and write > 0
+        waits = 3 if mixed else (read > 0) + (write > 0)
 
         def after_io() -> None:
             gap = app["compute"][i + 1] - app["compute"][i] if i + 1 < len(app["compute"]) else 0
@@ -280,6 +282,12 @@ def simulate(apps: list[dict], tiers: dict[str, dict], cores: int | None = None)
             if waits == 0:
                 after_io()
 
+        def through(then) -> None:
+            """Write to the buffer while it is destaged."""
+            below = tiers[buffer]["persistent"]
+            trial.begin(_Activity(app["name"], "write", write, [(buffer, "write")], then, buffer, override("write")))
+            trial.begin(_Activity(app["name"], "movement", write, [(buffer, "read"), (below, "write")], then, below, source=buffer, erase=bool(app.get("erase"))))
+
         if not waits:
             after_io()
             return
@@ -287,12 +295,19 @@ def simulate(apps: list[dict], tiers: dict[str, dict], cores: int | None = None)
             def direct(where=tier, fills=None):
                 trial.begin(_Activity(app["name"], "read", read, [(where, "read")], part_done, fills or where, override("read")))
 
+            def fetched():
+                direct(buffer, buffer)
+                if mixed:
+                    through(part_done)
+
             if use:
-                trial.begin(_Activity(app["name"], "movement", read, [(tier, "read"), (buffer, "write")], lambda: direct(buffer, buffer), buffer, source=tier))
+                trial.begin(_Activity(app["name"], "movement", read, [(tier, "read"), (buffer, "write")], fetched, buffer, source=tier))
             else:
                 direct()
         if write > 0:
-            if use:
+            if mixed:
+                pass  # once the read is fetched
+            elif use:
                 ended = [False]
 
                 def first() -> None:
@@ -300,8 +315,7 @@ def simulate(apps: list[dict], tiers: dict[str, dict], cores: int | None = None)
                         ended[0] = True
                         part_done()
 
-                trial.begin(_Activity(app["name"], "write", write, [(buffer, "write")], first, buffer, override("write")))
-                trial.begin(_Activity(app["name"], "movement", write, [(buffer, "read"), (tiers[buffer]["persistent"], "write")], first, tiers[buffer]["persistent"], source=buffer, erase=bool(app.get("erase"))))
+                through(first)
             else:
                 trial.begin(_Activity(app["name"], "write", write, [(tier, "write")], part_done, tier, override("write")))
 
@@ -313,13 +327,14 @@ def simulate(apps: list[dict], tiers: dict[str, dict], cores: int | None = None)
 
 
 def contended(trials: DataFrame, tiers: dict[str, dict], cores: int | None = None) -> DataFrame:
-    """LOG rows of each trial: rows of trial_id and ``apps``, the applications as JSON."""
+    """LOG rows of each trial: rows of trial_id, ``apps``, the applications as JSON, and optionally ``tiers``, a trial's own."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [f.strip().split()[0] for f in LOG.replace("STRUCT<placement: STRING, source: STRING>", "S").replace("MAP<STRING, DOUBLE>", "M").split(",")]
         for frame in frames:
             for row in frame.itertuples():
-                log = pd.DataFrame(simulate(json.loads(row.apps), tiers, cores))
+                own = getattr(row, "tiers", None)
+                log = pd.DataFrame(simulate(json.loads(row.apps), json.loads(own) if own else tiers, cores))
                 if len(log):
                     log.insert(0, "trial_id", row.trial_id)
                     yield log[names]
@@ -327,6 +342,48 @@ def contended(trials: DataFrame, tiers: dict[str, dict], cores: int | None = Non
     return trials.mapInPandas(run, LOG)
 
 
+def cpu_curve(log: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, at, total): cores in use at each time when a row of the log begins or ends."""
+    from .joins import running_total
+
+    return running_total(log, keys, "t_start", "t_end", F.col("cpu_usage"))
+
+
+def tier_percent(log: DataFrame, keys: list[str], capacity: dict[str, float]) -> DataFrame:
+    """(keys, tier, at, percent): how full each tier with a capacity is at the beginning and the end of each row."""
+    ends = F.array(F.struct(F.col("t_start").alias("at"), F.col("init_level").alias("level")), F.struct(F.col("t_end").alias("at"), F.col("tier_level").alias("level")))
+    rows = log.select(*keys, F.inline(ends)).select(*keys, "at", F.explode("level").alias("tier", "held"))
+    known = F.create_map(*[F.lit(x) for pair in capacity.items() for x in pair])
+    share = F.try_divide(F.col("held") * 100, F.try_element_at(known, F.col("tier")))
+    return rows.withColumn("percent", share).where("percent is not null").groupBy(*keys, "tier", "at").agg(F.max("percent").alias("percent"))
+
+
+def placements(spark, apps: list[dict], tiers: list[str], buffered: bool = True) -> DataFrame:
+    """(trial_id, apps): a trial for each way to place the apps' phases on tiers, with and without the buffer."""
+    ways = [(t, b) for t in tiers for b in ((False, True) if buffered else (False,))]
+    slots = [(a, i) for a, app in enumerate(apps) for i in range(len(app["compute"])) if app["read"][i] > 0 or app["write"][i] > 0]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out = []
+            for trial in frame["id"].tolist():
+                placed, left = json.loads(json.dumps(apps)), trial
+                for app in placed:
+                    app["placement"], app["use_bb"] = [tiers[0]] * len(app["compute"]), [False] * len(app["compute"])
+                for a, i in slots:
+                    placed[a]["placement"][i], placed[a]["use_bb"][i] = ways[left % len(ways)]
+                    left //= len(ways)
+                out.append((trial, json.dumps(placed)))
+            yield pd.DataFrame(out, columns=["trial_id", "apps"])
+
+    return spark.range(len(ways) ** len(slots)).mapInPandas(run, "trial_id long, apps string")
+
+
+def objective(log: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, makespan, peak): what a placement is judged by."""
+    return makespan(log, keys).join(peak_buffer(log, keys), keys)
+
+
 def signals_of_log(log: DataFrame, step: float = 1.0) -> DataFrame:
     """(app, at, read, write): bandwidth of each app's reads and writes at each tick that an interval holds."""
     rows = log.where(F.col("type").isin("read", "write") & (F.col("t_end") > F.col("t_start")))
