@@ -15,6 +15,8 @@ from ..schemas import ACCESS, REPRESENTATION
 
 #: Costs closer than this, relative to the spread, are equal.
 _EPS = 1e-12
+#: Distinct values up to which all clusters' costs are computed at once.
+_AT_ONCE = 2_048
 
 
 def optimal_labels(values: np.ndarray, threshold: float = 0.01) -> np.ndarray:
@@ -36,16 +38,27 @@ def optimal_labels(values: np.ndarray, threshold: float = 0.01) -> np.ndarray:
 
     best = cost(np.zeros(m + 1, int)[1:], 0) if m == 0 else np.array([0.0] + [float(cost(np.array([0]), j)[0]) for j in range(1, m + 1)])
     cuts: list[np.ndarray] = []
+    last = np.arange(1, m + 1)
+    whole = None
+    if m <= _AT_ONCE:  # the cost of each cluster of values i to j - 1; the lower triangle is none
+        i = np.arange(m)[:, None]
+        whole = np.where(i < last, np.maximum(s2[last] - s2[i] - (s1[last] - s1[i]) ** 2 / np.maximum(w[last] - w[i], 1), 0), np.inf)
     for k in range(2, len(values) + 1):
         if k > m:
             break  # more clusters than values change nothing
         now, cut = np.full(m + 1, np.inf), np.zeros(m + 1, int)
-        for j in range(k, m + 1):
-            starts = np.arange(k - 1, j)
-            costs = best[starts] + cost(starts, j)
-            least = costs.min()
-            cut[j] = starts[np.flatnonzero(costs <= least + _EPS * scale)[-1]]  # the last: larger lower clusters
-            now[j] = costs[cut[j] - (k - 1)]
+        if whole is not None:
+            costs = best[k - 1 : m, None] + whole[k - 1 :, k - 1 :]
+            near = costs <= costs.min(0) + _EPS * scale
+            cut[k:] = m - 1 - near[::-1].argmax(0)  # the last: larger lower clusters
+            now[k:] = costs[cut[k:] - (k - 1), np.arange(m - k + 1)]
+        else:
+            for j in range(k, m + 1):
+                starts = np.arange(k - 1, j)
+                costs = best[starts] + cost(starts, j)
+                least = costs.min()
+                cut[j] = starts[np.flatnonzero(costs <= least + _EPS * scale)[-1]]
+                now[j] = costs[cut[j] - (k - 1)]
         best = now
         cuts.append(cut)
         edges, j = [m], m

@@ -69,6 +69,30 @@ def strongest(edges: DataFrame) -> DataFrame:
     return edges.withColumn("nth", nth).where("nth = 1").drop("nth", "ord")
 
 
+def kept(jobs: DataFrame, threshold: float = 0.1, width: int = 864_000_000) -> DataFrame:
+    """``strongest(classify(jobs))`` without all pairs of a workflow's jobs.
+
+    The sources that a job follows or runs beside are found by the times around which it may start, dealt to buckets of
+    ``width``; a delay is always the one from the job before.
+    """
+    rows = ordered(jobs)
+    slack = F.lit(threshold) * (F.col("end_ms") - F.col("start_ms"))
+    bucket = lambda at: F.floor(at / F.lit(width)).cast("long")
+    after = rows.select(FLOW, F.col("job_id").alias("dst"), F.col("start_ms").alias("at"), F.col("ord").alias("own"), bucket(F.col("start_ms")).alias("bucket"))
+
+    def latest(around: str) -> DataFrame:
+        low, high = F.col(around) - slack, F.col(around) + slack
+        spans = rows.select(FLOW, F.col("job_id").alias("src"), "ord", low.alias("low"), high.alias("high")).withColumn("bucket", F.explode(F.sequence(bucket(F.col("low")), bucket(F.col("high")))))
+        met = after.join(spans, [FLOW, "bucket"]).where("ord < own and at between low and high")
+        return met.groupBy(FLOW, "dst").agg(F.max(F.struct("ord", "src")).alias(around))
+
+    before = Window.partitionBy(FLOW).orderBy("ord")
+    each = rows.select(FLOW, F.col("job_id").alias("dst"), F.lag("job_id").over(before).alias("previous"), (F.col("start_ms") - F.lag("start_ms").over(before)).alias("gap"))
+    each = each.join(latest("end_ms"), [FLOW, "dst"], "left").join(latest("start_ms"), [FLOW, "dst"], "left").where("previous is not null")
+    kind = F.when(F.col("end_ms").isNotNull(), "sequential").when(F.col("start_ms").isNotNull(), "parallel").otherwise("delay")
+    return each.select(FLOW, F.coalesce("end_ms.src", "start_ms.src", "previous").alias("src"), "dst", kind.alias("type"), F.when(kind == "delay", F.col("gap")).alias("delay"))
+
+
 def reachable(edges: DataFrame, most: int = 64) -> DataFrame:
     """Distinct (workflow_id, src, dst) that a path of edges joins; paths double each round, so rounds are few."""
     paths = cut(edges.select(FLOW, "src", "dst").distinct())
@@ -151,13 +175,13 @@ def necessary_delays(edges: DataFrame) -> DataFrame:
     return _per_workflow(edges.select(FLOW, "src", "dst", "type", "delay"), run, f"{FLOW} long, src long, dst long, delay long")
 
 
-def schedule(jobs: DataFrame, edges: DataFrame, cumulative: bool = True) -> DataFrame:
+def schedule(jobs: DataFrame, edges: DataFrame, cumulative: bool = True, chosen: bool = False) -> DataFrame:
     """(workflow_id, job_id, start_s, end_s): jobs start when their kept edge allows.
 
     Sequential jobs begin when the source ends, parallel ones with it, delayed ones a delay after its start - or after
-    the chain's start, if not ``cumulative``. Jobs without an edge begin at 0.
+    the chain's start, if not ``cumulative``. Jobs without an edge begin at 0. ``chosen`` edges are the kept ones already.
     """
-    kept = strongest(edges).select(FLOW, F.col("dst").alias("job_id"), "src", "type", "delay")
+    kept = (edges if chosen else strongest(edges)).select(FLOW, F.col("dst").alias("job_id"), "src", "type", "delay")
     rows = jobs.join(kept, [FLOW, "job_id"], "left")
 
     def run(flow: pd.DataFrame) -> pd.DataFrame:

@@ -7,6 +7,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Ranges of values whose running minima are taken in tasks of their own.
+RANGES = 1_000
+
+
 def within_budget(rows: DataFrame, keys: list[str], order: list, size: Column, budget: Column) -> DataFrame:
     """Marks the rows whose running size stays within a budget."""
     w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
@@ -17,11 +21,17 @@ def pareto(rows: DataFrame, a: str, b: str) -> DataFrame:
     """Rows that no other row dominates: none is as good in both and better in one (smaller is better).
 
     A row is dominated if a smaller ``a`` has a ``b`` as small, or an equal ``a`` a smaller one. Running minima over
-    distinct values of ``a`` say so without a self-join.
+    distinct values of ``a``, within ranges of them and over the ranges, say so without a self-join.
     """
     least = rows.groupBy(a).agg(F.min(b).alias("_least"))
-    before = F.min("_least").over(Window.orderBy(a).rowsBetween(Window.unboundedPreceding, -1))
-    front = least.withColumn("_before", before).where(F.col("_before").isNull() | (F.col("_least") < F.col("_before")))
+    ends = least.agg(F.min(a).cast("double").alias("_lo"), F.max(a).cast("double").alias("_hi"))
+    place = F.coalesce(F.floor(F.try_divide(F.col(a) - F.col("_lo"), F.col("_hi") - F.col("_lo")) * RANGES), F.lit(0))
+    placed = least.crossJoin(F.broadcast(ends)).withColumn("_range", place).drop("_lo", "_hi")  # one row
+    ranges = placed.groupBy("_range").agg(F.min("_least").alias("_own"))  # RANGES + 1 rows at the most
+    above = F.min("_own").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
+    placed = placed.join(F.broadcast(ranges.select("_range", above.alias("_above"))), "_range")
+    within = F.min("_least").over(Window.partitionBy("_range").orderBy(a).rowsBetween(Window.unboundedPreceding, -1))
+    front = placed.withColumn("_before", F.least("_above", within)).drop("_above", "_range").where(F.col("_before").isNull() | (F.col("_least") < F.col("_before")))
     return rows.join(front, a).where(F.col(b) == F.col("_least")).drop("_least", "_before")
 
 
