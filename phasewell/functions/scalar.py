@@ -65,6 +65,30 @@ def pattern_from_ratio(ratio: Column) -> Column:
     return F.when(ratio > 0.5, F.lit("seq")).otherwise(F.lit("rand"))
 
 
+def chosen_bandwidth(predicted: Column, seq: Column, rand: Column, ratio: Column, constant: Column, text: Column) -> Column:
+    """The first that is known: a model's, a mix of sequential and random access, a number, a number as text."""
+    return F.coalesce(predicted.cast("double"), blend(seq, rand, ratio, unit=1.0), constant.cast("double"), text.try_cast("double"))
+
+
+def override(own: Column, both: Column, tier: Column) -> Column:
+    """A phase's bandwidth: its side's own where given, then the one for both sides, else the tier's; 0 isn't given."""
+    return F.coalesce(F.nullif(own, F.lit(0)), F.nullif(both, F.lit(0)), tier)
+
+
+def routed(volume: Column, read: Column, write: Column, operation: Column, default: float = 1e9) -> dict[str, Column]:
+    """Read and write volumes: a single volume goes to the operation's side, which without any has a default."""
+    side = lambda name, own: F.when(operation == name, F.coalesce(F.nullif(volume, F.lit(0)), own, F.lit(default)))
+    return {
+        "read_volume": side("read", read).when(operation == "write", 0.0).otherwise(read),
+        "write_volume": side("write", write).when(operation == "read", 0.0).otherwise(write),
+    }
+
+
+def has_extension(path: Column, extension: str) -> Column:
+    """Case counts."""
+    return path.endswith(extension)
+
+
 def operations(volume: Column, io_size: Column) -> Column:
     """Whole operations of a size in a volume, 0 without a size."""
     return F.coalesce(F.floor(F.try_divide(volume.cast("double"), io_size.cast("double"))), F.lit(0)).cast("long")

@@ -77,6 +77,11 @@ def latest_first(jobs: DataFrame, name: str, most: int = 50) -> DataFrame:
     return jobs.where(F.col("name") == name).orderBy("start_ms").limit(most)
 
 
+def with_centroid(long: DataFrame, name: int = -1) -> DataFrame:
+    """Features and, under an id of its own, the centroid of all jobs."""
+    return long.unionByName(long.groupBy("feature").agg(F.avg("value").alias("value")).select(F.lit(name).cast("long").alias("job_id"), "feature", "value"))
+
+
 def ranked(long: DataFrame) -> DataFrame:
     """Jobs by their distance to the centroid."""
     return distances(long).withColumn("rank", F.row_number().over(Window.orderBy("distance", "job_id")))

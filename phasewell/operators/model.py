@@ -18,8 +18,8 @@ def targets(df: DataFrame) -> list[str]:
 
 
 def _one_hot(column: str) -> list[Column]:
-    known = F.col(column).isin(*CATEGORIES)
-    checked = F.when(known, F.col(column)).otherwise(F.raise_error(F.concat(F.lit("unknown pattern "), F.coalesce(F.col(column), F.lit("null")))))
+    own = F.when(F.col(column) == "str", F.lit("stride")).otherwise(F.col(column))  # the decomposition's name of it
+    checked = F.when(own.isin(*CATEGORIES), own).otherwise(F.raise_error(F.concat(F.lit("unknown pattern "), F.coalesce(F.col(column), F.lit("null")))))
     return [F.when(checked == c, 1.0).otherwise(0.0).alias(f"cat__{column}_{c}") for c in CATEGORIES]
 
 
@@ -42,6 +42,18 @@ def mean_io_size() -> Column:
     return F.coalesce(F.try_divide(weighted.cast("double"), (F.col("read_volume") + F.col("write_volume")).cast("double")), F.lit(0.0))
 
 
+def average_bandwidth(runs: DataFrame, keys: list[str], volume: Column, seconds: Column) -> DataFrame:
+    """Volume over time of each key's runs together, 0 without time."""
+    return runs.groupBy(*keys).agg(F.coalesce(F.try_divide(F.sum(volume).cast("double"), F.sum(seconds).cast("double")), F.lit(0.0)).alias("bandwidth"))
+
+
+def check_targets(wanted: list[str], tiers: list[str]) -> None:
+    """Targets are tiers' bandwidths, with or without a buffer."""
+    unknown = set(wanted) - {f"{t}{kind}_bw" for t in tiers for kind in ("", "_sbb")}
+    if unknown:
+        raise ValueError(f"no such tiers: {sorted(unknown)}")
+
+
 def active() -> Column:
     return F.when((F.col("read_volume") == 0) & (F.col("write_volume") == 0), 0.0).otherwise(1.0)
 

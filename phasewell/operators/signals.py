@@ -6,6 +6,7 @@ partitioned by job, so jobs spread over the cluster and one job's samples, a bou
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -180,6 +181,24 @@ def representation(signals: DataFrame, read_label: str, write_label: str, norm_l
     return events.unionByName(points).drop("e")
 
 
+def sampling_step(signals: DataFrame, time: str) -> DataFrame:
+    """(job_id, step): the time between a job's first two samples, null with fewer."""
+    at = lambda i: F.max(F.when(F.col("idx") == i, F.col(time)))
+    return signals.where("idx < 2").groupBy(JOB).agg((at(1) - at(0)).alias("step"))
+
+
+def normalised_time(signals: DataFrame, time: str, step: float = 5.0) -> DataFrame:
+    """Steps since the job's first sample."""
+    first = F.first(time).over(ordered())
+    return signals.withColumn("steps", (F.col(time) - first) / F.lit(step))
+
+
+def row_sum(rows: DataFrame, pattern: str, name: str) -> DataFrame:
+    """The sum of the columns whose names match, null as 0, as one more column."""
+    matching = [F.coalesce(F.col(c), F.lit(0)) for c in rows.columns if re.search(pattern, c)]
+    return rows.withColumn(name, reduce(lambda a, b: a + b, matching, F.lit(0)))
+
+
 def phase_features(events: DataFrame, step_s: float = 5.0, nodes: int = 1) -> DataFrame:
     """One row for each event: sizes of operations, model names of patterns, bandwidth over the sampling step."""
     size = lambda volume, ops: F.coalesce(F.try_divide(F.col(volume), F.col(ops).cast("double")), F.lit(0.0))

@@ -14,10 +14,13 @@ def session(name: str = "phasewell", partitions: int | None = None) -> SparkSess
 
 
 def cut(df):
-    """Compute ``df`` once into the cluster's checkpoint folder; a temporary folder where none is named."""
+    """Compute ``df`` once into the checkpoint folder that the cluster names; a local session may have a temporary one."""
     import tempfile
 
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="phasewell-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="phasewell-"))
     return df.checkpoint(eager=True)

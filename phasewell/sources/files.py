@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import warnings
 
 import yaml
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -112,7 +113,7 @@ def representation_json(events: DataFrame) -> DataFrame:
     columns = ["event", "read_volume", "read_bw", "write_volume", "write_bw", "read_pattern", "write_pattern", "read_operations", "write_operations"]
     names = ["events", "read_volumes", "read_bw", "write_volumes", "write_bw", "read_pattern", "write_pattern", "read_operations", "write_operations"]
     rows = events.groupBy("job_id").agg(F.array_sort(F.collect_list(F.struct(*columns))).alias("rows"))
-    arrays = [F.transform("rows", lambda r, c=c: r[c]).alias(n) for c, n in zip(columns, names, strict=True)]
+    arrays = [F.col(f"rows.{c}").alias(n) for c, n in zip(columns, names, strict=True)]
     return rows.select("job_id", F.to_json(F.struct(F.lit(1).alias("node_count"), *arrays)).alias("value"))
 
 
@@ -136,6 +137,33 @@ def random_phases(spark: SparkSession, n: int, volume: float, seed: int = 1) ->
 
 
 def sample_jobs(jobs: DataFrame, n: int, seed: int = 1) -> DataFrame:
-    """About n jobs drawn with replacement."""
-    total = max(1, jobs.count())
-    return jobs.sample(withReplacement=True, fraction=n / total, seed=seed)
+    """n jobs drawn with replacement, none from none: draws of row numbers joined back to the numbered rows."""
+    spark, total = jobs.sparkSession, jobs.count()
+    if not total:
+        return jobs
+    draws = spark.range(n).select(F.floor(F.rand(seed) * total).alias("_nth"))
+    part = jobs.withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id() % (1 << 33))
+    before, offsets = 0, F.lit(0)
+    for row in sorted(part.groupBy("_part").count().collect(), key=lambda r: r["_part"]):  # one row for each partition
+        offsets = F.when(F.col("_part") == row["_part"], F.lit(before)).otherwise(offsets)
+        before += row["count"]
+    return draws.join(part.withColumn("_nth", F.col("_at") + offsets), "_nth").select(*jobs.columns)
+
+
+def available(df: DataFrame, labels: list[str]) -> DataFrame:
+    """The columns of these that there are, with a warning for others; without any an error."""
+    found = [c for c in labels if c in df.columns]
+    missing = [c for c in labels if c not in df.columns]
+    if not found:
+        raise ValueError(f"none of these columns: {missing}")
+    if missing:
+        warnings.warn(f"no columns {missing}", stacklevel=2)
+    return df.select(*found)
+
+
+def experiment_rows(spark: SparkSession, rows: list[tuple], ios: int) -> DataFrame:
+    """A table of placement trials: (parameters, tiers by phase, buffer flags by phase, runtime, buffer's size)."""
+    names = [*[f"tier_{i}" for i in range(ios)], *[f"use_bb_{i}" for i in range(ios)]]
+    flat = [(str(list(p)), *map(int, t), *map(int, b), float(run), float(size)) for p, t, b, run, size in rows]
+    schema = ", ".join(["parameters string", *[f"{n} int" for n in names], "runtime double", "buffer_size double"])
+    return spark.createDataFrame(flat, schema)
