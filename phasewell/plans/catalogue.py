@@ -190,9 +190,15 @@ def phase_volume_trapz(spark, sf_dir):
     return sig.volume_trapezoid(T.signals(spark, sf_dir), "bytesRead", 5.0)
 
 
-@query()
+@query(
+    """SELECT job_id, round(sum(bytesRead * (
+      CASE WHEN odd > 1 AND idx < odd THEN (CASE WHEN idx = 0 OR idx = odd - 1 THEN 1 WHEN idx % 2 = 1 THEN 4 ELSE 2 END) * 5 / 3::DOUBLE ELSE 0 END
+      + CASE WHEN n % 2 = 0 AND idx >= n - 2 THEN 2.5::DOUBLE ELSE 0 END)), 3) AS volume
+    FROM (SELECT job_id, idx, bytesRead, n, n - 1 + n % 2 AS odd FROM signals JOIN sizes USING (job_id)) GROUP BY 1""",
+    T.SIGNALS_SQL,
+)
 def phase_volume_simpson(spark, sf_dir):
-    return sig.volume_simpson(T.signals(spark, sf_dir), "bytesRead", 5.0)
+    return sig.volume_simpson(T.signals(spark, sf_dir), "bytesRead", 5.0).withColumn("volume", F.round("volume", 3))
 
 
 @query(f"SELECT job_id, {_pattern_sql('Read')} AS pattern FROM (SELECT job_id, {', '.join(f'sum(access{p}Read) AS {p}Read' for p in sig.ACCESS)} FROM signals GROUP BY 1)", T.SIGNALS_SQL)
@@ -370,7 +376,7 @@ def deps_nx(spark, sf_dir):
 
 @query("SELECT workflow_id, src, dst, type, CASE WHEN type = 'delay' THEN gap END AS delay FROM kept", T.JOBS_SQL)
 def deps_clean(spark, sf_dir):
-    return deps.strongest(deps.classify(T.jobs(spark, sf_dir)))
+    return deps.kept(T.jobs(spark, sf_dir))
 
 
 _LEGACY = """legacy AS (
@@ -396,7 +402,7 @@ _REACHED = "reached AS (SELECT workflow_id, src, dst FROM kept UNION SELECT r.wo
 
 @query("SELECT DISTINCT workflow_id, src, dst FROM reached /* UNION */", T.JOBS_SQL, _REACHED)
 def reachability(spark, sf_dir):
-    return deps.reachable(deps.strongest(deps.classify(T.jobs(spark, sf_dir))))
+    return deps.reachable(deps.kept(T.jobs(spark, sf_dir)))
 
 
 _BY_SEQUENCE = """seq AS (SELECT workflow_id, src, dst FROM edges WHERE type = 'sequential'),
@@ -414,7 +420,7 @@ chains AS (SELECT workflow_id, a AS job_id, min(b) AS chain FROM reached GROUP B
 
 
 def _kept(spark, sf_dir):
-    return deps.strongest(deps.classify(T.jobs(spark, sf_dir)))
+    return deps.kept(T.jobs(spark, sf_dir))
 
 
 @query("SELECT * FROM chains /* UNION reached */", T.JOBS_SQL, _CHAINS)
@@ -432,15 +438,26 @@ def external_predecessors(spark, sf_dir):
     return deps.external_predecessors(edges, deps.chains(edges))
 
 
-@query()
+@query("SELECT workflow_id, src, dst, gap AS delay FROM kept WHERE type = 'delay'", T.JOBS_SQL)
 def necessary_delays(spark, sf_dir):
     return deps.necessary_delays(_kept(spark, sf_dir))
 
 
-@query()
+_STARTS = """reached AS (
+  SELECT workflow_id, job_id, 0::DOUBLE AS start_s FROM jobs WHERE (workflow_id, job_id) NOT IN (SELECT (workflow_id, dst) FROM kept)
+  UNION ALL
+  SELECT k.workflow_id, k.dst, r.start_s + CASE k.type WHEN 'sequential' THEN (p.end_ms - p.start_ms) / 1000 WHEN 'parallel' THEN 0 ELSE k.gap / 1000 END
+  FROM reached r JOIN kept k ON k.workflow_id = r.workflow_id AND k.src = r.job_id JOIN jobs p ON p.workflow_id = r.workflow_id AND p.job_id = r.job_id
+)"""
+
+
+@query(
+    """SELECT workflow_id, job_id, round(start_s, 3) AS start_s, round(start_s + (end_ms - start_ms) / 1000, 3) AS end_s FROM reached JOIN jobs USING (workflow_id, job_id) /* UNION */""",
+    T.JOBS_SQL, _STARTS,
+)
 def workflow_schedule(spark, sf_dir):
     rows = T.jobs(spark, sf_dir)
-    return deps.schedule(rows, deps.classify(rows))
+    return deps.schedule(rows, deps.kept(rows), chosen=True).withColumns({c: F.round(c, 3) for c in ("start_s", "end_s")})
 
 
 _DFT = """waves AS (SELECT job_id, k, sum(bytesRead * cos(2 * pi() / 20 * k * idx)) AS re, sum(bytesRead * sin(2 * pi() / 20 * k * idx)) AS im
@@ -698,7 +715,13 @@ def pareto_front(spark, sf_dir):
     return optimise.pareto(rows, "makespan", "buffer").select("user_id", "makespan", "buffer")
 
 
-@query()
+@query(
+    """, bent AS (
+      SELECT p.job_id, p.idx, p.norm, max(CASE WHEN q.idx < p.idx THEN (p.norm - q.norm) / (p.idx - q.idx) END) AS steepest, min(CASE WHEN q.idx > p.idx THEN (q.norm - p.norm) / (q.idx - p.idx) END) AS flattest
+      FROM signals p JOIN signals q ON p.job_id = q.job_id GROUP BY 1, 2, 3)
+    SELECT job_id, idx::DOUBLE AS x, norm::DOUBLE AS y FROM bent WHERE steepest IS NULL OR flattest IS NULL OR steepest < flattest""".replace(", bent", "bent", 1),
+    T.SIGNALS_SQL + ",",
+)
 def lower_hull(spark, sf_dir):
     return optimise.lower_hull(T.signals(spark, sf_dir).select("job_id", F.col("idx").cast("double").alias("x"), F.col("norm").cast("double").alias("y")), "job_id", "x", "y")
 
@@ -763,3 +786,127 @@ def replay_signals(spark, sf_dir):
     """Bandwidth at whole seconds of the contended replay's apps, each trial's app by itself."""
     log = replay_contended(spark, sf_dir).withColumn("app", F.concat_ws("/", "trial_id", "app"))
     return replay.signal_of_ticks(log)
+
+
+_MODEL_PATTERN = "CASE lower({0}) WHEN 'str' THEN 'stride' ELSE lower({0}) END"
+
+
+@query(
+    "SELECT job_id, event, "
+    + ", ".join(f"CASE WHEN {_MODEL_PATTERN.format(c)} = '{k}' THEN 1 ELSE 0 END::DOUBLE AS cat__{d}_io_pattern_{k}" for c, d in (("read_pattern", "read"), ("write_pattern", "write")) for k in model.CATEGORIES)
+    + """, 1::DOUBLE AS remainder__nodes, round(CASE WHEN v = 0 THEN 0 ELSE read_volume / v END + 1e-9, 6)::DOUBLE AS remainder__read_ratio, round(CASE WHEN v = 0 THEN 0 ELSE write_volume / v END + 1e-9, 6)::DOUBLE AS remainder__write_ratio,
+    round(rs / 8e6 + 1e-9, 6) AS remainder__read_io_size, round(ws / 8e6 + 1e-9, 6) AS remainder__write_io_size, round(CASE WHEN v = 0 THEN 0 ELSE (read_volume * rs + write_volume * ws) / v END / 8e6 + 1e-9, 6) AS remainder__avg_io_size
+    FROM (SELECT *, read_volume + write_volume AS v, CASE WHEN read_operations > 0 THEN read_volume / read_operations ELSE 0 END::DOUBLE AS rs,
+                 CASE WHEN write_operations > 0 THEN write_volume / write_operations ELSE 0 END::DOUBLE AS ws FROM represented)""",
+    T.SIGNALS_SQL, _REPRESENTATION,
+)
+def features_to_design(spark, sf_dir):
+    """From series over events and their features to the model's design matrix."""
+    rows = model.design_matrix(sig.phase_features(_events(spark, sf_dir)), ["job_id", "event"])
+    return rows.withColumns({f"remainder__{c}": F.round(F.col(f"remainder__{c}") + 1e-9, 6) for c in _X_NAMES})  # off exact halves
+
+
+@query(
+    """SELECT job_id % 10 AS workflow_id, job_id, max(CASE WHEN idx = 0 THEN ts_s END)::BIGINT AS start_ms, max(CASE WHEN idx = n - 1 THEN ts_s END)::BIGINT AS end_ms
+    FROM signals JOIN sizes USING (job_id) GROUP BY 1, 2""",
+    T.SIGNALS_SQL,
+)
+def job_sample_spans(spark, sf_dir):
+    """Each job from its first sample to its last."""
+    rows = T.signals(spark, sf_dir).withColumn("workflow_id", F.col("job_id") % 10)
+    return deps.spans(rows, "ts_s").withColumns({c: F.col(c).cast("long") for c in ("start_ms", "end_ms")})
+
+
+@query("SELECT l_suppkey, l_returnflag AS tier, round(sum(l_extendedprice) / sum(l_quantity), 4) AS bandwidth FROM lineitem GROUP BY 1, 2")
+def average_bandwidth(spark, sf_dir):
+    rows = T.load(spark, sf_dir, "lineitem").withColumnRenamed("l_returnflag", "tier")
+    return model.average_bandwidth(rows, ["l_suppkey", "tier"], F.col("l_extendedprice"), F.col("l_quantity")).withColumn("bandwidth", F.round("bandwidth", 4))
+
+
+@query("SELECT job_id, (max(CASE WHEN idx = 1 THEN ts_s END) - max(CASE WHEN idx = 0 THEN ts_s END))::BIGINT AS step FROM signals GROUP BY 1", T.SIGNALS_SQL)
+def sampling_step(spark, sf_dir):
+    return sig.sampling_step(T.signals(spark, sf_dir), "ts_s").withColumn("step", F.col("step").cast("long"))
+
+
+@query("SELECT job_id, idx, (ts_s - first_value(ts_s) OVER (PARTITION BY job_id ORDER BY idx)) / 5::DOUBLE AS steps FROM signals", T.SIGNALS_SQL)
+def normalised_time(spark, sf_dir):
+    return sig.normalised_time(T.signals(spark, sf_dir), "ts_s").select("job_id", "idx", "steps")
+
+
+@query("SELECT job_id, idx, (" + " + ".join(f"access{p}Read" for p in sig.ACCESS) + ")::BIGINT AS accesses FROM signals", T.SIGNALS_SQL)
+def row_sums(spark, sf_dir):
+    """All read accesses of a sample, whatever their pattern."""
+    return sig.row_sum(T.signals(spark, sf_dir), "^access.*Read$", "accesses").select("job_id", "idx", F.col("accesses").cast("long").alias("accesses"))
+
+
+@query("SELECT job_id, feature, round(value, 4) AS value FROM minmax UNION ALL SELECT -1, feature, round(avg(value), 4) FROM minmax GROUP BY feature", T.SIGNALS_SQL, _DFT)
+def features_with_centroid(spark, sf_dir):
+    return central.with_centroid(central.scaled(_features(spark, sf_dir))).withColumn("value", F.round("value", 4))
+
+
+@query(
+    """SELECT p_partkey, CASE o WHEN 'read' THEN coalesce(nullif(v, 0), r, 1e9) WHEN 'write' THEN 0 ELSE r END::DOUBLE AS read_volume,
+    CASE o WHEN 'write' THEN coalesce(nullif(v, 0), w, 1e9) WHEN 'read' THEN 0 ELSE w END::DOUBLE AS write_volume
+    FROM (SELECT p_partkey, CASE p_size % 3 WHEN 0 THEN 'read' WHEN 1 THEN 'write' END AS o, CASE WHEN p_size % 2 = 0 THEN p_size ELSE 0 END::DOUBLE AS v,
+                 CASE WHEN p_partkey % 4 > 0 THEN p_partkey END::DOUBLE AS r, CASE WHEN p_partkey % 5 > 0 THEN p_partkey * 2 END::DOUBLE AS w FROM part)"""
+)
+def volume_routing(spark, sf_dir):
+    size, key = F.col("p_size"), F.col("p_partkey")
+    operation = F.when(size % 3 == 0, "read").when(size % 3 == 1, "write")
+    volumes = X.routed(F.when(size % 2 == 0, size).otherwise(0).cast("double"), F.when(key % 4 > 0, key).cast("double"), F.when(key % 5 > 0, key * 2).cast("double"), operation)
+    return T.load(spark, sf_dir, "part").select("p_partkey", *[v.cast("double").alias(k) for k, v in volumes.items()])
+
+
+@query(
+    """SELECT p_partkey, coalesce(nullif(a, 0), nullif(b, 0), t) AS bandwidth, coalesce(c, s * 0.75 + r * 0.25, k)::DOUBLE AS most
+    FROM (SELECT p_partkey, p_size % 3 * 10::DOUBLE AS a, p_size % 2 * 5::DOUBLE AS b, 100::DOUBLE AS t, CASE WHEN p_size % 5 = 0 THEN 7 END::DOUBLE AS c,
+                 CASE WHEN p_size % 7 > 2 THEN p_size END::DOUBLE AS s, 4::DOUBLE AS r, p_partkey::DOUBLE AS k FROM part)"""
+)
+def bandwidth_choice(spark, sf_dir):
+    """A phase's bandwidth where it is overridden, and a tier's by whatever describes it."""
+    size, key = F.col("p_size"), F.col("p_partkey")
+    own = X.override(size % 3 * F.lit(10.0), size % 2 * F.lit(5.0), F.lit(100.0))
+    text = F.when(key % 2 == 0, key.cast("string"))
+    most = X.chosen_bandwidth(F.when(size % 5 == 0, 7.0), F.when(size % 7 > 2, size.cast("double")), F.lit(4.0), F.lit(0.75), F.when(key % 2 == 1, key), text)
+    return T.load(spark, sf_dir, "part").select("p_partkey", own.alias("bandwidth"), most.alias("most"))
+
+
+@query("SELECT page_id, suffix(url, '.html') AS html, suffix(url, '.HTML') AS upper FROM pages")
+def file_extensions(spark, sf_dir):
+    return T.load(spark, sf_dir, "pages").select("page_id", X.has_extension(F.col("url"), ".html").alias("html"), X.has_extension(F.col("url"), ".HTML").alias("upper"))
+
+
+_DISKS = {"hdd": {"read": 80e6, "write": 40e6}, "ssd": {"read": 200e6, "write": 100e6}}
+
+
+def _buffered(capacity: float) -> dict:
+    return {**_DISKS, "bb": {"read": 800e6, "write": 400e6, "persistent": "hdd", "capacity": capacity}}
+
+
+def _two_apps() -> list[dict]:
+    return [{"name": n, "start": s, "compute": [0, 10], "read": [1e9, 5e8], "write": [0, 2e9]} for n, s in (("a", 0), ("b", 3))]
+
+
+@query()
+def placement_search(spark, sf_dir):
+    """Makespan and peak of the buffer of every placement of two apps' phases."""
+    trials = replay.placements(spark, _two_apps(), list(_DISKS))
+    return replay.objective(replay.contended(trials, _buffered(20e9)), ["trial_id"])
+
+
+@query()
+def flavor_makespans(spark, sf_dir):
+    """Makespan of two apps through buffers of several sizes."""
+    apps = [{**a, "placement": ["hdd", "hdd"], "use_bb": [True, True]} for a in _two_apps()]
+    sizes = (5e8, 1e9, 2e9, 3e9, 5e9, 1e10)
+    trials = spark.createDataFrame([(i, json.dumps(apps), json.dumps(_buffered(c))) for i, c in enumerate(sizes)], "trial_id long, apps string, tiers string")
+    capacity = F.element_at(F.array(*[F.lit(c) for c in sizes]), (F.col("trial_id") + 1).cast("int"))
+    return replay.objective(replay.contended(trials, _buffered(0.0)), ["trial_id"]).withColumn("capacity", capacity)
+
+
+@query()
+def cluster_use(spark, sf_dir):
+    """Cores in use and how full the buffer is, over a contended replay."""
+    log = replay_contended(spark, sf_dir)
+    cores = replay.cpu_curve(log, ["trial_id"]).select("trial_id", F.lit("cores").alias("kind"), "at", F.col("total").cast("double").alias("value"))
+    return cores.unionByName(replay.tier_percent(log, ["trial_id"], {"bb": 20e9}).select("trial_id", F.col("tier").alias("kind"), "at", F.col("percent").alias("value")))
