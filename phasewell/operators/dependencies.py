@@ -152,14 +152,14 @@ def necessary_delays(edges: DataFrame) -> DataFrame:
 
     def run(flow: pd.DataFrame) -> pd.DataFrame:
         others = {(a, b) for a, b, t in zip(flow["src"], flow["dst"], flow["type"], strict=True) if t != "delay"}
+        after: dict = {}
+        for a, b in zip(flow["src"], flow["dst"], strict=True):
+            after.setdefault(a, set()).add(b)
         rest = flow[flow["type"] == "delay"].sort_values(["delay", "src", "dst"], ascending=[False, True, True])
-        left = {(a, b) for a, b in zip(rest["src"], rest["dst"], strict=True)}
         kept = []
         for row in rest.itertuples():
-            left.discard((row.src, row.dst))
-            after: dict = {}
-            for a, b in others | left:
-                after.setdefault(a, []).append(b)
+            if (row.src, row.dst) not in others:
+                after[row.src].discard(row.dst)
             seen, stack = set(), [row.src]
             while stack:
                 at = stack.pop()
@@ -169,7 +169,7 @@ def necessary_delays(edges: DataFrame) -> DataFrame:
                         stack.append(b)
             if row.dst not in seen:
                 kept.append(row.Index)
-                left.add((row.src, row.dst))
+                after[row.src].add(row.dst)
         return flow.loc[kept, [FLOW, "src", "dst", "delay"]]
 
     return _per_workflow(edges.select(FLOW, "src", "dst", "type", "delay"), run, f"{FLOW} long, src long, dst long, delay long")

@@ -18,12 +18,15 @@ def synthesise(jobs: DataFrame, time: str, metrics: list[str], group: list[str]
     return jobs.groupBy(*(group or []), time).agg(*[F.sum(F.coalesce(F.col(m), F.lit(0))).alias(m) for m in metrics])
 
 
-def on_grid(jobs: DataFrame, time: str, metrics: list[str], step: int, group: list[str]) -> DataFrame:
-    """Metrics on a regular grid from the first to the last time of each group; off-grid samples are dropped, gaps are 0."""
+def on_grid(jobs: DataFrame, time: str, metrics: list[str], step: int, group: list[str], position: str | None = None) -> DataFrame:
+    """Metrics on a regular grid from the first to the last time of each group; off-grid samples are dropped, gaps are 0.
+
+    ``position`` names a column for the number of the grid's point, if it is wanted.
+    """
     span = jobs.groupBy(*group).agg(F.min(time).alias("lo"), F.max(time).alias("hi"))
-    grid = span.select(*group, F.explode(F.sequence("lo", "hi", F.lit(step).cast("long"))).alias(time))
+    grid = span.select(*group, F.posexplode(F.sequence("lo", "hi", F.lit(step).cast("long"))).alias(position or "_position", time))
     sums = synthesise(jobs, time, metrics, group)
-    return grid.join(sums, [*group, time], "left").select(*group, time, *[F.coalesce(m, F.lit(0)).alias(m) for m in metrics])
+    return grid.join(sums, [*group, time], "left").select(*group, time, *[c for c in [position] if c], *[F.coalesce(m, F.lit(0)).alias(m) for m in metrics])
 
 
 def natural(left: DataFrame, right: DataFrame) -> DataFrame:

@@ -35,13 +35,11 @@ def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Samples of every job on a grid without gaps, with their joint signal ``norm`` and labels."""
     from ..operators.joins import on_grid
 
-    rows = on_grid(samples(spark, sf_dir), "bucket", METRICS, 1, ["job_id"])
-    first = rows.groupBy("job_id").agg(F.min("bucket").alias("lo"))
-    rows = rows.join(first, "job_id").withColumn("idx", (F.col("bucket") - F.col("lo")).cast("int")).withColumn("ts_s", F.col("bucket") * STEP)
+    rows = on_grid(samples(spark, sf_dir), "bucket", METRICS, 1, ["job_id"], "idx").withColumn("ts_s", F.col("bucket") * STEP)
     level = lambda v: (F.when(v >= LEVEL1, 1).otherwise(0) + F.when(v >= LEVEL2, 1).otherwise(0)).cast("int")
     norm = F.col("bytesRead") + F.col("bytesWritten")
     rows = rows.withColumn("norm", norm).withColumn("label", level(F.col("norm")))
-    return rows.withColumn("label_read", level(F.col("bytesRead"))).withColumn("label_write", level(F.col("bytesWritten"))).drop("bucket", "lo")
+    return rows.withColumn("label_read", level(F.col("bytesRead"))).withColumn("label_write", level(F.col("bytesWritten"))).drop("bucket")
 
 
 def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
