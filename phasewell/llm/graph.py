@@ -22,12 +22,15 @@ def _pointed(edges: DataFrame) -> DataFrame:
     return edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
 
 
-def _met(rows: DataFrame, keyed: DataFrame, key: str, most: int) -> DataFrame:
-    """``rows`` joined with ``keyed``, which has each key once and its number of rows n.
+def met_by(rows: DataFrame, keyed: DataFrame, key: str, total: int) -> DataFrame:
+    """``rows``, ``total`` of them, joined with ``keyed``, which has each key once and its number of rows n.
 
-    Keys with more than ``most`` rows are broadcast, so that the rows of a hot key stay where they are; there are fewer
-    of them than rows / ``most``. The others meet by a shuffle.
+    Keys with many rows are broadcast, no more than HOT_KEYS of them, so that the rows of a hot key stay where they are.
+    The others meet by a shuffle.
     """
+    most = max(HOT, total // HOT_KEYS)
+    if total <= most:
+        return rows.join(keyed.drop("n"), key)
     hot = F.broadcast(keyed.where(F.col("n") > most).withColumnRenamed(key, "_hot").drop("n"))
     values = [c for c in keyed.columns if c not in (key, "n")]
     marked = rows.join(hot, rows[key] == F.col("_hot"), "left")
@@ -36,27 +39,17 @@ def _met(rows: DataFrame, keyed: DataFrame, key: str, most: int) -> DataFrame:
     return there.unionByName(rest)
 
 
-def met_by(rows: DataFrame, keyed: DataFrame, key: str, total: int) -> DataFrame:
-    """``rows``, ``total`` of them, joined with the values of their key; see ``_met``."""
-    return _met(rows, keyed, key, _most(total))
-
-
-def _most(total: int) -> int:
-    """Rows from which a key counts as hot; no more than HOT_KEYS keys can be."""
-    return max(HOT, 2 * total // HOT_KEYS)
-
-
-def _large_star(edges: DataFrame, most: int) -> DataFrame:
+def _large_star(edges: DataFrame, total: int) -> DataFrame:
     """Every larger neighbour of u is joined to the least of u and its neighbours."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).select("u", F.least("u", "m").alias("m"), "n")
-    return _pointed(_met(both.where("v > u"), least, "u", most).select(F.col("v").alias("u"), F.col("m").alias("v")))
+    return _pointed(met_by(both.where("v > u"), least, "u", 2 * total).select(F.col("v").alias("u"), F.col("m").alias("v")))
 
 
-def _small_star(edges: DataFrame, most: int) -> DataFrame:
+def _small_star(edges: DataFrame, total: int) -> DataFrame:
     """u and its smaller neighbours are joined to the least of them."""
     least = edges.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
-    return _pointed(_met(edges, least, "u", most).select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))))
+    return _pointed(met_by(edges, least, "u", total).select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -71,8 +64,7 @@ def components(edges: DataFrame) -> DataFrame:
         if now == before or not now[0]:
             break
         before = now
-        most = _most(now[0])
-        state = cut(_small_star(_large_star(state, most), most))
+        state = cut(_small_star(_large_star(state, now[0]), 2 * now[0]))
     else:
         raise RuntimeError("the stars haven't settled")
     roots = state.select(F.col("v").alias("id")).distinct()

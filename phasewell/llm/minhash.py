@@ -3,15 +3,13 @@
 Documents are sets of word shingles. Equal sets are one class, whose smallest id stands for it. Universal hash minima
 are banded; classes that share a band's key meet in a bucket, buckets with the same members are compared once. In a
 bucket, signatures (the low byte of every minimum) are verified: only classes whose estimated similarity is near the
-threshold stay connected, by a spanning forest. What stays connected is a coarse group, found by alternating large-star
-and small-star. The forests' edges, few for each class, are then compared exactly on full sets. Mostly the exact links
-span a coarse group again, and its work has been linear. In a group that falls into parts, classes of different parts
-are compared exactly too, so that no link is lost; components of all exact links are the result.
+threshold stay connected. What stays connected is a coarse group, found by alternating large-star and small-star; the
+full sets of a coarse group's classes are then compared exactly, and components of the exact links are the result.
 
-No pairs are written: a block gives a spanning forest of the links found in it, and larger groups than a block are
-compared block by block, each two blocks in a task of their own. So a group's work is spread. Comparing signatures
-stays quadratic in the number of different texts of one bucket, and so does the comparison of a group in parts; equal
-texts cost nothing. Blocks are dealt by the sizes of their sets, so that long texts don't fill a task.
+No pairs are written: a block of a bucket or of a coarse group gives a spanning forest of the links found in it, and
+larger groups than a block are compared block by block, each two blocks in a task of their own. So a group's work is
+spread, though it stays quadratic in the number of different texts of one coarse group; equal texts cost nothing.
+Blocks are dealt by the sizes of their sets, so that long texts don't fill a task.
 
 At a similarity of 0.8, 32 bands of 5 rows miss a link with a probability of 3e-6, at 0.85 of 7e-9; the signatures'
 margin of five standard deviations adds less than 1e-6.
@@ -29,11 +27,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, prepare, slices, texts_of
-from .graph import Forest, components, in_blocks, map_groups, met_by
+from .graph import Forest, components, in_blocks, map_groups
 from .shingles import WORDS, MinHash, shingle_set
 
 BANDS, ROWS = 32, 5
@@ -108,50 +106,28 @@ def _shared(a: np.ndarray, b: np.ndarray) -> int:
     return int((a[np.minimum(np.searchsorted(a, b), len(a) - 1)] == b).sum())
 
 
-def _exact_star(hundredths: int):
-    def run(rows: pa.Table) -> pa.RecordBatch | None:
-        """The links of one class with the others in the group."""
-        hub, ids = rows.column("u")[0].as_py(), rows.column("id").to_numpy()
-        sets = [np.frombuffer(s.as_buffer(), np.uint64) for s in rows.column("shingles")]
-        at = np.flatnonzero(ids == hub)
-        if not len(at):
-            return None
-        own, out = sets[at[0]], []
-        for i, other in zip(ids.tolist(), sets, strict=True):
-            if i != hub and 100 * min(len(own), len(other)) >= hundredths * max(len(own), len(other)):
-                both = _shared(own, other)
-                if 100 * both >= hundredths * (len(own) + len(other) - both):
-                    out.append((hub, i))
-        return _edges(out)
-
-    return run
-
-
 def _exact_links(hundredths: int, least: float):
     def run(rows: pa.Table) -> pa.RecordBatch | None:
-        """Links of classes of different parts, until they are one."""
-        ids, own, part = (rows.column(c).to_numpy() for c in ("id", "own", "part"))
+        ids, own = rows.column("id").to_numpy(), rows.column("own").to_numpy()
         i, j = rows.column("i")[0].as_py(), rows.column("j")[0].as_py()
         sets = [np.frombuffer(s.as_buffer(), np.uint64) for s in rows.column("shingles")]
         signatures = np.array([np.frombuffer(s.as_buffer(), np.uint8) for s in rows.column("signature")])
         size = np.array([len(s) for s in sets])
-        parts, number = np.unique(part, return_inverse=True)
-        forest, out = Forest(len(parts)), []
+        forest, out = Forest(len(ids)), []
         right = np.flatnonzero(own == j)
         for at in np.flatnonzero(own == i):
             others = right[right > at] if i == j else right
-            others = others[number[others] != number[at]]
             fits = 100 * np.minimum(size[others], size[at]) >= hundredths * np.maximum(size[others], size[at])
             others = others[fits]
             if not len(others):
                 continue
             others = others[(signatures[others] == signatures[at]).mean(1) >= least]
             for b in others:
-                if forest.find(int(number[at])) == forest.find(int(number[b])):
+                if forest.find(int(at)) == forest.find(int(b)):
                     continue  # linked by others already
                 both = _shared(sets[at], sets[b])
                 if 100 * both >= hundredths * (size[at] + size[b] - both):
-                    forest.join(int(number[at]), int(number[b]))
+                    forest.join(int(at), int(b))
                     out.append((ids[at], ids[b]))
         return _edges(out)
 
@@ -165,8 +141,8 @@ def _sets_in(words: int):
                 found = [shingle_set(t, words) for t in texts_of(part)]
                 digest = [np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), np.int64) for s in found]
                 yield pa.record_batch(
-                    [part.column("id"), pa.array([int(d[0]) for d in digest], pa.int64()), pa.array([int(d[1]) for d in digest], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())],
-                    ["id", "high", "low", "shingles"],
+                    [part.column("id"), part.column("gid"), pa.array([int(d[0]) for d in digest], pa.int64()), pa.array([int(d[1]) for d in digest], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())],
+                    ["id", "gid", "high", "low", "shingles"],
                 )
 
     return run
@@ -189,24 +165,15 @@ def near_duplicates(documents: DataFrame, hundredths: int = HUNDREDTHS, words: i
     buckets = cut(buckets.groupBy("n", "least", "members").agg(F.min("key").alias("key")).select("key", "n"))
     met = in_blocks(banded.join(buckets.select("key"), "key", "left_semi"), "key", F.col("id"), buckets, BUCKET_BLOCK)
     met = met.join(classes.select("id", "signature"), "id")
-    edges = cut(map_groups(met, ["key", "i", "j"], _coarse_links(least), "u long, v long").distinct())
-    coarse = cut(components(edges).withColumnRenamed("component", "gid"))
+    coarse = cut(components(map_groups(met, ["key", "i", "j"], _coarse_links(least), "u long, v long")).withColumnRenamed("component", "gid"))
 
-    whole = texts.join(coarse.select(F.col("id").alias("doc_id")), "doc_id").withColumnRenamed("doc_id", "id")
-    sets = whole.mapInArrow(_sets_in(words), "id long, high long, low long, shingles binary")
+    whole = texts.join(coarse.withColumnRenamed("id", "doc_id"), "doc_id").withColumnRenamed("doc_id", "id")
+    sets = whole.mapInArrow(_sets_in(words), "id long, gid long, high long, low long, shingles binary")
     sets = cut(sets.join(classes.select("high", "low", "id", "signature"), ["high", "low", "id"]).drop("high", "low"))
-    verified = cut(map_groups(_stars(edges, sets), ["u", "block"], _exact_star(hundredths), "u long, v long"))
-    linked = components(verified)
-
-    parts = coarse.join(linked, "id", "left").select("id", "gid", F.coalesce("component", "id").alias("part"))
-    weights = parts.join(sets.select("id", _shingles().alias("size")), "id")
-    several = weights.groupBy("gid").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"), F.min("part").alias("low"), F.max("part").alias("high"))
-    several = cut(several.where("low <> high").select("gid", _weight("n", "size").alias("n")))
-    if not several.isEmpty():
-        split = sets.join(parts, "id").join(several.select("gid"), "gid", "left_semi")
-        blocks = in_blocks(split, "gid", F.col("id"), several, GROUP_BLOCK)
-        more = map_groups(blocks, ["gid", "i", "j"], _exact_links(hundredths, least), "u long, v long")
-        linked = components(more.unionByName(verified))
+    shingles = F.ceil(F.sum(F.octet_length("shingles")) / (8 * SHINGLES))
+    sizes = cut(sets.groupBy("gid").agg(F.greatest(F.count(F.lit(1)), shingles).cast("long").alias("n")))
+    blocks = in_blocks(sets, "gid", F.col("id"), sizes, GROUP_BLOCK)
+    linked = components(map_groups(blocks, ["gid", "i", "j"], _exact_links(hundredths, least), "u long, v long"))
 
     found = classes.select("high", "low", "id").join(linked, "id", "left").select("high", "low", F.coalesce("component", "id").alias("component"))
     members = base.where("n_shingles > 0").select("doc_id", "n_shingles", "high", "low").join(found, ["high", "low"], "left")
@@ -215,27 +182,6 @@ def near_duplicates(documents: DataFrame, hundredths: int = HUNDREDTHS, words: i
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
 
 
-def _shingles() -> Column:
-    return F.octet_length("shingles") / 8
-
-
-def _weight(n: str, shingles: str) -> Column:
-    """How many classes a group counts for when it is dealt to blocks."""
-    return F.greatest(F.col(n), F.ceil(F.col(shingles) / SHINGLES)).cast("long")
-
-
-def _stars(edges: DataFrame, sets: DataFrame) -> DataFrame:
-    """(u, block, id, shingles): the set of each class u beside those of a block of its neighbours in the edges."""
-    leaves = edges.join(sets.select(F.col("id").alias("v"), "shingles"), "v").withColumnRenamed("v", "id")
-    degrees = edges.join(sets.select(F.col("id").alias("v"), _shingles().alias("size")), "v").groupBy("u").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"))
-    degrees = cut(degrees.select("u", "n", F.ceil(_weight("n", "size") / GROUP_BLOCK).cast("int").alias("blocks")))
-    dealt = met_by(leaves, degrees, "u", degrees.agg(F.sum("n")).first()[0] or 0)
-    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("id", F.lit(6)), F.col("blocks")).cast("int"))
-    hubs = degrees.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).join(sets.select(F.col("id").alias("u"), "shingles"), "u")
-    columns = ["u", "block", "id", "shingles"]
-    return dealt.select(*columns).unionByName(hubs.select("u", "block", F.col("u").alias("id"), "shingles"))
-
-
 def keep_first(documents: DataFrame, hundredths: int = HUNDREDTHS) -> DataFrame:
     """The rows of ``documents``, all columns, one for each group of near duplicates: that of the smallest doc_id.
 
