@@ -87,3 +87,27 @@ def sampled_texts(documents: DataFrame, sample: DataFrame) -> DataFrame:
     held = documents.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
     least = held.groupBy("doc_id", "label").agg(F.min(F.struct(F.xxhash64("text").alias("hash"), "text")).alias("least"))
     return cut(least.select("doc_id", "label", "least.text"))
+
+
+def in_parts(rows: DataFrame, order: list[Column]) -> DataFrame:
+    """``rows`` sorted over ranges and kept in the shared folder, with each row's range (_part) and its place there (_at).
+
+    Rows that are equal in ``order`` may lie in more ranges than one: a last key tells apart any two rows, so that a hot
+    key is split too.
+    """
+    named = rows.withColumn("_row", F.monotonically_increasing_id())
+    ranges = named.repartitionByRange(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *order, F.col("_row"))
+    placed = ranges.sortWithinPartitions(*order, "_row").drop("_row")
+    return cut(placed.select("*", F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("_at")))
+
+
+def in_order(rows: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """``rows`` with each row's place, from 0, in the whole order. Only the ranges' sizes reach the driver."""
+    parts = in_parts(rows, order)
+    sizes = dict(parts.groupBy("_part").count().toPandas().itertuples(index=False))
+    starts, total = [], 0
+    for part in range(max(sizes, default=0) + 1):
+        starts.append(total)
+        total += int(sizes.get(part, 0))
+    start = F.element_at(F.array(*map(F.lit, starts)).cast("array<long>"), F.col("_part") + 1)
+    return parts.withColumn(name, start + F.col("_at")).drop("_part", "_at")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import bpe, chat, embed_dedup, minhash, packing, pii, quality, secrets, topk, toxicity
+from . import bpe, chat, embed_dedup, manifest, minhash, packing, pieces, pii, quality, resample, secrets, topk, toxicity
 from .common import prepare, table
 
 
@@ -67,6 +67,22 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op11_sentencepiece_spans(spark: SparkSession, sf_dir: str, model: str | None = None) -> DataFrame:
+    prepare(spark)
+    with open(model or public_tokenizers.path("piece_bpe_32k.model"), "rb") as file:
+        return pieces.digests(table(spark, sf_dir, "documents"), pieces.Codec(file.read()))
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), "item_id")
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return manifest.digests(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_segment_topk": op1_segment_topk,
     "op2_pii_disclosure": op2_pii_disclosure,
@@ -78,6 +94,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chat_segments": op8_chat_segments,
     "op9_minhash_dedup": op9_minhash_dedup,
     "op10_embedding_dedup": op10_embedding_dedup,
+    "op11_sentencepiece_spans": op11_sentencepiece_spans,
+    "op12_importance_resampling": op12_importance_resampling,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 
 OP8_SQL = r"""
@@ -153,7 +172,114 @@ SELECT e.vec_id, coalesce(d.n, 0)::BIGINT AS n_links, least(e.vec_id, coalesce(m
 FROM embeddings e LEFT JOIN least l ON l.u = e.vec_id LEFT JOIN degree d ON d.u = e.vec_id
 """
 
+#: Unsigned crc32 of hex text {hex}, by the polynomial's table of 256 entries.
+_CRC_TABLE = """
+  SELECT list(c ORDER BY b) AS crc_table FROM (
+    SELECT b, list_reduce(list_prepend(b, range(8)), lambda c, i: CASE WHEN c % 2 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) AS c
+    FROM range(256) bytes(b))
+"""
+_CRC = """xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(0, len({hex}), 2),
+    lambda i: ('0x' || {hex}[i + 1:i + 2])::BIGINT)), lambda c, b: xor(crc_table[xor(c & 255, b) + 1], c >> 8)))"""
+
+OP12_SQL = f"""
+WITH crc AS ({_CRC_TABLE}),
+words AS (
+  SELECT row_number() OVER () AS row_at, kind, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w
+  FROM (SELECT 0 AS kind, doc_id, text FROM documents UNION ALL SELECT 1, item_id, text FROM benchmark)
+), runs AS (
+  SELECT row_at, kind, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS feature FROM words
+), named AS (
+  SELECT feature, hex(encode(feature)) AS h FROM (SELECT DISTINCT feature FROM runs)
+), buckets AS (
+  SELECT feature, {_CRC.format(hex="h")} % 10000 AS bucket FROM named, crc
+), placed AS (
+  SELECT row_at, kind, bucket FROM runs JOIN buckets USING (feature)
+), counted AS (
+  SELECT bucket, count(*) FILTER (WHERE kind = 0) AS s, count(*) FILTER (WHERE kind = 1) AS t FROM placed GROUP BY bucket
+), totals AS (
+  SELECT sum(s) AS all_s, sum(t) AS all_t FROM counted
+), gains AS (
+  SELECT bucket, floor(1000 * ln((t + 1)::DOUBLE * (all_s + 10000)::DOUBLE / ((s + 1)::DOUBLE * (all_t + 10000)::DOUBLE)))::BIGINT AS gain FROM counted, totals
+), weighed AS (
+  SELECT row_at, count(*) AS n, sum(gain)::BIGINT AS total FROM placed JOIN gains USING (bucket) WHERE kind = 0 GROUP BY row_at
+), scored AS (
+  SELECT row_at, doc_id, len(w) AS n_words, coalesce(n, 0) AS n_features,
+    coalesce((total - ((total % n) + n) % n) // n, 0) AS weight,
+    ('0x' || sha256('7:' || coalesce(doc_id::VARCHAR, ''))[1:8])::BIGINT AS h
+  FROM words LEFT JOIN weighed USING (row_at) WHERE kind = 0
+), noisy AS (
+  SELECT *, (weight + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296::DOUBLE))))::BIGINT AS score FROM scored
+), drawn AS (
+  SELECT row_at, row_number() OVER (ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM noisy WHERE n_words >= 20
+)
+SELECT doc_id, n_features::BIGINT AS n_features, weight::BIGINT AS weight, score,
+  CASE WHEN rank <= 25 * (SELECT count(*) FROM drawn) // 100 THEN rank END AS rank
+FROM noisy LEFT JOIN drawn USING (row_at)
+"""
+
+
+def _hashed(*values: str) -> str:
+    parts = (f"coalesce(octet_length(encode({v}::VARCHAR)) || ':' || {v}::VARCHAR, '-')" for v in values)
+    return f"sha256({' || '.join(parts)})"
+
+
+def _levels(rows: str, name: str, count: int) -> str:
+    """Tables name0 to name``count``: each level's nodes (tree, i, node, n), 16 of the level below each, while more than one is left."""
+    out = f"{name}0 AS (SELECT tree, i, node, count(*) OVER (PARTITION BY tree) AS n FROM {rows})"
+    for k in range(count):
+        out += f""", {name}{k + 1} AS (
+  SELECT tree, i, node, count(*) OVER (PARTITION BY tree) AS n FROM (
+    SELECT tree, i // 16 AS i, CASE WHEN any_value(n) > 1 THEN sha256(string_agg(node, '' ORDER BY i)) ELSE any_value(node) END AS node
+    FROM {name}{k} GROUP BY tree, i // 16))"""
+    return out
+
+
+def _steps(name: str, count: int) -> str:
+    """Each node's run at each level: its siblings before and after."""
+    return " UNION ALL ".join(
+        f"""SELECT {k} AS level, tree, i, string_agg(node, '') OVER before AS b, string_agg(node, '') OVER behind AS a FROM {name}{k} WHERE n > 1
+        WINDOW before AS (PARTITION BY tree, i // 16 ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
+               behind AS (PARTITION BY tree, i // 16 ORDER BY i ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)"""
+        for k in range(count)
+    )
+
+
+_LEVELS = 6
+_LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_FOLDS = ", ".join(
+    f"""fold{k + 1} AS (
+  SELECT f.* REPLACE (CASE WHEN s.level IS NULL THEN own ELSE sha256(coalesce(b, '') || own || coalesce(a, '')) END AS own,
+    others || coalesce(b, '') || coalesce(a, '') AS others)
+  FROM fold{k} f LEFT JOIN steps s ON s.level = {k % _LEVELS} AND s.upper = {k // _LEVELS} AND s.tree = {"'' " if k >= _LEVELS else "f.tree "}
+    AND s.i = {"f.t_i" if k >= _LEVELS else "f.i"} // {16 ** (k % _LEVELS)})"""
+    for k in range(2 * _LEVELS)
+)
+
+#: Sources of up to 16^6 rows and as many sources.
+OP13_SQL = f"""
+WITH crc AS ({_CRC_TABLE}),
+ids AS (SELECT *, hex(encode(coalesce(doc_id::VARCHAR, ''))) AS h FROM documents),
+rows AS (
+  SELECT doc_id, coalesce(':' || source, '') AS tree, {_hashed("doc_id", "source", "lang", "n_chars", "text")} AS node,
+    CASE WHEN h = '' OR {_CRC.format(hex="h")} % 5 = 0 THEN {_hashed("doc_id", "source", "lang", "n_chars", _LOWER)} END AS tampered
+  FROM ids, crc
+), leaves AS (
+  SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, node) - 1 AS i FROM rows
+), {_levels("leaves", "low", _LEVELS)},
+subroots AS (SELECT tree AS source_tree, '' AS tree, row_number() OVER (ORDER BY encode(tree)) - 1 AS i, node FROM low{_LEVELS}),
+{_levels("subroots", "up", _LEVELS)},
+steps AS (SELECT 0 AS upper, * FROM ({_steps("low", _LEVELS)}) UNION ALL SELECT 1, * FROM ({_steps("up", _LEVELS)})),
+fold0 AS (
+  SELECT l.*, s.i AS t_i, s.node AS subroot, u.node AS root, coalesce(tampered, l.node) AS own, '' AS others
+  FROM leaves l JOIN subroots s ON s.source_tree = l.tree CROSS JOIN up{_LEVELS} u
+), {_FOLDS}
+SELECT doc_id, node AS leaf, subroot, root, sha256(others) AS proof_sha256, own AS folded_root, own = root AS verified FROM fold{2 * _LEVELS}
+"""
+
 ORACLE_SQL: dict[str, str] = {
     "op1_segment_topk": OP1_SQL,
     "op10_embedding_dedup": OP10_SQL,
+    "op12_importance_resampling": OP12_SQL,
+    "op13_merkle_manifest": OP13_SQL,
     "op9_minhash_dedup": OP9_SQL, "op8_chat_segments": OP8_SQL}
