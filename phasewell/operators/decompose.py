@@ -1,75 +1,88 @@
 """Adaptive decomposition of a job's signals into I/O phases.
 
 Exact one-dimensional k-means by dynamic programming over the distinct values replaces a seeded search: for k = 2, 3, ...
-until the low cluster holds at most a share of the sum. Equal costs go to the larger lower clusters. One job's samples
-are a bounded array; jobs are spread with ``groupBy(job).applyInPandas``.
+until the low cluster holds at most a share of the sum. Equal costs go to the larger lower clusters. The best start of
+the last cluster never moves down as values are added, so each k takes m log m costs by divide and conquer, and only the
+histogram of a signal's values, counted by Spark before it moves, reaches the task that finds the clusters.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
 from ..schemas import ACCESS, REPRESENTATION
+from . import changes, signals as sig
+from .changes import change_points  # noqa: F401  (part of this module's interface)
 
 #: Costs closer than this, relative to the spread, are equal.
 _EPS = 1e-12
-#: Distinct values up to which all clusters' costs are computed at once.
-_AT_ONCE = 2_048
 
 
-def optimal_labels(values: np.ndarray, threshold: float = 0.01) -> np.ndarray:
-    """Cluster numbers from 0, the lowest, of the first k whose low cluster holds at most ``threshold`` of the sum."""
-    values = np.asarray(values, float)
-    total = values.sum()
-    if len(values) < 2 or total <= 0:
-        return np.zeros(len(values), int)
-    distinct, inverse, weight = np.unique(values, return_inverse=True, return_counts=True)
-    x, m = distinct / distinct[-1], len(distinct)
-    w = np.concatenate([[0], np.cumsum(weight)]).astype(float)
-    s1 = np.concatenate([[0], np.cumsum(weight * x)])
-    s2 = np.concatenate([[0], np.cumsum(weight * x * x)])
-    scale = max(s2[-1] - s1[-1] ** 2 / w[-1], 1e-300)
-
-    def cost(i: np.ndarray, j: int) -> np.ndarray:
+def _last_minima(least: int, m: int, costs: Callable[[np.ndarray, np.ndarray], np.ndarray], near: float) -> tuple[np.ndarray, np.ndarray]:
+    """For each end ``least`` to m, the last start from ``least`` - 1 to end - 1 whose cost is the minimum, and that cost.
+
+    All middles of one depth are searched at once, between the starts found for the ends around them.
+    """
+    value, at = np.full(m + 1, np.inf), np.zeros(m + 1, np.int32)
+    low, high = np.array([least]), np.array([m])
+    begin, end = np.array([least - 1]), np.array([m - 1])
+    while len(low):
+        middle = (low + high) // 2
+        first, last = begin, np.minimum(end, middle - 1)
+        size = last - first + 1
+        bound = np.cumsum(size) - size
+        starts = np.arange(size.sum()) - np.repeat(bound - first, size)
+        found = costs(starts, np.repeat(middle, size))
+        best = np.minimum.reduceat(found, bound)
+        chosen = np.maximum.reduceat(np.where(found <= np.repeat(best + near, size), starts, -1), bound)
+        at[middle], value[middle] = chosen, found[bound + chosen - first]
+        down, up = low < middle, middle < high
+        low, high, begin, end = (
+            np.concatenate([low[down], middle[up] + 1]), np.concatenate([middle[down] - 1, high[up]]),
+            np.concatenate([begin[down], chosen[up]]), np.concatenate([chosen[down], end[up]]),
+        )
+    return value, at
+
+
+def cluster_starts(distinct: np.ndarray, count: np.ndarray, threshold: float = 0.01) -> np.ndarray:
+    """The least values of all clusters but the lowest, for the first k whose low cluster holds at most ``threshold`` of
+    the sum, given a signal's distinct values in order and how often each occurs."""
+    x, m = np.asarray(distinct, float), len(distinct)
+    total = (count * x).sum()
+    if count.sum() < 2 or total <= 0:
+        return x[:0]
+    w, s1, s2 = (np.concatenate([[0.0], np.cumsum(v)]) for v in (count.astype(float), count * x, count * x * x))
+    near = _EPS * max(s2[-1] - s1[-1] * s1[-1] / w[-1], 1e-300)
+
+    def own(i: np.ndarray, j: np.ndarray) -> np.ndarray:
         """Squared error of one cluster of the distinct values i to j - 1."""
-        return np.maximum(s2[j] - s2[i] - (s1[j] - s1[i]) ** 2 / (w[j] - w[i]), 0)
+        sums = s1[j] - s1[i]
+        return np.maximum(s2[j] - s2[i] - sums * sums / (w[j] - w[i]), 0)
 
-    best = cost(np.zeros(m + 1, int)[1:], 0) if m == 0 else np.array([0.0] + [float(cost(np.array([0]), j)[0]) for j in range(1, m + 1)])
+    ends = np.arange(1, m + 1)
+    best = np.concatenate([[0.0], own(np.zeros(m, int), ends)])
     cuts: list[np.ndarray] = []
-    last = np.arange(1, m + 1)
-    whole = None
-    if m <= _AT_ONCE:  # the cost of each cluster of values i to j - 1; the lower triangle is none
-        i = np.arange(m)[:, None]
-        whole = np.where(i < last, np.maximum(s2[last] - s2[i] - (s1[last] - s1[i]) ** 2 / np.maximum(w[last] - w[i], 1), 0), np.inf)
-    for k in range(2, len(values) + 1):
-        if k > m:
-            break  # more clusters than values change nothing
-        now, cut = np.full(m + 1, np.inf), np.zeros(m + 1, int)
-        if whole is not None:
-            costs = best[k - 1 : m, None] + whole[k - 1 :, k - 1 :]
-            near = costs <= costs.min(0) + _EPS * scale
-            cut[k:] = m - 1 - near[::-1].argmax(0)  # the last: larger lower clusters
-            now[k:] = costs[cut[k:] - (k - 1), np.arange(m - k + 1)]
-        else:
-            for j in range(k, m + 1):
-                starts = np.arange(k - 1, j)
-                costs = best[starts] + cost(starts, j)
-                least = costs.min()
-                cut[j] = starts[np.flatnonzero(costs <= least + _EPS * scale)[-1]]
-                now[j] = costs[cut[j] - (k - 1)]
-        best = now
+    for k in range(2, m + 1):
+        best, cut = _last_minima(k, m, lambda i, j: best[i] + own(i, j), near)  # noqa: B023
         cuts.append(cut)
-        edges, j = [m], m
+        edges, j = [], m
         for cut in reversed(cuts):
             j = int(cut[j])
             edges.append(j)
-        edges.append(0)
-        labels = np.searchsorted(np.array(edges[::-1])[1:], np.arange(m), "right")
-        if (weight * distinct)[labels == 0].sum() / total <= threshold:
-            return labels[inverse]
-    return np.arange(m)[inverse]
+        if s1[j] / total <= threshold:
+            return x[edges[::-1]]
+    return x[1:]
+
+
+def optimal_labels(values: np.ndarray, threshold: float = 0.01) -> np.ndarray:
+    """Cluster numbers from 0, the lowest, of a whole signal; see ``cluster_starts``."""
+    values = np.asarray(values, float)
+    return np.searchsorted(cluster_starts(*np.unique(values, return_counts=True), threshold), values, "right")
 
 
 def runs(flags: np.ndarray) -> list[tuple[int, int]]:
@@ -83,7 +96,7 @@ def represent(job: dict[str, np.ndarray], threshold: float = 0.01, merged: bool
     """The events of one job from its arrays: bytes, and operations and access patterns where they are present."""
     read, write = np.asarray(job["bytesRead"], float), np.asarray(job["bytesWritten"], float)
     n = len(read)
-    norm = np.hypot(read, write)
+    norm = np.sqrt(read * read + write * write)
     zero = dict(read_volume=0.0, read_bw=0.0, write_volume=0.0, write_bw=0.0, read_pattern="Uncl", write_pattern="Uncl", read_operations=0, write_operations=0)
     if not n:
         return []
@@ -116,76 +129,70 @@ def represent(job: dict[str, np.ndarray], threshold: float = 0.01, merged: bool
     return out
 
 
+def clusters(signals: DataFrame, columns: list[str], threshold: float = 0.01) -> DataFrame:
+    """(job_id, one array of ``cluster_starts`` for each column). A job's histograms are counted before they move."""
+    values = F.explode(F.array(*(F.struct(F.lit(c).alias("signal"), F.col(c).cast("double").alias("value")) for c in columns)))
+    counted = signals.select("job_id", values.alias("_v")).groupBy("job_id", "_v.signal", "_v.value").agg(F.count(F.lit(1)).alias("n"))
+
+    def run(key: tuple, held: pd.DataFrame) -> pd.DataFrame:
+        held = held.sort_values("value")
+        return pd.DataFrame([(key[0], key[1], cluster_starts(held["value"].to_numpy(), held["n"].to_numpy(), threshold))], columns=["job_id", "signal", "starts"])
+
+    found = counted.groupBy("job_id", "signal").applyInPandas(run, "job_id long, signal string, starts array<double>")
+    return found.groupBy("job_id").agg(*(F.first(F.when(F.col("signal") == c, F.col("starts")), ignorenulls=True).alias(f"starts_{c}") for c in columns))
+
+
+def adaptive_labels(signals: DataFrame, threshold: float = 0.01) -> DataFrame:
+    """``signals`` with the joint signal ``norm`` and the cluster numbers ``label``, ``label_read``, ``label_write``.
+
+    A signal of one sample is I/O where it isn't 0; a joint signal that never changes and isn't 0 is one run.
+    """
+    read, write = F.col("bytesRead").cast("double"), F.col("bytesWritten").cast("double")
+    rows = signals.withColumn("norm", F.sqrt(read * read + write * write))
+    named = {"norm": "label", "bytesRead": "label_read", "bytesWritten": "label_write"}
+    met = rows.join(clusters(rows, list(named), threshold), "job_id")
+    whole = Window.partitionBy("job_id")
+    met = met.withColumn("_n", F.count(F.lit(1)).over(whole)).withColumn("_sum", F.sum("norm").over(whole))
+    for value, label in named.items():
+        number = F.size(F.filter(f"starts_{value}", lambda start: start <= F.col(value).cast("double")))  # noqa: B023
+        if value == "norm":
+            number = F.when((F.size("starts_norm") == 0) & (F.col("_sum") > 0), 1).otherwise(number)
+        met = met.withColumn(label, F.when(F.col("_n") == 1, (F.col(value) > 0).cast("int")).otherwise(number))
+    return met.drop("_n", "_sum", *(f"starts_{c}" for c in named))
+
+
 def adaptive_representation(signals: DataFrame, threshold: float = 0.01, merged: bool = True) -> DataFrame:
-    """REPRESENTATION rows of every job in ``signals``."""
+    """REPRESENTATION rows of every job in ``signals``; clusters above the lowest are one run if ``merged``."""
+    names = [f.split()[0] for f in REPRESENTATION.split(", ")]
     metrics = [c for c in signals.columns if c.startswith(("bytes", "operation", "access"))]
+    if merged:
+        needed = [f"operation{side}" for side in ("Read", "Write")] + [f"access{p}{side}" for side in ("Read", "Write") for p in ACCESS]
+        whole = signals.select("job_id", "idx", *metrics, *(F.lit(0).alias(c) for c in needed if c not in metrics))
+        events = sig.representation(adaptive_labels(whole, threshold), "label_read", "label_write", "label")
+        number = F.row_number().over(Window.partitionBy("job_id").orderBy("event", "s")) - 1
+        return events.withColumn("phase", number.cast("int")).withColumn("job_id", F.col("job_id").cast("long")).select(*names)
 
     def run(job: pd.DataFrame) -> pd.DataFrame:
         job = job.sort_values("idx")
         rows = pd.DataFrame(represent({c: job[c].to_numpy() for c in metrics}, threshold, merged))
         rows.insert(0, "job_id", job["job_id"].iloc[0])
-        return rows[[f.split()[0] for f in REPRESENTATION.split(", ")]]
+        return rows[names]
 
     return signals.select("job_id", "idx", *metrics).groupBy("job_id").applyInPandas(run, REPRESENTATION)
 
 
 def binary_segmentation(values: np.ndarray, penalty: float) -> list[int]:
     """Change points by binary segmentation with squared error: split while a split gains more than the penalty."""
-    x = np.asarray(values, float)
-    s1, s2 = np.concatenate([[0], np.cumsum(x)]), np.concatenate([[0], np.cumsum(x * x)])
-    cost = lambda a, b: s2[b] - s2[a] - (s1[b] - s1[a]) ** 2 / (b - a)
-    out, left = [], [(0, len(x))]
-    while left:
-        a, b = left.pop()
-        if b - a < 2:
-            continue
-        at = np.arange(a + 1, b)
-        gains = cost(a, b) - (s2[at] - s2[a] - (s1[at] - s1[a]) ** 2 / (at - a)) - (s2[b] - s2[at] - (s1[b] - s1[at]) ** 2 / (b - at))
-        i = int(gains.argmax())
-        if gains[i] > penalty:
-            out.append(int(at[i]))
-            left += [(a, int(at[i])), (int(at[i]), b)]
-    return sorted(out)
+    return changes.binary(changes.Squared(values), len(values), penalty)
 
 
 def pelt(values: np.ndarray, penalty: float) -> list[int]:
     """Change points with the least squared error plus penalty for each, by pruned dynamic programming."""
-    x = np.asarray(values, float)
-    n = len(x)
-    if not n:
-        return []
-    s1, s2 = np.concatenate([[0], np.cumsum(x)]), np.concatenate([[0], np.cumsum(x * x)])
-    best, last = np.full(n + 1, np.inf), np.zeros(n + 1, int)
-    best[0] = -penalty
-    alive = np.array([0])
-    for t in range(1, n + 1):
-        costs = best[alive] + s2[t] - s2[alive] - (s1[t] - s1[alive]) ** 2 / (t - alive)
-        i = int(costs.argmin())
-        best[t], last[t] = costs[i] + penalty, alive[i]
-        alive = np.append(alive[costs <= best[t]], t)
-    out, t = [], n
-    while last[t] > 0:
-        t = int(last[t])
-        out.append(t)
-    return out[::-1]
-
-
-def change_points(signals: DataFrame, value: str, penalty: float, method: str = "pelt") -> DataFrame:
-    """(job_id, idx) of the change points of every job's signal."""
-    find = {"pelt": pelt, "binseg": binary_segmentation}[method]
-
-    def run(job: pd.DataFrame) -> pd.DataFrame:
-        found = find(job.sort_values("idx")[value].to_numpy(), penalty)
-        return pd.DataFrame({"job_id": [job["job_id"].iloc[0]] * len(found), "idx": found}).astype({"job_id": "int64", "idx": "int64"})
-
-    return signals.select("job_id", "idx", value).groupBy("job_id").applyInPandas(run, "job_id long, idx long")
+    return changes.optimal(changes.Squared(values), len(values), penalty)
 
 
 def alternating_phases(points: DataFrame) -> DataFrame:
     """Breakpoints in pairs: each odd one opens a phase that the next closes; an open last one has no end."""
-    from pyspark.sql import Window
-    from pyspark.sql import functions as F
-
     w = Window.partitionBy("job_id").orderBy("idx")
     rows = points.withColumn("nth", F.row_number().over(w)).withColumn("e", F.lead("idx").over(w))
     return rows.where("nth % 2 = 1").select("job_id", F.col("idx").alias("s"), "e")

@@ -78,12 +78,42 @@ def test_pareto_over_ranges(spark, monkeypatch):
     assert optimise.pareto(df.where("i = 0"), "a", "b").count() == 1 and optimise.pareto(df.limit(0), "a", "b").count() == 0
 
 
-def test_labels_at_once_equal_one_by_one(monkeypatch):
+def _labels_by_all_starts(values, threshold=0.01):
+    """Clusters by trying every start of the last one, the last start on ties."""
+    x, inverse, n = np.unique(np.asarray(values, float), return_inverse=True, return_counts=True)
+    own = lambda i, j: (n[i:j] * (x[i:j] - (n[i:j] * x[i:j]).sum() / n[i:j].sum()) ** 2).sum()
+    m, near = len(x), 1e-9 * max(own(0, len(x)), 1e-300)
+    best, paths = [0.0] + [own(0, j) for j in range(1, m + 1)], [[] for _ in range(m + 1)]
+    for k in range(2, m + 1):
+        now, ways = [np.inf] * (m + 1), [[] for _ in range(m + 1)]
+        for j in range(k, m + 1):
+            costs = {i: best[i] + own(i, j) for i in range(k - 1, j)}
+            i = max(i for i, c in costs.items() if c <= min(costs.values()) + near)
+            now[j], ways[j] = costs[i], [*paths[i], i]
+        best, paths = now, ways
+        if (n * x)[: paths[m][0]].sum() / (n * x).sum() <= threshold:
+            break
+    return np.searchsorted(paths[m], np.arange(m), "right")[inverse].tolist()
+
+
+def test_labels_are_those_of_all_starts():
     rng = np.random.default_rng(9)
     series = [rng.integers(0, top, 60) * (rng.random(60) < 0.7) for top in (3, 30, 3_000) for _ in range(5)]
-    whole = [decompose.optimal_labels(s).tolist() for s in series]
-    monkeypatch.setattr(decompose, "_AT_ONCE", 0)
-    assert [decompose.optimal_labels(s).tolist() for s in series] == whole
+    series += [np.repeat([0, 1, 2, 3], 5), np.arange(40), rng.gamma(2, size=80).round(3)]
+    for s in series:
+        assert decompose.optimal_labels(s).tolist() == _labels_by_all_starts(s)
+
+
+def test_clusters_of_a_long_series(spark):
+    """A million samples: Spark counts the values, the labels come back to each sample."""
+    value = F.when(F.col("id") % 3 == 0, F.pmod(F.xxhash64("id"), F.lit(200_000)) + 1_000_000).otherwise(F.pmod(F.xxhash64("id", F.lit(1)), F.lit(500)))
+    df = spark.range(0, 1_000_000, 1, 8).select(F.lit(1).cast("long").alias("job_id"), F.col("id").cast("int").alias("idx"), value.alias("bytesRead"), F.lit(0).alias("bytesWritten"))
+    labelled = decompose.adaptive_labels(df)
+    got = labelled.groupBy((F.col("idx") % 3 == 0).alias("high")).agg(F.min("label_read").alias("a"), F.max("label_read").alias("b"), F.max("label_write").alias("w")).collect()
+    assert {(r["high"], r["a"] > 0, r["w"]) for r in got} == {(True, True, 0), (False, False, 0)} and {r["b"] for r in got if not r["high"]} == {0}
+    x = np.sort(np.random.default_rng(1).random(300_000)) ** 3
+    starts = decompose.cluster_starts(x, np.ones(len(x), int), 0.01)
+    assert x[x < starts[0]].sum() <= 0.01 * x.sum()
 
 
 def test_change_points_of_a_published_length():
