@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalar as X
-from ..operators import central, decompose, joins, model, optimise, replay
+from ..operators import central, changes, decompose, joins, model, optimise, replay
 from ..operators import dependencies as deps
 from ..operators import signals as sig
 from . import tables as T
@@ -87,12 +87,6 @@ def io_phases_kmeans2(spark, sf_dir):
     return joins.first_of(splits, ["job_id"], [F.desc("gain"), F.desc("norm")]).select("job_id", F.col("norm").alias("low_max"), F.col("next").alias("high_min"))
 
 
-@query()
-def io_phases_adaptive(spark, sf_dir):
-    """Events of every job with clusters found adaptively."""
-    return decompose.adaptive_representation(T.signals(spark, sf_dir))
-
-
 @query("SELECT job_id, s, e FROM islands", T.SIGNALS_SQL, _ISLANDS)
 def phase_intervals_merged(spark, sf_dir):
     return _runs(spark, sf_dir).select("job_id", "s", "e")
@@ -156,6 +150,59 @@ _REPRESENTATION = f"""tagged AS (
 )"""
 
 
+_CLUSTERED = """histograms AS (
+  SELECT job_id, signal, list(v ORDER BY v) AS x, list(n ORDER BY v) AS n, count(*) AS m FROM (
+    SELECT job_id, signal, v, count(*)::DOUBLE AS n FROM (
+      SELECT job_id, unnest(['norm', 'read', 'write']) AS signal,
+             unnest([sqrt(bytesRead::DOUBLE * bytesRead::DOUBLE + bytesWritten::DOUBLE * bytesWritten::DOUBLE), bytesRead::DOUBLE, bytesWritten::DOUBLE]) AS v FROM signals) GROUP BY ALL)
+  GROUP BY 1, 2
+), summed AS (
+  SELECT *, list_transform(range(0, m + 1), lambda i: coalesce(list_sum(n[1:i]), 0)) AS w,
+         list_transform(range(0, m + 1), lambda i: coalesce(list_sum(list_transform(n[1:i], lambda c, k: c * x[k])), 0)) AS s1,
+         list_transform(range(0, m + 1), lambda i: coalesce(list_sum(list_transform(n[1:i], lambda c, k: c * x[k] * x[k])), 0)) AS s2 FROM histograms
+), reached AS (
+  SELECT job_id, signal, m, x, w, s1, s2, 1e-12::DOUBLE * greatest(s2[m + 1] - s1[m + 1] * s1[m + 1] / w[m + 1], 1e-300::DOUBLE) AS near, 1::BIGINT AS k,
+         list_transform(range(0, m + 1), lambda j: CASE WHEN j = 0 THEN 0 ELSE greatest(s2[j + 1] - s1[j + 1] * s1[j + 1] / w[j + 1], 0) END::DOUBLE) AS best,
+         list_transform(range(0, m + 1), lambda j: []::BIGINT[]) AS paths, w[m + 1] < 2 OR s1[m + 1] <= 0 AS done
+  FROM summed
+  UNION ALL
+  SELECT job_id, signal, m, x, w, s1, s2, near, k, best, paths, s1[paths[m + 1][1] + 1] / s1[m + 1] <= 0.01::DOUBLE AS done FROM (
+    SELECT * EXCLUDE (best, paths, costs, least, cut),
+           list_concat(list_transform(range(0, k), lambda j: 'inf'::DOUBLE), list_transform(range(1, m - k + 2), lambda t: costs[t][cut[t] - k + 2])) AS best,
+           list_concat(list_transform(range(0, k), lambda j: []::BIGINT[]), list_transform(cut, lambda i: list_append(paths[i + 1], i))) AS paths
+    FROM (
+      SELECT *, list_transform(costs, lambda c, t: k - 2 + list_max(list_transform(c, lambda d, i: CASE WHEN d <= least[t] THEN i ELSE 0 END))) AS cut FROM (
+        SELECT *, list_transform(costs, lambda c: list_min(c) + near) AS least FROM (
+          SELECT * EXCLUDE (k, done), k + 1 AS k, list_transform(range(k + 1, m + 1), lambda j: list_transform(range(k, j), lambda i:
+            best[i + 1] + greatest(s2[j + 1] - s2[i + 1] - (s1[j + 1] - s1[i + 1]) * (s1[j + 1] - s1[i + 1]) / (w[j + 1] - w[i + 1]), 0))) AS costs
+          FROM reached WHERE NOT done AND k < m))))
+), starts AS (
+  SELECT job_id, signal, list_transform(last_paths[m + 1], lambda i: x[i + 1]) AS starts FROM (
+    SELECT job_id, signal, any_value(m) AS m, any_value(x) AS x, max_by(paths, k) AS last_paths FROM reached GROUP BY 1, 2)
+), cut AS (
+  SELECT job_id, max(starts) FILTER (WHERE signal = 'norm') AS of_norm, max(starts) FILTER (WHERE signal = 'read') AS of_read, max(starts) FILTER (WHERE signal = 'write') AS of_write
+  FROM starts GROUP BY 1
+), labelled AS (
+  SELECT * EXCLUDE (of_norm, of_read, of_write, norm, v, total),
+         CASE WHEN n = 1 THEN (v > 0)::INTEGER WHEN len(of_norm) = 0 AND total > 0 THEN 1 ELSE len(list_filter(of_norm, lambda c: c <= v)) END AS label,
+         CASE WHEN n = 1 THEN (bytesRead > 0)::INTEGER ELSE len(list_filter(of_read, lambda c: c <= bytesRead)) END AS label_read,
+         CASE WHEN n = 1 THEN (bytesWritten > 0)::INTEGER ELSE len(list_filter(of_write, lambda c: c <= bytesWritten)) END AS label_write
+  FROM (SELECT *, sqrt(bytesRead::DOUBLE * bytesRead::DOUBLE + bytesWritten::DOUBLE * bytesWritten::DOUBLE) AS v, sum(norm) OVER (PARTITION BY job_id) AS total FROM signals)
+  JOIN cut USING (job_id) JOIN sizes USING (job_id)
+)"""
+
+
+@query(
+    """SELECT * EXCLUDE (s) REPLACE (round(read_bw, 4) AS read_bw, round(write_bw, 4) AS write_bw), (row_number() OVER (PARTITION BY job_id ORDER BY event, s) - 1)::INTEGER AS phase
+    FROM represented /* reached UNION */""",
+    T.GRID_SQL, _CLUSTERED, _REPRESENTATION,
+)
+def io_phases_adaptive(spark, sf_dir):
+    """Events of every job with clusters found adaptively."""
+    rows = decompose.adaptive_representation(T.signals(spark, sf_dir))
+    return rows.withColumn("read_bw", F.round("read_bw", 4)).withColumn("write_bw", F.round("write_bw", 4))
+
+
 def _events(spark, sf_dir):
     return sig.representation(T.signals(spark, sf_dir), "label_read", "label_write", "label")
 
@@ -734,11 +781,60 @@ def peak_buffer(spark, sf_dir):
     return replay.peak_buffer(log, ["l_suppkey"])
 
 
-@query()
+def _optimal_sql(cost: str, first: str, penalty: str, kind: str) -> str:
+    """The change points of every job's signal by the plain quadratic recursion; ``cost`` is that of samples i + 1 to t."""
+    return f"""SELECT job_id, unnest(points)::BIGINT AS idx FROM (SELECT job_id, max_by(paths, t)[max(t) + 1] AS points FROM reached GROUP BY 1) /* UNION */""", f"""series AS (
+  SELECT job_id, list(norm ORDER BY idx) AS x, count(*) AS n FROM signals GROUP BY 1
+), prepared AS (SELECT job_id, n, {first} FROM series
+), reached AS (
+  SELECT *, 0::BIGINT AS t, [-{penalty}]::{kind}[] AS best, [[]]::BIGINT[][] AS paths FROM prepared
+  UNION ALL
+  SELECT * EXCLUDE (costs, best, paths, place), list_append(best, costs[place] + {penalty}) AS best, list_append(paths, CASE WHEN place = 1 THEN [] ELSE list_append(paths[place], place - 1) END) AS paths FROM (
+    SELECT *, list_position(costs, list_min(costs)) AS place FROM (
+      SELECT * EXCLUDE (t), t + 1 AS t, list_transform(range(0, t + 1), lambda i: best[i + 1] + {cost}) AS costs FROM reached WHERE t < n))
+)"""
+
+
+_PREFIXES = """list_transform(range(0, n + 1), lambda i: coalesce(list_sum(x[1:i]), 0)::DOUBLE) AS s1,
+  list_transform(range(0, n + 1), lambda i: coalesce(list_sum(list_transform(x[1:i], lambda v: v::DOUBLE * v::DOUBLE)), 0)::DOUBLE) AS s2"""
+_PELT = _optimal_sql("(s2[t + 2] - s2[i + 1] - (s1[t + 2] - s1[i + 1]) * (s1[t + 2] - s1[i + 1]) / (t + 1 - i))", _PREFIXES, "5e7::DOUBLE", "DOUBLE")
+_PELT_L1 = _optimal_sql(
+    "list_sum(list_transform(list_sort(x[i + 1:t + 1]), lambda v, p: CASE WHEN 2 * p <= t + 1 - i THEN -v WHEN 2 * p > t + 2 - i THEN v ELSE 0 END))::BIGINT", "x", "5000::BIGINT", "BIGINT"
+)
+
+
+@query(_PELT[0], T.GRID_SQL, _PELT[1])
 def change_points_pelt(spark, sf_dir):
     return decompose.change_points(T.signals(spark, sf_dir), "norm", 5e7)
 
 
+@query(_PELT_L1[0], T.GRID_SQL, _PELT_L1[1])
+def change_points_l1(spark, sf_dir):
+    """The least absolute deviation from the segments' medians, in whole cents."""
+    return decompose.change_points(T.signals(spark, sf_dir), "norm", 5_000, cost="l1")
+
+
+@query()
+def change_points_normal(spark, sf_dir):
+    return decompose.change_points(T.signals(spark, sf_dir), "norm", 8.0, cost="normal", least=2)
+
+
+@query()
+def change_points_bottom_up(spark, sf_dir):
+    return decompose.change_points(T.signals(spark, sf_dir), "norm", 5e7, "bottom_up")
+
+
+@query()
+def change_points_window(spark, sf_dir):
+    return decompose.change_points(T.signals(spark, sf_dir), "norm", 5_000, "window", "l1", least=2)
+
+
+@query()
+def change_points_elbow(spark, sf_dir):
+    """As many change points of every job as the elbow of its cost curve under a Gaussian kernel has."""
+    return changes.elbow_points(T.signals(spark, sf_dir), "norm", "rbf")
+
+
 @query()
 def change_points_binseg(spark, sf_dir):
     return decompose.change_points(T.signals(spark, sf_dir), "norm", 5e7, "binseg")

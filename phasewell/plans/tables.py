@@ -84,15 +84,16 @@ SAMPLES_SQL = f"""raw AS (
   FROM raw GROUP BY 1, 2
 )"""
 _LEVEL_SQL = lambda x: f"(CASE WHEN {x} >= {LEVEL2} THEN 2 WHEN {x} >= {LEVEL1} THEN 1 ELSE 0 END)"
-SIGNALS_SQL = f"""{SAMPLES_SQL}, grid AS (
+GRID_SQL = f"""{SAMPLES_SQL}, grid AS (
   SELECT job_id, lo, unnest(range(lo, hi + 1)) AS bucket FROM (SELECT job_id, min(bucket) AS lo, max(bucket) AS hi FROM samples GROUP BY 1)
 ), signals AS (
   SELECT g.job_id, (g.bucket - lo)::INTEGER AS idx, g.bucket * {STEP} AS ts_s, {", ".join(f"coalesce({m}, 0) AS {m}" for m in METRICS)},
          coalesce(bytesRead, 0) + coalesce(bytesWritten, 0) AS norm
   FROM grid g LEFT JOIN samples s ON s.job_id = g.job_id AND s.bucket = g.bucket
-), labelled AS (
-  SELECT *, {_LEVEL_SQL("norm")} AS label, {_LEVEL_SQL("bytesRead")} AS label_read, {_LEVEL_SQL("bytesWritten")} AS label_write FROM signals
 ), sizes AS (SELECT job_id, max(idx) + 1 AS n FROM signals GROUP BY 1)"""
+SIGNALS_SQL = f"""{GRID_SQL}, labelled AS (
+  SELECT *, {_LEVEL_SQL("norm")} AS label, {_LEVEL_SQL("bytesRead")} AS label_read, {_LEVEL_SQL("bytesWritten")} AS label_write FROM signals
+)"""
 JOBS_SQL = """jobs AS (
   SELECT o_custkey AS workflow_id, o_orderkey AS job_id, epoch_ms(o_orderdate) AS start_ms,
          epoch_ms(greatest(coalesce(shipped, o_orderdate), o_orderdate)) AS end_ms
