@@ -61,6 +61,32 @@ def schedule_chain(phases: DataFrame, tiers: DataFrame) -> DataFrame:
     return rows.select("chain", "job", "i", "tier", (F.col("t_end") - F.col("length")).alias("t_start"), "t_end")
 
 
+def schedule_least_ends(phases: DataFrame, bandwidths: list[str], sequence: str = "best") -> DataFrame:
+    """(chain, job, i, tier, t_start, t_end) in microseconds with the least sum of all phases' ends.
+
+    Phases of a job follow each other, jobs of a chain do too. A phase goes to the tier that ends it first: any other
+    choice delays it and all behind it. Of two neighbouring jobs the one with less time for each of its phases comes
+    first, else exchanging them would lower the sum; equal ones go by number. ``sequence`` "given" keeps the jobs'
+    numbers as their order. A phase without any tier's bandwidth has no tier and takes no time; unmeasured tiers, whose
+    bandwidth is null or 0, are never chosen.
+    """
+    if sequence not in ("best", "given"):
+        raise ValueError(f"no sequence {sequence}")
+    lasts = F.array_compact(F.array(*(
+        F.when(F.col(b) > 0, F.struct(F.floor(F.col("volume") * 1_000_000 / F.col(b)).cast("long").alias("length"), F.lit(b.removesuffix("_bw")).alias("tier")))
+        for b in bandwidths
+    )))
+    first = F.array_min(lasts)
+    rows = phases.select("chain", "job", "i", first["tier"].alias("tier"), F.coalesce(first["length"], F.lit(0)).alias("length"))
+    jobs = rows.groupBy("chain", "job").agg(F.sum("length").alias("whole"), F.count(F.lit(1)).alias("n"))
+    order = [F.col("whole") / F.col("n"), F.col("job")] if sequence == "best" else [F.col("job")]
+    begin = F.sum("whole").over(Window.partitionBy("chain").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)) - F.col("whole")
+    placed = rows.join(jobs.select("chain", "job", begin.alias("begin")), ["chain", "job"])
+    inside = F.sum("length").over(Window.partitionBy("chain", "job").orderBy("i").rowsBetween(Window.unboundedPreceding, 0))
+    ended = placed.withColumn("t_end", F.col("begin") + inside)
+    return ended.select("chain", "job", "i", "tier", (F.col("t_end") - F.col("length")).alias("t_start"), "t_end")
+
+
 def lower_hull(points: DataFrame, key: str, x: str, y: str) -> DataFrame:
     """The lower convex hull of each key's points, from left to right."""
 

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalar as X
-from ..operators import central, changes, decompose, joins, model, optimise, replay
+from ..operators import attribution, central, changes, decompose, joins, model, optimise, replay
 from ..operators import dependencies as deps
 from ..operators import signals as sig
 from . import tables as T
@@ -680,16 +679,6 @@ def flavor_sweep(spark, sf_dir):
     return placed.groupBy("budget", "app").agg(F.round(F.sum(time), 6).alias("io_seconds"))
 
 
-@query()
-def replay_contended(spark, sf_dir):
-    """Trials of pairs of apps on a disk with a buffer, with shared bandwidth."""
-    apps = lambda shift, use: json.dumps([
-        {"name": n, "start": s, "compute": [0, 10], "read": [1e9, 0], "write": [0, 5e9], "placement": ["hdd", "hdd"], "use_bb": [use, use]} for n, s in (("a", 0), ("b", shift))
-    ])
-    trials = spark.createDataFrame([(i * 2 + u, apps(i, bool(u))) for i in range(8) for u in (0, 1)], "trial_id long, apps string")
-    return replay.contended(trials, {"hdd": {"read": 80e6, "write": 40e6}, "bb": {"read": 800e6, "write": 400e6, "persistent": "hdd"}})
-
-
 _LEVELS = "SELECT s_suppkey, floor(abs(s_acctbal) * 100)::BIGINT AS lvl, floor(abs(s_acctbal) * 37)::BIGINT AS dirty FROM supplier"
 
 
@@ -725,22 +714,29 @@ def signal_from_log(spark, sf_dir):
     return joins.last_positive(rows.select("job_id", F.col("idx").cast("long").alias("at")), runs, "job_id", "value", 8)
 
 
-_NODES = [("1", 80.0), ("2", 270.0), ("3", 250.0), ("4", 160.0), ("5", 180.0)]
 _TIERS = [("T1", 0.01, 300.0, 10.0), ("T2", 0.1, 500.0, 2.0), ("T3", 1.0, 1000.0, 1.0)]
+_PLACED = [f"r_{i}" for i in range(5)]
 _PLACE_SQL = (
-    "WITH t(tier, latency, cap, bw) AS (VALUES " + ", ".join(f"('{a}', {b}::DOUBLE, {c}::DOUBLE, {d}::DOUBLE)" for a, b, c, d in _TIERS) + "), "
-    + ", ".join(f"x{n} AS (SELECT tier AS n{n}, latency + {d} / bw AS k{n} FROM t)" for n, d in _NODES)
-    + ", every AS (SELECT *, " + " + ".join(f"k{n}" for n, _ in _NODES) + " AS cost FROM " + ", ".join(f"x{n}" for n, _ in _NODES) + ")"
-    + " SELECT " + ", ".join(f"n{n}" for n, _ in _NODES) + ", round(cost, 6)::DOUBLE AS cost FROM every WHERE "
-    + " AND ".join("(" + " + ".join(f"CASE WHEN n{n} = '{a}' THEN {d} ELSE 0 END" for n, d in _NODES) + f") <= {c}" for a, _, c, _ in _TIERS)
+    "WITH t(tier, latency, cap, bw) AS (VALUES " + ", ".join(f"('{a}', {b}::DOUBLE, {c}::DOUBLE, {d}::DOUBLE)" for a, b, c, d in _TIERS) + """), demands AS (
+    SELECT n_regionkey, sum(round(c_acctbal * 100)::BIGINT) AS cents FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1
+  ), shares AS (SELECT 'r_' || n_regionkey AS node, greatest(cents, 0) * 250 / (SELECT max(cents) FROM demands) AS demand FROM demands), """
+    + ", ".join(f"x{n} AS (SELECT tier AS n{n}, demand AS d{n}, latency + demand / bw AS k{n} FROM t, shares WHERE node = '{n}')" for n in _PLACED)
+    + ", every AS (SELECT *, " + " + ".join(f"k{n}" for n in _PLACED) + " AS cost FROM " + ", ".join(f"x{n}" for n in _PLACED) + ")"
+    + " SELECT " + ", ".join(f"n{n}" for n in _PLACED) + ", round(cost, 6)::DOUBLE AS cost FROM every WHERE "
+    + " AND ".join("(" + " + ".join(f"CASE WHEN n{n} = '{a}' THEN d{n} ELSE 0 END" for n in _PLACED) + f") <= {c}" for a, _, c, _ in _TIERS)
 )
 
 
 @query(_PLACE_SQL)
 def placement_enumeration(spark, sf_dir):
-    """Every assignment of five data sets to three tiers that fits, with its cost."""
-    nodes, tiers = spark.createDataFrame(_NODES, "node string, demand double"), spark.createDataFrame(_TIERS, "tier string, latency double, capacity double, bandwidth double")
-    return optimise.assignments(nodes, tiers, [n for n, _ in _NODES]).where("fits").drop("fits").withColumn("cost", F.round("cost", 6))
+    """Every assignment of the regions' accounts, as data sets, to three tiers that fits, with its cost."""
+    nations, customers = T.load(spark, sf_dir, "nation"), T.load(spark, sf_dir, "customer")
+    met = customers.join(F.broadcast(nations), F.col("c_nationkey") == F.col("n_nationkey"))
+    cents = met.groupBy("n_regionkey").agg(F.sum(F.round(F.col("c_acctbal") * 100).cast("long")).alias("cents"))
+    largest = F.max("cents").over(Window.partitionBy(F.lit(1)))  # one row for each region
+    nodes = cents.select(F.concat(F.lit("r_"), F.col("n_regionkey").cast("string")).alias("node"), (F.greatest("cents", F.lit(0)) * 250 / largest).alias("demand"))
+    tiers = spark.createDataFrame(_TIERS, "tier string, latency double, capacity double, bandwidth double")
+    return optimise.assignments(nodes, tiers, _PLACED).where("fits").drop("fits").withColumn("cost", F.round("cost", 6))
 
 
 @query(
@@ -869,21 +865,6 @@ def app_io_counts(spark, sf_dir):
     return _apps(spark, sf_dir).groupBy("app").agg(F.sum(one("read") + one("write")).alias("ios"), F.round(F.sum(F.col("read") + F.col("write")), 2).alias("volume"))
 
 
-@query()
-def facility_location(spark, sf_dir):
-    """Costs of every set of sites that can serve five customers."""
-    demand, sites = dict(enumerate((80, 270, 250, 160, 180), 1)), ("f1", "f2", "f3")
-    distance = {s: dict(enumerate(d, 1)) for s, d in zip(sites, ((4, 5, 6, 8, 10), (6, 4, 3, 5, 8), (9, 7, 4, 3, 4)), strict=True)}
-    return optimise.facility_location(spark, demand, dict.fromkeys(sites, 500), dict.fromkeys(sites, 1000), distance)
-
-
-@query()
-def replay_signals(spark, sf_dir):
-    """Bandwidth at whole seconds of the contended replay's apps, each trial's app by itself."""
-    log = replay_contended(spark, sf_dir).withColumn("app", F.concat_ws("/", "trial_id", "app"))
-    return replay.signal_of_ticks(log)
-
-
 _MODEL_PATTERN = "CASE lower({0}) WHEN 'str' THEN 'stride' ELSE lower({0}) END"
 
 
@@ -972,37 +953,52 @@ def file_extensions(spark, sf_dir):
     return T.load(spark, sf_dir, "pages").select("page_id", X.has_extension(F.col("url"), ".html").alias("html"), X.has_extension(F.col("url"), ".HTML").alias("upper"))
 
 
-_DISKS = {"hdd": {"read": 80e6, "write": 40e6}, "ssd": {"read": 200e6, "write": 100e6}}
-
-
-def _buffered(capacity: float) -> dict:
-    return {**_DISKS, "bb": {"read": 800e6, "write": 400e6, "persistent": "hdd", "capacity": capacity}}
+_DURATION = "CASE WHEN {0} > 0 THEN floor((read_volume + write_volume)::DOUBLE * 1000000 / {0})::BIGINT END"
 
 
-def _two_apps() -> list[dict]:
-    return [{"name": n, "start": s, "compute": [0, 10], "read": [1e9, 5e8], "write": [0, 2e9]} for n, s in (("a", 0), ("b", 3))]
-
+@query(
+    f"""SELECT chain, job, i, tier, (begun + inside - length)::BIGINT AS t_start, (begun + inside)::BIGINT AS t_end FROM (
+      SELECT *, sum(length) OVER (PARTITION BY chain, job ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS inside FROM timed)
+    JOIN (SELECT chain, job, sum(whole) OVER (PARTITION BY chain ORDER BY whole / n, job ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - whole AS begun FROM (
+      SELECT chain, job, sum(length)::DOUBLE AS whole, count(*) AS n FROM timed GROUP BY 1, 2)) USING (chain, job)""",
+    T.PHASES_SQL,
+    f"""timed AS (
+  SELECT o_custkey AS chain, o_orderkey AS job, (phase_id % 10)::INTEGER AS i, least(a, b, c) AS length, CASE least(a, b, c) WHEN a THEN 'ioi' WHEN b THEN 'lfs' ELSE 'sbb' END AS tier FROM (
+    SELECT *, {_DURATION.format("ioi_bw")} AS a, {_DURATION.format("lfs_bw")} AS b, {_DURATION.format("sbb_bw")} AS c FROM phases) JOIN orders ON o_orderkey = phase_id // 10
+)""",
+)
+def schedule_least_ends(spark, sf_dir):
+    """Line items as phases of a customer's orders: tiers and an order of the jobs with the least sum of all ends."""
+    orders = T.load(spark, sf_dir, "orders").select(F.col("o_custkey").alias("chain"), F.col("o_orderkey").alias("job"))
+    rows = T.phases(spark, sf_dir).withColumns({"job": F.expr("phase_id div 10"), "i": (F.col("phase_id") % 10).cast("int"), "volume": (F.col("read_volume") + F.col("write_volume")).cast("double")})
+    return optimise.schedule_least_ends(rows.join(orders, "job"), ["ioi_bw", "lfs_bw", "sbb_bw"])
 
-@query()
-def placement_search(spark, sf_dir):
-    """Makespan and peak of the buffer of every placement of two apps' phases."""
-    trials = replay.placements(spark, _two_apps(), list(_DISKS))
-    return replay.objective(replay.contended(trials, _buffered(20e9)), ["trial_id"])
 
+@query(
+    """SELECT phase_id, round((s22 * s1y - s12 * s2y) / (s11 * s22 - s12 * s12) * (quantity - m1), 3) + 0.0 AS by_quantity,
+    round((s11 * s2y - s12 * s1y) / (s11 * s22 - s12 * s12) * (tax - m2), 3) + 0.0 AS by_tax FROM held, moments""",
+    T.ITEMS_SQL,
+    """held AS (SELECT l_orderkey * 10 + l_linenumber AS phase_id, l_quantity::DOUBLE AS quantity, l_tax::DOUBLE AS tax, l_extendedprice::DOUBLE AS y FROM items),
+  moments AS (SELECT var_pop(quantity) AS s11, var_pop(tax) AS s22, covar_pop(quantity, tax) AS s12, covar_pop(quantity, y) AS s1y, covar_pop(tax, y) AS s2y, avg(quantity) AS m1, avg(tax) AS m2 FROM held)""",
+)
+def linear_attribution(spark, sf_dir):
+    """What quantity and tax contribute to each item's price under a least-squares model of both."""
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import LinearRegression
 
-@query()
-def flavor_makespans(spark, sf_dir):
-    """Makespan of two apps through buffers of several sizes."""
-    apps = [{**a, "placement": ["hdd", "hdd"], "use_bb": [True, True]} for a in _two_apps()]
-    sizes = (5e8, 1e9, 2e9, 3e9, 5e9, 1e10)
-    trials = spark.createDataFrame([(i, json.dumps(apps), json.dumps(_buffered(c))) for i, c in enumerate(sizes)], "trial_id long, apps string, tiers string")
-    capacity = F.element_at(F.array(*[F.lit(c) for c in sizes]), (F.col("trial_id") + 1).cast("int"))
-    return replay.objective(replay.contended(trials, _buffered(0.0)), ["trial_id"]).withColumn("capacity", capacity)
+    rows = T.items(spark, sf_dir).select(
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("phase_id"), F.col("l_quantity").cast("double").alias("quantity"), F.col("l_tax").cast("double").alias("tax"), F.col("l_extendedprice").cast("double").alias("y")
+    )
+    fitted = LinearRegression(solver="normal", labelCol="y").fit(VectorAssembler(inputCols=["quantity", "tax"], outputCol="features").transform(rows))
+    out = attribution.linear_attribution(rows, ["quantity", "tax"], fitted.coefficients.toArray().tolist(), ["phase_id"])
+    return out.withColumns({c: F.round(c, 3) + 0.0 for c in ("by_quantity", "by_tax")})
 
 
 @query()
-def cluster_use(spark, sf_dir):
-    """Cores in use and how full the buffer is, over a contended replay."""
-    log = replay_contended(spark, sf_dir)
-    cores = replay.cpu_curve(log, ["trial_id"]).select("trial_id", F.lit("cores").alias("kind"), "at", F.col("total").cast("double").alias("value"))
-    return cores.unionByName(replay.tier_percent(log, ["trial_id"], {"bb": 20e9}).select("trial_id", F.col("tier").alias("kind"), "at", F.col("percent").alias("value")))
+def tree_attribution(spark, sf_dir):
+    """What each feature of the design matrix contributes to each phase's rate as a tree predicts it; with the base rate
+    they sum to the prediction."""
+    rows = T.phases(spark, sf_dir)
+    x = model.design_matrix(rows, ["phase_id"]).join(model.target_matrix(rows, ["phase_id"]), "phase_id")
+    fitted = model.train(x, "lfs_bw", "tree")
+    return attribution.tree_attribution(fitted.stages[-1], fitted.transform(x), ["phase_id", "predicted_lfs_bw"])
