@@ -13,8 +13,8 @@ from .common import cut
 
 #: Rounds after which the stars must have settled; each at least halves what is left to settle in practice.
 MAX_ROUNDS = 60
-#: Rows from which a key can be hot, and hot keys at the most.
-HOT, HOT_KEYS = 1_000, 1_000
+#: Edges, and rows of a group, from which a key can be hot, and hot keys at the most.
+HOT_EDGES, HOT, HOT_KEYS = 100_000, 1_000, 1_000
 
 
 def _pointed(edges: DataFrame) -> DataFrame:
@@ -22,13 +22,13 @@ def _pointed(edges: DataFrame) -> DataFrame:
     return edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
 
 
-def met_by(rows: DataFrame, keyed: DataFrame, key: str, total: int) -> DataFrame:
+def met_by(rows: DataFrame, keyed: DataFrame, key: str, total: int, hot_from: int = HOT) -> DataFrame:
     """``rows``, ``total`` of them, joined with ``keyed``, which has each key once and its number of rows n.
 
-    Keys with many rows are broadcast, no more than HOT_KEYS of them, so that the rows of a hot key stay where they are.
-    The others meet by a shuffle.
+    Keys with more rows than ``hot_from`` are broadcast, no more than HOT_KEYS of them, so that the rows of a hot key
+    stay where they are. The others meet by a shuffle.
     """
-    most = max(HOT, total // HOT_KEYS)
+    most = max(hot_from, total // HOT_KEYS)
     if total <= most:
         return rows.join(keyed.drop("n"), key)
     hot = F.broadcast(keyed.where(F.col("n") > most).withColumnRenamed(key, "_hot").drop("n"))
@@ -43,13 +43,13 @@ def _large_star(edges: DataFrame, total: int) -> DataFrame:
     """Every larger neighbour of u is joined to the least of u and its neighbours."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).select("u", F.least("u", "m").alias("m"), "n")
-    return _pointed(met_by(both.where("v > u"), least, "u", 2 * total).select(F.col("v").alias("u"), F.col("m").alias("v")))
+    return _pointed(met_by(both.where("v > u"), least, "u", 2 * total, HOT_EDGES).select(F.col("v").alias("u"), F.col("m").alias("v")))
 
 
 def _small_star(edges: DataFrame, total: int) -> DataFrame:
     """u and its smaller neighbours are joined to the least of them."""
     least = edges.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
-    return _pointed(met_by(edges, least, "u", total).select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))))
+    return _pointed(met_by(edges, least, "u", total, HOT_EDGES).select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -120,22 +120,9 @@ def join_pairs(group: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
             group[:] = group[group]
 
 
-class Forest:
-    """Union-find over the rows of a block."""
-
-    def __init__(self, n: int):
-        self.parent = list(range(n))
-
-    def find(self, x: int) -> int:
-        parent = self.parent
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    def join(self, a: int, b: int) -> bool:
-        a, b = self.find(a), self.find(b)
-        if a == b:
-            return False
-        self.parent[max(a, b)] = min(a, b)
-        return True
+def stars(ids: np.ndarray, group: np.ndarray) -> pa.RecordBatch:
+    """Edges (u, v) from each row of a block to the least id of its group; ``group`` names each row's group."""
+    order = np.lexsort((ids, group))
+    first = np.concatenate([[True], group[order][1:] != group[order][:-1]])
+    least = ids[order][np.flatnonzero(first)][np.cumsum(first) - 1]
+    return pa.record_batch([pa.array(ids[order][~first]), pa.array(least[~first])], ["u", "v"])

@@ -6,8 +6,8 @@ bucket, signatures (the low byte of every minimum) are verified: only classes wh
 threshold stay connected. What stays connected is a coarse group, found by alternating large-star and small-star; the
 full sets of a coarse group's classes are then compared exactly, and components of the exact links are the result.
 
-No pairs are written: a block of a bucket or of a coarse group gives a spanning forest of the links found in it, and
-larger groups than a block are compared block by block, each two blocks in a task of their own. So a group's work is
+No pairs are written: a block of a bucket or of a coarse group gives, for the links found in it, each class's edge to
+the least one that it reaches there, and larger groups than a block are compared block by block, each two blocks in a task of their own. So a group's work is
 spread, though it stays quadratic in the number of different texts of one coarse group; equal texts cost nothing.
 Blocks are dealt by the sizes of their sets, so that long texts don't fill a task.
 
@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, prepare, slices, texts_of
-from .graph import Forest, components, in_blocks, map_groups
+from .graph import components, in_blocks, map_groups, stars
 from .shingles import WORDS, MinHash, shingle_set
 
 BANDS, ROWS = 32, 5
@@ -73,32 +73,32 @@ def _margin(hundredths: int, hashes: int) -> float:
     return s - 5 * float(np.sqrt(s * (1 - s) / hashes))
 
 
+def _blocks(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, bool]:
+    """The ids of two blocks' rows, the places of the first and of the second block, and whether they are one."""
+    ids, own = rows.column("id").to_numpy(), rows.column("own").to_numpy()
+    i, j = rows.column("i")[0].as_py(), rows.column("j")[0].as_py()
+    return ids, np.flatnonzero(own == i), np.flatnonzero(own == j), i == j
+
+
+def _signatures(rows: pa.Table) -> np.ndarray:
+    return np.array([np.frombuffer(s.as_buffer(), np.uint8) for s in rows.column("signature")])
+
+
 def _coarse_links(least: float):
     def run(rows: pa.Table) -> pa.RecordBatch | None:
-        rows = rows.sort_by("id")  # so that buckets with common members have common stars
-        ids, own = rows.column("id").to_numpy(), rows.column("own").to_numpy()
-        i, j = rows.column("i")[0].as_py(), rows.column("j")[0].as_py()
-        signatures = np.array([np.frombuffer(s.as_buffer(), np.uint8) for s in rows.column("signature")])
-        forest, out = Forest(len(ids)), []
-        left = np.flatnonzero(own == i)
+        ids, left, right, same = _blocks(rows)
+        signatures, group = _signatures(rows), np.arange(len(ids))
         for at in left:
-            others = np.flatnonzero(own == j)
-            if i == j:
-                others = others[others > at]
-            near = others[(signatures[others] == signatures[at]).mean(1) >= least] if len(others) else others
-            out += [(ids[at], ids[b]) for b in near if forest.join(int(at), int(b))]
-        return _edges(out)
+            others = right[right > at] if same else right
+            others = others[group[others] != group[at]]  # the rest is linked by others already
+            if len(others):
+                near = others[(signatures[others] == signatures[at]).mean(1) >= least]
+                group[np.isin(group, group[near])] = group[at]
+        return stars(ids, group)
 
     return run
 
 
-def _edges(found: list) -> pa.RecordBatch | None:
-    if not found:
-        return None
-    u, v = zip(*found, strict=True)
-    return pa.record_batch([pa.array(np.array(u, np.int64)), pa.array(np.array(v, np.int64))], ["u", "v"])
-
-
 def _shared(a: np.ndarray, b: np.ndarray) -> int:
     """The size of the intersection of two sorted sets."""
     if len(a) < len(b):
@@ -108,28 +108,21 @@ def _shared(a: np.ndarray, b: np.ndarray) -> int:
 
 def _exact_links(hundredths: int, least: float):
     def run(rows: pa.Table) -> pa.RecordBatch | None:
-        ids, own = rows.column("id").to_numpy(), rows.column("own").to_numpy()
-        i, j = rows.column("i")[0].as_py(), rows.column("j")[0].as_py()
+        ids, left, right, same = _blocks(rows)
         sets = [np.frombuffer(s.as_buffer(), np.uint64) for s in rows.column("shingles")]
-        signatures = np.array([np.frombuffer(s.as_buffer(), np.uint8) for s in rows.column("signature")])
-        size = np.array([len(s) for s in sets])
-        forest, out = Forest(len(ids)), []
-        right = np.flatnonzero(own == j)
-        for at in np.flatnonzero(own == i):
-            others = right[right > at] if i == j else right
-            fits = 100 * np.minimum(size[others], size[at]) >= hundredths * np.maximum(size[others], size[at])
-            others = others[fits]
+        signatures, size, group = _signatures(rows), np.array([len(s) for s in sets]), np.arange(len(ids))
+        for at in left:
+            others = right[right > at] if same else right
+            others = others[group[others] != group[at]]
+            others = others[100 * np.minimum(size[others], size[at]) >= hundredths * np.maximum(size[others], size[at])]
             if not len(others):
                 continue
-            others = others[(signatures[others] == signatures[at]).mean(1) >= least]
-            for b in others:
-                if forest.find(int(at)) == forest.find(int(b)):
-                    continue  # linked by others already
-                both = _shared(sets[at], sets[b])
-                if 100 * both >= hundredths * (size[at] + size[b] - both):
-                    forest.join(int(at), int(b))
-                    out.append((ids[at], ids[b]))
-        return _edges(out)
+            for b in others[(signatures[others] == signatures[at]).mean(1) >= least]:
+                if group[b] != group[at]:
+                    both = _shared(sets[at], sets[b])
+                    if 100 * both >= hundredths * (size[at] + size[b] - both):
+                        group[group == group[b]] = group[at]
+        return stars(ids, group)
 
     return run
 
