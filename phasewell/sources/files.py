@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import os
 import warnings
+from collections.abc import Iterator
+from functools import reduce
 
+import pyarrow as pa
 import yaml
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -12,23 +15,56 @@ from pyspark.sql import functions as F
 from .. import schemas
 
 
+#: Bytes in which a file's header must end, and different headers that are read at once.
+HEADER, HEADERS = 1 << 16, 1_000
+
+
+def _headers(spark: SparkSession, path: str) -> dict[str, list[str]]:
+    """The job files below a folder by their header; tasks read the headers, only the beginning of each file."""
+    from .bson import _opened
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for file in batch.column("path").to_pylist():
+                system, name = _opened(file)
+                with system.open_input_stream(name) as stream:
+                    raw = bytearray()
+                    while b"\n" not in raw and len(raw) < HEADER and (more := stream.read(4096)):
+                        raw += more
+                found.append(bytes(raw).split(b"\n")[0].decode("utf-8-sig").rstrip("\r"))
+            yield pa.record_batch([batch.column("path"), pa.array(found, pa.string())], ["path", "header"])
+
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").load(path).where("length > 0").select("path")
+    out: dict[str, list[str]] = {}
+    for row in files.mapInArrow(run, "path string, header string").collect():  # paths, which Spark's readers list as well
+        out.setdefault(row["header"], []).append(row["path"])
+    if len(out) > HEADERS:
+        raise ValueError(f"{len(out)} different headers")
+    return out
+
+
 def read_job_csv(spark: SparkSession, path: str, columns: tuple[str, ...] = ("bytesRead", "bytesWritten")) -> DataFrame:
     """Job series from CSV files below a folder; the first row of each job and timestamp counts.
 
     Columns are found by each file's own header, as files differ in their order; one that a file lacks is null. A
-    header without a name is the row's number. The job's id and data set come from the file's path.
+    header without a name is the row's number. The job's id and data set come from the file's path. Files with the same
+    header are one scan, which splits long files and parses only the columns asked for.
     """
-    whole = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.csv").withColumn("file", F.input_file_name())
-    lines = F.split("value", r"\r?\n")
-    names = F.transform(F.split(F.get(lines, F.lit(0)), ","), lambda n, i: F.when((i == 0) & (n == ""), "_idx").otherwise(n))
-    rows = whole.select("file", names.alias("names"), F.posexplode(F.slice(lines, F.lit(2), F.size(lines))).alias("line", "row")).where("row <> ''")
-    cells = F.split("row", ",", -1)
-    cells = F.transform("names", lambda n, i: F.get(cells, i))
-    cell = F.map_from_arrays("names", cells)
-    named = rows.select("line", cell.alias("cell"), *[v.alias(k) for k, v in job_of(F.col("file")).items()])
-    typed = named.select("dataset", "job_id", "line", F.col("cell")["timestamp"].try_cast("double").alias("timestamp"), *[F.col("cell")[c].try_cast("bigint").alias(c) for c in columns])
-    nth = F.row_number().over(Window.partitionBy("dataset", "job_id", "timestamp").orderBy("line"))
-    return typed.withColumn("_nth", nth).where("_nth = 1").drop("_nth", "line")
+    wanted = ("timestamp", *columns)
+    parts = []
+    for header, files in sorted(_headers(spark, path).items()):
+        names = [n or ("_idx" if i == 0 else f"_{i}") for i, n in enumerate(header.split(","))]
+        named = [n if names.index(n) == i else f"_{i}" for i, n in enumerate(names)]
+        rows = spark.read.csv(sorted(files), schema=", ".join(f"`{n}` string" for n in named), header=True, enforceSchema=True)
+        cells = [(F.col(f"`{c}`") if c in named else F.lit(None)).cast("string").alias(c) for c in wanted]
+        parts.append(rows.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_line"), *cells))
+    if not parts:
+        parts = [spark.createDataFrame([], "file string, _block long, _line long, " + ", ".join(f"`{c}` string" for c in wanted))]
+    whole = reduce(DataFrame.unionByName, parts)
+    typed = whole.select(*[v.alias(k) for k, v in job_of(F.col("file")).items()], "_block", "_line", F.col("timestamp").try_cast("double").alias("timestamp"), *[F.col(c).try_cast("bigint").alias(c) for c in columns])
+    nth = F.row_number().over(Window.partitionBy("dataset", "job_id", "timestamp").orderBy("_block", "_line"))
+    return typed.withColumn("_nth", nth).where("_nth = 1").drop("_nth", "_block", "_line").select("dataset", "job_id", "timestamp", *columns)
 
 
 def job_of(file: Column) -> dict[str, Column]:

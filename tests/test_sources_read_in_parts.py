@@ -175,3 +175,27 @@ def test_metadata(spark, service):
     assert got == {"m": {"jobid": "7", "token": "t"}, "none": None}
     held = pages.read_metadata(ids.limit(1), address).select(pages.of_key("user").alias("u"), pages.of_key("no").alias("n")).first()
     assert tuple(held) == ("u", None)
+
+
+def test_a_long_csv_is_read_by_several_tasks(spark, tmp_path):
+    """Files of two headers, one of them long: the first row of a timestamp counts also across its parts."""
+    from phasewell.sources import files
+
+    (tmp_path / "d").mkdir()
+    lines = [f"{i},{i // 2},{i * 3},x{i},{i}" for i in range(20_000)]
+    (tmp_path / "d" / "io_job_1.csv").write_text("\n".join([",timestamp,bytesRead,note,bytesWritten", *lines]) + "\n")
+    (tmp_path / "d" / "io_job_2.csv").write_text("bytesWritten,timestamp\r\n5,1.5\r\n6,1.5\r\nno,2.5\r\n")
+    (tmp_path / "d" / "io_job_3.csv").write_text("")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "40000")
+    try:
+        df = files.read_job_csv(spark, str(tmp_path))
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        got = df.collect()
+        assert spark.read.csv(str(tmp_path / "d" / "io_job_1.csv")).rdd.getNumPartitions() > 5
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert "note" not in plan.split("ReadSchema", 1)[1]
+    one = sorted((r["timestamp"], r["bytesRead"], r["bytesWritten"]) for r in got if r["job_id"] == "1")
+    assert one == [(float(t), 6 * t, 2 * t) for t in range(10_000)]
+    assert sorted((r["timestamp"], r["bytesRead"], r["bytesWritten"], r["dataset"]) for r in got if r["job_id"] == "2") == [(1.5, None, 5, "d"), (2.5, None, None, "d")]
+    assert files.read_job_csv(spark, str(tmp_path / "d" / "io_job_3.csv")).count() == 0
