@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalar as X
-from ..operators import attribution, central, changes, decompose, joins, model, optimise, replay
+from ..operators import attribution, central, changes, decompose, hidden, joins, model, optimise, replay
 from ..operators import dependencies as deps
 from ..operators import signals as sig
 from . import tables as T
@@ -1002,3 +1002,34 @@ def tree_attribution(spark, sf_dir):
     x = model.design_matrix(rows, ["phase_id"]).join(model.target_matrix(rows, ["phase_id"]), "phase_id")
     fitted = model.train(x, "lfs_bw", "tree")
     return attribution.tree_attribution(fitted.stages[-1], fitted.transform(x), ["phase_id", "predicted_lfs_bw"])
+
+
+_HIDDEN_RATES = [0.1, 1.0, 3.0]
+_WEIGHT = "x * ln(r) - r - lgamma(x + 1)"
+
+
+@query(
+    """SELECT job_id, unnest(range(n))::INTEGER AS idx, unnest(path)::INTEGER AS state FROM (
+      SELECT job_id, any_value(n) AS n, max_by(paths, t)[list_position(max_by(best, t), list_max(max_by(best, t)))] AS path FROM reached GROUP BY 1) /* UNION */""",
+    T.GRID_SQL,
+    f"""counted AS (SELECT job_id, list((operationRead + operationWrite)::DOUBLE ORDER BY idx) AS xs, count(*) AS n FROM signals GROUP BY 1),
+reached AS (
+  SELECT job_id, n, xs, 1::BIGINT AS t, list_transform({_HIDDEN_RATES}::DOUBLE[], lambda r: {_WEIGHT.replace("x", "xs[1]")} - ln(3)) AS best, [[0], [1], [2]]::BIGINT[][] AS paths FROM counted
+  UNION ALL
+  SELECT job_id, n, xs, t, list_transform({_HIDDEN_RATES}::DOUBLE[], lambda r, s: list_max(through[s]) + ({_WEIGHT.replace("x", "xs[t]")})) AS best,
+         list_transform(through, lambda b, s: list_append(paths[list_position(b, list_max(b))], s - 1)) AS paths FROM (
+    SELECT job_id, n, xs, t + 1 AS t, paths, list_transform([1, 2, 3], lambda s: list_transform(best, lambda b, q: b + CASE WHEN q = s THEN ln(1 - 0.05::DOUBLE) ELSE ln(0.05::DOUBLE / 2) END)) AS through
+    FROM reached WHERE t < n)
+)""",
+)
+def hidden_paths(spark, sf_dir):
+    """The most likely of three rates of operations behind each sample of every job."""
+    rows = T.signals(spark, sf_dir).withColumn("operations", F.col("operationRead") + F.col("operationWrite"))
+    return hidden.paths(rows, "operations", _HIDDEN_RATES).select("job_id", "idx", "state")
+
+
+@query()
+def hidden_states(spark, sf_dir):
+    """The same with rates fitted over all jobs."""
+    rows = T.signals(spark, sf_dir).withColumn("operations", F.col("operationRead") + F.col("operationWrite"))
+    return hidden.paths(rows, "operations", hidden.fit(rows, "operations", 3, rounds=10).rates)
