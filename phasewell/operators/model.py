@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import descent
+
 CATEGORIES = ("uncl", "seq", "rand", "stride")
 LARGEST_IO = 8e6
 #: Columns with a target's suffix that aren't targets.
@@ -79,12 +81,17 @@ def regressor(kind: str, label: str):
     return made[kind]().setLabelCol(label).setFeaturesCol("features").setPredictionCol(f"predicted_{label}")
 
 
+DESCENT = {"svr": descent.support_vectors, "multilayer": descent.multilayer}
+
+
 def train(x: DataFrame, label: str, kind: str = "linear"):
-    """A fitted pipeline from design-matrix columns to a label."""
+    """A fitted pipeline from design-matrix columns to a label; kinds "svr" and "multilayer" are fitted by descent."""
     from pyspark.ml import Pipeline
     from pyspark.ml.feature import VectorAssembler
 
     inputs = [c for c in x.columns if c.startswith(("cat__", "remainder__"))]
+    if kind in DESCENT:
+        return DESCENT[kind](x, inputs, label)
     return Pipeline(stages=[VectorAssembler(inputCols=inputs, outputCol="features"), regressor(kind, label)]).fit(x)
 
 

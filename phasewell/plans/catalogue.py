@@ -1033,3 +1033,11 @@ def hidden_states(spark, sf_dir):
     """The same with rates fitted over all jobs."""
     rows = T.signals(spark, sf_dir).withColumn("operations", F.col("operationRead") + F.col("operationWrite"))
     return hidden.paths(rows, "operations", hidden.fit(rows, "operations", 3, rounds=10).rates)
+
+
+@query()
+def predict_support_vectors(spark, sf_dir):
+    """Each phase's operations a second on one tier by support vectors with a Gaussian kernel."""
+    rows = T.phases(spark, sf_dir)
+    x = model.design_matrix(rows, ["phase_id"]).join(model.target_matrix(rows, ["phase_id"]).select("phase_id", "lfs_bw"), "phase_id")
+    return model.train(x, "lfs_bw", "svr").transform(x).select("phase_id", "predicted_lfs_bw")
