@@ -13,6 +13,8 @@ from ..session import cut
 
 FLOW = "workflow_id"
 PRIORITY = {"delay": 1, "parallel": 2, "sequential": 3}
+#: Jobs of a workflow in one block where all pairs are asked for.
+BLOCK = 1_000
 
 
 def spans(samples: DataFrame, time: str = "ts", order: str = "idx") -> DataFrame:
@@ -26,10 +28,57 @@ def ordered(jobs: DataFrame) -> DataFrame:
     return jobs.withColumn("ord", F.row_number().over(Window.partitionBy(FLOW).orderBy("start_ms", "job_id")))
 
 
-def _pairs(jobs: DataFrame) -> DataFrame:
-    rows = ordered(jobs)
-    side = lambda p: rows.select(FLOW, *[F.col(c).alias(f"{p}_{c}") for c in ("job_id", "start_ms", "end_ms", "ord")])
-    return side("a").join(side("b"), FLOW).where("a_ord < b_ord")
+def _pairs(jobs: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Each two jobs of a workflow, dealt by blocks of its order, so that a workflow of any size is many tasks."""
+    rows = ordered(jobs).withColumn("own", F.floor((F.col("ord") - 1) / block).cast("int"))
+    last = F.max("own").over(Window.partitionBy(FLOW))
+    side = lambda p: [F.col(c).alias(f"{p}_{c}") for c in ("job_id", "start_ms", "end_ms", "ord")]
+    sized = rows.withColumn("last", last)
+    first = sized.select(FLOW, *side("a"), F.col("own").alias("i"), F.explode(F.sequence("own", "last")).alias("j"))
+    second = rows.select(FLOW, *side("b"), F.explode(F.sequence(F.lit(0), "own")).alias("i"), F.col("own").alias("j"))
+    return first.join(second, [FLOW, "i", "j"]).where("a_ord < b_ord").drop("i", "j")
+
+
+def _slack(jobs: DataFrame, threshold: float, width: int) -> tuple[DataFrame, list[int]]:
+    """Ordered jobs with their slack and its scale: the power of two of ``width`` that holds twice the slack; and all
+    scales there are, no more than a time has bits."""
+    slack = F.lit(threshold) * (F.col("end_ms") - F.col("start_ms"))
+    scale = F.greatest(F.ceil(F.log2(F.greatest(2 * slack / F.lit(width), F.lit(1.0)))), F.lit(0)).cast("int")
+    rows = ordered(jobs).withColumn("slack", slack).withColumn("scale", scale)
+    return rows, sorted(r[0] for r in rows.select("scale").distinct().collect())
+
+
+def _around(rows: DataFrame, scales: list[int], time: str, width: int) -> DataFrame:
+    """Pairs (flow, src, dst, ord, a_start, a_end, slack, at) of jobs where the later one starts within the earlier
+    one's slack around ``time``.
+
+    An interval lies in two buckets of its scale at the most, however long it is; a start is shown once at each scale.
+    """
+    size = F.lit(width).cast("double") * F.pow(F.lit(2.0), F.col("scale"))
+    spans = rows.select(FLOW, F.col("job_id").alias("src"), "ord", F.col("start_ms").alias("a_start"), F.col("end_ms").alias("a_end"), "slack", "scale", F.explode(F.sequence(
+        F.floor((F.col(time) - F.col("slack")) / size), F.floor((F.col(time) + F.col("slack")) / size)
+    )).alias("bucket"))
+    starts = rows.select(FLOW, F.col("job_id").alias("dst"), F.col("start_ms").alias("at"), F.col("ord").alias("own"), F.explode(F.array(*map(F.lit, scales)) if scales else F.array().cast("array<int>")).alias("scale"))
+    starts = starts.withColumn("bucket", F.floor(F.col("at") / size))
+    near = F.col("at").between(F.col({"end_ms": "a_end", "start_ms": "a_start"}[time]) - F.col("slack"), F.col({"end_ms": "a_end", "start_ms": "a_start"}[time]) + F.col("slack"))
+    return starts.join(spans, [FLOW, "scale", "bucket"]).where(F.col("ord") < F.col("own")).where(near)
+
+
+def near_edges(jobs: DataFrame, threshold: float = 0.1, width: int = 1_000) -> DataFrame:
+    """The sequential and parallel edges of ``classify``, found by times, without the pairs that are neither."""
+    rows, scales = _slack(jobs, threshold, width)
+    follows = _around(rows, scales, "end_ms", width).withColumn("type", F.lit("sequential"))
+    beside = _around(rows, scales, "start_ms", width).withColumn("type", F.lit("parallel"))
+    beside = beside.where(~F.col("at").between(F.col("a_end") - F.col("slack"), F.col("a_end") + F.col("slack")))
+    return follows.unionByName(beside).select(FLOW, "src", "dst", "type", F.lit(None).cast("long").alias("delay"), "ord")
+
+
+def incoming_delays(jobs: DataFrame, threshold: float = 0.1) -> DataFrame:
+    """``incoming(classify(jobs), "delay")`` by counting: all earlier jobs but those that a job follows or runs beside."""
+    near = near_edges(jobs, threshold).groupBy(FLOW, F.col("dst").alias("job_id")).agg(F.count(F.lit(1)).alias("near"))
+    left = ordered(jobs).join(near, [FLOW, "job_id"], "left")
+    n = (F.col("ord") - 1 - F.coalesce("near", F.lit(0))).cast("long")
+    return left.select(FLOW, F.col("job_id").alias("dst"), n.alias("n")).where("n > 1")
 
 
 def classify(jobs: DataFrame, threshold: float = 0.1) -> DataFrame:
@@ -69,23 +118,14 @@ def strongest(edges: DataFrame) -> DataFrame:
     return edges.withColumn("nth", nth).where("nth = 1").drop("nth", "ord")
 
 
-def kept(jobs: DataFrame, threshold: float = 0.1, width: int = 864_000_000) -> DataFrame:
+def kept(jobs: DataFrame, threshold: float = 0.1, width: int = 1_000) -> DataFrame:
     """``strongest(classify(jobs))`` without all pairs of a workflow's jobs.
 
-    The sources that a job follows or runs beside are found by the times around which it may start, dealt to buckets of
-    ``width``; a delay is always the one from the job before.
+    The sources that a job follows or runs beside are found by the times around which it may start, in buckets of
+    ``width`` times the power of two that fits a source's slack; a delay is always the one from the job before.
     """
-    rows = ordered(jobs)
-    slack = F.lit(threshold) * (F.col("end_ms") - F.col("start_ms"))
-    bucket = lambda at: F.floor(at / F.lit(width)).cast("long")
-    after = rows.select(FLOW, F.col("job_id").alias("dst"), F.col("start_ms").alias("at"), F.col("ord").alias("own"), bucket(F.col("start_ms")).alias("bucket"))
-
-    def latest(around: str) -> DataFrame:
-        low, high = F.col(around) - slack, F.col(around) + slack
-        spans = rows.select(FLOW, F.col("job_id").alias("src"), "ord", low.alias("low"), high.alias("high")).withColumn("bucket", F.explode(F.sequence(bucket(F.col("low")), bucket(F.col("high")))))
-        met = after.join(spans, [FLOW, "bucket"]).where("ord < own and at between low and high")
-        return met.groupBy(FLOW, "dst").agg(F.max(F.struct("ord", "src")).alias(around))
-
+    rows, scales = _slack(jobs, threshold, width)
+    latest = lambda time: _around(rows, scales, time, width).groupBy(FLOW, "dst").agg(F.max(F.struct("ord", "src")).alias(time))
     before = Window.partitionBy(FLOW).orderBy("ord")
     each = rows.select(FLOW, F.col("job_id").alias("dst"), F.lag("job_id").over(before).alias("previous"), (F.col("start_ms") - F.lag("start_ms").over(before)).alias("gap"))
     each = each.join(latest("end_ms"), [FLOW, "dst"], "left").join(latest("start_ms"), [FLOW, "dst"], "left").where("previous is not null")
@@ -93,50 +133,59 @@ def kept(jobs: DataFrame, threshold: float = 0.1, width: int = 864_000_000) -> D
     return each.select(FLOW, F.coalesce("end_ms.src", "start_ms.src", "previous").alias("src"), "dst", kind.alias("type"), F.when(kind == "delay", F.col("gap")).alias("delay"))
 
 
-def reachable(edges: DataFrame, most: int = 64) -> DataFrame:
-    """Distinct (workflow_id, src, dst) that a path of edges joins; paths double each round, so rounds are few."""
-    paths = cut(edges.select(FLOW, "src", "dst").distinct())
-    known = paths.count()
-    for _ in range(most):
-        a, b = paths.alias("a"), paths.alias("b")
-        longer = a.join(b, (F.col(f"a.{FLOW}") == F.col(f"b.{FLOW}")) & (F.col("a.dst") == F.col("b.src"))).select(F.col(f"a.{FLOW}").alias(FLOW), F.col("a.src").alias("src"), F.col("b.dst").alias("dst"))
-        paths = cut(paths.unionByName(longer).distinct())
-        now = paths.count()
-        if now == known:
-            return paths
-        known = now
+def reachable(edges: DataFrame, sources: DataFrame | None = None, most: int = 64) -> DataFrame:
+    """Distinct (workflow_id, src, dst) that a path of edges joins; from ``sources`` (workflow_id, src) alone, if given.
+
+    All paths double each round: only the paths that are new are joined with the ones known. Paths from given sources
+    grow by an edge each round, and rounds are as many as the longest has edges. Joins are by job, so that a large
+    workflow is split.
+    """
+    near = cut(edges.select(FLOW, "src", "dst").distinct())
+    new = known = near if sources is None else cut(near.join(sources.select(FLOW, "src").distinct(), [FLOW, "src"]))
+    rounds = most if sources is None else 1 << 20
+    for _ in range(rounds):
+        further = (known if sources is None else near).select(FLOW, F.col("src").alias("dst"), F.col("dst").alias("to"))
+        longer = new.join(further, [FLOW, "dst"]).select(FLOW, "src", F.col("to").alias("dst")).distinct()
+        new = cut(longer.join(known, [FLOW, "src", "dst"], "left_anti"))
+        if not new.limit(1).count():
+            return known
+        known = cut(known.unionByName(new))
     raise RuntimeError("paths keep growing")
 
 
 def without_reachable(edges: DataFrame, kind: str = "parallel", by: str = "sequential") -> DataFrame:
-    """Edges of one type whose nodes no path of the other type joins."""
-    paths = reachable(edges.where(F.col("type") == by))
-    return edges.where(F.col("type") == kind).join(paths, [FLOW, "src", "dst"], "left_anti")
-
+    """Edges of one type whose nodes no path of the other type joins; only paths from these edges' sources are followed."""
+    asked = edges.where(F.col("type") == kind)
+    paths = reachable(edges.where(F.col("type") == by), asked)
+    return asked.join(paths, [FLOW, "src", "dst"], "left_anti")
 
-def _per_workflow(edges: DataFrame, run, schema: str) -> DataFrame:
-    """``run`` over each workflow's edges; a workflow is small."""
-    return edges.groupBy(FLOW).applyInPandas(run, schema)
 
+def chains(edges: DataFrame, kinds: tuple[str, ...] = ("parallel", "delay"), most: int = 64) -> DataFrame:
+    """(workflow_id, job_id, chain): jobs joined by edges of these types, by their smallest job.
 
-def chains(edges: DataFrame, kinds: tuple[str, ...] = ("parallel", "delay")) -> DataFrame:
-    """(workflow_id, job_id, chain): jobs joined by edges of these types, by their smallest job."""
-
-    def run(flow: pd.DataFrame) -> pd.DataFrame:
-        parent: dict[int, int] = {}
+    Each round joins a job's larger neighbours to the least one around it, then its smaller ones, until every job points
+    at its chain's least. Joins are by job, so that a large workflow is split.
+    """
 
-        def root(x):
-            while parent.setdefault(x, x) != x:
-                x = parent[x]
-            return x
+    def pointed(rows: DataFrame) -> DataFrame:
+        return rows.where("a <> b").select(FLOW, F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
-        for a, b in zip(flow["src"].tolist(), flow["dst"].tolist(), strict=True):
-            a, b = sorted((root(a), root(b)))
-            parent[b] = a
-        jobs = sorted(parent)
-        return pd.DataFrame({FLOW: [flow[FLOW].iloc[0]] * len(jobs), "job_id": jobs, "chain": [root(j) for j in jobs]})
+    def around(rows: DataFrame) -> DataFrame:
+        return rows.groupBy(FLOW, "a").agg(F.min("b").alias("least"))
 
-    return _per_workflow(edges.where(F.col("type").isin(*kinds)).select(FLOW, "src", "dst"), run, f"{FLOW} long, job_id long, chain long")
+    state = cut(pointed(edges.where(F.col("type").isin(*kinds)).select(FLOW, F.col("src").alias("a"), F.col("dst").alias("b"))))
+    for _ in range(most):
+        both = state.unionByName(state.select(FLOW, F.col("b").alias("a"), F.col("a").alias("b")))
+        least = around(both).withColumn("least", F.least("a", "least"))
+        large = pointed(both.where("b > a").join(least, [FLOW, "a"]).select(FLOW, F.col("b").alias("a"), F.col("least").alias("b")))
+        least = around(large)
+        small = large.join(least, [FLOW, "a"]).select(FLOW, F.col("b").alias("a"), F.col("least").alias("b")).unionByName(least.withColumnRenamed("least", "b"))
+        now = cut(pointed(small))
+        if not now.exceptAll(state).limit(1).count() and now.count() == state.count():
+            roots = now.select(FLOW, F.col("b").alias("job_id")).distinct()
+            return now.select(FLOW, F.col("a").alias("job_id"), F.col("b").alias("chain")).unionByName(roots.withColumn("chain", F.col("job_id")))
+        state = now
+    raise RuntimeError("chains keep changing")
 
 
 def external_predecessors(edges: DataFrame, members: DataFrame) -> DataFrame:
@@ -148,14 +197,32 @@ def external_predecessors(edges: DataFrame, members: DataFrame) -> DataFrame:
 
 
 def necessary_delays(edges: DataFrame) -> DataFrame:
-    """Delay edges that no other path makes redundant, the longest tried first."""
+    """Delay edges that no other path makes redundant, the longest tried first.
 
-    def run(flow: pd.DataFrame) -> pd.DataFrame:
-        others = {(a, b) for a, b, t in zip(flow["src"], flow["dst"], flow["type"], strict=True) if t != "delay"}
+    A delay that is the only edge into its job, or the only one out of it, is necessary, whatever the others are. Paths
+    stay within jobs that edges join, so each such part that holds another delay is a group of its own.
+    """
+    rows = edges.select(FLOW, "src", "dst", "type", "delay")
+    once = rows.select(FLOW, "src", "dst").distinct()
+    into = once.groupBy(FLOW, "dst").agg(F.count(F.lit(1)).alias("into"))
+    out = once.groupBy(FLOW, "src").agg(F.count(F.lit(1)).alias("out"))
+    same = rows.groupBy(FLOW, "src", "dst").agg(F.count(F.lit(1)).alias("same"))  # edges beside it join the same two jobs
+    known = rows.join(into, [FLOW, "dst"]).join(out, [FLOW, "src"]).join(same, [FLOW, "src", "dst"])
+    known = cut(known.withColumn("alone", (F.col("type") == "delay") & (F.col("same") == 1) & ((F.col("into") == 1) | (F.col("out") == 1))))
+    sure = known.where("alone").select(FLOW, "src", "dst", "delay")
+    open_ = known.where("type = 'delay' and not alone")
+    if not open_.limit(1).count():
+        return sure
+    parts = chains(rows, ("sequential", "parallel", "delay"))
+    placed = known.join(parts.select(FLOW, F.col("job_id").alias("src"), "chain"), [FLOW, "src"])
+    wanted = placed.where("type = 'delay' and not alone").select(FLOW, "chain").distinct()
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        others = {(a, b) for a, b, t in zip(part["src"], part["dst"], part["type"], strict=True) if t != "delay"}
         after: dict = {}
-        for a, b in zip(flow["src"], flow["dst"], strict=True):
+        for a, b in zip(part["src"], part["dst"], strict=True):
             after.setdefault(a, set()).add(b)
-        rest = flow[flow["type"] == "delay"].sort_values(["delay", "src", "dst"], ascending=[False, True, True])
+        rest = part[(part["type"] == "delay") & ~part["alone"]].sort_values(["delay", "src", "dst"], ascending=[False, True, True])
         kept = []
         for row in rest.itertuples():
             if (row.src, row.dst) not in others:
@@ -170,43 +237,32 @@ def necessary_delays(edges: DataFrame) -> DataFrame:
             if row.dst not in seen:
                 kept.append(row.Index)
                 after[row.src].add(row.dst)
-        return flow.loc[kept, [FLOW, "src", "dst", "delay"]]
+        return part.loc[kept, [FLOW, "src", "dst", "delay"]]
 
-    return _per_workflow(edges.select(FLOW, "src", "dst", "type", "delay"), run, f"{FLOW} long, src long, dst long, delay long")
+    found = placed.join(wanted, [FLOW, "chain"], "left_semi").select(FLOW, "chain", "src", "dst", "type", "delay", "alone")
+    return sure.unionByName(found.groupBy(FLOW, "chain").applyInPandas(run, f"{FLOW} long, src long, dst long, delay long"))
 
 
-def schedule(jobs: DataFrame, edges: DataFrame, cumulative: bool = True, chosen: bool = False) -> DataFrame:
+def schedule(jobs: DataFrame, edges: DataFrame, cumulative: bool = True, chosen: bool = False, most: int = 64) -> DataFrame:
     """(workflow_id, job_id, start_s, end_s): jobs start when their kept edge allows.
 
     Sequential jobs begin when the source ends, parallel ones with it, delayed ones a delay after its start - or after
-    the chain's start, if not ``cumulative``. Jobs without an edge begin at 0. ``chosen`` edges are the kept ones already.
+    the chain's start, if not ``cumulative``. Jobs without an edge, or whose source isn't among the jobs, begin at 0.
+    ``chosen`` edges are the kept ones already. Each job points at its source with the time between their starts; every
+    round the pointers double, so rounds are few and joins are by job. Jobs whose sources lead in a circle begin at 0.
     """
     kept = (edges if chosen else strongest(edges)).select(FLOW, F.col("dst").alias("job_id"), "src", "type", "delay")
-    rows = jobs.join(kept, [FLOW, "job_id"], "left")
-
-    def run(flow: pd.DataFrame) -> pd.DataFrame:
-        by = {r.job_id: r for r in flow.itertuples()}
-        start: dict = {}
-
-        def begin(job) -> float:
-            if job in start:
-                return start[job]
-            start[job] = 0.0  # a cycle waits for nothing
-            r = by[job]
-            if isinstance(r.type, str) and r.src in by:
-                source = by[r.src]
-                if r.type == "sequential":
-                    at = begin(r.src) + (source.end_ms - source.start_ms) / 1000
-                elif r.type == "parallel":
-                    at = begin(r.src)
-                else:
-                    at = (begin(r.src) if cumulative else 0.0) + r.delay / 1000
-                start[job] = float(at)
-            return start[job]
-
-        order = flow.sort_values(["start_ms", "job_id"])
-        starts = [begin(j) for j in order["job_id"]]
-        ends = [s + (r.end_ms - r.start_ms) / 1000 for s, r in zip(starts, order.itertuples(), strict=True)]
-        return pd.DataFrame({FLOW: order[FLOW], "job_id": order["job_id"], "start_s": starts, "end_s": ends})
-
-    return rows.groupBy(FLOW).applyInPandas(run, f"{FLOW} long, job_id long, start_s double, end_s double")
+    lengths = jobs.select(FLOW, F.col("job_id").alias("src"), (F.col("end_ms") - F.col("start_ms")).alias("length"))
+    rows = jobs.select(FLOW, "job_id").join(kept, [FLOW, "job_id"]).join(lengths, [FLOW, "src"])
+    wait = F.when(F.col("type") == "sequential", F.col("length")).when(F.col("type") == "parallel", 0).otherwise(F.col("delay"))
+    source = F.col("src") if cumulative else F.when(F.col("type") != "delay", F.col("src"))
+    state = cut(rows.select(FLOW, "job_id", source.alias("source"), wait.cast("long").alias("wait")))
+    for _ in range(most):
+        if not state.where("source is not null").limit(1).count():
+            break
+        ahead = state.select(FLOW, F.col("job_id").alias("source"), F.col("source").alias("_source"), F.col("wait").alias("_wait"))
+        met = state.join(ahead, [FLOW, "source"], "left")  # a source without an edge begins at 0
+        state = cut(met.select(FLOW, "job_id", F.col("_source").alias("source"), (F.col("wait") + F.coalesce("_wait", F.lit(0))).alias("wait")))
+    start = F.coalesce(F.when(F.col("source").isNull(), F.col("wait")), F.lit(0)) / 1000.0
+    placed = jobs.join(state, [FLOW, "job_id"], "left").select(FLOW, "job_id", start.alias("start_s"), (F.col("end_ms") - F.col("start_ms")).alias("_length"))
+    return placed.select(FLOW, "job_id", "start_s", (F.col("start_s") + F.col("_length") / 1000.0).alias("end_s"))

@@ -440,7 +440,7 @@ def deps_legacy(spark, sf_dir):
 
 @query("SELECT workflow_id, dst, count(*) AS n FROM edges WHERE type = 'delay' GROUP BY 1, 2 HAVING count(*) > 1", T.JOBS_SQL)
 def incoming_degree(spark, sf_dir):
-    return deps.incoming(deps.classify(T.jobs(spark, sf_dir)), "delay")
+    return deps.incoming_delays(T.jobs(spark, sf_dir))
 
 
 _REACHED = "reached AS (SELECT workflow_id, src, dst FROM kept UNION SELECT r.workflow_id, r.src, k.dst FROM reached r JOIN kept k ON r.workflow_id = k.workflow_id AND r.dst = k.src)"
@@ -457,7 +457,7 @@ reached AS (SELECT * FROM seq UNION SELECT r.workflow_id, r.src, k.dst FROM reac
 
 @query("SELECT workflow_id, src, dst, type FROM edges WHERE type = 'parallel' AND (workflow_id, src, dst) NOT IN (SELECT (workflow_id, src, dst) FROM reached) /* UNION */", T.JOBS_SQL, _BY_SEQUENCE)
 def parallel_prune(spark, sf_dir):
-    return deps.without_reachable(deps.classify(T.jobs(spark, sf_dir))).select("workflow_id", "src", "dst", "type")
+    return deps.without_reachable(deps.near_edges(T.jobs(spark, sf_dir))).select("workflow_id", "src", "dst", "type")
 
 
 _CHAINS = """links AS (SELECT workflow_id, src AS a, dst AS b FROM kept WHERE type <> 'sequential' UNION SELECT workflow_id, dst, src FROM kept WHERE type <> 'sequential'),
