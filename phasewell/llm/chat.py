@@ -4,7 +4,7 @@ A declarative template names the roles, the turns that may follow each other, th
 whose texts carry loss. They make a finite-state machine: a state for each role that the template names, one for any
 other role, and the start. It folds over the roles in turn order, emits the state that each turn enters and tells the
 first turn out of order; after one the machine goes on from the state of the turn's role, so such conversations are
-formatted and marked, not dropped. Segments and their loss flags are read off the states. A conversation comes out as
+formatted and marked, not dropped. Blocks of turns are folded one by one, so time is in proportion to the turns. Segments and their loss flags are read off the states. A conversation comes out as
 segments of text with a loss flag, and as their concatenation.
 
 Control strings inside texts are escaped reversibly: between the two signs that begin one, `<` and `|` in the usual
@@ -26,6 +26,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: Turns that are folded at once.
+BLOCK = 256
+
+
 @dataclass(frozen=True)
 class Template:
     """Strings around a turn, loss by role, and the finite-state machine of roles."""
@@ -96,33 +100,36 @@ def unescape_role(role: Column, template: Template = CHATML) -> Column:
     return F.replace(F.replace(unescape(role, template), code, sign), F.lit("%25"), F.lit("%"))
 
 
-def _code(state: int) -> str:
-    return chr(ord("A") + state)
-
-
 def _machine(template: Template, turns: Column) -> Column:
-    """Fold over the turns: (state, at, wrong, entered); ``entered`` has one character for the state of each turn."""
+    """Fold over the turns, BLOCK of them at a time: an array of (state, at, wrong, entered) for each block.
+
+    ``entered`` is the state of each turn, ``wrong`` the index of the block's first turn that the machine doesn't allow
+    after the one before it. The state that a block begins in is that of the last role before it.
+    """
     states = template.states()
-    if len(states) > 1_000:
-        raise ValueError("too many roles")
     other = len(states) + 1
-    of_role = F.create_map(*[x for at, r in enumerate(states, 1) for x in (F.lit(r), F.lit(at))])
-    codes = F.array(*[F.lit(_code(at)) for at in range(other + 1)])
     number = {template.start: 0} | {r: at for at, r in enumerate(states, 1)}
-    allowed = F.array(*[F.lit(number[k] * (other + 1) + number[r]) for k, v in template.follows.items() for r in v])
+    numbers = F.create_map(*[x for r, at in number.items() if at for x in (F.lit(r), F.lit(at))])
+    allowed = [[number[r] for r in template.follows.get(k, ())] for k in (template.start, *states)]
+    after = F.array(*[F.array(*map(F.lit, to)).cast("array<int>") for to in [*allowed, []]])
+    of_role = lambda role: F.coalesce(F.try_element_at(numbers, role), F.lit(other))
 
     def step(state: Column, turn: Column) -> Column:
-        to = F.coalesce(F.try_element_at(of_role, turn["role"]), F.lit(other))
-        right = F.array_contains(allowed, state["state"] * F.lit(other + 1) + to)
+        to = of_role(turn["role"])
+        right = F.array_contains(F.element_at(after, state["state"] + 1), to)
         return F.struct(
             to.alias("state"),
             (state["at"] + 1).alias("at"),
             F.coalesce(state["wrong"], F.when(~right, state["at"])).alias("wrong"),
-            F.concat(state["entered"], F.element_at(codes, to + 1)).alias("entered"),
+            F.concat(state["entered"], F.array(to)).alias("entered"),
         )
 
-    begin = F.struct(F.lit(0).alias("state"), F.lit(0).alias("at"), F.lit(None).cast("int").alias("wrong"), F.lit("").alias("entered"))
-    return F.aggregate(turns, begin, step)
+    def block(at: Column) -> Column:
+        state = F.when(at == 0, 0).otherwise(of_role(F.get(turns, at - 1)["role"]))
+        begin = F.struct(state.alias("state"), at.alias("at"), F.lit(None).cast("int").alias("wrong"), F.array().cast("array<int>").alias("entered"))
+        return F.aggregate(F.slice(turns, at + 1, BLOCK), begin, step)
+
+    return F.transform(F.sequence(F.lit(0), F.size(turns) - 1, F.lit(BLOCK)), block)
 
 
 def format_conversations(conversations: DataFrame, template: Template = CHATML) -> DataFrame:
@@ -134,8 +141,8 @@ def format_conversations(conversations: DataFrame, template: Template = CHATML)
     rows = conversations.select("conv_id", F.struct(F.col("turn"), empty("role").alias("role"), empty("text").alias("text")).alias("row"))
     turns = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list("row")).alias("turns"))
     ran = turns.select("conv_id", "turns", _machine(template, F.col("turns")).alias("ran"))
-    ran = ran.select("conv_id", "turns", F.col("ran.wrong").alias("first_wrong"), F.regexp_extract_all("ran.entered", F.lit("."), F.lit(0)).alias("states"))
-    with_loss = [_code(at) for at, role in enumerate(template.states(), 1) if role in template.loss_roles]
+    ran = ran.select("conv_id", "turns", F.array_min("ran.wrong").alias("first_wrong"), F.flatten("ran.entered").alias("states"))
+    with_loss = [at for at, role in enumerate(template.states(), 1) if role in template.loss_roles]
     segment = lambda text, loss: F.struct(text.alias("text"), loss.alias("loss"))
     segments = F.flatten(
         F.zip_with(

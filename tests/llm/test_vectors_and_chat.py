@@ -258,3 +258,17 @@ def test_topk_of_huge_components(spark):
     got = {(r["query_id"], r["vec_id"]): r["score"] for r in topk.top_k(df, F.col("id") % 20 == 0, 20).collect()}
     assert got[0, 1] == (1 << 63) - 1 and got[20, 1] == -(1 << 63) and len(got) == 8
     assert got[0, 2] == (1 << 63) - 1 and got[20, 3] == -(1 << 63)
+
+
+def test_chat_with_many_roles_and_turns(spark):
+    """100 roles in a ring, loss on every seventh: flags and the first wrong turn by hand, also over 100,000 turns."""
+    names = [f"r{i}\u0085" for i in range(100)]
+    ring = {"^": (names[0],)} | {r: (names[(i + 1) % 100],) for i, r in enumerate(names)}
+    template = chat.Template(loss_roles=tuple(names[::7]), follows=ring)
+    rows = [(1, t, names[t % 100], f"t{t}") for t in range(300)] + [(2, t, names[t], "x") for t in range(100) if t != 71] + [(3, 0, "none", "x")]
+    long = spark.range(100_000).selectExpr("4L", "id", f"concat('r', id % 100, '{chr(0x85)}')", "concat('t', id)")
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").union(long)
+    got = {r["conv_id"]: r for r in chat.format_conversations(df, template).select("conv_id", "n_turns", "first_wrong", "segments.text", "segments.loss").collect()}
+    assert [got[i]["first_wrong"] for i in (1, 2, 3, 4)] == [None, 71, 0, None] and got[4]["n_turns"] == 100_000
+    for i, n in ((1, 300), (4, 100_000)):
+        assert [t for t, on in zip(got[i]["text"], got[i]["loss"]) if on] == [f"t{t}" for t in range(n) if t % 100 % 7 == 0]
