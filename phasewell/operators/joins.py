@@ -45,6 +45,17 @@ def align_events(read: DataFrame, write: DataFrame, keys: list[str]) -> DataFram
     return joined.select(*keys, *[F.coalesce(c, F.lit(0)).alias(c) for c in joined.columns if c not in keys])
 
 
+def renamed(rows: DataFrame, names: dict[str, str], skip: tuple[str, ...] = ()) -> DataFrame:
+    """Columns under their new names; those whose new name is in ``skip`` go."""
+    kept = [(c, names.get(c, c)) for c in rows.columns if names.get(c, c) not in skip]
+    return rows.select(*[F.col(f"`{old}`").alias(new) for old, new in kept])
+
+
+def contained(start: Column, end: Column, low: Column, high: Column) -> Column:
+    """Does [start, end] lie within [low, high], ends included? Intervals that end before they start don't."""
+    return start.between(low, high) & end.between(start, high)
+
+
 def overlaps(outer: DataFrame, inner: DataFrame, key: str, width: int) -> DataFrame:
     """Each outer interval [s, e) with each inner one that overlaps it, clamped to it.
 

@@ -66,6 +66,23 @@ def target_matrix(phases: DataFrame, keep: list[str]) -> DataFrame:
     return phases.select(*keep, *[rate(c) for c in targets(phases)])
 
 
+def target_maxima(y: DataFrame) -> DataFrame:
+    """One row: the largest value of each target, by which they could be scaled."""
+    return y.agg(*[F.max(c).alias(c) for c in targets(y)])
+
+
+#: The columns that predictions are made from, in this order.
+FEATURES = ("nodes", "read_volume", "write_volume", "read_io_pattern", "write_io_pattern", "read_io_size", "write_io_size")
+
+
+def only_features(phases: DataFrame, keep: list[str]) -> DataFrame:
+    """FEATURES alone, beside ``keep``; nodes are 1 where absent, any other absent column is an error."""
+    rows = phases if "nodes" in phases.columns else phases.withColumn("nodes", F.lit(1))
+    if missing := [c for c in FEATURES if c not in rows.columns]:
+        raise ValueError(f"no columns {missing}")
+    return rows.select(*keep, *FEATURES)
+
+
 def fold(key: str, folds: int = 5) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(folds)).cast("int")
 
@@ -95,15 +112,20 @@ def train(x: DataFrame, label: str, kind: str = "linear"):
     return Pipeline(stages=[VectorAssembler(inputCols=inputs, outputCol="features"), regressor(kind, label)]).fit(x)
 
 
-def cross_validated(x: DataFrame, label: str, key: str, kind: str = "linear", folds: int = 5) -> float:
-    """The mean R2 over folds; the model to keep is refitted on all rows."""
+def fold_scores(x: DataFrame, label: str, key: str, kind: str = "linear", folds: int = 5, of_fold: Column | None = None) -> list[float | None]:
+    """R2 of each fold under the model of the others; folds by a hash of ``key`` unless ``of_fold`` numbers them."""
     scores = []
-    numbered = x.withColumn("_fold", fold(key, folds)).cache()
+    numbered = x.withColumn("_fold", fold(key, folds) if of_fold is None else of_fold).cache()
     for f in range(folds):
-        out = train(numbered.where(F.col("_fold") != f), label, kind).transform(numbered.where(F.col("_fold") == f))
+        out = train(numbered.where(F.col("_fold") != f).drop("_fold"), label, kind).transform(numbered.where(F.col("_fold") == f).drop("_fold"))
         scores.append(r2(out, label, f"predicted_{label}"))
     numbered.unpersist()
-    known = [s for s in scores if s is not None]
+    return scores
+
+
+def cross_validated(x: DataFrame, label: str, key: str, kind: str = "linear", folds: int = 5) -> float:
+    """The mean R2 over folds; the model to keep is refitted on all rows."""
+    known = [s for s in fold_scores(x, label, key, kind, folds) if s is not None]
     return sum(known) / len(known) if known else float("nan")
 
 

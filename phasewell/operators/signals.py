@@ -181,6 +181,38 @@ def representation(signals: DataFrame, read_label: str, write_label: str, norm_l
     return events.unionByName(points).drop("e")
 
 
+def one_sided(signals: DataFrame, value: str, label: str, merged: bool = False) -> DataFrame:
+    """(job_id, event, volume, bw) of one signal by itself: its phases as points, with a leading and a closing one.
+
+    Each level of the label is a phase of its own unless ``merged``. Jobs without a phase have two empty events, at 0 and
+    at their last sample (one, if that is the same).
+    """
+    runs = intervals(signals, label, merged, (value,))
+    rows = dirac(runs).select(JOB, "event", F.col(value).cast("double").alias("volume"), (F.col(value) / (F.col("e") - F.col("s"))).alias("bw"))
+    whole = runs.groupBy(JOB).agg(F.min("s").alias("first"), F.max("e").alias("last"), F.sum(F.col("e") - F.col("s") - 1).alias("gone"))
+    ends = lengths(signals).join(whole, JOB, "left")
+    leading, closing = F.when(F.coalesce(F.col("first"), F.lit(1)) > 0, 0), F.when(F.coalesce(F.col("last") < F.col("n"), F.lit(True)), F.col("n") - 1 - F.coalesce("gone", F.lit(0)))
+    empty = F.array_compact(F.array_distinct(F.array(leading.cast("long"), closing.cast("long"))))
+    points = ends.select(JOB, F.explode(empty).alias("event"), F.lit(0.0).alias("volume"), F.lit(0.0).alias("bw"))
+    return rows.unionByName(points)
+
+
+def separate_representation(signals: DataFrame, read_label: str, write_label: str, merged: bool = False) -> DataFrame:
+    """(job_id, event, read_volume, read_bw, write_volume, write_bw): both signals decomposed by themselves, their events
+    side by side, 0 where one has none."""
+    from .joins import align_events
+
+    named = lambda rows, side: rows.withColumnsRenamed({"volume": f"{side}_volume", "bw": f"{side}_bw"})
+    read, write = one_sided(signals, "bytesRead", read_label, merged), one_sided(signals, "bytesWritten", write_label, merged)
+    return align_events(named(read, "read"), named(write, "write"), [JOB, "event"])
+
+
+def sampled_more_than(signals: DataFrame, least: int = 1) -> DataFrame:
+    """The samples of the jobs that have more than ``least`` of them."""
+    many = signals.groupBy(JOB).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > least).select(JOB)
+    return signals.join(many, JOB, "left_semi")
+
+
 def sampling_step(signals: DataFrame, time: str) -> DataFrame:
     """(job_id, step): the time between a job's first two samples, null with fewer."""
     at = lambda i: F.max(F.when(F.col("idx") == i, F.col(time)))

@@ -1041,3 +1041,149 @@ def predict_support_vectors(spark, sf_dir):
     rows = T.phases(spark, sf_dir)
     x = model.design_matrix(rows, ["phase_id"]).join(model.target_matrix(rows, ["phase_id"]).select("phase_id", "lfs_bw"), "phase_id")
     return model.train(x, "lfs_bw", "svr").transform(x).select("phase_id", "predicted_lfs_bw")
+
+
+def _one_sided_sql(side: str, volume: str, label: str) -> str:
+    """A side's phases by level, with leading and closing points, as events."""
+    return f"""{side}_runs AS (
+  SELECT job_id, min(idx) AS s, max(idx) + 1 AS e, sum({volume})::DOUBLE AS v, sum({volume}) / (max(idx) + 1 - min(idx))::DOUBLE AS bw FROM (
+    SELECT *, idx - row_number() OVER (PARTITION BY job_id, {label} ORDER BY idx) AS g FROM labelled WHERE {label} > 0) GROUP BY job_id, {label}, g
+), {side}_events AS (
+  SELECT job_id, (s - coalesce(sum(e - s - 1) OVER (PARTITION BY job_id ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS event, v AS {side}_volume, bw AS {side}_bw FROM {side}_runs
+  UNION ALL SELECT job_id, 0, 0, 0 FROM {side}_runs GROUP BY 1 HAVING min(s) > 0
+  UNION ALL SELECT job_id, n - 1 - gone, 0, 0 FROM (SELECT job_id, max(e) AS last, sum(e - s - 1)::BIGINT AS gone FROM {side}_runs GROUP BY 1) JOIN sizes USING (job_id) WHERE last < n
+  UNION ALL SELECT job_id, unnest(list_distinct([0, n - 1]))::BIGINT, 0, 0 FROM sizes WHERE job_id NOT IN (SELECT job_id FROM {side}_runs)
+)"""
+
+
+@query(
+    """SELECT job_id, event, coalesce(read_volume, 0)::DOUBLE AS read_volume, round(coalesce(read_bw, 0), 4)::DOUBLE AS read_bw,
+    coalesce(write_volume, 0)::DOUBLE AS write_volume, round(coalesce(write_bw, 0), 4)::DOUBLE AS write_bw FROM read_events FULL JOIN write_events USING (job_id, event)""",
+    T.SIGNALS_SQL, _one_sided_sql("read", "bytesRead", "label_read"), _one_sided_sql("write", "bytesWritten", "label_write"),
+)
+def separate_representation(spark, sf_dir):
+    """Reads and writes of every job decomposed by themselves, each level a phase of its own, their events side by side."""
+    rows = sig.separate_representation(T.signals(spark, sf_dir), "label_read", "label_write")
+    return rows.withColumns({c: F.round(c, 4) for c in ("read_bw", "write_bw")})
+
+
+@query("SELECT job_id, idx, norm::BIGINT AS norm FROM signals JOIN sizes USING (job_id) WHERE n > 110", T.GRID_SQL)
+def jobs_of_many_samples(spark, sf_dir):
+    """Samples of the jobs that have more than 110 of them."""
+    return sig.sampled_more_than(T.signals(spark, sf_dir), 110).select("job_id", "idx", "norm")
+
+
+@query(
+    "SELECT round(max(CASE WHEN size = 0 THEN 0 ELSE lfs_bw / size END), 5)::DOUBLE AS lfs_bw, round(max(coalesce(CASE WHEN size = 0 THEN 0 ELSE sbb_bw / size END, 0)), 5)::DOUBLE AS sbb_bw FROM measured",
+    T.PHASES_SQL,
+)
+def target_maxima(spark, sf_dir):
+    y = model.target_matrix(T.phases(spark, sf_dir), ["phase_id"])
+    return model.target_maxima(y).withColumns({c: F.round(c, 5) for c in ("lfs_bw", "sbb_bw")})
+
+
+@query("SELECT phase_id, 1 AS nodes, read_volume, write_volume, read_io_pattern, write_io_pattern, read_io_size, write_io_size FROM phases", T.PHASES_SQL)
+def prediction_features(spark, sf_dir):
+    """The columns that a model predicts from, in its order, without the others."""
+    return model.only_features(T.phases(spark, sf_dir), ["phase_id"])
+
+
+@query("SELECT event_id, user_id AS job, value AS volume FROM events")
+def renamed_columns(spark, sf_dir):
+    return joins.renamed(T.load(spark, sf_dir, "events"), {"user_id": "job", "value": "volume", "ts": "skipped", "props": "skipped", "event_type": "skipped"}, ("skipped",))
+
+
+@query("SELECT job_id, s, e, s BETWEEN n // 4 AND n // 2 AND e BETWEEN s AND n // 2 AS inside FROM islands JOIN sizes USING (job_id)", T.SIGNALS_SQL, _ISLANDS)
+def contained_intervals(spark, sf_dir):
+    """Which of each job's phases lie within the second quarter of its samples."""
+    rows = T.signals(spark, sf_dir)
+    runs = sig.intervals(rows, "label").join(sig.lengths(rows), "job_id")
+    return runs.select("job_id", "s", "e", joins.contained(F.col("s"), F.col("e"), F.expr("n div 4"), F.expr("n div 2")).alias("inside"))
+
+
+@query(
+    """SELECT test AS fold, round(1 - sum((y - (slope * x + intercept)) * (y - (slope * x + intercept))) / sum((y - mean) * (y - mean)), 6) AS r2 FROM (
+      SELECT *, avg(y) OVER (PARTITION BY test) AS mean FROM (SELECT test, x, y FROM held) JOIN (
+        SELECT f AS test, regr_slope(y, x) FILTER (WHERE test <> f) AS slope, regr_intercept(y, x) FILTER (WHERE test <> f) AS intercept FROM held, range(5) folds(f) GROUP BY f) USING (test))
+    GROUP BY test""",
+    "held AS (SELECT l_orderkey % 5 AS test, l_quantity::DOUBLE AS x, l_extendedprice::DOUBLE AS y FROM lineitem)",
+)
+def cross_validation(spark, sf_dir):
+    """R2 of each of five folds of line items, price by quantity, under the model of the other four."""
+    rows = T.load(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("key"), F.col("l_quantity").cast("double").alias("remainder__quantity"), F.col("l_extendedprice").cast("double").alias("price_bw"))
+    scores = model.fold_scores(rows, "price_bw", "key", of_fold=(F.col("key") % 5).cast("int"))
+    return spark.createDataFrame([(i, s) for i, s in enumerate(scores)], "fold long, r2 double").withColumn("r2", F.round("r2", 6))
+
+
+@query("SELECT phase_id, (read_volume + write_volume) / 200::DOUBLE AS fast, (read_volume + write_volume) / 50::DOUBLE AS slow FROM phases", T.PHASES_SQL)
+def tier_table(spark, sf_dir):
+    """One column for each of two tiers: the seconds that each phase takes there."""
+    tiers = spark.createDataFrame([("fast", 200.0), ("slow", 50.0)], "tier string, bandwidth double")
+    return model.tier_table(T.phases(spark, sf_dir), tiers, "phase_id", (F.col("read_volume") + F.col("write_volume")) / F.col("bandwidth"), ["fast", "slow"])
+
+
+@query(
+    """SELECT workflow_id, max(span)::DOUBLE AS makespan FROM (SELECT workflow_id, app, coalesce(max(t1) FILTER (WHERE kind <> 'move') - min(t0) FILTER (WHERE kind <> 'move'), 0) AS span FROM log GROUP BY 1, 2) GROUP BY 1""",
+    """log AS (SELECT l_suppkey AS workflow_id, l_orderkey AS app, epoch_ms(l_shipdate) // 1000 AS t0, epoch_ms(l_shipdate) // 1000 + l_quantity::BIGINT AS t1,
+    CASE WHEN l_linestatus = 'O' THEN 'move' WHEN l_returnflag = 'R' THEN 'read' WHEN l_returnflag = 'A' THEN 'write' ELSE 'compute' END AS kind FROM lineitem)""",
+)
+def workflow_makespan(spark, sf_dir):
+    """The longest span of a supplier's orders, line items as a log whose open ones are movements."""
+    kind = F.when(F.col("l_linestatus") == "O", "move").when(F.col("l_returnflag") == "R", "read").when(F.col("l_returnflag") == "A", "write").otherwise("compute")
+    at = F.expr("unix_millis(cast(l_shipdate as timestamp)) div 1000").cast("double")
+    log = T.load(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("workflow_id"), F.col("l_orderkey").alias("app"), kind.alias("type"), at.alias("t_start"), (at + F.col("l_quantity")).alias("t_end"))
+    return replay.workflow_makespan(log)
+
+
+@query(
+    """, means AS (SELECT job_id, mixed, avg(norm) AS m FROM mixed GROUP BY 1, 2),
+    low AS (SELECT job_id, first(mixed ORDER BY m, mixed) AS low FROM means GROUP BY 1)
+    SELECT job_id, idx, CASE mixed WHEN low THEN 0 WHEN 0 THEN low ELSE mixed END::INTEGER AS mixed FROM mixed JOIN low USING (job_id)""".replace(", means", "means", 1),
+    T.SIGNALS_SQL, "mixed AS (SELECT job_id, idx, norm, (label + 1) % 3 AS mixed FROM labelled),",
+)
+def relabelled_clusters(spark, sf_dir):
+    """Labels in another order, of which that of the lowest cluster becomes 0."""
+    rows = T.signals(spark, sf_dir).withColumn("mixed", ((F.col("label") + 1) % 3).cast("int"))
+    return sig.relabelled(rows.select("job_id", "idx", "norm", "mixed"), "norm", "mixed").select("job_id", "idx", "mixed")
+
+
+@query(
+    """SELECT job_id, idx AS s, after AS e FROM (SELECT job_id, idx, row_number() OVER w AS nth, lead(idx) OVER w AS after FROM (
+      SELECT job_id, idx, label, lag(label) OVER (PARTITION BY job_id ORDER BY idx) AS before FROM labelled) WHERE before <> label WINDOW w AS (PARTITION BY job_id ORDER BY idx)) WHERE nth % 2 = 1""",
+    T.SIGNALS_SQL,
+)
+def alternating_phases(spark, sf_dir):
+    """Breakpoints in pairs, as opening and closing ones."""
+    return decompose.alternating_phases(sig.breakpoints(T.signals(spark, sf_dir), "label"))
+
+
+@query(
+    r"""SELECT p_partkey, lower(regexp_replace(replace(initcap_name, ' ', ''), '([^A-Z])([A-Z])', '\1_\2', 'g')) AS model, upper(name[1]) || name[2:3] || upper(name[4]) || name[5:] AS shouted,
+    ['Uncl', 'Rand', 'Seq', 'Str'][p_size % 4 + 1] AS pattern FROM (
+      SELECT p_partkey, p_size, p_name AS name, array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(w[1]) || lower(w[2:])), ' ') AS initcap_name FROM part)"""
+)
+def model_names(spark, sf_dir):
+    """Names of parts as a model's name and with capitals at places, and patterns from the names of their columns."""
+    column = F.concat(F.lit("access"), F.element_at(F.array(*map(F.lit, sig.ACCESS)), F.col("p_size") % 4 + 1), F.when(F.col("p_size") % 2 == 0, "Read").otherwise("Write"))
+    return T.load(spark, sf_dir, "part").select(
+        "p_partkey", X.model_name(F.replace(F.initcap("p_name"), F.lit(" "), F.lit(""))).alias("model"), X.upper_at(F.col("p_name"), [0, 3]).alias("shouted"), X.pattern_of(column).alias("pattern")
+    )
+
+
+@query(
+    """SELECT l_orderkey, l_linenumber, l_partkey, round(sqrt(1 + l_quantity) / sqrt(2), 6) AS share, CASE WHEN l_discount * 10 > 0.5 THEN 'seq' ELSE 'rand' END AS pattern,
+    make_timestamp(1000 * (l_orderkey * 1000 + 123)) AS at FROM lineitem"""
+)
+def shares_and_patterns(spark, sf_dir):
+    """Shares of concurrent users, patterns by a ratio, and times from milliseconds."""
+    return T.load(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_partkey", F.round(X.share(F.col("l_quantity")), 6).alias("share"), X.pattern_from_ratio(F.col("l_discount") * 10).alias("pattern"),
+        X.from_millis(F.col("l_orderkey") * 1000 + 123).cast("timestamp_ntz").alias("at"),
+    )
+
+
+@query("SELECT l_orderkey, unnest(range(5))::INTEGER AS at, unnest(list_concat(q, [q[-1], q[-1], q[-1], q[-1]])[1:5]) AS quantity FROM (SELECT l_orderkey, list(l_quantity::DOUBLE ORDER BY l_quantity) AS q FROM lineitem GROUP BY 1)")
+def padded_lists(spark, sf_dir):
+    """Five quantities of each order: the lowest ones, or the highest repeated."""
+    lists = T.load(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.col("l_quantity").cast("double"))).alias("q"))
+    return lists.select("l_orderkey", F.posexplode(optimise.padded(F.col("q"), F.lit(5))).alias("at", "quantity"))

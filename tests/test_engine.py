@@ -192,3 +192,25 @@ def test_more_scalars(spark):
     spans = spark.createDataFrame([("a", "read", 0.0, 2.0, 5.0)], "app string, type string, t_start double, t_end double, bandwidth double")
     assert [(r["at"], r["read"]) for r in replay.signals_of_log(spans).orderBy("at").collect()] == [(0, 5.0), (1, 5.0)]
     assert joins.natural(runs, runs.select("id")).count() == 3
+
+
+def test_one_sided_events(spark):
+    """Levels are phases of their own, leading and closing points are empty, idle sides have their ends."""
+    rows = [(1, i, v, lab, w, int(w > 0)) for i, (v, lab, w) in enumerate([(0, 0, 0), (5, 1, 0), (6, 1, 0), (50, 2, 3), (0, 0, 0)])] + [(2, 0, 0, 0, 4, 1)]
+    df = spark.createDataFrame(rows, "job_id long, idx int, bytesRead long, r int, bytesWritten long, w int")
+    got = sorted(tuple(r) for r in signals.one_sided(df, "bytesRead", "r").collect())
+    assert got == [(1, 0, 0.0, 0.0), (1, 1, 11.0, 5.5), (1, 2, 50.0, 50.0), (1, 3, 0.0, 0.0), (2, 0, 0.0, 0.0)]
+    assert [tuple(r)[1:3] for r in signals.one_sided(df.where("job_id = 1"), "bytesRead", "r", merged=True).orderBy("event").collect()] == [(0, 0.0), (1, 61.0), (2, 0.0)]
+    both = {(r["job_id"], r["event"]): (r["read_volume"], r["write_volume"]) for r in signals.separate_representation(df, "r", "w").collect()}
+    assert both == {(1, 0): (0, 0), (1, 1): (11, 0), (1, 2): (50, 0), (1, 3): (0, 3), (1, 4): (0, 0), (2, 0): (0, 4)}
+    assert signals.sampled_more_than(df).count() == 5
+
+
+def test_projections_and_containment(spark):
+    df = spark.createDataFrame([(1, 5.0, 2.0, "seq", "rand", 1.0, 1.0)], "id long, read_volume double, write_volume double, read_io_pattern string, write_io_pattern string, read_io_size double, write_io_size double")
+    assert model.only_features(df, ["id"]).columns == ["id", *model.FEATURES]
+    with pytest.raises(ValueError):
+        model.only_features(df.drop("read_io_size"), ["id"])
+    assert joins.renamed(df, {"id": "key", "read_volume": "no"}, ("no", "write_volume")).columns == ["key", *df.columns[3:]]
+    points = spark.createDataFrame([(0, 5, True), (1, 6, False), (3, 2, False), (5, 5, True), (-1, 2, False)], "s int, e int, yes boolean")
+    assert all(r["got"] == r["yes"] for r in points.select("yes", joins.contained(F.col("s"), F.col("e"), F.lit(0), F.lit(5)).alias("got")).collect())
