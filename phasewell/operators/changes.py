@@ -186,22 +186,22 @@ def bottom_up(cost: Cost, n: int, penalty: float, least: int = 1, step: int = 1)
     before = list(range(-1, len(starts) - 1))
     begin, end, alive = starts.tolist(), ends.tolist(), [True] * len(starts)
     joined = cost(starts[:-1], ends[1:]).tolist() if len(starts) > 1 else []
-    heap = [(joined[i] - own[i] - own[i + 1], begin[i], i, i + 1, end[i], end[i + 1]) for i in range(len(joined))]
+    heap = [(joined[i] - own[i] - own[i + 1], begin[i], i, i + 1, end[i], end[i + 1], joined[i]) for i in range(len(joined))]
     heapq.heapify(heap)
     while heap:
-        loss, _, i, j, e, f = heapq.heappop(heap)
+        loss, _, i, j, e, f, both = heapq.heappop(heap)
         if not (alive[i] and alive[j] and end[i] == e and end[j] == f and after[i] == j):
             continue  # one of the two has changed
         if loss >= penalty:
             break
-        own[i], end[i], alive[j], after[i] = loss + own[i] + own[j], f, False, after[j]
+        own[i], end[i], alive[j], after[i] = both, f, False, after[j]
         if after[j] >= 0:
             before[after[j]] = i
         near = [(x, y) for x, y in ((before[i], i), (i, after[i])) if x >= 0 and y >= 0]
         if near:
             whole = cost(np.array([begin[x] for x, _ in near]), np.array([end[y] for _, y in near])).tolist()
             for (x, y), c in zip(near, whole):
-                heapq.heappush(heap, (c - own[x] - own[y], begin[x], x, y, end[x], end[y]))
+                heapq.heappush(heap, (c - own[x] - own[y], begin[x], x, y, end[x], end[y], c))
     return [b for b, a in zip(begin, alive) if a and b > 0]
 
 

@@ -815,7 +815,26 @@ def change_points_normal(spark, sf_dir):
     return decompose.change_points(T.signals(spark, sf_dir), "norm", 8.0, cost="normal", least=2)
 
 
-@query()
+_COST = "(s2[{1} + 1] - s2[{0} + 1] - (s1[{1} + 1] - s1[{0} + 1]) * (s1[{1} + 1] - s1[{0} + 1]) / ({1} - {0}))"
+_SERIES = f"""series AS (SELECT job_id, list(norm ORDER BY idx) AS x, count(*) AS n FROM signals GROUP BY 1), prepared AS (SELECT job_id, n, {_PREFIXES} FROM series)"""
+_SPLIT = f"""SELECT job_id, s1, s2, a, b, gains[list_position(gains, list_max(gains))] AS gain, a + list_position(gains, list_max(gains)) AS cut FROM (
+    SELECT *, list_transform(range(a + 1, b), lambda i: {_COST.format("a", "b")} - {_COST.format("a", "i")} - {_COST.format("i", "b")}) AS gains FROM ("""
+_BINARY = f"""{_SERIES}, reached AS (
+  {_SPLIT} SELECT job_id, s1, s2, 0::BIGINT AS a, n AS b FROM prepared))
+  UNION ALL
+  {_SPLIT} SELECT job_id, s1, s2, unnest([a, cut]) AS a, unnest([cut, b]) AS b FROM reached WHERE gain > 5e7::DOUBLE))
+)"""
+_JOINED = f"""{_SERIES}, reached AS (
+  SELECT job_id, s1, s2, 0::BIGINT AS step, false AS done, range(0, n + 1) AS held FROM prepared
+  UNION ALL
+  SELECT job_id, s1, s2, step + 1, len(losses) = 0 OR coalesce(list_min(losses) >= 5e7::DOUBLE, true) AS done,
+         CASE WHEN list_min(losses) < 5e7::DOUBLE THEN list_concat(held[1:list_position(losses, list_min(losses))], held[list_position(losses, list_min(losses)) + 2:]) ELSE held END AS held FROM (
+    SELECT *, list_transform(range(1, len(held) - 1), lambda k: {_COST.format("held[k]", "held[k + 2]")} - {_COST.format("held[k]", "held[k + 1]")} - {_COST.format("held[k + 1]", "held[k + 2]")}) AS losses
+    FROM reached WHERE NOT done)
+)"""
+
+
+@query("SELECT job_id, unnest(list_filter(held, lambda h, k: k > 1 AND k < len(held)))::BIGINT AS idx FROM (SELECT job_id, max_by(held, step) AS held FROM reached GROUP BY 1) /* UNION */", T.GRID_SQL, _JOINED)
 def change_points_bottom_up(spark, sf_dir):
     return decompose.change_points(T.signals(spark, sf_dir), "norm", 5e7, "bottom_up")
 
@@ -831,7 +850,7 @@ def change_points_elbow(spark, sf_dir):
     return changes.elbow_points(T.signals(spark, sf_dir), "norm", "rbf")
 
 
-@query()
+@query("SELECT job_id, cut::BIGINT AS idx FROM reached WHERE gain > 5e7::DOUBLE /* UNION */", T.GRID_SQL, _BINARY)
 def change_points_binseg(spark, sf_dir):
     return decompose.change_points(T.signals(spark, sf_dir), "norm", 5e7, "binseg")
 
