@@ -5,18 +5,21 @@ a wavelet matrix of the values' ranks with prefix sums on each level, squared er
 likelihood through the variance, a kernel's scatter through prefix sums of a low-rank feature map. Searches know costs
 only by that call. Positions are multiples of ``step``, segments have ``least`` samples or more.
 
-One job's series is one task; jobs are spread with ``groupBy(job).applyInPandas``.
+One job's series is one row of an array, and rows are dealt to as many tasks as a shuffle has.
 """
 
 from __future__ import annotations
 
 import heapq
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import partial
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..session import spread
 
 Cost = Callable[[np.ndarray, np.ndarray], np.ndarray]
 _POINTS = "job_id long, idx long"
@@ -41,21 +44,24 @@ class Absolute:
             x, rank = x[order], rank[order]
         self.leaves = np.append(x, x[:1] * 0)
 
-    def smallest(self, a: np.ndarray, b: np.ndarray, k: np.ndarray) -> np.ndarray:
-        """The sum of the k smallest values of each segment."""
+    def smallest(self, a: np.ndarray, b: np.ndarray, k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The sum of the k smallest values of each segment, and the largest of them, or the smallest of all for k = 0."""
         found = np.zeros(len(a), self.leaves.dtype)
+        k = np.maximum(k, 1)
         for lows, sums, split in self.levels:
             begin, end = lows[a], lows[b]
-            low = k <= end - begin
-            found += np.where(low, 0, sums[b] - sums[a])
-            k = np.where(low, k, k - (end - begin))
-            a, b = np.where(low, begin, split + a - begin), np.where(low, end, split + b - end)
-        return found + k * self.leaves[a]  # what is left of a segment is equal
+            over = k > end - begin
+            found[over] += (sums[b] - sums[a])[over]
+            k = k - over * (end - begin)
+            a, b = np.where(over, split + a - begin, begin), np.where(over, split + b - end, end)
+        last = self.leaves[a]  # what is left of a segment is equal
+        return found + k * last, last
 
     def __call__(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         a, b = np.broadcast_arrays(a, b)
-        half = (b - a) // 2
-        return self.total[b] - self.total[a] - self.smallest(a, b, half) - self.smallest(a, b, b - a - half)
+        half = (b - a + 1) // 2
+        low, middle = self.smallest(a, b, half)
+        return self.total[b] - self.total[a] - 2 * low + np.where((b - a) % 2, middle, 0)
 
 
 class Squared:
@@ -144,13 +150,17 @@ def optimal(cost: Cost, n: int, penalty: float, least: int = 1, step: int = 1) -
     for t in _positions(n, step).tolist():
         while waiting and waiting[0] + least <= t:
             alive = np.append(alive, waiting.pop(0))
-        alive = alive[until[alive] > t]
+        if least > 1:
+            alive = alive[until[alive] > t]
         if t >= least and len(alive):
             costs = best[alive] + cost(alive, t)
             i = int(costs.argmin())
             best[t], last[t] = costs[i] + penalty, alive[i]
-            worse = alive[costs > best[t]]
-            until[worse] = np.minimum(until[worse], t + least)
+            worse = costs > best[t]
+            if least == 1:
+                alive = alive[~worse]
+            else:
+                until[alive[worse]] = np.minimum(until[alive[worse]], t + least)
             waiting.append(t)
     out, t = [], n
     while last[t] > 0:
@@ -281,11 +291,17 @@ def elbow(costs: np.ndarray, sensitivity: float = 1.0) -> int | None:
 
 
 def _by_job(signals: DataFrame, value: str, find: Callable[[np.ndarray], list[int]]) -> DataFrame:
-    def run(job: pd.DataFrame) -> pd.DataFrame:
-        found = find(job.sort_values("idx")[value].to_numpy())
-        return pd.DataFrame({"job_id": [job["job_id"].iloc[0]] * len(found), "idx": found}).astype({"job_id": "int64", "idx": "int64"})
+    """(job_id, idx) of what ``find`` finds in each job's samples, nulls as 0; a job is one row of an array."""
+    samples = F.array_sort(F.collect_list(F.struct("idx", F.coalesce(F.col(value), F.lit(0)).alias("x"))))
+    rows = signals.groupBy(F.col("job_id").cast("long").alias("job_id")).agg(samples.alias("samples"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [find(xs.values.to_numpy(zero_copy_only=False)) for xs in batch.column("xs")]
+            jobs = np.repeat(batch.column("job_id").to_numpy(zero_copy_only=False), [len(f) for f in found])
+            yield pa.record_batch([pa.array(jobs, pa.int64()), pa.array([i for f in found for i in f], pa.int64())], ["job_id", "idx"])
 
-    return signals.select("job_id", "idx", value).groupBy("job_id").applyInPandas(run, _POINTS)
+    return spread(rows.select("job_id", F.col("samples.x").alias("xs")), "job_id").mapInArrow(run, _POINTS)
 
 
 def _found(values: np.ndarray, cost: str, method: str, **options) -> list[int]:

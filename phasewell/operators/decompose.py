@@ -8,42 +8,55 @@ histogram of a signal's values, counted by Spark before it moves, reaches the ta
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schemas import ACCESS, REPRESENTATION
+from ..session import spread
 from . import changes, signals as sig
 from .changes import change_points  # noqa: F401  (part of this module's interface)
 
 #: Costs closer than this, relative to the spread, are equal.
 _EPS = 1e-12
+#: Costs that are looked at together at the end of a search.
+LEAVES = 1 << 14
 
 
 def _last_minima(least: int, m: int, costs: Callable[[np.ndarray, np.ndarray], np.ndarray], near: float) -> tuple[np.ndarray, np.ndarray]:
     """For each end ``least`` to m, the last start from ``least`` - 1 to end - 1 whose cost is the minimum, and that cost.
 
-    All middles of one depth are searched at once, between the starts found for the ends around them.
+    All middles of one depth are searched at once, between the starts found for the ends around them, until what is left
+    of all ranges is few costs, which are looked at together.
     """
     value, at = np.full(m + 1, np.inf), np.zeros(m + 1, np.int32)
     low, high = np.array([least]), np.array([m])
     begin, end = np.array([least - 1]), np.array([m - 1])
     while len(low):
-        middle = (low + high) // 2
-        first, last = begin, np.minimum(end, middle - 1)
+        every = ((high - low + 1) * (end - begin + 1)).sum() <= LEAVES + 4 * m  # few enough costs to look at all of them
+        if every:
+            count = high - low + 1
+            ends = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count - low, count)
+            first, last = np.repeat(begin, count), np.minimum(np.repeat(end, count), ends - 1)
+        else:
+            ends = (low + high) // 2
+            first, last = begin, np.minimum(end, ends - 1)
         size = last - first + 1
         bound = np.cumsum(size) - size
         starts = np.arange(size.sum()) - np.repeat(bound - first, size)
-        found = costs(starts, np.repeat(middle, size))
+        found = costs(starts, np.repeat(ends, size))
         best = np.minimum.reduceat(found, bound)
         chosen = np.maximum.reduceat(np.where(found <= np.repeat(best + near, size), starts, -1), bound)
-        at[middle], value[middle] = chosen, found[bound + chosen - first]
-        down, up = low < middle, middle < high
+        at[ends], value[ends] = chosen, found[bound + chosen - first]
+        if every:
+            break
+        down, up = low < ends, ends < high
         low, high, begin, end = (
-            np.concatenate([low[down], middle[up] + 1]), np.concatenate([middle[down] - 1, high[up]]),
+            np.concatenate([low[down], ends[up] + 1]), np.concatenate([ends[down] - 1, high[up]]),
             np.concatenate([begin[down], chosen[up]]), np.concatenate([chosen[down], end[up]]),
         )
     return value, at
@@ -133,12 +146,16 @@ def clusters(signals: DataFrame, columns: list[str], threshold: float = 0.01) ->
     """(job_id, one array of ``cluster_starts`` for each column). A job's histograms are counted before they move."""
     values = F.explode(F.array(*(F.struct(F.lit(c).alias("signal"), F.col(c).cast("double").alias("value")) for c in columns)))
     counted = signals.select("job_id", values.alias("_v")).groupBy("job_id", "_v.signal", "_v.value").agg(F.count(F.lit(1)).alias("n"))
+    held = counted.groupBy("job_id", "signal").agg(F.array_sort(F.collect_list(F.struct("value", "n"))).alias("held"))
+    lists = spread(held, "job_id", "signal").select("job_id", "signal", F.col("held.value").alias("x"), F.col("held.n").alias("n"))
 
-    def run(key: tuple, held: pd.DataFrame) -> pd.DataFrame:
-        held = held.sort_values("value")
-        return pd.DataFrame([(key[0], key[1], cluster_starts(held["value"].to_numpy(), held["n"].to_numpy(), threshold))], columns=["job_id", "signal", "starts"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = zip(batch.column("x"), batch.column("n"))
+            starts = [cluster_starts(x.values.to_numpy(), n.values.to_numpy(), threshold) for x, n in rows]
+            yield pa.record_batch([batch.column("job_id"), batch.column("signal"), pa.array(starts, pa.list_(pa.float64()))], ["job_id", "signal", "starts"])
 
-    found = counted.groupBy("job_id", "signal").applyInPandas(run, "job_id long, signal string, starts array<double>")
+    found = lists.withColumn("job_id", F.col("job_id").cast("long")).mapInArrow(run, "job_id long, signal string, starts array<double>")
     return found.groupBy("job_id").agg(*(F.first(F.when(F.col("signal") == c, F.col("starts")), ignorenulls=True).alias(f"starts_{c}") for c in columns))
 
 

@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import spread
+
 #: Samples of all jobs that run side by side, unless one job has more.
 CELLS = 1 << 20
 
@@ -33,7 +35,7 @@ class Fitted:
 def series_of(signals: DataFrame, value: str) -> DataFrame:
     """(job_id, xs): each job's samples in order; null counts as 0."""
     rows = signals.groupBy("job_id").agg(F.array_sort(F.collect_list(F.struct("idx", F.coalesce(F.col(value).cast("double"), F.lit(0.0)).alias("x")))).alias("rows"))
-    return rows.select("job_id", F.transform("rows", lambda r: r["x"]).alias("xs"))
+    return spread(rows.select("job_id", F.col("rows.x").alias("xs")), "job_id")
 
 
 def log_weights(x: np.ndarray, rates: np.ndarray) -> np.ndarray:

@@ -13,6 +13,14 @@ def session(name: str = "phasewell", partitions: int | None = None) -> SparkSess
     return builder.getOrCreate()
 
 
+def spread(df, *keys: str):
+    """``df`` dealt by a hash of ``keys`` to as many tasks as a shuffle has: for rows that are few but take Python long, so
+    that adaptive execution doesn't put them together by their bytes. Rows of equal keys stay together."""
+    from pyspark.sql import functions as F
+
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64(*keys))
+
+
 def cut(df):
     """Compute ``df`` once into the checkpoint folder that the cluster names; a local session may have a temporary one."""
     import tempfile
