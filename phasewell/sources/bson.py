@@ -33,7 +33,7 @@ _FIXED = {0x01: 8, 0x06: 0, 0x07: 12, 0x08: 1, 0x09: 8, 0x0A: 0, 0x10: 4, 0x11:
 _STRINGS, _DOCUMENTS = (0x02, 0x0D, 0x0E), (0x03, 0x04, 0x0F)
 _KINDS = {*_FIXED, *_STRINGS, *_DOCUMENTS, 0x05, 0x0B, 0x0C}
 
-#: The dump's file and its fields, by the kind of metric.
+#: The dump's file and its fields, by the kind of metric.
 METRICS = {
     "io": ("FileIOSummaryGw.bson", ("bytesRead", "bytesWritten")),
     "process": ("ProcessSummaryGw.bson", ("processCount", "ioActiveProcessCount")),
