@@ -1,6 +1,7 @@
 """A corpus pipeline of five stages: each takes what its predecessor kept, and its decisions take effect.
 
-Stages read the labels where they learn; all but the last return the columns of ``documents``.
+Stages read the labels where they learn, and learn from the documents that they are given: the table of documents may be
+gone once the first stage is written. All but the last return the columns of ``documents``.
 """
 
 from __future__ import annotations
@@ -18,14 +19,14 @@ from phasewell.llm.common import prepare, table
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity lexicon rejects go."""
     prepare(spark)
-    lexicon = toxicity.learn(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    lexicon = toxicity.learn(docs, table(spark, sf_dir, "labels"))
     return toxicity.drop_toxic(docs, lexicon)
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier rejects go."""
     prepare(spark)
-    model = quality.learn(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    model = quality.learn(docs, table(spark, sf_dir, "labels"))
     return quality.keep_good(docs, model)
 
 

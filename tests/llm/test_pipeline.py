@@ -48,3 +48,15 @@ def test_stages(spark, small, tmp_path):
     assert {r["doc_id"]: r["doc_tokens"] for r in pieces} == tokens
     assert sum(r["length"] for r in pieces) == sum(tokens.values())
     assert corpus_pipeline.run(spark, small).count() == len(pieces)
+
+
+def test_stages_after_the_first_run_without_the_table_of_documents(spark, small, tmp_path):
+    gone = tmp_path / "tables"
+    gone.mkdir()
+    (gone / "labels.parquet").symlink_to(f"{small}/labels.parquet")
+    first = spark.read.parquet(f"{small}/documents.parquet")
+    corpus_pipeline.STAGES[0][1](spark, first, small).write.parquet(f"{tmp_path}/kept")
+    kept = spark.read.parquet(f"{tmp_path}/kept")
+    whole = {r["doc_id"] for r in corpus_pipeline.keep_quality(spark, kept, str(gone)).collect()}
+    scores = {r["doc_id"]: r["score"] for r in quality.score(kept, quality.learn(kept, spark.read.parquet(f"{small}/labels.parquet"))).collect()}
+    assert whole == {i for i, s in scores.items() if s >= 0.3}
