@@ -53,6 +53,8 @@ def _around(rows: DataFrame, scales: list[int], time: str, width: int) -> DataFr
     one's slack around ``time``.
 
     An interval lies in two buckets of its scale at the most, however long it is; a start is shown once at each scale.
+    Both sides are sorted and merged: their sizes are taken for those of the jobs before rows are repeated, so that Spark
+    would else broadcast them through the driver.
     """
     size = F.lit(width).cast("double") * F.pow(F.lit(2.0), F.col("scale"))
     spans = rows.select(FLOW, F.col("job_id").alias("src"), "ord", F.col("start_ms").alias("a_start"), F.col("end_ms").alias("a_end"), "slack", "scale", F.explode(F.sequence(
@@ -61,7 +63,7 @@ def _around(rows: DataFrame, scales: list[int], time: str, width: int) -> DataFr
     starts = rows.select(FLOW, F.col("job_id").alias("dst"), F.col("start_ms").alias("at"), F.col("ord").alias("own"), F.explode(F.array(*map(F.lit, scales)) if scales else F.array().cast("array<int>")).alias("scale"))
     starts = starts.withColumn("bucket", F.floor(F.col("at") / size))
     near = F.col("at").between(F.col({"end_ms": "a_end", "start_ms": "a_start"}[time]) - F.col("slack"), F.col({"end_ms": "a_end", "start_ms": "a_start"}[time]) + F.col("slack"))
-    return starts.join(spans, [FLOW, "scale", "bucket"]).where(F.col("ord") < F.col("own")).where(near)
+    return starts.join(spans.hint("merge"), [FLOW, "scale", "bucket"]).where(F.col("ord") < F.col("own")).where(near)
 
 
 def near_edges(jobs: DataFrame, threshold: float = 0.1, width: int = 1_000) -> DataFrame:

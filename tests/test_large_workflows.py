@@ -119,3 +119,13 @@ def test_schedule(spark, jobs, cumulative):
     ring = spark.createDataFrame([(1, 1, 2, "parallel", None, 1), (1, 2, 1, "parallel", None, 2)], "workflow_id long, src long, dst long, type string, delay long, ord int")
     two = spark.createDataFrame([(1, 1, 0, 5), (1, 2, 3, 9)], "workflow_id long, job_id long, start_ms long, end_ms long")
     assert {r["start_s"] for r in deps.schedule(two, ring, most=4).collect()} == {0.0}
+
+
+def test_repeated_rows_are_not_broadcast(spark, jobs, tmp_path):
+    """A start stands once for each scale, which Spark's estimate of its side leaves out."""
+    jobs.write.parquet(f"{tmp_path}/jobs")
+    read = spark.read.parquet(f"{tmp_path}/jobs")
+    for made in (deps.near_edges(read), deps.incoming_delays(read), deps.kept(read)):
+        plan = made._jdf.queryExecution().executedPlan().toString()
+        joined = [line for line in plan.splitlines() if "Join" in line and "bucket" in line]
+        assert joined and all("SortMergeJoin" in line for line in joined)
