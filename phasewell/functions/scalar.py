@@ -13,10 +13,10 @@ def _shortest(x: Column) -> Column:
     return F.regexp_replace(F.format_string("%.2f", x), "0$", "")
 
 
-def convert_size(size: Column) -> Column:
-    """Bytes as text in units of powers of 1000, two decimals: 1.5 KB; 0B for nothing."""
+def convert_size(size: Column, largest: str = UNITS[-1]) -> Column:
+    """Bytes as text in units of powers of 1000 up to the ``largest``, two decimals: 1.5 KB; 0B for nothing."""
     power = F.lit(0)
-    for i in range(1, len(UNITS)):
+    for i in range(1, UNITS.index(largest) + 1):
         power = F.when(size >= float(1000**i), F.lit(i)).otherwise(power)
     value = F.floor(size.cast("double") / F.pow(F.lit(1000.0), power) * 100 + 0.5) / 100
     return F.when(size == 0, F.lit("0B")).otherwise(F.concat(_shortest(value), F.lit(" "), F.element_at(F.array(*[F.lit(u) for u in UNITS]), power + 1)))
