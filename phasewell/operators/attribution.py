@@ -107,14 +107,19 @@ def _shapley_of(leaf: Leaf, met: np.ndarray) -> np.ndarray:
 
 
 def contributions(x: np.ndarray, leaves: list[Leaf]) -> np.ndarray:
-    """Each row's Shapley values, one column for each feature."""
-    out = np.zeros(x.shape)
+    """Each row's Shapley values, one column for each feature. The intervals that a row meets are the bits of a number."""
+    columns, out = np.ascontiguousarray(x.T), np.zeros(x.shape[::-1])
     for leaf in leaves:
         if len(leaf.features):
-            own = x[:, leaf.features]
-            met, back = np.unique((own > leaf.low) & (own <= leaf.high), axis=0, return_inverse=True)
-            out[:, leaf.features] += _shapley_of(leaf, met.astype(float))[back.ravel()]
-    return out
+            met = np.zeros(len(x), np.int64)
+            for bit, (feature, low, high) in enumerate(zip(leaf.features, leaf.low, leaf.high)):
+                met |= ((columns[feature] > low) & (columns[feature] <= high)).astype(np.int64) << bit
+            few = len(leaf.features) <= 10 and 1 << len(leaf.features) <= len(x)
+            patterns, back = (np.arange(1 << len(leaf.features)), met) if few else np.unique(met, return_inverse=True)
+            values = _shapley_of(leaf, (patterns[:, None] >> np.arange(len(leaf.features)) & 1).astype(float))
+            for i, feature in enumerate(leaf.features):
+                out[feature] += values[back, i]
+    return np.ascontiguousarray(out.T)
 
 
 def tree_attribution(model, rows: DataFrame, keep: list[str], background: DataFrame | None = None) -> DataFrame:
@@ -131,7 +136,7 @@ def tree_attribution(model, rows: DataFrame, keep: list[str], background: DataFr
         for batch in batches:
             if batch.num_rows:
                 x = batch.column("_x").flatten().to_numpy().reshape(batch.num_rows, -1)
-                found = pa.array(list(contributions(x, leaves)), pa.list_(pa.float64()))
+                found = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(contributions(x, leaves).ravel()))
                 yield pa.record_batch([*(batch.column(c) for c in keep), pa.array(np.full(len(x), base)), found], schema=pa.schema([*(batch.schema.field(c) for c in keep), ("base", pa.float64()), ("contributions", found.type)]))
 
     return held.mapInArrow(run, schema)

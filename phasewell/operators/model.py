@@ -62,8 +62,16 @@ def active() -> Column:
 
 def target_matrix(phases: DataFrame, keep: list[str]) -> DataFrame:
     """Operations a second of each tier: bandwidth over the mean operation size, 0 without volume or size."""
-    rate = lambda c: F.coalesce(F.try_divide(F.col(c) * active(), mean_io_size()), F.lit(0.0)).alias(c)
-    return phases.select(*keep, *[rate(c) for c in targets(phases)])
+    return phases.select(*keep, *[_rate(c) for c in targets(phases)])
+
+
+def _rate(target: str) -> Column:
+    return F.coalesce(F.try_divide(F.col(target) * active(), mean_io_size()), F.lit(0.0)).alias(target)
+
+
+def training_table(phases: DataFrame, keep: list[str], labels: list[str] | None = None) -> DataFrame:
+    """``design_matrix`` beside ``target_matrix``, or some of its columns, from one pass over the phases."""
+    return design_matrix(phases, [*keep, *(_rate(c) for c in (targets(phases) if labels is None else labels))])
 
 
 def target_maxima(y: DataFrame) -> DataFrame:
@@ -112,6 +120,15 @@ def train(x: DataFrame, label: str, kind: str = "linear"):
     return Pipeline(stages=[VectorAssembler(inputCols=inputs, outputCol="features"), regressor(kind, label)]).fit(x)
 
 
+def train_all(x: DataFrame, kinds: dict[str, str]) -> dict[str, object]:
+    """A fitted pipeline for each label and its kind; the rows of design and labels are computed once for all fits."""
+    held = x.select(*[c for c in x.columns if c in kinds or c.startswith(("cat__", "remainder__"))]).cache()
+    try:
+        return {label: train(held, label, kind) for label, kind in kinds.items()}
+    finally:
+        held.unpersist()
+
+
 def fold_scores(x: DataFrame, label: str, key: str, kind: str = "linear", folds: int = 5, of_fold: Column | None = None) -> list[float | None]:
     """R2 of each fold under the model of the others; folds by a hash of ``key`` unless ``of_fold`` numbers them."""
     scores = []

@@ -113,3 +113,14 @@ def test_schedule_of_least_ends_by_enumeration(spark):
     assert [r["job"] for r in fixed] == sorted(r["job"] for r in fixed)
     none = spark.createDataFrame([(1, 1, 0, 5, None)], "chain long, job long, i int, volume long, hdd_bw int")
     assert optimise.schedule_least_ends(none, ["hdd_bw"]).first()["tier"] is None
+
+
+def test_patterns_of_many_features_and_few_rows():
+    """Numbers of patterns looked up in a whole table and among those that occur give the same values, row by row."""
+    rng = np.random.default_rng(6)
+    leaf = attribution.Leaf(2.0, np.array([3, 0, 2]), np.array([-np.inf, 0.2, 0.1]), np.array([0.5, 0.9, np.inf]), np.array([0.4, 0.5, 0.6]))
+    x = rng.random((50, 4))
+    met = (x[:, leaf.features] > leaf.low) & (x[:, leaf.features] <= leaf.high)
+    expected = attribution._shapley_of(leaf, met.astype(float))
+    for got in (attribution.contributions(x, [leaf]), np.concatenate([attribution.contributions(x[i : i + 1], [leaf]) for i in range(50)])):
+        assert (got[:, leaf.features] == expected).all() and (got[:, 1] == 0).all()
