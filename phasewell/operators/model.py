@@ -185,6 +185,12 @@ def complete(table: DataFrame, computed: DataFrame, key: str, columns: list[str]
 
 
 def tier_table(phases: DataFrame, tiers: DataFrame, key: str, bandwidth: Column, names: list[str]) -> DataFrame:
-    """One bandwidth column for each tier; ``tiers`` is a cluster's description, a few rows."""
-    each = phases.crossJoin(F.broadcast(tiers)).withColumn("_bw", bandwidth)
-    return each.groupBy(key).pivot("tier", names).agg(F.first("_bw"))
+    """One bandwidth column for each tier, null for a name that ``tiers`` lacks; ``tiers`` is a cluster's description, a
+    few rows, which become one row beside each phase, so that phases aren't repeated or grouped. Phases have one row for
+    each key."""
+    of = {n: F.first(F.when(F.col("tier") == n, F.struct(*tiers.columns)), ignorenulls=True).alias(f"_tier{i}") for i, n in enumerate(names)}
+    rows = phases.crossJoin(F.broadcast(tiers.agg(*of.values())))
+    for i, n in enumerate(names):
+        own = rows.select("*", *[F.col(f"_tier{i}.{c}").alias(c) for c in tiers.columns])
+        rows = own.withColumn(f"_bw{i}", F.when(F.col("tier").isNotNull(), bandwidth)).drop(*tiers.columns)
+    return rows.select(key, *[F.col(f"_bw{i}").alias(n) for i, n in enumerate(names)])

@@ -214,3 +214,19 @@ def test_projections_and_containment(spark):
     assert joins.renamed(df, {"id": "key", "read_volume": "no"}, ("no", "write_volume")).columns == ["key", *df.columns[3:]]
     points = spark.createDataFrame([(0, 5, True), (1, 6, False), (3, 2, False), (5, 5, True), (-1, 2, False)], "s int, e int, yes boolean")
     assert all(r["got"] == r["yes"] for r in points.select("yes", joins.contained(F.col("s"), F.col("e"), F.lit(0), F.lit(5)).alias("got")).collect())
+
+
+def test_training_table_and_tier_table_move_no_rows(spark, small):
+    from phasewell.operators import model
+    from phasewell.plans import tables
+
+    phases = tables.phases(spark, small)
+    whole = model.design_matrix(phases, ["phase_id"]).join(model.target_matrix(phases, ["phase_id"]), "phase_id")
+    table = model.training_table(phases, ["phase_id"])
+    assert sorted(map(tuple, table.select(whole.columns).collect())) == sorted(map(tuple, whole.collect()))
+    tiers = spark.createDataFrame([("fast", 200.0)], "tier string, bandwidth double")
+    timed = model.tier_table(phases, tiers, "phase_id", F.col("read_volume") / F.col("bandwidth"), ["fast", "none"])
+    assert timed.columns == ["phase_id", "fast", "none"] and timed.where("fast is null or none is not null").count() == 0
+    for made in (table, timed):
+        plan = made._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 1
