@@ -4,7 +4,8 @@ multilayer networks.
 In each round every task adds up the loss and its gradient over its own rows, as arrays, and one aggregate by the
 parameter's place adds up the tasks; only parameters and their gradient, never rows, pass through the driver. Features
 and labels are standardised by one aggregate before. Fits depend on the rows and the seed, and on their partitions by
-rounding alone.
+rounding alone. Rows of a block with equal features are held as one with all their labels, so that a round maps their
+features once.
 """
 
 from __future__ import annotations
@@ -17,14 +18,47 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: (parameters, rows, labels) -> (summed loss, summed gradient)
-Loss = Callable[[np.ndarray, np.ndarray, np.ndarray], tuple[float, np.ndarray]]
+from ..session import spread
+
+#: (parameters, rows, labels, each label's row) -> (summed loss, summed gradient)
+Loss = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], tuple[float, np.ndarray]]
+#: Rows among which equal features are looked for, and labels held with one row at the most.
+BLOCK, LABELS = 100_000, 1_000
+#: Tasks that rows of equal features are dealt to at the most.
+SALTS = 16
 
 
 def _matrix(batch: pa.RecordBatch, names: list[str]) -> np.ndarray:
     return np.stack([batch.column(n).to_numpy(zero_copy_only=False) for n in names], 1).astype(float) if names else np.zeros((batch.num_rows, 0))
 
 
+def _gathered(names: list[str]):
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        held, size = [], 0
+        for batch in batches:
+            held.append((_matrix(batch, names), batch.column("y").to_numpy()))
+            size += batch.num_rows
+            if size >= BLOCK:
+                yield tuple(map(np.concatenate, zip(*held)))
+                held, size = [], 0
+        if size:
+            yield tuple(map(np.concatenate, zip(*held)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each distinct row of a block with its labels, at most LABELS of them in one row."""
+        for x, y in blocks(batches):
+            order = np.lexsort(x.T) if len(names) else np.arange(len(x))
+            x, y = x[order], y[order]
+            new = np.append(True, (x[1:] != x[:-1]).any(1))
+            begin = np.flatnonzero(new)
+            place = np.arange(len(x)) - np.repeat(begin, np.diff(np.append(begin, len(x))))
+            begin = np.flatnonzero(place % LABELS == 0)
+            labels = pa.ListArray.from_arrays(pa.array(np.append(begin, len(x)).astype(np.int32)), pa.array(y))
+            yield pa.record_batch([*(pa.array(np.ascontiguousarray(x[begin, i])) for i in range(len(names))), labels], [*names, "ys"])
+
+    return run
+
+
 @dataclass
 class Scaling:
     """Means and deviations of the features and, last, of the label; constant columns have deviation 1."""
@@ -43,8 +77,10 @@ class Scaling:
 def descend(rows: DataFrame, features: list[str], label: str, scaling: Scaling, loss: Loss, begin: np.ndarray, rounds: int, rate: float, weight: float) -> tuple[np.ndarray, list[float]]:
     """Parameters after ``rounds`` rounds of Adam's steps on the mean loss plus ``weight`` times half their square, the
     ones with the least loss seen, and the losses."""
-    held = rows.select(*[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(features)], F.col(label).cast("double").alias("y")).na.drop().cache()
+    held = rows.select(*[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(features)], F.col(label).cast("double").alias("y")).na.drop()
     names = [f"x{i}" for i in range(len(features))]
+    near = spread(held, *names, F.pmod(F.xxhash64("y"), F.lit(SALTS))).sortWithinPartitions(*names)
+    held = near.mapInArrow(_gathered(names), ", ".join([*(f"{n} double" for n in names), "ys array<double>"])).cache()
     now, first, second = begin.copy(), np.zeros_like(begin), np.zeros_like(begin)
     best, losses = (np.inf, begin), []
     for k in range(1, rounds + 1):
@@ -54,8 +90,9 @@ def descend(rows: DataFrame, features: list[str], label: str, scaling: Scaling,
             total, gradient = 0.0, np.zeros_like(point)
             for batch in batches:
                 x = (_matrix(batch, names) - scaling.mean[:-1]) / scaling.deviation[:-1]
-                y = (batch.column("y").to_numpy() - scaling.mean[-1]) / scaling.deviation[-1]
-                a, b = loss(point, x, y)
+                ys = batch.column("ys")
+                y = (ys.flatten().to_numpy() - scaling.mean[-1]) / scaling.deviation[-1]
+                a, b = loss(point, x, y, np.repeat(np.arange(len(x)), ys.value_lengths().to_numpy()))
                 total, gradient = total + a, gradient + b
             yield pa.record_batch([pa.array(np.arange(-1, len(point))), pa.array(np.append(total, gradient))], ["i", "g"])
 
@@ -125,11 +162,12 @@ class _Tube:
     def predict(self, w: np.ndarray, x: np.ndarray) -> np.ndarray:
         return self.mapped(x) @ w
 
-    def __call__(self, w: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[float, np.ndarray]:
+    def __call__(self, w: np.ndarray, x: np.ndarray, y: np.ndarray, of: np.ndarray | None = None) -> tuple[float, np.ndarray]:
         z = self.mapped(x)
-        off = z @ w - y
+        of = np.arange(len(x)) if of is None else of
+        off = (z @ w)[of] - y
         out = np.abs(off) > self.width
-        return float((np.abs(off) - self.width)[out].sum()), z.T @ (np.sign(off) * out)
+        return float((np.abs(off) - self.width)[out].sum()), z.T @ np.bincount(of, np.sign(off) * out, len(x))
 
 
 @dataclass
@@ -159,10 +197,11 @@ class _Layers:
     def predict(self, w: np.ndarray, x: np.ndarray) -> np.ndarray:
         return self._forward(w, x)[-1][:, 0]
 
-    def __call__(self, w: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[float, np.ndarray]:
+    def __call__(self, w: np.ndarray, x: np.ndarray, y: np.ndarray, of: np.ndarray | None = None) -> tuple[float, np.ndarray]:
         seen = self._forward(w, x)
-        off = seen[-1] - y[:, None]
-        back, parts = off, []
+        of = np.arange(len(x)) if of is None else of
+        off = seen[-1][of, 0] - y
+        back, parts = np.bincount(of, off, len(x))[:, None], []
         for (weights, _), below in zip(reversed(self._split(w)), reversed(seen[:-1])):
             parts.append(np.append((below.T @ back).ravel(), back.sum(0)))
             back = (back @ weights.T) * (below > 0)

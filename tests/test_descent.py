@@ -47,3 +47,21 @@ def test_fit_falls_and_repeats(curved):
     assert [r["predicted_y"] for r in got] == [None] * 3
     empty = descent.support_vectors(curved.limit(0), ["cat__a"], "y", rounds=2)
     assert empty.transform(curved.limit(2)).count() == 2
+
+
+def test_equal_rows_are_held_once_with_all_their_labels():
+    import pyarrow as pa
+
+    x = np.repeat(np.random.default_rng(4).integers(0, 2, (40, 2)).astype(float), 60, 0)
+    y = np.arange(len(x), dtype=float)
+    batches = [pa.record_batch([x[a : a + 700, 0], x[a : a + 700, 1], y[a : a + 700]], ["x0", "x1", "y"]) for a in range(0, len(x), 700)]
+    (got,) = descent._gathered(["x0", "x1"])(iter(batches))
+    assert got.num_rows < 10 and max(map(len, got.column("ys").to_pylist())) <= descent.LABELS
+    rows = {(a, b, v) for a, b, ys in zip(*(got.column(c).to_pylist() for c in ("x0", "x1", "ys"))) for v in ys}
+    assert rows == {(*map(float, p), v) for p, v in zip(x, y.tolist())}
+    held = np.stack([got.column(c).to_numpy() for c in ("x0", "x1")], 1)
+    of, labels = np.repeat(np.arange(len(held)), got.column("ys").value_lengths().to_numpy()), got.column("ys").flatten().to_numpy() / 1_000
+    for loss, size in ((descent._Layers((2, 4, 1)), 17), (descent._Tube(descent.RandomFeatures.drawn(2, 6, 0.5, 1), 0.05), 7)):
+        w = np.random.default_rng(5).normal(size=size)
+        once, every = loss(w, held, labels, of), loss(w, x, y / 1_000)
+        assert once[0] == pytest.approx(every[0]) and once[1] == pytest.approx(every[1])
