@@ -39,20 +39,21 @@ def _pairs(jobs: DataFrame, block: int = BLOCK) -> DataFrame:
     return first.join(second, [FLOW, "i", "j"]).where("a_ord < b_ord").drop("i", "j")
 
 
-def _slack(jobs: DataFrame, threshold: float, width: int) -> tuple[DataFrame, list[int]]:
+def _slack(jobs: DataFrame, threshold: float, width: int) -> DataFrame:
     """Ordered jobs with their slack and its scale: the power of two of ``width`` that holds twice the slack; and all
-    scales there are, no more than a time has bits."""
+    ``scales`` of their workflow, no more than a time has bits."""
     slack = F.lit(threshold) * (F.col("end_ms") - F.col("start_ms"))
     scale = F.greatest(F.ceil(F.log2(F.greatest(2 * slack / F.lit(width), F.lit(1.0)))), F.lit(0)).cast("int")
     rows = ordered(jobs).withColumn("slack", slack).withColumn("scale", scale)
-    return rows, sorted(r[0] for r in rows.select("scale").distinct().collect())
+    return rows.withColumn("scales", F.collect_set("scale").over(Window.partitionBy(FLOW)))
 
 
-def _around(rows: DataFrame, scales: list[int], time: str, width: int) -> DataFrame:
+def _around(rows: DataFrame, time: str, width: int) -> DataFrame:
     """Pairs (flow, src, dst, ord, a_start, a_end, slack, at) of jobs where the later one starts within the earlier
     one's slack around ``time``.
 
-    An interval lies in two buckets of its scale at the most, however long it is; a start is shown once at each scale.
+    An interval lies in two buckets of its scale at the most, however long it is; a start is shown once at each scale
+    that its own workflow has.
     Both sides are sorted and merged: their sizes are taken for those of the jobs before rows are repeated, so that Spark
     would else broadcast them through the driver.
     """
@@ -60,7 +61,7 @@ def _around(rows: DataFrame, scales: list[int], time: str, width: int) -> DataFr
     spans = rows.select(FLOW, F.col("job_id").alias("src"), "ord", F.col("start_ms").alias("a_start"), F.col("end_ms").alias("a_end"), "slack", "scale", F.explode(F.sequence(
         F.floor((F.col(time) - F.col("slack")) / size), F.floor((F.col(time) + F.col("slack")) / size)
     )).alias("bucket"))
-    starts = rows.select(FLOW, F.col("job_id").alias("dst"), F.col("start_ms").alias("at"), F.col("ord").alias("own"), F.explode(F.array(*map(F.lit, scales)) if scales else F.array().cast("array<int>")).alias("scale"))
+    starts = rows.select(FLOW, F.col("job_id").alias("dst"), F.col("start_ms").alias("at"), F.col("ord").alias("own"), F.explode("scales").alias("scale"))
     starts = starts.withColumn("bucket", F.floor(F.col("at") / size))
     near = F.col("at").between(F.col({"end_ms": "a_end", "start_ms": "a_start"}[time]) - F.col("slack"), F.col({"end_ms": "a_end", "start_ms": "a_start"}[time]) + F.col("slack"))
     return starts.join(spans.hint("merge"), [FLOW, "scale", "bucket"]).where(F.col("ord") < F.col("own")).where(near)
@@ -68,9 +69,9 @@ def _around(rows: DataFrame, scales: list[int], time: str, width: int) -> DataFr
 
 def near_edges(jobs: DataFrame, threshold: float = 0.1, width: int = 1_000) -> DataFrame:
     """The sequential and parallel edges of ``classify``, found by times, without the pairs that are neither."""
-    rows, scales = _slack(jobs, threshold, width)
-    follows = _around(rows, scales, "end_ms", width).withColumn("type", F.lit("sequential"))
-    beside = _around(rows, scales, "start_ms", width).withColumn("type", F.lit("parallel"))
+    rows = _slack(jobs, threshold, width)
+    follows = _around(rows, "end_ms", width).withColumn("type", F.lit("sequential"))
+    beside = _around(rows, "start_ms", width).withColumn("type", F.lit("parallel"))
     beside = beside.where(~F.col("at").between(F.col("a_end") - F.col("slack"), F.col("a_end") + F.col("slack")))
     return follows.unionByName(beside).select(FLOW, "src", "dst", "type", F.lit(None).cast("long").alias("delay"), "ord")
 
@@ -126,8 +127,8 @@ def kept(jobs: DataFrame, threshold: float = 0.1, width: int = 1_000) -> DataFra
     The sources that a job follows or runs beside are found by the times around which it may start, in buckets of
     ``width`` times the power of two that fits a source's slack; a delay is always the one from the job before.
     """
-    rows, scales = _slack(jobs, threshold, width)
-    latest = lambda time: _around(rows, scales, time, width).groupBy(FLOW, "dst").agg(F.max(F.struct("ord", "src")).alias(time))
+    rows = _slack(jobs, threshold, width)
+    latest = lambda time: _around(rows, time, width).groupBy(FLOW, "dst").agg(F.max(F.struct("ord", "src")).alias(time))
     before = Window.partitionBy(FLOW).orderBy("ord")
     each = rows.select(FLOW, F.col("job_id").alias("dst"), F.lag("job_id").over(before).alias("previous"), (F.col("start_ms") - F.lag("start_ms").over(before)).alias("gap"))
     each = each.join(latest("end_ms"), [FLOW, "dst"], "left").join(latest("start_ms"), [FLOW, "dst"], "left").where("previous is not null")

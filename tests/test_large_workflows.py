@@ -129,3 +129,12 @@ def test_repeated_rows_are_not_broadcast(spark, jobs, tmp_path):
         plan = made._jdf.queryExecution().executedPlan().toString()
         joined = [line for line in plan.splitlines() if "Join" in line and "bucket" in line]
         assert joined and all("SortMergeJoin" in line for line in joined)
+
+
+def test_starts_are_repeated_for_their_own_workflow_only(jobs):
+    """However many scales other workflows have, a start stands once for each scale of its own."""
+    rows = deps._slack(jobs, 0.1, 1_000).collect()
+    for flow in (1, 2, 3):
+        own = [r for r in rows if r["workflow_id"] == flow]
+        assert own and all(sorted(r["scales"]) == sorted({r["scale"] for r in own}) for r in own)
+    assert len({len(r["scales"]) for r in rows}) > 1
