@@ -205,7 +205,7 @@ def necessary_delays(edges: DataFrame) -> DataFrame:
     A delay that is the only edge into its job, or the only one out of it, is necessary, whatever the others are. Paths
     stay within jobs that edges join, so each such part that holds another delay is a group of its own.
     """
-    rows = edges.select(FLOW, "src", "dst", "type", "delay")
+    rows = cut(edges.select(FLOW, "src", "dst", "type", "delay"))
     once = rows.select(FLOW, "src", "dst").distinct()
     into = once.groupBy(FLOW, "dst").agg(F.count(F.lit(1)).alias("into"))
     out = once.groupBy(FLOW, "src").agg(F.count(F.lit(1)).alias("out"))
