@@ -23,6 +23,8 @@ from ..session import spread
 
 Cost = Callable[[np.ndarray, np.ndarray], np.ndarray]
 _POINTS = "job_id long, idx long"
+#: Samples of series that are looked at together.
+TOGETHER = 1 << 16
 
 
 def _prefix(x: np.ndarray) -> np.ndarray:
@@ -169,6 +171,50 @@ def optimal(cost: Cost, n: int, penalty: float, least: int = 1, step: int = 1) -
     return out[::-1]
 
 
+def _heads(owner: np.ndarray) -> np.ndarray:
+    """Where each run of equal numbers begins."""
+    return np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
+
+
+def optimal_of_all(cost: Cost, sizes: np.ndarray, penalty: float, step: int = 1) -> list[np.ndarray]:
+    """``optimal`` with ``least`` 1 of several series that lie one after another in ``cost``, all at once.
+
+    Ends go from left to right in all series together, so that each step is one call for the starts of all that still go
+    on. Sums run over other series too, so costs are the same where they are exact.
+    """
+    begin, order = np.cumsum(sizes) - sizes, np.argsort(-sizes, kind="stable")
+    size, first = sizes[order], begin[order]  # the longest first: those that go on are the first ones
+    longest = int(size[0]) if len(size) else 0
+    best, last = np.full((longest + 1, len(size)), np.inf), np.zeros((longest + 1, len(size)), np.int64)
+    best[0] = -penalty
+    owner, start = np.arange(len(size)), np.zeros(len(size), np.int64)  # by owner, each one's starts from left to right
+    before = 0
+    while before < longest:
+        t = min(before + step, longest)
+        on = int(np.searchsorted(-size, -before, "left"))  # longer than the position before
+        keep = owner < on
+        owner, start = owner[keep], start[keep]
+        at = np.minimum(t, size[:on])  # the last position is a series' end, whatever the step is
+        costs = best[start, owner] + cost(first[owner] + start, (first[:on] + at)[owner])
+        heads = _heads(owner)
+        least = np.minimum.reduceat(costs, heads)
+        found = np.flatnonzero(costs == least[owner])
+        found = found[_heads(owner[found])]  # earlier ones on ties
+        best[at, np.arange(on)], last[at, np.arange(on)] = least + penalty, start[found]
+        keep = costs <= (least + penalty)[owner]
+        ends = np.cumsum(np.bincount(owner[keep], minlength=on))
+        owner, start = np.insert(owner[keep], ends, np.arange(on)), np.insert(start[keep], ends, at)
+        before = t
+    out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(size)
+    for i, n in enumerate(size.tolist()):
+        points, t = [], n
+        while last[t, i] > 0:
+            t = int(last[t, i])
+            points.append(t)
+        out[order[i]] = np.array(points[::-1], np.int64)
+    return out
+
+
 def binary(cost: Cost, n: int, penalty: float, least: int = 1, step: int = 1) -> list[int]:
     """Split in two where that gains most, and both parts again, while a split gains more than the penalty."""
     out, left = [], [(0, n)]
@@ -290,22 +336,42 @@ def elbow(costs: np.ndarray, sensitivity: float = 1.0) -> int | None:
     return None
 
 
-def _by_job(signals: DataFrame, value: str, find: Callable[[np.ndarray], list[int]]) -> DataFrame:
-    """(job_id, idx) of what ``find`` finds in each job's samples, nulls as 0; a job is one row of an array."""
+def _by_job(signals: DataFrame, value: str, find: Callable[[list[np.ndarray]], list]) -> DataFrame:
+    """(job_id, idx) of what ``find`` finds in each of several jobs' samples, nulls as 0; a job is one row of an array."""
     samples = F.array_sort(F.collect_list(F.struct("idx", F.coalesce(F.col(value), F.lit(0)).alias("x"))))
     rows = signals.groupBy(F.col("job_id").cast("long").alias("job_id")).agg(samples.alias("samples"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [find(xs.values.to_numpy(zero_copy_only=False)) for xs in batch.column("xs")]
+            found = find([xs.values.to_numpy(zero_copy_only=False) for xs in batch.column("xs")])
             jobs = np.repeat(batch.column("job_id").to_numpy(zero_copy_only=False), [len(f) for f in found])
             yield pa.record_batch([pa.array(jobs, pa.int64()), pa.array([i for f in found for i in f], pa.int64())], ["job_id", "idx"])
 
     return spread(rows.select("job_id", F.col("samples.x").alias("xs")), "job_id").mapInArrow(run, _POINTS)
 
 
-def _found(values: np.ndarray, cost: str, method: str, **options) -> list[int]:
-    return SEARCHES[method](COSTS[cost](values), len(values), **options)
+def _found(series: list[np.ndarray], cost: str, method: str, penalty: float, least: int, step: int) -> list:
+    whole = all(x.dtype.kind in "iub" for x in series)
+    if method == "pelt" and cost == "l1" and least == 1 and whole:  # exact, so that series can be looked at together
+        return [points for part in _parts(series) for points in optimal_of_all(Absolute(np.concatenate(part)), np.array([len(x) for x in part]), penalty, step)]
+    return [SEARCHES[method](COSTS[cost](x), len(x), penalty=penalty, least=least, step=step) for x in series]
+
+
+def _parts(series: list[np.ndarray], most: int = TOGETHER) -> Iterator[list[np.ndarray]]:
+    """Consecutive series whose number times the longest one's length is ``most`` at the most, or single ones."""
+    part, longest = [], 0
+    for x in series:
+        if part and max(longest, len(x)) * (len(part) + 1) > most:
+            yield part
+            part, longest = [], 0
+        part.append(x)
+        longest = max(longest, len(x))
+    if part:
+        yield part
+
+
+def _each(series: list[np.ndarray], find: Callable[[np.ndarray], list[int]]) -> list[list[int]]:
+    return [find(x) for x in series]
 
 
 def change_points(signals: DataFrame, value: str, penalty: float, method: str = "pelt", cost: str = "l2", least: int = 1, step: int = 1) -> DataFrame:
@@ -330,4 +396,4 @@ def elbow_points(signals: DataFrame, value: str, kernel: str = "linear") -> Data
     """(job_id, idx) of every job's change points under a kernel, as many as the elbow of its cost curve has."""
     if kernel not in ("linear", "rbf"):
         raise ValueError(f"no kernel {kernel}")
-    return _by_job(signals, value, partial(at_elbow, kernel=kernel))
+    return _by_job(signals, value, partial(_each, find=partial(at_elbow, kernel=kernel)))

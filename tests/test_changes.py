@@ -138,3 +138,18 @@ def test_jobs(spark):
         changes.change_points(df, "v", 1.0, cost="l3")
     with pytest.raises(ValueError):
         changes.elbow_points(df, "v", "sine")
+
+
+@pytest.mark.parametrize("step", [1, 3])
+def test_series_looked_at_together(step):
+    """As each by itself, with ties, equal, short and empty series among them."""
+    rng = np.random.default_rng(5)
+    series = [rng.integers(0, 6, n) * rng.choice([0, 100], n) for n in (40, 1, 7, 0, 90, 40, 2)] + [np.full(12, 3)]
+    for penalty in (0.0, 3.0, 100.0):
+        alone = [changes.optimal(changes.Absolute(x), len(x), penalty, 1, step) for x in series]
+        for most in (1, 100, changes.TOGETHER):
+            parts = list(changes._parts(series, most))
+            assert [len(x) for part in parts for x in part] == [len(x) for x in series]
+            found = [f for p in parts for f in changes.optimal_of_all(changes.Absolute(np.concatenate(p)), np.array([len(x) for x in p]), penalty, step)]
+            assert [list(f) for f in found] == alone
+    assert [list(f) for f in changes._found(series, "l1", "pelt", 3.0, 1, step)] == [changes.optimal(changes.Absolute(x), len(x), 3.0, 1, step) for x in series]
