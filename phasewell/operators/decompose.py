@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schemas import ACCESS, REPRESENTATION
-from ..session import spread
+from ..session import cut, spread
 from . import changes, signals as sig
 from .changes import change_points  # noqa: F401  (part of this module's interface)
 
@@ -62,6 +62,17 @@ def _last_minima(least: int, m: int, costs: Callable[[np.ndarray, np.ndarray], n
     return value, at
 
 
+def _last_minima_of(table: np.ndarray, least: int, best: np.ndarray, near: float) -> tuple[np.ndarray, np.ndarray]:
+    """``_last_minima`` of ``best`` at the start plus a table by end and start, the costs of few values."""
+    m = len(table)
+    value, at = np.full(m + 1, np.inf), np.zeros(m + 1, np.int32)
+    found = table[least - 1 :, least - 1 :] + best[least - 1 : m]
+    close = found <= found.min(1, keepdims=True) + near
+    chosen = close.shape[1] - 1 - close[:, ::-1].argmax(1)
+    at[least:], value[least:] = chosen + least - 1, found[np.arange(len(found)), chosen]
+    return value, at
+
+
 def cluster_starts(distinct: np.ndarray, count: np.ndarray, threshold: float = 0.01) -> np.ndarray:
     """The least values of all clusters but the lowest, for the first k whose low cluster holds at most ``threshold`` of
     the sum, given a signal's distinct values in order and how often each occurs."""
@@ -79,13 +90,20 @@ def cluster_starts(distinct: np.ndarray, count: np.ndarray, threshold: float = 0
 
     ends = np.arange(1, m + 1)
     best = np.concatenate([[0.0], own(np.zeros(m, int), ends)])
+    table = None
+    if m * m <= LEAVES:  # each k looks at the same costs of few values
+        i = np.arange(m)
+        table = np.where(i < ends[:, None], own(np.minimum(i, ends[:, None] - 1), ends[:, None]), np.inf)
     cuts: list[np.ndarray] = []
     for k in range(2, m + 1):
-        best, cut = _last_minima(k, m, lambda i, j: best[i] + own(i, j), near)  # noqa: B023
-        cuts.append(cut)
+        if table is None:
+            best, at = _last_minima(k, m, lambda i, j: best[i] + own(i, j), near)  # noqa: B023
+        else:
+            best, at = _last_minima_of(table, k, best, near)
+        cuts.append(at)
         edges, j = [], m
-        for cut in reversed(cuts):
-            j = int(cut[j])
+        for at in reversed(cuts):
+            j = int(at[j])
             edges.append(j)
         if s1[j] / total <= threshold:
             return x[edges[::-1]]
@@ -143,7 +161,8 @@ def represent(job: dict[str, np.ndarray], threshold: float = 0.01, merged: bool
 
 
 def clusters(signals: DataFrame, columns: list[str], threshold: float = 0.01) -> DataFrame:
-    """(job_id, one array of ``cluster_starts`` for each column). A job's histograms are counted before they move."""
+    """(job_id, one array of ``cluster_starts`` for each column). A job's histograms are counted before they move, and the
+    starts, a few numbers for each job, are found once, however often they are joined."""
     values = F.explode(F.array(*(F.struct(F.lit(c).alias("signal"), F.col(c).cast("double").alias("value")) for c in columns)))
     counted = signals.select("job_id", values.alias("_v")).groupBy("job_id", "_v.signal", "_v.value").agg(F.count(F.lit(1)).alias("n"))
     held = counted.groupBy("job_id", "signal").agg(F.array_sort(F.collect_list(F.struct("value", "n"))).alias("held"))
@@ -156,7 +175,7 @@ def clusters(signals: DataFrame, columns: list[str], threshold: float = 0.01) ->
             yield pa.record_batch([batch.column("job_id"), batch.column("signal"), pa.array(starts, pa.list_(pa.float64()))], ["job_id", "signal", "starts"])
 
     found = lists.withColumn("job_id", F.col("job_id").cast("long")).mapInArrow(run, "job_id long, signal string, starts array<double>")
-    return found.groupBy("job_id").agg(*(F.first(F.when(F.col("signal") == c, F.col("starts")), ignorenulls=True).alias(f"starts_{c}") for c in columns))
+    return cut(found.groupBy("job_id").agg(*(F.first(F.when(F.col("signal") == c, F.col("starts")), ignorenulls=True).alias(f"starts_{c}") for c in columns)))
 
 
 def adaptive_labels(signals: DataFrame, threshold: float = 0.01) -> DataFrame:

@@ -116,6 +116,19 @@ def test_clusters_of_a_long_series(spark):
     assert x[x < starts[0]].sum() <= 0.01 * x.sum()
 
 
+def test_clusters_of_few_values_and_found_once(spark, monkeypatch):
+    """The table of costs gives the starts that the search gives, and a representation has no second search in its plan."""
+    rng = np.random.default_rng(11)
+    signals = [np.unique(rng.integers(0, top, n), return_counts=True) for top in (3, 20, 500) for n in (1, 2, 9, 120)] + [(np.arange(100), np.ones(100, int))]
+    table = [decompose.cluster_starts(*s) for s in signals]
+    monkeypatch.setattr(decompose, "LEAVES", 0)
+    assert [t.tolist() for t in table] == [decompose.cluster_starts(*s).tolist() for s in signals]
+    monkeypatch.undo()
+    df = spark.range(40).select((F.col("id") % 2).alias("job_id"), F.floor(F.col("id") / 2).cast("int").alias("idx"), (F.col("id") % 7).alias("bytesRead"), (F.col("id") % 3).alias("bytesWritten"))
+    plan = decompose.adaptive_representation(df)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" not in plan
+
+
 def test_change_points_of_a_published_length():
     """A series of 1,526 samples, as the published times have."""
     rng = np.random.default_rng(10)
