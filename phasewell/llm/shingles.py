@@ -11,16 +11,20 @@ _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 _M = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
-#: Words whose hashes a worker remembers.
-REMEMBERED = 500_000
+#: Words whose hashes a worker remembers, in all stages that it serves, and the longest word that it remembers; the common
+#: words come back at once when it has forgotten them, so more would hold memory and save no time.
+REMEMBERED = 50_000
+LONGEST = 48
 WORDS = 5
 
 
 class _Hashes(dict):
     def __missing__(self, word: str) -> int:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        own = self[word] = xxhash.xxh3_64_intdigest(word.encode())
+        own = xxhash.xxh3_64_intdigest(word.encode())
+        if len(word) <= LONGEST:
+            if len(self) >= REMEMBERED:
+                self.clear()
+            self[word] = own
         return own
 
 

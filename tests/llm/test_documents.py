@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import sys
 import zlib
 from collections import defaultdict
 
@@ -9,7 +10,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 
-from phasewell.llm import bpe, chunks, minhash, packing, pii, quality, queries, secrets, toxicity
+from phasewell.llm import bpe, chunks, minhash, packing, pii, quality, queries, secrets, shingles, toxicity
 from phasewell.llm.shingles import shingle_set
 
 AWKWARD = [
@@ -310,6 +311,16 @@ def test_shingles_hash_like_sets():
     assert len(shingle_set("")) == 0 and len(shingle_set("x y")) == 1
 
 
+def test_remembered_words_are_bounded():
+    """A worker keeps them for all stages that it serves, so many or long words mustn't fill its memory."""
+    shingles._HASHES.clear()
+    before = shingle_set("a few words of no length")
+    shingle_set(" ".join(f"word{i}" for i in range(140_000)))
+    shingle_set(" ".join("x" * 100_000 + str(i) for i in range(50)))
+    assert sum(sys.getsizeof(w) + 32 for w in shingles._HASHES) + sys.getsizeof(shingles._HASHES) < 10 << 20
+    assert (shingle_set("a few words of no length") == before).all()
+
+
 def test_queries_with_sql(spark, small, same):
     for name, sql in queries.ORACLE_SQL.items():
         same(queries.QUERIES[name](spark, small), sql, small)
