@@ -206,3 +206,14 @@ def test_signals_of_a_log(spark):
     assert [(r["at"], r["read_bw"]) for r in replay.signal_of_ends(log).orderBy("at").collect()] == [(0, 0), (3, 5), (5, 0), (7, 0)]
     points = replay.signal_of_points(log, 8).orderBy("at").collect()
     assert [(r["at"], r["read_bw"], r["write_bw"]) for r in points] == [(0, 5, 0), (1, 5, 0), (2, 5, 0), (3, 0, 0), (4, 0, 0), (5, 0, 9), (6, 0, 9), (7, 0, 0)]
+
+
+def test_one_hot_columns_are_held_as_bytes(spark, monkeypatch):
+    """Rows that several fits share hold their patterns in a byte each; fits are those of the rows themselves."""
+    rows = spark.range(400).selectExpr("CAST(id % 2 AS double) AS cat__p_seq", "CAST(id % 2 = 0 AS double) AS cat__p_rand", "id / 400 AS remainder__size", "id % 2 * 5 + id / 100 AS lfs_bw").coalesce(1)
+    held, cache = [], type(rows).cache
+    monkeypatch.setattr(type(rows), "cache", lambda x: held.append(dict(x.dtypes)) or cache(x))
+    fitted = model.train_all(rows, {"lfs_bw": "forest"})["lfs_bw"]
+    own = model.train(rows, "lfs_bw", "forest")
+    assert held[0]["cat__p_seq"] == held[0]["cat__p_rand"] == "tinyint" and held[0]["remainder__size"] == held[0]["lfs_bw"] == "double"
+    assert fitted.stages[-1].toDebugString.split("\n", 1)[1] == own.stages[-1].toDebugString.split("\n", 1)[1]
