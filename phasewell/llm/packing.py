@@ -49,8 +49,12 @@ def _plain(tokenizer) -> Callable[[str], bytes]:
     for character in ByteLevel.alphabet():
         letters[_byte_of(character)] = character
 
+    space = letters[0x20]
+
     def of(part: str) -> bytes:
         if is_word(part[1:] if part[:1] == " " else part):
+            if part.isascii():  # letters stand for themselves
+                return array("I", [x.id for x in merge(part.replace(" ", space))]).tobytes()
             return array("I", [x.id for x in merge(part.encode().decode("latin-1").translate(letters))]).tobytes()
         return array("I", [x.id for token, _ in split(part) for x in merge(token)]).tobytes()
 

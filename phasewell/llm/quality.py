@@ -34,7 +34,8 @@ NEIGHBOURS = 15
 POWER = 4
 #: A unit in steps of a vector's components.
 STEP = float(1 << 20)
-BLOCK = 256
+#: Texts whose cosines with all labelled vectors are held together.
+BLOCK = 64
 THRESHOLD = 0.3
 
 #: Texts of up to so many words say nothing by words that repeat.

@@ -3,6 +3,7 @@
 import hashlib
 import re
 import sys
+import tracemalloc
 import zlib
 from collections import defaultdict
 
@@ -321,6 +322,22 @@ def test_remembered_words_are_bounded():
     assert (shingle_set("a few words of no length") == before).all()
 
 
+def test_votes_hold_few_cosines(monkeypatch):
+    """A worker's memory doesn't go back for the stages to come; the scores are those of any block."""
+    rng = np.random.default_rng(1)
+    vectors = rng.standard_normal((6_000, 32)).astype(np.float32)
+    vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
+    projection = rng.standard_normal((quality.TERMS, 32)).astype(np.float32)
+    model = quality.Neighbours(projection, np.arange(quality.TERMS), vectors, rng.integers(0, 2, 6_000).astype(float), 0.5)
+    texts = [f"Text {i}, of few words: {i * i}." for i in range(300)]
+    tracemalloc.start()
+    got = quality._scores(model, texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    monkeypatch.setattr(quality, "BLOCK", 256)
+    assert peak < 25 << 20 and (quality._scores(model, texts) == got).all()
+
+
 def test_queries_with_sql(spark, small, same):
     for name, sql in queries.ORACLE_SQL.items():
         same(queries.QUERIES[name](spark, small), sql, small)

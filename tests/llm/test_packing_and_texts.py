@@ -13,7 +13,7 @@ import regex
 from test_documents import _joined, _pii_by_hand
 from tokenizers import Tokenizer
 
-from phasewell.llm import bpe, packing, pii, queries
+from phasewell.llm import bpe, chunks, packing, pii, queries
 
 
 def _json():
@@ -42,6 +42,33 @@ def test_added_tokens_with_options_go_to_the_tokenizer():
     assert packing._encoder(changed, True)(text) == np.array(ids, "<u4").tobytes()
 
 
+def test_parts_that_occur_once_take_no_room(monkeypatch):
+    """In a large corpus most different parts are such; those that come again, with signs or without, are remembered."""
+    monkeypatch.setattr(chunks, "REMEMBERED_SIGNS", 20, raising=False)
+    made: list[str] = []
+    remembered = chunks.Remembered(lambda part: (made.append(part), part.encode())[1])
+    chunks.encode("start " + " ".join(f"{i}th" for i in range(100_000)), remembered)
+    assert len(remembered) < 10_000
+    for _ in range(3):
+        chunks.encode("start again and again, and again!! again.", remembered)
+    assert made.count(" again") == 2 and {"again", "again,", "again!!"} <= remembered.keys()
+    chunks.encode("start " + " ".join("again" + "!" * i for i in range(100)), remembered)
+    assert len(remembered.signs) <= 20
+
+
+def test_runs_of_signs_after_words(monkeypatch):
+    """Every sign, alone and in runs, after letters of several scripts, digits and nothing, and at the bounds of the memory."""
+    monkeypatch.setattr(chunks, "REMEMBERED", 50)
+    signs = [*map(chr, range(0x21, 0x30)), *":;<=>?@[\\]^_`{|}~", "$$$", "#%&", "'s!", "!'s", "''", "_x_", "!\u00a0", "\u2026", "!\u0301"]
+    text = " ".join(f"{word}{sign}" for _ in range(3) for sign in signs for word in ("word", "\u00e9t\u00e9", "\u0436\u0443\u043a", "\u01c5", "12", "", "a1"))
+    tokenizer = Tokenizer.from_str(_json())
+    assert packing._encoder(_json(), False)(text) == np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    plain = bpe.Codec(ranks, public_tokenizers.PATTERN)
+    split = regex.compile(public_tokenizers.PATTERN).findall(text)
+    assert plain.encode(text) == b"".join(plain._remembered.plain(token) for token in split)
+
+
 def test_packed_ids_are_the_documents(spark, monkeypatch):
     """Ids travel with the pieces; a length that most documents share is ranked in several groups."""
     monkeypatch.setattr(packing, "SALTED", 7)
