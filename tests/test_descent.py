@@ -65,3 +65,64 @@ def test_equal_rows_are_held_once_with_all_their_labels():
         w = np.random.default_rng(5).normal(size=size)
         once, every = loss(w, held, labels, of), loss(w, x, y / 1_000)
         assert once[0] == pytest.approx(every[0]) and once[1] == pytest.approx(every[1])
+
+
+def test_blocks_have_distinct_rows_with_counted_labels():
+    """Rows of two tasks' copies are packed once each; their losses are those of all rows, label by label."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(9)
+    x = np.repeat(np.append(rng.integers(0, 2, (20, 2)).astype(float), rng.normal(size=(30, 2)), 0), 5, 0)
+    y = rng.integers(0, 40, len(x)) / 10
+    batches = [pa.record_batch([x[a : a + 90, 0], x[a : a + 90, 1], y[a : a + 90]], ["x0", "x1", "y"]) for a in range(0, len(x), 90)]
+    batches.append(pa.record_batch([pa.array([None, 1.0]), pa.array([0.5, 0.5]), pa.array([1.0, None])], ["x0", "x1", "y"]))
+    tasks = [*descent._combined(["x0", "x1"])(iter(batches)), *descent._combined(["x0", "x1"])(iter(batches[:-1]))]
+    (block,) = descent._packed(["x0", "x1"])(iter(tasks))
+    held, lengths, labels, n = (np.frombuffer(block.column(c)[0].as_buffer(), t) for c, t in (("x", float), ("lengths", np.int64), ("y", float), ("n", np.int64)))
+    held = held.reshape(-1, 2)
+    counted = {(*map(float, np.append(p, v)),): 2 * int(((x == p).all(1) & (y == v)).sum()) for p, v in zip(x, y)}
+    of = np.repeat(np.arange(len(held)), lengths)
+    assert {(*map(float, np.append(held[i], v)),): int(c) for i, v, c in zip(of, labels, n)} == counted and len(n) == len(counted)
+    assert len(held) == len(np.unique(x, axis=0)) == block.column("rows")[0].as_py()
+    end = np.cumsum(lengths)
+    grouped = descent.Labels(labels, n, end - lengths, end)
+    tube, layers = descent._Tube(descent.RandomFeatures.drawn(2, 6, 0.5, 1), 0.1), descent._Layers((2, 4, 1))
+    w, v = rng.normal(size=7), rng.normal(size=17)
+    off, z = tube.predict(w, x) - y, tube.mapped(x)
+    loss, gradient = tube.grouped(w, held, grouped)
+    assert loss == pytest.approx(2 * np.maximum(np.abs(off) - 0.1, 0).sum())
+    assert gradient == pytest.approx(2 * z.T @ (np.sign(off) * (np.abs(off) > 0.1)))
+    assert layers.grouped(v, held, grouped)[0] == pytest.approx(((layers.predict(v, x) - y) ** 2).sum())
+    moments = sum(map(descent.Moments.read, block.column("moments")[0].as_py()), descent.Moments.of(np.zeros((0, 3))))
+    scaling = descent.Scaling.of(moments)
+    assert scaling.rows == 2 * len(x) + 2 and moments.known.tolist() == [2 * len(x) + 1, 2 * len(x) + 2, 2 * len(x) + 1]
+    assert scaling.mean[0] == pytest.approx(np.append(np.tile(x[:, 0], 2), 1).mean()) and scaling.deviation[1] == pytest.approx(np.append(np.tile(x[:, 1], 2), [0.5, 0.5]).std())
+
+
+def test_constant_columns_have_deviation_1():
+    parts = [descent.Moments.of(np.full((k, 2), [0.1, np.nan])) for k in (3, 0, 7)]
+    scaling = descent.Scaling.of(sum(parts[1:], parts[0]))
+    assert scaling.mean.tolist() == [0.1, 0.0] and scaling.deviation.tolist() == [1.0, 1.0] and scaling.rows == 10
+
+
+def test_a_fit_reads_its_rows_once_and_its_rounds_run_few_tasks(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    rows = spark.range(4_000).selectExpr("cast(id % 7 as double) AS a", "cast(id % 5 as double) AS b", "cast(id % 7 * 3 + id % 11 as double) AS y")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "30")
+    spark.sparkContext.setJobGroup("fit", "fit")
+    try:
+        fitted = descent.support_vectors(rows.mapInArrow(count, rows.schema), ["a", "b"], "y", rounds=8)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert seen.value == 4_000 and len(fitted.losses) == 8
+    tracker = spark.sparkContext.statusTracker()
+    stages = {s for j in tracker.getJobIdsForGroup("fit") for s in tracker.getJobInfo(j).stageIds}
+    assert sum(i.numCompletedTasks for i in map(tracker.getStageInfo, stages) if i) < 8 * 30
