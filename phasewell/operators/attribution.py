@@ -102,7 +102,8 @@ def _shapley_of(leaf: Leaf, met: np.ndarray) -> np.ndarray:
             if j != i:
                 ways[:, 1:] = ways[:, 1:] * leaf.share[j] + ways[:, :-1] * met[:, j : j + 1]
                 ways[:, 0] *= leaf.share[j]
-        out[:, i] = leaf.value * (met[:, i] - leaf.share[i]) * (ways @ order)
+        mean = sum(ways[:, k] * order[k] for k in range(d))  # not a product of matrices, which rounds a row by its place
+        out[:, i] = leaf.value * (met[:, i] - leaf.share[i]) * mean
     return out
 
 

@@ -124,3 +124,13 @@ def test_patterns_of_many_features_and_few_rows():
     expected = attribution._shapley_of(leaf, met.astype(float))
     for got in (attribution.contributions(x, [leaf]), np.concatenate([attribution.contributions(x[i : i + 1], [leaf]) for i in range(50)])):
         assert (got[:, leaf.features] == expected).all() and (got[:, 1] == 0).all()
+
+
+def test_values_of_a_row_do_not_depend_on_its_place():
+    rng = np.random.default_rng(6)
+    for _ in range(50):
+        d = int(rng.integers(2, 7))
+        leaf = attribution.Leaf(2.0, np.arange(d), np.full(d, -np.inf), rng.random(d), rng.random(d))
+        met = (rng.random((50, d)) < 0.5).astype(float)
+        alone = np.concatenate([attribution._shapley_of(leaf, met[i : i + 1]) for i in range(50)])
+        assert (attribution._shapley_of(leaf, met) == alone).all()
